@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from gridtide.llm import language_id
+from gridtide.llm import decontaminate, language_id, simhash
 
 QUERIES = {
+    "op2_simhash": simhash.query,
     "op5_language_id": language_id.query,
+    "op9_decontaminate": decontaminate.query,
 }
 
 #: DuckDB SQL by query; none where SQL can't express it (tests/llm hold those against brute force).
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_decontaminate": decontaminate.SQL,
+}
