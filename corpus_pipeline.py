@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridtide.llm import language_id
+from gridtide.llm import decontaminate, language_id, mixture, pii, simhash
 from gridtide.llm.common import saved, table
 
 STAGES = [
     ("language_id", language_id.stage),
+    ("simhash", simhash.stage),
+    ("decontaminate", decontaminate.stage),
+    ("pii", pii.stage),
+    ("mixture", mixture.stage),
 ]
 
 #: Language identification is no SQL; tests/llm hold the pipeline against brute force.

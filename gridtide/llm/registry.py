@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from gridtide.llm import decontaminate, language_id, simhash
+from gridtide.llm import decontaminate, language_id, mixture, pii, simhash
 
 QUERIES = {
+    "op1_mixture": mixture.query,
     "op2_simhash": simhash.query,
     "op5_language_id": language_id.query,
+    "op6_pii": pii.query,
     "op9_decontaminate": decontaminate.query,
 }
 
 #: DuckDB SQL by query; none where SQL can't express it (tests/llm hold those against brute force).
 ORACLE: dict[str, str] = {
+    "op1_mixture": mixture.SQL,
     "op9_decontaminate": decontaminate.SQL,
 }
