@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from gridtide.llm import decontaminate, language_id, mixture, pii, simhash
+from gridtide.llm import chat, decontaminate, language_id, mixture, pii, repeats, simhash
 
 QUERIES = {
     "op1_mixture": mixture.query,
     "op2_simhash": simhash.query,
+    "op3_repeats": repeats.query,
     "op5_language_id": language_id.query,
     "op6_pii": pii.query,
+    "op8_chat": chat.query,
     "op9_decontaminate": decontaminate.query,
 }
 
 #: DuckDB SQL by query; none where SQL can't express it (tests/llm hold those against brute force).
 ORACLE: dict[str, str] = {
     "op1_mixture": mixture.SQL,
+    "op8_chat": chat.SQL,
     "op9_decontaminate": decontaminate.SQL,
 }
