@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gridtide.llm import chat, decontaminate, language_id, mixture, pii, repeats, simhash
+from gridtide.llm import chat, decontaminate, language_id, mixture, pii, repeats, simhash, toxicity
 
 QUERIES = {
     "op1_mixture": mixture.query,
     "op2_simhash": simhash.query,
     "op3_repeats": repeats.query,
+    "op4_toxicity": toxicity.query,
     "op5_language_id": language_id.query,
     "op6_pii": pii.query,
     "op8_chat": chat.query,
