@@ -90,7 +90,9 @@ def disclosing(base: DataFrame, rows: DataFrame, support: int = 2, certain: floa
     near = base.select("key", F.xxhash64("kind", F.lower("value")).alias("entity"), left.alias("l"), right.alias("r"))
     near = near.select("key", "entity", F.xxhash64("l", "r").alias("context"), F.explode(F.array_distinct(F.concat("l", "r"))).alias("term"))
     contexts = near.groupBy("entity", "term", "context").agg(F.count_distinct("key").alias("docs"))
-    pairs = saved(contexts.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("docs").alias("both")).where(F.col("contexts") >= support))
+    pairs = contexts.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("docs").alias("both")).where(F.col("contexts") >= support)
+    beside = near.groupBy("term").agg(F.count_distinct("key").alias("beside"))  # near any entity: no more than all its documents
+    pairs = saved(pairs.join(beside, "term").where(F.col("both") >= certain * F.col("beside")).drop("beside"))
     terms = saved(pairs.select("term").distinct())
     if terms.isEmpty():
         return terms.select("term", F.lit(0.0).alias("bits"))
