@@ -1,14 +1,14 @@
 """Toxicity by a support vector machine over a gap-weighted subsequence kernel, with Nyström landmarks.
 
 The strings compared are words: whitespace-separated tokens without their punctuation (so that i.d.i.o.t is one word),
-digits and signs that stand for letters read as letters, and runs of three and more single letters joined. The kernel
-counts common subsequences of three letters, up to two letters skipped between neighbours, each weighted by DECAY to
-the length it spans, and is divided by the length norm of both words.
+digits and signs that stand for letters read as letters, and runs of three and more single letters joined. Each word
+carries a mark at either end. The kernel counts common subsequences of three letters, up to two letters skipped between neighbours, each weighted by DECAY to
+the length it spans, divided by the length norm of both words, and one for a word and itself.
 
 Labels are of documents. A word of the labelled documents is an example of an insult if it is in so many toxic ones,
 and so few others, that chance would give less than ``chance`` such words in all; variants of it with one letter added,
 doubled or left out are examples too. Frequent words and a hash sample of the words of clean documents are the others,
-and after a first fit those that it takes for insults (one round of mining). Landmarks are taken from both. A squared
+and after a first fit those that it takes for insults (two rounds of mining). Landmarks are taken from both. A squared
 hinge loss is minimised in the landmarks' feature space; since the kernel is an inner product over letter triples, the
 machine is then written as one weight for each triple, and scoring a word takes one look-up for each of its triples.
 
@@ -36,7 +36,8 @@ PIECE = 1_000_000
 SIGNS = str.maketrans("01345@$", "oieasas")
 BREAK = 0
 OTHER = 1
-ALPHABET = 60
+EDGE = 60  # before and after each word
+ALPHABET = 61
 STEPS = [(g, h) for g in range(1, SKIP + 1) for h in range(1, SKIP + 1)]
 
 
@@ -83,10 +84,11 @@ class Words:
         group = np.where(length[run] >= 3, run, -1) if len(run) else run
         new = np.concatenate(([True], (group[1:] < 0) | (group[1:] != group[:-1]))) if len(group) else single
         number = np.cumsum(new) - 1
-        self.letters = code[letter].astype(np.int32)
-        self.word = number[word[letter]] if len(number) else np.zeros(0, np.int64)
-        self.begin = np.flatnonzero(np.concatenate(([True], self.word[1:] != self.word[:-1]))) if len(self.word) else np.zeros(0, np.int64)
-        self.size = np.diff(np.append(self.begin, len(self.letters)))
+        own = number[word[letter]] if len(number) else np.zeros(0, np.int64)
+        self.size = np.bincount(own, minlength=int(new.sum())) + 2 if len(own) else np.zeros(0, np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.letters = np.full(int(self.size.sum()), EDGE, np.int32)
+        self.letters[np.arange(len(own)) + 2 * own + 1] = code[letter]
         self.text = of[new]
 
     def strings(self) -> list[bytes]:
@@ -132,8 +134,27 @@ def features(words: list[bytes], columns: np.ndarray, n: int) -> np.ndarray:
     return out / _norms(int(size.max(initial=0)))[size][:, None]
 
 
-def machine(insults: list[bytes], others: list[bytes], landmarks: list[bytes], rounds: int = 12, cost: float = 4.0) -> tuple[np.ndarray, float]:
-    """Triple weights and bias of the machine trained on the words."""
+class Machine:
+    """weights by triple, bias, and what a word adds to its margin that is a known insult letter by letter.
+
+    The last is the kernel's identity part: 1 for a word and itself, with one weight for all insults.
+    """
+
+    def __init__(self, weights: np.ndarray, bias: float, insults: list[bytes], identity: float):
+        self.weights, self.bias, self.insults, self.identity = weights, bias, frozenset(insults), max(identity, 0.0)
+        self.least = float(word_scores(*_arrays(insults), weights).min()) - 1e-6
+
+    def margins(self, w: Words) -> np.ndarray:
+        f = word_scores(w.letters, w.size, self.weights)
+        whole = w.letters.astype(np.uint8).tobytes()
+        near = np.flatnonzero(f >= self.least)
+        known = [k for k, a, n in zip(near.tolist(), w.begin[near].tolist(), w.size[near].tolist(), strict=True) if whole[a : a + n] in self.insults]
+        f[known] += self.identity
+        return f + self.bias
+
+
+def machine(insults: list[bytes], more: list[bytes], others: list[bytes], landmarks: list[bytes], rounds: int = 12, cost: float = 4.0) -> Machine:
+    """The machine trained on insults, variants of them (more) and other words."""
     columns = np.full(ALPHABET**3, -1, np.int32)
     used = np.unique(np.concatenate([t for _, t, _ in triples(*_arrays(landmarks))]))
     columns[used] = np.arange(len(used))
@@ -142,11 +163,12 @@ def machine(insults: list[bytes], others: list[bytes], landmarks: list[bytes], r
     good = values > 1e-6 * values.max()
     half = vectors[:, good] / np.sqrt(values[good])
     project = marks.T @ half
-    words = insults + others
+    words = insults + more + others
     z = np.concatenate([features(words[i : i + 2000], columns, len(used)) @ project for i in range(0, len(words), 2000)])
-    z = np.hstack((z, np.ones((len(z), 1))))
-    y = np.concatenate((np.ones(len(insults)), -np.ones(len(others))))
-    c = np.where(y > 0, cost * len(others) / max(len(insults), 1), cost) / len(others) * 100
+    z = np.hstack((z, np.ones((len(z), 2))))
+    z[len(insults) :, -2] = 0
+    y = np.concatenate((np.ones(len(insults) + len(more)), -np.ones(len(others))))
+    c = np.concatenate((np.full(len(insults), 1 / len(insults)), np.full(len(more), 1 / max(len(more), 1)), np.full(len(others), 1 / len(others)))) * cost * 100
     w = np.zeros(z.shape[1])
     ridge = np.eye(z.shape[1])
     ridge[-1, -1] = 1e-6
@@ -155,8 +177,8 @@ def machine(insults: list[bytes], others: list[bytes], landmarks: list[bytes], r
         za = z[active] * c[active][:, None]
         w = np.linalg.solve(ridge + za.T @ z[active], za.T @ y[active])
     weights = np.zeros(ALPHABET**3, np.float32)
-    weights[used] = project @ w[:-1]
-    return weights, float(w[-1])
+    weights[used] = project @ w[:-2]
+    return Machine(weights, float(w[-1]), insults, float(w[-2]))
 
 
 def pieces(texts: list[str]):
@@ -170,13 +192,13 @@ def pieces(texts: list[str]):
         yield start, len(texts)
 
 
-def worst(texts: list[str], weights: np.ndarray, bias: float) -> tuple[np.ndarray, list[bytes]]:
+def worst(texts: list[str], judge: Machine) -> tuple[np.ndarray, list[bytes]]:
     """Margin of the worst word of each text (-inf without words), and that word."""
     margin, which = np.full(len(texts), -np.inf), [b""] * len(texts)
     for a, b in pieces(texts):
         w = Words(texts[a:b])
         if len(w.size):
-            f = word_scores(w.letters, w.size, weights) + bias
+            f = judge.margins(w)
             order = np.lexsort((f, w.text))
             last = order[np.append(w.text[order][1:] != w.text[order][:-1], True)]
             margin[a + w.text[last]] = f[last]
@@ -195,7 +217,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             n: dict[bytes, list[int]] = {}
             for a, b in pieces(texts):
                 w = Words(texts[a:b])
-                for word, text in {(s, t) for s, t in zip(w.strings(), w.text.tolist(), strict=True) if 3 <= len(s) <= 40}:
+                for word, text in {(s, t) for s, t in zip(w.strings(), w.text.tolist(), strict=True) if 5 <= len(s) <= 42}:
                     n.setdefault(word, [0, 0])[int(labels[a + text])] += 1
             yield pa.record_batch([pa.array(list(n), pa.binary()), pa.array([c[1] for c in n.values()], pa.int64()), pa.array([c[0] for c in n.values()], pa.int64())], names=["word", "toxic", "clean"])
 
@@ -205,9 +227,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def variants(word: bytes) -> list[bytes]:
     """word with a letter doubled, added or left out."""
-    out = [word[: i + 1] + word[i:] for i in range(len(word))]
-    out += [word[:i] + bytes([2 + (7 * i + len(word)) % 26]) + word[i:] for i in range(1, len(word))]
-    return out + ([word[:i] + word[i + 1 :] for i in range(1, len(word) - 1)] if len(word) >= 6 else [])
+    out = [word[: i + 1] + word[i:] for i in range(1, len(word) - 1)]
+    out += [word[:i] + bytes([2 + (7 * i + k + len(word)) % 26]) + word[i:] for i in range(2, len(word) - 1) for k in (0, 11)]
+    return out + ([word[:i] + word[i + 1 :] for i in range(2, len(word) - 2)] if len(word) >= 8 else [])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
@@ -221,8 +243,8 @@ def labelled(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
     return docs.join(broadcast_if_small(rows.select("doc_id", "toxic"), 2 * sample_rows), "doc_id").select("text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, examples: int = 6_000, n_landmarks: int = 240, chance: float = 0.01):
-    """(weights, bias, slope, offset) learned from docs (doc_id, text) and labels (doc_id, toxic), or None."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, examples: int = 6_000, n_landmarks: int = 320, chance: float = 0.01):
+    """(machine, slope, offset) learned from docs (doc_id, text) and labels (doc_id, toxic), or None."""
     ship(docs.sparkSession)
     train = labelled(docs, labels, sample_rows)
     totals = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
@@ -231,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, examples:
     counts = saved(word_counts(train))
     base = totals[1] / (totals[0] + totals[1])
     need = int(np.ceil(np.log(max(counts.count(), 2) / chance) / -np.log(base)))
-    bad = counts.where(F.col("clean") * 10 <= F.col("toxic")).orderBy(F.desc("toxic"), "word").limit(400).collect()
+    bad = counts.where(F.col("clean") * 50 <= F.col("toxic")).orderBy(F.desc("toxic"), "word").limit(400).collect()
     insults = [bytes(r["word"]) for i, r in enumerate(bad) if r["toxic"] >= need or i < 5]
     clean = counts.where(F.col("toxic") * 2 <= F.col("clean"))
     often = clean.orderBy(F.desc("clean"), "word").limit(examples // 3).collect()
@@ -239,29 +261,34 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 30_000, examples:
     others = list(dict.fromkeys(bytes(r["word"]) for r in [*often, *some]))
     if not insults or not others:
         return None
-    positive = list(dict.fromkeys([*insults, *(v for w in insults for v in variants(w))]))
-    positive = [w for w in positive if w not in set(others)]
+    insults = [w for w in insults if w not in set(others)] or insults
+    more = [w for w in dict.fromkeys(v for w in insults for v in variants(w)) if w not in {*others, *insults}]
     marks = [*insults[: n_landmarks * 2 // 3], *others[: n_landmarks // 3]]
-    weights, bias = machine(positive, others, marks)
+    judge = machine(insults, more, others, marks)
 
-    def judged(weights, bias):
-        shared = docs.sparkSession.sparkContext.broadcast((weights, bias))
+    def judged(judge):
+        shared = docs.sparkSession.sparkContext.broadcast(judge)
 
         def task(batches):
             for batch in batches:
-                margin, word = worst([t or "" for t in batch.column(0).to_pylist()], *shared.value)
+                margin, word = worst([t or "" for t in batch.column(0).to_pylist()], shared.value)
                 yield pa.record_batch([batch.column(1).cast(pa.int32()), pa.array(np.maximum(margin, -50.0)), pa.array(word, pa.binary())], names=["toxic", "margin", "word"])
 
         return train.select("text", "toxic").mapInArrow(task, "toxic int, margin double, word binary")
 
-    hard = judged(weights, bias).where("toxic = 0").groupBy("word").agg(F.max("margin").alias("m")).orderBy(F.desc("m"), "word").limit(examples // 3).collect()
-    mined = [bytes(r["word"]) for r in hard if r["word"] and bytes(r["word"]) not in set(insults)]
-    others = list(dict.fromkeys([*mined, *others]))
-    positive = [w for w in positive if w not in set(mined)]
-    weights, bias = machine(positive, others, [*marks, *mined[: n_landmarks // 4]])
-    table_ = judged(weights, bias).groupBy("toxic", F.round("margin", 2).alias("m")).count().collect()
+    mined: list[bytes] = []
+    for _ in range(2):
+        hard = judged(judge).where("toxic = 0").groupBy("word").agg(F.max("margin").alias("m")).orderBy(F.desc("m"), "word").limit(examples // 4).collect()
+        mined += [w for r in hard if (w := bytes(r["word"])) and w not in set(insults) and w not in set(mined)]
+        others = list(dict.fromkeys([*mined, *others]))
+        more = [w for w in more if w not in set(mined)]
+        judge = machine(insults, more, others, [*marks, *mined[: n_landmarks // 3], *mined[-n_landmarks // 6 :]])
+    table_ = judged(judge).groupBy("toxic", F.round("margin", 2).alias("m")).count().collect()
     m, y, n = (np.array([r[k] for r in table_], float) for k in ("m", "toxic", "count"))
-    return weights, bias, *logistic(np.clip(m, -3, 3), y, n)
+    if more:  # texts with a variant count as toxic ones too, half as many as there are toxic texts
+        f = word_scores(*_arrays(more), judge.weights) + judge.bias
+        m, y, n = np.append(m, f), np.append(y, np.ones(len(f))), np.append(n, np.full(len(f), totals[1] / 2 / len(f)))
+    return judge, *logistic(np.clip(m, -3, 3), y, n)
 
 
 def logistic(m: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-4) -> tuple[float, float]:
@@ -291,8 +318,8 @@ def scored(docs: DataFrame, model) -> DataFrame:
         for batch in batches:
             score = np.zeros(batch.num_rows)
             if shared.value is not None:
-                weights, bias, slope, offset = shared.value
-                margin, _ = worst([t or "" for t in batch.column(1).to_pylist()], weights, bias)
+                judge, slope, offset = shared.value
+                margin, _ = worst([t or "" for t in batch.column(1).to_pylist()], judge)
                 z = np.clip(slope * np.clip(margin, -3, 3) + offset, -500, 500)
                 score = np.where(np.isfinite(margin), 1 / (1 + np.exp(-z)), 0.0)
             yield pa.record_batch([batch.column(0), pa.array(score)], names=["doc_id", "score"])
