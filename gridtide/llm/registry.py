@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridtide.llm import chat, decontaminate, language_id, mixture, pii, repeats, simhash, toxicity
+from gridtide.llm import chat, decontaminate, language_id, licenses, mixture, pii, repeats, simhash, toxicity
 
 QUERIES = {
     "op1_mixture": mixture.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.query,
     "op5_language_id": language_id.query,
     "op6_pii": pii.query,
+    "op7_licenses": licenses.query,
     "op8_chat": chat.query,
     "op9_decontaminate": decontaminate.query,
 }
@@ -18,6 +19,7 @@ QUERIES = {
 #: DuckDB SQL by query; none where SQL can't express it (tests/llm hold those against brute force).
 ORACLE: dict[str, str] = {
     "op1_mixture": mixture.SQL,
+    "op7_licenses": licenses.SQL,
     "op8_chat": chat.SQL,
     "op9_decontaminate": decontaminate.SQL,
 }
