@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridtide.llm import chat, decontaminate, language_id, licenses, mixture, pii, repeats, simhash, toxicity
+from gridtide.llm import chat, decontaminate, language_id, licenses, mixture, pii, repeats, search, simhash, toxicity
 
 QUERIES = {
     "op1_mixture": mixture.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_licenses": licenses.query,
     "op8_chat": chat.query,
     "op9_decontaminate": decontaminate.query,
+    "op10_search": search.query,
 }
 
 #: DuckDB SQL by query; none where SQL can't express it (tests/llm hold those against brute force).
