@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from gridtide.plans import attribution, series, times  # noqa: F401
+from gridtide.plans.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
