@@ -35,7 +35,7 @@ K = 24
 SEGMENT = 1_000_000
 CHUNK = 1_500_000
 POSITION = 22  # bits for a place within a chunk
-MERGED = 1_000_000  # phrases that a task merges at a time
+MERGED = 500_000  # phrases that a task merges at a time
 NO_ID = -(2**63)
 BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
@@ -171,7 +171,7 @@ def parsed(docs: DataFrame, length: int) -> DataFrame:
             rows = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
             yield from _emitted(*merged(rows, ("trigger", "phrase")), ("trigger", "phrase"))
 
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             ids = batch.column(0).to_numpy()
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             for chunk in segments([t or b"" for t in texts], length):
@@ -252,8 +252,8 @@ def judged(rows: DataFrame) -> DataFrame:
 
 
 def by_doc(rows: DataFrame, most: int) -> DataFrame:
-    """(doc, own: its runs), to be broadcast if there are no more than most runs."""
-    n = rows.limit(most + 1).count()
+    """(doc, own: its runs), to be broadcast if there are no more than most runs, else to be merged with."""
+    n = most + 1 if not most else rows.limit(most + 1).count()
     lists = rows.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "at")).alias("own"))
     return F.broadcast(lists) if n <= most else lists.hint("merge")
 
@@ -267,7 +267,7 @@ def repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str
         near = by_doc(levels[-1].where("not gone"), most)
         levels.append(judged(closer(rows.join(near, "doc").select("doc", "text", "own"), length, size)))
     gone = levels[0].where("gone").unionByName(levels[1].where("gone")).unionByName(levels[2].where("gone"))
-    gone = by_doc(saved(gone.select("doc", "start", "n", "at")), most)
+    gone = by_doc(gone.select("doc", "start", "n", "at"), 0)  # most documents have some: always a shuffle of both sides
     return rows.join(gone, "doc", "left").select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text", "own")
 
 
@@ -286,16 +286,15 @@ def removed(docs: DataFrame, length: int = 100) -> DataFrame:
     """(doc_id, kept: binary, n_bytes, n_removed, n_spans) of docs."""
 
     def task(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             out = []
             for text, own in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
                 runs_ = own.values
                 text = text or b""
                 out.append((text, 0, 0) if runs_ is None else cut(text, runs_.field("start").to_numpy(), runs_.field("n").to_numpy(), length))
             sizes = [len(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for i in range(0, len(out), 2000):
-                part = out[i : i + 2000]
-                yield pa.record_batch([batch.column(0)[i : i + 2000], pa.array([k for k, *_ in part], pa.binary()), pa.array(sizes[i : i + 2000], pa.int64()), pa.array([r for _, r, _ in part], pa.int64()), pa.array([s for *_, s in part], pa.int64())], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.record_batch([batch.column(0), columns[0], pa.array(sizes, pa.int64()), *columns[1:]], names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     return repeats(docs, length).mapInArrow(task, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
