@@ -131,3 +131,17 @@ def with_bounds(corr: DataFrame, scale_a: DataFrame, scale_b: DataFrame, keys: l
     z = F.when(F.abs("r") < 1, F.atanh("r"))
     rows = rows.withColumns({"low": F.tanh(z - width), "high": F.tanh(z + width)})
     return rows.drop("_sa", "_sb").withColumn("significant", F.coalesce((F.signum("r") * F.when(F.col("r") >= 0, F.col("low")).otherwise(F.col("high"))) > 0, F.lit(False)))
+
+
+def interpolated(points: DataFrame, targets: DataFrame, keys: list[str], at: str, value: str = "x") -> DataFrame:
+    """Linear interpolation of points at the targets; NULL before the first and after the last point."""
+    marks = points.select(*keys, at, value, F.lit(0).alias("_t")).unionByName(targets.select(*keys, at, F.lit(None).cast("double").alias(value), F.lit(1).alias("_t")))
+    rows = marks.groupBy(*keys, at).agg(F.avg(value).alias(value), F.max("_t").alias("_t"))
+    return gaps_filled(rows, keys, at, value).where("_t = 1").select(*keys, at, F.col("filled").alias(value))
+
+
+def without_edges(band: DataFrame, keys: list[str], idx: str, first: int, last: int, most: int = 10, value: str = "band") -> DataFrame:
+    """band without the values nearer to either end than its own integral scale."""
+    scale = integral_scale(band, keys, idx, value, most)
+    edge = F.ceil("scale")
+    return band.join(scale, keys).where((F.col(idx) - first >= edge) & (last - F.col(idx) >= edge)).drop("scale")

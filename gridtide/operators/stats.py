@@ -96,3 +96,11 @@ def rebased(df: DataFrame, keys: list[str], at: str, start, end, value: str = "x
 def endpoint_change(df: DataFrame, keys: list[str], at: str, start, end, value: str = "x") -> DataFrame:
     pick = lambda t: F.max(F.when(F.col(at) == t, F.col(value)))
     return df.groupBy(*keys).agg((pick(end) - pick(start)).alias("change"))
+
+
+def spliced(early: DataFrame, late: DataFrame, at: str, start, end, value: str = "x") -> DataFrame:
+    """early up to start, moved to the mean of late over start <= at < end, followed by late."""
+    inside = (F.col(at) >= start) & (F.col(at) < end)
+    means = early.where(inside).agg(F.avg(value).alias("_e")).crossJoin(late.where(inside).agg(F.avg(value).alias("_l")))  # one row
+    before = early.where(F.col(at) < start).crossJoin(F.broadcast(means)).select(at, (F.col(value) - F.col("_e") + F.col("_l")).alias(value))
+    return before.unionByName(late.where(F.col(at) >= start).select(at, value))
