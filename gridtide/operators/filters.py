@@ -12,7 +12,7 @@ from gridtide.functions.special import band_kernel, erfinv
 
 
 def kernel_frame(spark, n: int, **band) -> DataFrame:
-    return spark.createDataFrame([(k, v) for k, v in enumerate(band_kernel(n, **band))], "k int, h double")
+    return spark.createDataFrame([(k, v) for k, v in enumerate(band_kernel(n, **band))], "_k int, _h double")
 
 
 def bandpass(df: DataFrame, keys: list[str], idx: str, n: int, value: str = "x", **band) -> DataFrame:
@@ -21,8 +21,8 @@ def bandpass(df: DataFrame, keys: list[str], idx: str, n: int, value: str = "x",
     Missing values count as zero. The kernel has n rows. For many long series use :func:`bandpass_grouped`.
     """
     kernel = F.broadcast(kernel_frame(df.sparkSession, n, **band))
-    both = df.where(F.col(value).isNotNull()).crossJoin(kernel).withColumn("_to", F.pmod(F.col(idx) + F.col("k"), F.lit(n)))
-    return both.groupBy(*keys, F.col("_to").alias(idx)).agg(F.sum(F.col(value) * F.col("h")).alias("band"))
+    both = df.where(F.col(value).isNotNull()).crossJoin(kernel).withColumn("_to", F.pmod(F.col(idx) + F.col("_k"), F.lit(n)))
+    return both.groupBy(*keys, F.col("_to").alias(idx)).agg(F.sum(F.col(value) * F.col("_h")).alias("band"))
 
 
 def bandpass_grouped(df: DataFrame, keys: list[str], at: str, delta: float, low: float, high: float, steep: float = 5.0, keep_trend: bool = False, value: str = "x") -> DataFrame:
