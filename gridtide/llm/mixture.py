@@ -91,23 +91,23 @@ def budgets(leaves: DataFrame, total: Column, weights: dict[tuple, int], default
 def seeded(docs: DataFrame, leaf_budgets: DataFrame, seed: int, max_epochs: int, cells: int) -> DataFrame:
     """docs with epoch and taken: the tokens that each epoch of a document's leaf takes from its start."""
     order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("last"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    supply = docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply"))
-    plan = leaf_budgets.join(supply, [*LEVELS]).where("supply > 0 and budget > 0")
-    plan = plan.select(*LEVELS, F.expr("budget div supply").alias("epochs"), F.expr("budget % supply").alias("rest"))
+    supply = docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("_supply"))
+    plan = leaf_budgets.join(supply, [*LEVELS]).where("_supply > 0 and budget > 0")
+    plan = plan.select(*LEVELS, F.expr("budget div _supply").alias("_epochs"), F.expr("budget % _supply").alias("_rest"))
     plan = broadcast_if_small(saved(plan), MOST)
-    rows = docs.where("n_tokens > 0").join(plan, [*LEVELS]).drop("supply")
-    whole = rows.where("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs")))).withColumn("taken", F.col("n_tokens"))
-    part = rows.where("rest > 0").withColumn("at", order).withColumn("cell", F.expr(f"cast(conv(substr(at, 1, 8), 16, 10) as bigint) % {cells}"))
-    sums = part.groupBy(*LEVELS, "cell").agg(F.sum("n_tokens").alias("n"))
-    begin = F.coalesce(F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = saved(sums.withColumn("begin", begin).select(*LEVELS, "cell", "begin", "n"))
-    part = part.join(broadcast_if_small(sums, MOST), [*LEVELS, "cell"]).where("begin < rest")
-    inside = part.where("begin + n <= rest").withColumn("taken", F.col("n_tokens"))
-    edge = Window.partitionBy(*LEVELS, "cell").orderBy("at", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    last = part.where("begin + n > rest").withColumn("start", F.col("begin") + F.coalesce(F.sum("n_tokens").over(edge), F.lit(0)))
-    last = last.where("start < rest").withColumn("taken", F.least("n_tokens", F.col("rest") - F.col("start")))
-    more = inside.drop("at", "cell", "begin", "n").unionByName(last.drop("at", "cell", "begin", "n", "start")).withColumn("epoch", F.col("epochs") + 1)
-    return whole.unionByName(more).drop("epochs", "rest")
+    rows = docs.where("n_tokens > 0").join(plan, [*LEVELS])
+    whole = rows.where("_epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_epochs")))).withColumn("taken", F.col("n_tokens"))
+    part = rows.where("_rest > 0").withColumn("_at", order).withColumn("_cell", F.expr(f"cast(conv(substr(_at, 1, 8), 16, 10) as bigint) % {cells}"))
+    sums = part.groupBy(*LEVELS, "_cell").agg(F.sum("n_tokens").alias("_n"))
+    begin = F.coalesce(F.sum("_n").over(Window.partitionBy(*LEVELS).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = saved(sums.withColumn("_begin", begin).select(*LEVELS, "_cell", "_begin", "_n"))
+    part = part.join(broadcast_if_small(sums, MOST), [*LEVELS, "_cell"]).where("_begin < _rest")
+    inside = part.where("_begin + _n <= _rest").withColumn("taken", F.col("n_tokens"))
+    edge = Window.partitionBy(*LEVELS, "_cell").orderBy("_at", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    last = part.where("_begin + _n > _rest").withColumn("_start", F.col("_begin") + F.coalesce(F.sum("n_tokens").over(edge), F.lit(0)))
+    last = last.where("_start < _rest").withColumn("taken", F.least("n_tokens", F.col("_rest") - F.col("_start"))).drop("_start")
+    more = inside.unionByName(last).drop("_at", "_cell", "_begin", "_n").withColumn("epoch", F.col("_epochs") + 1)
+    return whole.unionByName(more).drop("_epochs", "_rest")
 
 
 def mixed(docs: DataFrame, share: float = 0.5, weights: dict[tuple, int] | None = None, seed: int = 7, max_epochs: int = 3, cells: int = 4096) -> DataFrame:

@@ -79,12 +79,12 @@ def smallest(v: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(v[: len(v) - (size - width)], v[size - width :]) if size > width else v
 
 
-def segments(texts: list[bytes], length: int):
+def segments(texts: list[bytes], length: int, most: int):
     """Chunks of (text number, offset, bytes); each start of a string of length bytes is in one segment."""
     chunk, size = [], 0
     for k, text in enumerate(texts):
-        for a in range(0, max(1, len(text) - length + 1), SEGMENT):
-            part = text[a : a + SEGMENT + length - 1]
+        for a in range(0, max(1, len(text) - length + 1), most):
+            part = text[a : a + most + length - 1]
             if len(part) < length:
                 continue
             chunk.append((k, a, part))
@@ -161,7 +161,7 @@ def _emitted(rows: dict, same: np.ndarray, by: tuple[str, str]):
 ROW = "a long, b long, doc long, start long, n int, at int, gone boolean"
 
 
-def parsed(docs: DataFrame, length: int) -> DataFrame:
+def parsed(docs: DataFrame, length: int, segment: int = SEGMENT) -> DataFrame:
     """The parse of docs (doc, text): trigger a, phrase b, doc, start, n starts; gone: a repeat within the task."""
 
     def task(batches):
@@ -174,7 +174,7 @@ def parsed(docs: DataFrame, length: int) -> DataFrame:
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             ids = batch.column(0).to_numpy()
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for chunk in segments([t or b"" for t in texts], length):
+            for chunk in segments([t or b"" for t in texts], length, segment):
                 rows = phrases(chunk, length)
                 rows["doc"] = ids[rows.pop("text")]
                 held.append(rows)
@@ -200,7 +200,7 @@ def stretches(start: np.ndarray, n: np.ndarray, at: np.ndarray, width: int) -> t
     return first[new], np.diff(np.append(new, len(way))), first[new] + way[new] - way[new] // width * width
 
 
-def closer(docs: DataFrame, length: int, width: int) -> DataFrame:
+def closer(docs: DataFrame, length: int, width: int, segment: int = SEGMENT) -> DataFrame:
     """Stretches of the runs listed in docs (doc, text, own: start, n, at); with width 1, single strings.
 
     a is the hash of the bytes that all strings of a stretch share, b that of all its bytes; with width 1 both are of
@@ -223,10 +223,10 @@ def closer(docs: DataFrame, length: int, width: int) -> DataFrame:
                 start, n, core = stretches(start[fits], n[fits], at[fits], width)
                 order = np.argsort(start, kind="stable")
                 start, n, core = start[order], n[order], core[order]
-                for a in range(0, len(text), SEGMENT):
-                    some = slice(*np.searchsorted(start, (a, a + SEGMENT)))
+                for a in range(0, len(text), segment):
+                    some = slice(*np.searchsorted(start, (a, a + segment)))
                     if some.stop > some.start:
-                        data = np.frombuffer(text[a : a + SEGMENT + 2 * length + width], np.uint8)
+                        data = np.frombuffer(text[a : a + segment + 2 * length + width], np.uint8)
                         one, two = Rolling(data, BASES[0]), Rolling(data, BASES[1])
                         shared = one.of(core[some] - a, core[some] - a + length - width + 1)
                         whole = two.of(start[some] - a, start[some] - a + n[some] + length - 1)
@@ -258,14 +258,14 @@ def by_doc(rows: DataFrame, most: int) -> DataFrame:
     return F.broadcast(lists) if n <= most else lists.hint("merge")
 
 
-def repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id", width: int = 8, most: int = 2_000_000) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 100, text: str = "text", doc_id: str = "doc_id", width: int = 8, most: int = 2_000_000, segment: int = SEGMENT) -> DataFrame:
     """(doc_id, text, own): own lists the runs (start, n) of starts of strings of length bytes that start earlier too."""
     ship(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
-    levels = [judged(parsed(rows, length))]
+    levels = [judged(parsed(rows, length, segment))]
     for size in (width, 1):
         near = by_doc(levels[-1].where("not gone"), most)
-        levels.append(judged(closer(rows.join(near, "doc").select("doc", "text", "own"), length, size)))
+        levels.append(judged(closer(rows.join(near, "doc").select("doc", "text", "own"), length, size, segment)))
     gone = levels[0].where("gone").unionByName(levels[1].where("gone")).unionByName(levels[2].where("gone"))
     gone = by_doc(gone.select("doc", "start", "n", "at"), 0)  # most documents have some: always a shuffle of both sides
     return rows.join(gone, "doc", "left").select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text", "own")
