@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridtide.functions.shipping import ship
 
+_OWN: dict[str, str] = {}  # folders of applications that name none
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -21,13 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: the one the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (single-machine sessions, as in tests) a temporary folder is made and set.
+    Only where that is unset (single-machine sessions, as in tests) a temporary folder is made for the application.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    application = spark.sparkContext.applicationId
+    if application not in _OWN:
+        _OWN[application] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return _OWN[application]
 
 
 def saved(df: DataFrame) -> DataFrame:
