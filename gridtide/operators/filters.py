@@ -145,3 +145,28 @@ def without_edges(band: DataFrame, keys: list[str], idx: str, first: int, last:
     scale = integral_scale(band, keys, idx, value, most)
     edge = F.ceil("scale")
     return band.join(scale, keys).where((F.col(idx) - first >= edge) & (last - F.col(idx) >= edge)).drop("scale")
+
+
+def interpolated_fourier(df: DataFrame, keys: list[str], at: str, delta: float, targets: list[float], most: float | None = None, value: str = "x") -> DataFrame:
+    """Whole, evenly spaced series at other places: mean and trend kept, the rest by its Fourier series up to the
+    frequency ``most`` (all of it by default). Series with missing values give NULL."""
+    import numpy as np
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(at)
+        t, x = pdf[at].to_numpy(float), pdf[value].to_numpy(float)
+        new = np.array(targets, float)
+        out = np.full(len(new), np.nan)
+        if len(x) > 1 and np.isfinite(x).all():
+            slope, offset = np.polyfit(t, x, 1)
+            f = np.fft.fftfreq(len(x), delta)
+            c = np.fft.fft(x - slope * t - offset) / len(x)
+            keep = np.abs(f) <= (np.inf if most is None else most)
+            waves = np.exp(2j * np.pi * np.outer(new - t[0], f[keep]))
+            out = (waves @ c[keep]).real + slope * new + offset
+        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(new) for k in keys} | {at: new, value: out})
+
+    ship(df.sparkSession)
+    schema = df.select(*keys).schema.add(at, "double").add(value, "double")
+    return df.select(*keys, at, value).groupBy(*keys).applyInPandas(one, schema).withColumn(value, F.nanvl(value, F.lit(None).cast("double")))
