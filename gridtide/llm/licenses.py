@@ -6,8 +6,8 @@ every 3 M / 4 words, so every passage of up to 5 M / 4 words lies in a window wh
 template's shingles has a Jaccard similarity of 0.17 or more with it, so that one of the ``BANDS`` bands of one value
 collides with a probability above 0.9999; containment is then counted exactly on the shingles themselves.
 
-Texts that can't contain 0.8 of any template are left out before that: for each template some words are chosen that
-take part in more than a fifth of its shingles, and a text without any of them misses too many.
+Texts and windows that can't contain 0.8 of any template are left out before that: for each template some words are
+chosen that take part in more than a fifth of its shingles; what has none of them misses too many.
 
 Only DataFrame expressions. Cases: null and empty texts match nothing; a template without words is refused; a text that
 is shorter than a window is one window; repeated rows are matched row by row; the result has a row for each row and
@@ -21,7 +21,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtide.llm.common import ASCII_LOWER, ASCII_UPPER, ascii_lower, table
+from gridtide.llm.common import ASCII_LOWER, ASCII_UPPER, ascii_lower, saved, table
 from gridtide.llm.decontaminate import words
 
 SIZE = 5
@@ -81,16 +81,19 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFra
     bands = lambda shingles: F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.xxhash64(b, F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b)))))
     known = F.broadcast(known.select("license", "k", "most", "of", F.explode(F.array_distinct(bands(F.col("of")))).alias("band")))  # BANDS rows a template
     low = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    some = sorted({w for *_, shingles in rows for w in needed(shingles)})
+    classes: dict[tuple[int, int], set[str]] = {}
+    for _, k, most, shingles in rows:
+        classes.setdefault((k, most), set()).update(needed(shingles))
     may = F.lit(False)
-    for w in some:
+    for w in sorted(set().union(*classes.values())):
         may = may | F.contains(F.col("low"), F.lit(w))
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", low.alias("low")).where(may).select("row", "doc_id", words(F.col("low")).alias("w"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", low.alias("low")).where(may)
+    texts = saved(texts.select("row", "doc_id", words(F.col("low")).alias("w")))  # the whole table is read once
     out = None
-    for k, most in sorted({(k, most) for _, k, most, _ in rows}):
+    for (k, most), some in sorted(classes.items()):
         cut = texts.where(F.size("w") >= k).select("row", "doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(3 * most // 4))).alias("first_word"))
         win = F.slice("w", F.col("first_word") + 1, F.lit(2 * most))
-        cut = cut.select("row", "doc_id", "first_word", win.alias("win")).where(F.size("win") >= k)
+        cut = cut.select("row", "doc_id", "first_word", win.alias("win")).where((F.size("win") >= k) & F.arrays_overlap("win", F.array(*map(F.lit, sorted(some)))))
         cut = cut.withColumn("has", F.expr(f"array_distinct(transform(sequence(1, size(win) - {k - 1}), i -> array_join(slice(win, i, {k}), ' ')))"))
         cut = cut.select("row", "doc_id", "first_word", "has", F.explode(bands(F.col("has"))).alias("band"))
         here = cut.join(known.where((F.col("k") == k) & (F.col("most") == most)), "band")
