@@ -1,10 +1,11 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-Training counts the character n-grams of every labelled row: each task sums its own counts, Spark adds them up, and
-the driver gets at most ``max_grams`` of the most frequent n-grams of each language, which bounds the model. The model
-keeps, for each n-gram order, one array of n-gram hashes in ascending order with the interpolated log-probabilities of
-all languages beside it; a radix index over the leading bits of the hash replaces the binary search. Characters are
-lower-cased letters; every run of other characters counts as one boundary symbol.
+Training counts the character n-grams of every labelled row: each task sums its own counts, Spark adds them up. All
+n-grams of all languages are kept, and continuation counts, discounts and back-off weights are sums over these tables.
+For scoring the rows are cut into blocks; the distinct n-grams of all blocks get their interpolated log-probabilities by
+joins, and each block of texts meets those of its own n-grams as an array of hashes in ascending order; a radix index
+over the leading bits of the hash replaces the binary search. Characters are lower-cased letters; every run of other
+characters counts as one boundary symbol.
 
 Cases: a null text and a text without a letter get ``und`` and score 0. Null labels and labels of rows outside the
 training split are not learned from. With no labelled row at all every text gets ``und``. Repeated rows and ids are
@@ -18,6 +19,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ from gridtide.llm.common import remainder, saved, table, without
 
 ORDER = 4
 PIECE = 1_000_000
+BLOCK = 16_000_000  # characters of the texts that are scored together
 SEP = "" * (ORDER - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -102,11 +105,7 @@ def count_task(batches):
         for lang, own in by_lang.items():
             for a, b in pieces(own):
                 y, start, end = symbols(own[a:b])
-                inside = np.zeros(len(y) + 1, np.int8)
-                np.add.at(inside, start, 1)
-                np.add.at(inside, end, -1)
-                grams = packed(y)[np.cumsum(inside[:-1])[ORDER - 1 :] > 0]
-                seen.setdefault(lang, []).append(counted(grams))
+                seen.setdefault(lang, []).append(counted(packed(y)[inside(y, start, end)]))
             if lang in seen and sum(len(g) for g, _ in seen[lang][1:]) > 1_000_000:
                 merged(lang)
     for lang in seen:
@@ -153,113 +152,170 @@ class Lookup:
         return out
 
 
+def mask(n: int) -> int:
+    """The bits of the last n symbols of an n-gram."""
+    return (1 << (16 * n)) - 1 if n < ORDER else -1
+
+
+def block_grams(batches):
+    """Distinct (block, gram) of rows (text, block); the rows of a block come one after another."""
+    block, seen = None, []
+
+    def told():
+        g = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.uint64)
+        for i in range(0, len(g), 100_000):
+            part = g[i : i + 100_000]
+            yield pa.record_batch([pa.array(np.full(len(part), block)), pa.array(part.view(np.int64))], names=["block", "gram"])
+
+    for batch in batches:
+        texts, blocks = [t or "" for t in batch.column(0).to_pylist()], batch.column(1).to_numpy()
+        for own in np.unique(blocks).tolist():  # ascending, as they come
+            if own != block:
+                yield from told()
+                block, seen = own, []
+            at = np.flatnonzero(blocks == own)
+            some = texts[at[0] : at[-1] + 1]
+            for a, b in pieces(some):
+                y, start, end = symbols(some[a:b])
+                seen.append(np.unique(packed(y)[inside(y, start, end)]))
+    yield from told()
+
+
+def inside(y: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each n-gram of y ends within a text."""
+    out = np.zeros(len(y) + 1, np.int8)
+    np.add.at(out, start, 1)
+    np.add.at(out, end, -1)
+    return np.cumsum(out[:-1])[ORDER - 1 :] > 0
+
+
+def entropies(texts: list[str], priced: Lookup, n_langs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nats a symbol by language, and the number of symbols that are letters; priced has all n-grams of the texts."""
+    entropy, size = np.zeros((len(texts), n_langs)), np.zeros(len(texts), np.int64)
+    for a, b in pieces(texts):
+        y, start, end = symbols(texts[a:b])
+        at, own = priced.find(packed(y)), inside(y, start, end)
+        if (at[own] < 0).any():
+            raise RuntimeError("the rows to score were not the same when they were read again")
+        sums = np.zeros((len(y) + 1, n_langs))
+        if own.any():
+            np.cumsum(np.where(own[:, None], priced.values[at], 0), axis=0, out=sums[ORDER:], dtype=np.float64)
+        alpha = np.concatenate(([0], np.cumsum(y != 0)))
+        size[a:b] = alpha[end] - alpha[start]
+        entropy[a:b] = -(sums[end] - sums[start]) / np.maximum(end - start, 1)[:, None]
+    return entropy, size
+
+
 class KneserNey:
-    """Interpolated Kneser-Ney models of several languages over one set of n-grams.
+    """Interpolated Kneser-Ney models of several languages, as tables of all n-grams.
 
-    ``grams`` are the ORDER-grams of all languages in ascending order, ``counts`` their counts by language. The counts
-    of lower orders are continuation counts: the number of distinct left neighbours.
+    ``level[n]`` has (at, gram, n): the index of the language, the n-gram, and its count; in lower orders the counts
+    are continuation counts, the number of distinct left neighbours. Only numbers by language and order are gathered.
     """
 
-    def __init__(self, langs: list[str], grams: np.ndarray, counts: np.ndarray):
-        self.langs, n_langs = langs, len(langs)
-        level: dict[int, tuple[np.ndarray, np.ndarray]] = {ORDER: (grams, counts.astype(np.float64))}
+    def __init__(self, langs: list[str], rows: DataFrame):
+        self.langs = langs
+        if not langs:
+            return
+        index = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1
+        self.level = {ORDER: rows.select(index.cast("int").alias("at"), "gram", "n")}
         for n in range(ORDER - 1, 0, -1):
-            g, c = level[n + 1]
-            suffix = g & np.uint64((1 << (16 * n)) - 1)
-            own, at = np.unique(suffix, return_inverse=True)
-            more = np.zeros((len(own), n_langs))
-            np.add.at(more, at, c > 0)
-            level[n] = (own, more)
-        own, c = level[1]
-        size = len(own) + 1
-        p = (c + 1.0) / (c.sum(0) + size)  # the unigrams: continuation counts with one added, for symbols never seen too
-        self.unseen = np.log(1.0 / (level[1][1].sum(0) + size)).astype(np.float32)
-        self.tables: dict[int, Lookup] = {1: Lookup(own, np.log(p))}
-        self.back: dict[int, Lookup] = {}
-        lower = (own, p)
+            suffix = F.col("gram").bitwiseAND(F.lit(mask(n)))
+            self.level[n] = saved(self.level[n + 1].groupBy("at", suffix.alias("gram")).agg(F.count("*").alias("n")))
+        self.total, self.discount = np.zeros(len(langs)), {n: np.zeros(len(langs)) for n in range(2, ORDER + 1)}
+        for n, own in self.level.items():
+            for r in own.groupBy("at").agg(F.sum("n").alias("total"), F.expr("count_if(n = 1)").alias("once"), F.expr("count_if(n = 2)").alias("twice")).collect():
+                if n == 1:
+                    self.total[r["at"]] = r["total"]
+                else:
+                    self.discount[n][r["at"]] = min(max(r["once"] / max(r["once"] + 2 * r["twice"], 1), 0.1), 0.95)
+        self.size = self.level[1].select("gram").distinct().count() + 1
+
+    def _by_lang(self, value):
+        return F.array(*(F.sum(F.when(F.col("at") == i, value).otherwise(0)) for i in range(len(self.langs))))
+
+    def priced(self, needed: DataFrame) -> DataFrame:
+        """(gram, log_p) of distinct ORDER-grams: natural log-probabilities of the last symbol, one for each language."""
+        numbers = lambda values: F.array(*(F.lit(float(v)) for v in values))
+        # the unigrams: continuation counts with one added, for symbols never seen too
+        own = needed.select(F.col("gram").bitwiseAND(F.lit(mask(1))).alias("gram")).distinct()
+        own = own.join(self.level[1].groupBy("gram").agg(self._by_lang(F.col("n")).alias("c")), "gram", "left").withColumn("size", numbers(self.total + self.size))
+        below = own.select(F.col("gram").alias("rest"), F.expr("transform(size, (s, i) -> (coalesce(c[i], 0) + 1) / s)").alias("below"))
         for n in range(2, ORDER + 1):
-            g, c = level[n]
-            once, twice = (c == 1).sum(0), (c == 2).sum(0)
-            discount = np.clip(once / np.maximum(once + 2 * twice, 1), 0.1, 0.95)
-            context, at = np.unique(g >> np.uint64(16), return_inverse=True)
-            total, kinds = np.zeros((len(context), n_langs)), np.zeros((len(context), n_langs))
-            np.add.at(total, at, c)
-            np.add.at(kinds, at, c > 0)
-            gamma = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-            below = lower[1][np.searchsorted(lower[0], g & np.uint64((1 << (16 * (n - 1))) - 1))]
-            p = np.maximum(c - discount, 0) / np.maximum(total[at], 1) + gamma[at] * below
-            self.tables[n] = Lookup(g, np.log(p))
-            self.back[n] = Lookup(context, np.log(gamma))
-            lower = (g, p)
-
-    def log_probs(self, grams: np.ndarray, n: int = ORDER) -> np.ndarray:
-        """Natural log-probability of the last symbol of each n-gram, a column for each language."""
-        at = self.tables[n].find(grams)
-        out = self.tables[n].values[at]
-        if len(miss := np.flatnonzero(at < 0)):
-            g = grams[miss]
-            if n == 1:
-                out[miss] = self.unseen
-            else:
-                rest = self.log_probs(g & np.uint64((1 << (16 * (n - 1))) - 1), n - 1)
-                known = self.back[n].find(g >> np.uint64(16))
-                rest[known >= 0] += self.back[n].values[known[known >= 0]]
-                out[miss] = rest
-        return out
+            before = F.shiftrightunsigned("gram", 16).alias("before")
+            own = needed.select(F.col("gram").bitwiseAND(F.lit(mask(n))).alias("gram")).distinct()
+            own = own.join(self.level[n].groupBy("gram").agg(self._by_lang(F.col("n")).alias("c")), "gram", "left")
+            own = own.select("gram", before, F.col("gram").bitwiseAND(F.lit(mask(n - 1))).alias("rest"), "c")
+            own = own.join(self.level[n].groupBy(before).agg(self._by_lang(F.col("n")).alias("total"), self._by_lang(F.lit(1)).alias("kinds")), "before", "left")
+            own = own.join(below, "rest").withColumn("discount", numbers(self.discount[n]))
+            p = "transform(discount, (d, i) -> greatest(coalesce(c[i], 0) - d, 0) / greatest(coalesce(total[i], 0), 1) + if(coalesce(total[i], 0) > 0, d * kinds[i] / total[i], 1) * below[i])"
+            below = saved(own.select(F.col("gram").alias("rest"), F.expr(p).alias("below")))
+        return below.select(F.col("rest").alias("gram"), F.expr("transform(below, p -> float(ln(p)))").alias("log_p"))
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Nats a symbol by language, and the number of symbols that are letters."""
-        entropy, size = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
-        for a, b in pieces(texts):
-            y, start, end = symbols(texts[a:b])
-            sums = np.zeros((len(y) + 1, len(self.langs)))
-            np.cumsum(self.log_probs(packed(y)), axis=0, out=sums[ORDER:], dtype=np.float64)
-            alpha = np.concatenate(([0], np.cumsum(y != 0)))
-            size[a:b] = alpha[end] - alpha[start]
-            entropy[a:b] = -(sums[end] - sums[start]) / np.maximum(end - start, 1)[:, None]
-        return entropy, size
-
-
-def fit(labelled: DataFrame, max_grams: int = 400_000) -> KneserNey:
-    """Models of all languages in labelled (text, lang), from the counts over all its rows.
-
-    ``max_grams`` bounds the n-grams kept of all languages together (the most frequent ones), whatever the corpus: the
-    model takes at most some 30 bytes for each of them.
-    """
+        """As :func:`entropies`, of a few texts in the driver."""
+        spark = self.level[ORDER].sparkSession
+        rows = spark.createDataFrame([(t, 0) for t in texts], "text string, block long")
+        return entropies(texts, prices(self.priced(rows.coalesce(1).mapInArrow(block_grams, "block long, gram long").select("gram")).toArrow(), len(self.langs)), len(self.langs))
+
+
+def prices(rows: pa.Table, n_langs: int) -> Lookup:
+    """Rows (gram, log_p) by gram."""
+    grams = rows.column("gram").to_numpy().astype(np.int64).view(np.uint64)
+    values = rows.column("log_p").combine_chunks()
+    return Lookup(grams, np.asarray(values.flatten()).reshape(len(grams), n_langs))
+
+
+def fit(labelled: DataFrame) -> KneserNey:
+    """Models of all languages in labelled (text, lang), from all n-grams of all its rows."""
     ship(labelled.sparkSession)
-    rows = gram_counts(labelled.where("text is not null and lang is not null"))
-    kept = rows.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toPandas()
-    langs = sorted(kept["lang"].unique())
-    grams, at = np.unique(kept["gram"].to_numpy().astype(np.int64).view(np.uint64), return_inverse=True)
-    counts = np.zeros((len(grams), len(langs)))
-    counts[at, kept["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy(dtype=np.int64)] = kept["n"].to_numpy()
-    return KneserNey(langs, grams, counts)
+    rows = saved(gram_counts(labelled.where("text is not null and lang is not null")))
+    return KneserNey(sorted(r["lang"] for r in rows.select("lang").distinct().collect()), rows)
+
+
+def blocked(docs: DataFrame) -> DataFrame:
+    """docs, the last column a text, with ``_block``: runs of rows of one partition with about BLOCK characters."""
+
+    def task(batches):
+        size = 0
+        for batch in batches:
+            lens = pc.fill_null(pc.utf8_length(batch.column(batch.num_columns - 2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            before = size + np.cumsum(lens + 3) - lens - 3
+            size += int((lens + 3).sum())
+            part = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array((part << 32) + before // BLOCK)], names=batch.schema.names)
+
+    rows = docs.withColumn("_block", F.spark_partition_id().cast("long"))
+    return rows.mapInArrow(task, rows.schema)
 
 
 def score(docs: DataFrame, model: KneserNey, text: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """columns, lang_pred, score, entropy and n_letters of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_grams rows
+    """columns, lang_pred, score, entropy and n_letters of each row.
+
+    The rows are cut into blocks. The distinct n-grams of each block are joined with their log-probabilities, and each
+    block of texts then meets those of its own n-grams. docs is read twice and has to give the same rows in the same
+    partitions, as tables do; else the run fails.
+    """
     schema = docs.select(*columns).schema
     for name, kind in (("lang_pred", "string"), ("score", "double"), ("entropy", "double"), ("n_letters", "long")):
         schema = schema.add(name, kind)
-
-    def task(batches):
-        m = shared.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            pred, conf, ent = np.full(len(texts), None, object), np.zeros(len(texts)), np.full(len(texts), np.nan)
-            if m.langs:
-                entropy, size = m.entropies(texts)
-                best = entropy.argmin(1)
-                gaps = (entropy - entropy.min(1)[:, None]) * np.minimum(size, 200)[:, None]
-                known = size > 0
-                pred[:] = np.where(known, np.array(m.langs, object)[best], "und")
-                conf, ent = np.where(known, 1.0 / np.exp(-gaps).sum(1), 0.0), np.where(known, entropy.min(1), np.nan)
-            else:
-                pred[:], size = "und", np.zeros(len(texts), np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(conf), pa.array(ent, from_pandas=True), pa.array(size)], names=schema.names)
-
-    return docs.select(*columns, F.col(text).alias("_whole_text")).mapInArrow(task, schema)
+    if not model.langs:
+        return docs.select(*columns, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(0).cast("long").alias("n_letters"))
+    langs, names = model.langs, schema.names
+    rows = blocked(docs.select(*columns, F.col(text).alias("_whole_text")))
+    grams = saved(rows.select("_whole_text", "_block").mapInArrow(block_grams, "block long, gram long"))
+    own = grams.join(model.priced(saved(grams.select("gram").distinct())), "gram").select(F.col("block").alias("_block"), "gram", "log_p")
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = [t or "" for t in left.column("_whole_text").to_pylist()]
+        entropy, size = entropies(texts, prices(right, len(langs)), len(langs))
+        gaps = (entropy - entropy.min(1)[:, None]) * np.minimum(size, 200)[:, None]
+        known = size > 0
+        pred = np.where(known, np.array(langs, object)[entropy.argmin(1)], "und")
+        conf, ent = np.where(known, 1.0 / np.exp(-gaps).sum(1), 0.0), np.where(known, entropy.min(1), np.nan)
+        return pa.Table.from_arrays([*left.columns[:-2], pa.array(pred, pa.string()), pa.array(conf), pa.array(ent, from_pandas=True), pa.array(size)], names=names)
+
+    return rows.groupBy("_block").cogroup(own.groupBy("_block")).applyInArrow(task, schema)
 
 
 def calibrated(scored: DataFrame, spread: float = 4.0) -> DataFrame:

@@ -107,6 +107,20 @@ def test_language_cases(spark):
     assert language_id.stage(spark, df, SF).columns == df.columns
 
 
+def test_a_small_language_beside_a_hot_one_keeps_its_n_grams(spark):
+    rng = np.random.default_rng(3)
+    alphabet = np.array(list("abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîï"))
+    hot = ["".join(rng.choice(alphabet, 50_000)) for _ in range(12)]
+    small = "один раз он видел белую лису"
+    rows = [(t, "hot") for t in hot * 2] + [(small, "small")]  # each n-gram of the hot one twice, of the small one once
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    n_hot = len({t[i : i + 4] for t in ("\0\0\0" + t for t in hot) for i in range(len(t) - 3)})
+    assert n_hot > 400_000 and model.langs == ["hot", "small"]
+    assert model.level[4].where("at = 0").count() == n_hot and model.level[4].where("at = 1").count() == len(small)
+    docs = spark.createDataFrame([(1, "он видел лису"), (2, hot[0][:50])], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.score(docs, model).collect()} == {1: "small", 2: "hot"}
+
+
 # --- SimHash
 
 
