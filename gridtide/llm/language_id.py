@@ -318,22 +318,25 @@ def score(docs: DataFrame, model: KneserNey, text: str = "text", columns: tuple[
     return rows.groupBy("_block").cogroup(own.groupBy("_block")).applyInArrow(task, schema)
 
 
-def calibrated(scored: DataFrame, spread: float = 4.0) -> DataFrame:
+def calibrated(scored: DataFrame, known, spread: float = 4.0, least: int = 20) -> DataFrame:
     """scored with ``rejected``: no letter, or an entropy that no text of its language comes near.
 
     The limit of each language is its median plus ``spread`` times the way from the median to the 99th percentile,
-    over all rows that were given that language; there is one row of limits for each language.
+    over the rows for which the condition ``known`` holds: those labelled with the language that they were given and
+    held out of the fit. The other rows that are judged have no part in it. A language with fewer than ``least`` such
+    rows has no limit, and none of its rows is rejected; there is one row of limits for each language.
     """
-    limits = scored.where("lang_pred <> 'und'").groupBy("lang_pred").agg(F.expr("percentile_approx(entropy, array(0.5, 0.99), 1000)").alias("q"))
-    limits = limits.select("lang_pred", (F.col("q")[0] + spread * (F.col("q")[1] - F.col("q")[0])).alias("most"))
+    limits = scored.where((F.col("lang_pred") != "und") & known).groupBy("lang_pred").agg(F.expr("percentile_approx(entropy, array(0.5, 0.99), 1000)").alias("q"), F.count("*").alias("rows"))
+    limits = limits.where(F.col("rows") >= least).select("lang_pred", (F.col("q")[0] + spread * (F.col("q")[1] - F.col("q")[0])).alias("most"))
     return scored.join(F.broadcast(limits), "lang_pred", "left").withColumn("rejected", (F.col("lang_pred") == "und") | F.coalesce(F.col("entropy") > F.col("most"), F.lit(False)))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those in no language of the models, which learn from the labels of the same docs."""
-    model = fit(docs.where(remainder(F.col("doc_id"), 5) != 0))
-    scored = saved(score(docs, model))
-    return without(docs, calibrated(scored).where("rejected"), "doc_id")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = fit(docs.where(~held_out))
+    scored = saved(score(docs, model, columns=("doc_id", "lang")))
+    return without(docs, calibrated(scored, held_out & (F.col("lang") == F.col("lang_pred"))).where("rejected"), "doc_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -121,6 +121,19 @@ def test_a_small_language_beside_a_hot_one_keeps_its_n_grams(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in language_id.score(docs, model).collect()} == {1: "small", 2: "hot"}
 
 
+def test_foreign_texts_do_not_widen_the_limit(spark):
+    rng = np.random.default_rng(4)
+    words = ["the", "house", "was", "near", "river", "and", "people", "walked", "over", "bridge", "every", "morning", "with", "their", "children"]
+    foreign = ["zvxqk", "qwzrtp", "kjxvb", "wqzzk", "pfxgh", "vvkqj", "xzcwq", "jqkxz"]
+    rows = [(i, " ".join(rng.choice(words, 40)), "en") for i in range(600)]
+    rows += [(1000 + i, " ".join(rng.choice(foreign, 40)), None) for i in range(60)]  # 9 % of all rows
+    rows += [(2000 + i, " ".join(rng.choice(words, 40)), None) for i in range(60)]
+    docs = spark.createDataFrame([(*r, "s", len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"] for r in language_id.stage(spark, docs, SF).select("doc_id").collect()}
+    assert not [i for i in left if 1000 <= i < 2000]
+    assert len([i for i in left if i < 1000]) >= 590 and len([i for i in left if i >= 2000]) >= 58
+
+
 # --- SimHash
 
 
