@@ -67,7 +67,7 @@ def found(rows: DataFrame) -> DataFrame:
         m, p = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.split("text", pattern, -1)
         cut = F.transform(
             F.arrays_zip(m.alias("m"), p.alias("p"), F.slice(p, 2, 1 << 30).alias("q")),
-            lambda x: F.struct(x["m"].alias("m"), F.length(x["p"]).alias("skip"), F.substring(x["p"], -NEAR, NEAR).alias("before"), F.substring(x["q"], 1, NEAR).alias("after")),
+            lambda x: F.struct(x["m"].alias("m"), F.length(x["p"]).alias("skip"), F.substring(x["p"], -NEAR - 1, NEAR + 1).alias("before"), F.substring(x["q"], 1, NEAR + 1).alias("after")),
         )
         part = rows.where(may.format(t="text")).select("key", "doc_id", F.lit(kind).alias("kind"), F.posexplode(cut).alias("i", "x")).select("key", "doc_id", "kind", "i", "x.*")
         out = part if out is None else out.unionByName(part)
@@ -79,14 +79,19 @@ def found(rows: DataFrame) -> DataFrame:
 
 
 def _words(text):
-    """Words of three letters and more, lower-cased; runs of letters, non-ASCII characters counting as such."""
-    return F.filter(F.split(ascii_lower(text), LETTERS + "+"), lambda w: F.length(w) >= 3)
+    """Words, lower-cased; runs of letters, non-ASCII characters counting as such."""
+    return F.filter(F.split(ascii_lower(text), LETTERS + "+"), lambda w: F.length(w) >= 1)
+
+
+def _whole(piece: str, outer: str):
+    """piece of a text beside a span; where it is longer than NEAR it was cut, and the outer word goes."""
+    return F.when(F.length(piece) > NEAR, F.regexp_replace(piece, outer, "")).otherwise(F.col(piece))
 
 
 def disclosing(base: DataFrame, rows: DataFrame, support: int = 2, certain: float = 0.5, bits: float = 4.0) -> DataFrame:
     """(term, bits): terms that give an entity of base away, their co-occurrence counted over all rows."""
-    left = F.slice(F.reverse(_words(F.regexp_replace("before", r"^[A-Za-z\x{80}-\x{10FFFF}]+", ""))), 1, AROUND)
-    right = F.slice(_words(F.regexp_replace("after", r"[A-Za-z\x{80}-\x{10FFFF}]+$", "")), 1, AROUND)
+    left = F.slice(F.reverse(_words(_whole("before", r"^[A-Za-z\x{80}-\x{10FFFF}]+"))), 1, AROUND)
+    right = F.slice(_words(_whole("after", r"[A-Za-z\x{80}-\x{10FFFF}]+$")), 1, AROUND)
     near = base.select("key", F.xxhash64("kind", F.lower("value")).alias("entity"), left.alias("l"), right.alias("r"))
     near = near.select("key", "entity", F.xxhash64("l", "r").alias("context"), F.explode(F.array_distinct(F.concat("l", "r"))).alias("term"))
     contexts = near.groupBy("entity", "term", "context").agg(F.count_distinct("key").alias("docs"))

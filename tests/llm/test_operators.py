@@ -292,6 +292,17 @@ def test_pii_terms_that_give_a_person_away(spark):
     assert not [r for r in pii.spans(df.where("doc_id < 1").unionAll(df.where("doc_id < 1"))).collect() if r["kind"] == "term"]  # copies are one context
 
 
+def test_pii_terms_at_the_ends_of_texts_and_of_two_letters(spark):
+    fill = [f"{a}ix {b}ul common" for a in "bcdfg" for b in "hjklm"]
+    rows = ["Kowalski k@x.org wrote", "reach k@x.org Kowalski", "Li l@y.org spoke", "ask l@y.org Li", "Kowalski met Li"] + [f"some other words {w}" for w in fill * 3]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {(r["doc_id"], r["start"], r["end"]) for r in pii.spans(df).collect() if r["kind"] == "term"}
+    assert got == {(0, 0, 8), (1, 14, 22), (2, 0, 2), (3, 12, 14), (4, 0, 8), (4, 13, 15)}
+    cut = "outer " + "b" * 8 + " c" * 54 + " k@x.org"  # the NEAR characters begin within the first word
+    near = pii.found(spark.createDataFrame([(1, 1, cut)], "key long, doc_id long, text string")).select(pii._words(pii._whole("before", r"^[a-z]+")).alias("w"))
+    assert near.first()["w"] == ["b" * 8] + ["c"] * 54
+
+
 def test_pii_cases(spark):
     df = odd(spark)
     assert pii.stage(spark, df, SF).columns == df.columns and pii.stage(spark, df, SF).count() == 11
