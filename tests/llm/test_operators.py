@@ -361,12 +361,51 @@ def test_search_is_exact(spark, docs):
     df = collections.Counter(w for c in texts.values() for w in c)
     asked = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
     got = collections.defaultdict(list)
-    for r in search.top_k(search.index(docs, 3000), search.parsed_queries(asked), 5, block_terms=500, group=3).orderBy("query_id", "rank").collect():
+    for r in search.top_k(search.index(docs, 20_000), search.parsed_queries(asked), 5, block_terms=1500).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["doc_id"], r["score"]))
     for q in (i for i in texts if i % 20 == 0):
         scores = {i: sum(k * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w, k in texts[q].items() if w in c) for i, c in texts.items()}
-        want = sorted(((i, s) for i, s in scores.items() if s > 0), key=lambda x: (-round(x[1], 9), x[0]))[:5]
-        assert [i for i, _ in got[q]] == [i for i, _ in want] and all(a[1] == pytest.approx(b[1], abs=2e-6) for a, b in zip(got[q], want, strict=True))
+        want = sorted(((i, s) for i, s in scores.items() if s > 0), key=lambda x: (-round(x[1], 6), x[0]))[:5]
+        assert [i for i, _ in got[q]] == [i for i, _ in want] and all(a[1] == pytest.approx(b[1], rel=1e-6) for a, b in zip(got[q], want, strict=True))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_search_ties_go_to_the_smaller_id(spark, seed):
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words, 30)) for _ in range(150)]
+    asked = " ".join(rng.choice(words, 40))
+    rows = [(int(i), texts[i % 150]) for i in range(300)] + [(1000 + i, asked) for i in range(12)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    out = search.top_k(search.index(df, 700), search.parsed_queries(spark.createDataFrame([(1, asked), (2, texts[3])], "query_id long, text string")), 14)
+    got = {q: [(r["doc_id"], r["score"]) for r in out.where(f"query_id = {q}").orderBy("rank").collect()] for q in (1, 2)}
+    assert [i for i, _ in got[1]][:12] == [1000 + i for i in range(12)] and [i for i, _ in got[2]][:2] == [3, 153]
+    assert all(own == sorted(own, key=lambda x: (-x[1], x[0])) and len(own) == 14 for own in got.values())
+
+
+def test_search_passes_over_what_cannot_win():
+    rng = np.random.default_rng(5)
+    common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(3000)]
+    texts = [" ".join([*rng.choice(common, 40), *rng.choice(rare, 8)]).encode() for _ in range(500)]
+    parts = search.segment_of(list(range(500)), texts, 48.0)
+    term, _, _ = search.pairs(*search.tokens([texts[7]]))
+    segment = search.Segment(parts, term)
+    weight = np.where(segment.row_of[segment.list_of] >= 0, 0.3, 6.0)
+
+    def found(least):
+        read = []
+        segment.added = lambda lists, w: (read.append(len(lists)), search.Segment.added(segment, lists, w))[1]
+        queries = {"query": np.array([1]), "begin": np.array([0, len(term)]), "weight": weight, "least": np.array([least])}
+        return *search.best(segment, queries, 5)[0], read
+
+    ids, scores, read = found(0.0)
+    assert len(ids) == 5 and read == [sum(segment.row_of[segment.list_of] < 0)]
+    again = found(float(scores[-1]))
+    assert [*again[0]] == [*ids] and [*again[1]] == [*scores]
+    top = found(float(scores[0]))  # the long lists can't reach it: the pivot is among the short ones
+    assert [*top[0]] == [7] and top[2][0] < read[0]
+    assert found(float(scores[0]) * 1000)[2] == []  # the bounds alone rule the segment out
 
 
 def test_search_cases(spark):
