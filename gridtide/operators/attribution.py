@@ -35,9 +35,9 @@ def cumulative(df: DataFrame, keys: list[str], order: str, value: str = "impact"
 
 def before_and_after(df: DataFrame, keys: list[str], order: str, pre: str, post: str) -> DataFrame:
     """Running sum of pre up to each step plus the sum of post over the steps after it."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    ahead = F.sum(post).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return df.withColumn("cum", F.sum(pre).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(ahead, F.lit(0.0)))
+    up, down = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys).orderBy(F.desc(order))
+    ahead = F.sum(post).over(down.rowsBetween(Window.unboundedPreceding, -1))  # both frames only ever grow
+    return df.withColumn("cum", F.sum(pre).over(up.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(ahead, F.lit(0.0)))
 
 
 def blended(pre: Column, post: Column, forced: Column, init: Column) -> Column:
@@ -66,12 +66,16 @@ def difference(a: DataFrame, b: DataFrame, on: list[str], value: str = "x") -> D
 
 
 def by_lead(impact: DataFrame, leads: DataFrame, keys: list[str], lag: str = "lag") -> DataFrame:
-    """For each lead the sum over lags of at least that lead, and the smallest lag in it. leads: a few dozen rows."""
+    """For each lead the sum over lags of at least that lead, and the smallest lag in it.
+
+    leads (lead) has as many rows as there are leads, which are no more than lags.
+    """
     rows = impact.groupBy(*keys, lag).agg(F.sum("impact").alias("impact"))
     w = Window.partitionBy(*keys).orderBy(F.desc(lag)).rowsBetween(Window.unboundedPreceding, 0)
     sums = rows.withColumn("cum", F.sum("impact").over(w)).withColumnRenamed(lag, "_at")
     first = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(lag)).alias("_lags"))  # at most as many as there are lags
-    picks = first.withColumn("lead", F.explode(F.array(*[F.lit(int(r[0])).cast("long") for r in leads.collect()])))
+    asked = leads.agg(F.collect_set(F.col("lead").cast("long")).alias("_leads"))  # one row
+    picks = first.crossJoin(F.broadcast(asked)).withColumn("lead", F.explode("_leads")).drop("_leads")
     picks = picks.withColumn("_at", F.get(F.filter("_lags", lambda x: x >= F.col("lead")), F.lit(0))).where(F.col("_at").isNotNull())
     return picks.join(sums, [*keys, "_at"]).select(*keys, "lead", F.col("_at").alias("first_lag"), F.col("cum").alias("predicted"))
 

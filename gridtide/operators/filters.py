@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridtide.functions.shipping import ship
 from gridtide.functions.special import band_kernel, erfinv
+from gridtide.operators.timejoin import neighbours
 
 
 def kernel_frame(spark, n: int, **band) -> DataFrame:
@@ -95,16 +96,16 @@ def valid_span(df: DataFrame, keys: list[str], idx: str, value: str = "x") -> Da
     return df.groupBy(*keys).agg(F.min(ok).alias("first"), F.max(ok).alias("last"), F.count(value).alias("n"))
 
 
-def gaps_filled(df: DataFrame, keys: list[str], idx: str, value: str = "x") -> DataFrame:
-    """Linear interpolation between the nearest values on either side; nothing beyond the first and last."""
-    w = Window.partitionBy(*keys).orderBy(idx)
-    pair = F.when(F.col(value).isNotNull(), F.struct(F.col(idx).alias("i"), F.col(value).alias("v")))
-    before = F.last(pair, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(pair, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    rows = df.withColumns({"_b": before, "_a": after})
-    share = F.try_divide(F.col(idx) - F.col("_b.i"), F.col("_a.i") - F.col("_b.i"))
-    filled = F.col("_b.v") + share * (F.col("_a.v") - F.col("_b.v"))
-    return rows.withColumn("filled", F.coalesce(F.col(value), filled)).drop("_b", "_a")
+def gaps_filled(df: DataFrame, keys: list[str], idx: str, value: str = "x", clamped: bool = False, width: float | None = None) -> DataFrame:
+    """Linear interpolation between the nearest values on either side; beyond the first and last nothing, or with
+    ``clamped`` their values. ``width`` deals the rows of a hot key to ranges of idx."""
+    rows = neighbours(df, keys, idx, F.col(value).isNotNull(), [value], width)
+    before, after = F.col(f"_before.{value}"), F.col(f"_after.{value}")
+    share = F.try_divide(F.col(idx) - F.col("_before.t"), F.col("_after.t") - F.col("_before.t"))
+    filled = before + share * (after - before)
+    if clamped:
+        filled = F.coalesce(filled, before, after)
+    return rows.withColumn("filled", F.coalesce(F.col(value), filled)).drop("_before", "_after")
 
 
 def lag_correlation(df: DataFrame, keys: list[str], idx: str, a: str, b: str, lags: list[int]) -> DataFrame:
@@ -133,11 +134,12 @@ def with_bounds(corr: DataFrame, scale_a: DataFrame, scale_b: DataFrame, keys: l
     return rows.drop("_sa", "_sb").withColumn("significant", F.coalesce((F.signum("r") * F.when(F.col("r") >= 0, F.col("low")).otherwise(F.col("high"))) > 0, F.lit(False)))
 
 
-def interpolated(points: DataFrame, targets: DataFrame, keys: list[str], at: str, value: str = "x") -> DataFrame:
-    """Linear interpolation of points at the targets; NULL before the first and after the last point."""
+def interpolated(points: DataFrame, targets: DataFrame, keys: list[str], at: str, value: str = "x", clamped: bool = False, width: float | None = None) -> DataFrame:
+    """Linear interpolation of points at the targets; NULL before the first and after the last point, or with
+    ``clamped`` their values. ``width`` deals the points of a hot key to ranges of time."""
     marks = points.select(*keys, at, value, F.lit(0).alias("_t")).unionByName(targets.select(*keys, at, F.lit(None).cast("double").alias(value), F.lit(1).alias("_t")))
     rows = marks.groupBy(*keys, at).agg(F.avg(value).alias(value), F.max("_t").alias("_t"))
-    return gaps_filled(rows, keys, at, value).where("_t = 1").select(*keys, at, F.col("filled").alias(value))
+    return gaps_filled(rows, keys, at, value, clamped, width).where("_t = 1").select(*keys, at, F.col("filled").alias(value))
 
 
 def without_edges(band: DataFrame, keys: list[str], idx: str, first: int, last: int, most: int = 10, value: str = "band") -> DataFrame:

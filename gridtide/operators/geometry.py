@@ -19,24 +19,37 @@ def planar_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> C
     return F.sqrt(F.pow(F.cos(F.radians(lat1)) * d, 2) + F.pow(lat2 - lat1, 2))
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, point: str, cell: str, reach: float = 10.0) -> DataFrame:
-    """(point, cell, distance) of the nearest cell within reach degrees of latitude and distance; smaller cell on ties.
+def nearest_cell(points: DataFrame, cells: DataFrame, point: str, cell: str, reach: float = 5.0) -> DataFrame:
+    """(point, cell, distance) of the nearest cell, however far; the smaller cell on ties.
 
-    points (point, lon, lat) meet only the cells (cell, lon, lat) of their own and the next bands of latitude.
+    Points (point, lon, lat) meet only the cells (cell, lon, lat) of the squares of ``reach`` degrees that a cell within
+    that distance can be in. Those left without one look four times as far, and at last, if any are left, everywhere.
     """
-    band = lambda c: F.floor(F.col(c) / F.lit(reach))
-    p = points.select(point, F.col("lon").alias("plon"), F.col("lat").alias("plat"))
-    p = p.withColumn("_b", F.explode(F.array(band("plat") - 1, band("plat"), band("plat") + 1)))
-    c = cells.select(cell, F.col("lon").alias("clon"), F.col("lat").alias("clat")).withColumn("_b", band("clat"))
-    both = p.join(c, "_b").withColumn("d", planar_distance(F.col("plon"), F.col("plat"), F.col("clon"), F.col("clat"))).where(F.col("d") <= reach)
-    return both.groupBy(point).agg(F.min(F.struct("d", F.col(cell).alias(cell))).alias("m")).select(point, f"m.{cell}", F.col("m.d").alias("distance"))
+    left, out = points.select(point, F.col("lon").alias("plon"), F.col("lat").alias("plat")), None
+    radii = [reach, 4 * reach, 16 * reach, 360.0]
+    for r in radii:
+        n = max(1, int(360 // r))  # squares round a parallel
+        band, side = lambda lat, r=r: F.floor(lat / F.lit(r)), lambda lon, n=n: F.floor(lon * F.lit(n / 360.0)).cast("long")
+        wide = F.least(F.lit(180.0), F.lit(r) / F.cos(F.radians("plat")))
+        p = left.withColumn("_b", F.explode(F.sequence(band(F.col("plat") - r), band(F.col("plat") + r))))
+        round_ = F.lit(n).cast("long")
+        turns = F.transform(F.sequence(side(F.col("plon") - wide), side(F.col("plon") + wide)), lambda k: F.pmod(k, round_))  # noqa: B023
+        p = p.withColumn("_l", F.explode(F.array_distinct(turns)))
+        c = cells.select(F.col(cell).alias(cell), F.col("lon").alias("clon"), F.col("lat").alias("clat"), band(F.col("lat")).alias("_b"), F.pmod(side(F.col("lon")), round_).alias("_l"))
+        both = p.join(c, ["_b", "_l"]).withColumn("d", planar_distance(F.col("plon"), F.col("plat"), F.col("clon"), F.col("clat")))
+        near = both if r == radii[-1] else both.where(F.col("d") <= r)
+        near = near.groupBy(point).agg(F.min(F.struct("d", F.col(cell).alias(cell))).alias("m")).select(point, f"m.{cell}", F.col("m.d").alias("distance"))
+        out = near if out is None else out.unionByName(near)
+        left = left.join(near.select(point), point, "left_anti")
+    return out
 
 
 def nested_cells(grid: DataFrame, schemes: DataFrame) -> DataFrame:
     """grid (tile, j, i) with its cell: blocks of n_merge by n_merge of the first scheme that covers it.
 
-    schemes (priority, n_merge, tile, j_lo, j_hi, i_lo, i_hi) is a table of a few rows a tile; cells are numbered in
-    order of priority, tile and block, ord counts the members of a cell. Uncovered points are left out.
+    schemes (priority, n_merge, tile, j_lo, j_hi, i_lo, i_hi) has a few rows a tile; cells are numbered in order of
+    priority, tile and block, ord counts the members of a cell. Uncovered points are left out. Running numbers are
+    kept by priority and by tile, so no window holds more than the tiles of one priority.
     """
     s = F.broadcast(schemes) if schemes.limit(10_001).count() <= 10_000 else schemes
     hit = grid.join(s, "tile").where("j >= j_lo and j < j_hi and i >= i_lo and i < i_hi")
@@ -44,7 +57,9 @@ def nested_cells(grid: DataFrame, schemes: DataFrame) -> DataFrame:
     hit = hit.withColumns({"bj": F.expr("cast(floor((j - j_lo) / n_merge) as int)"), "bi": F.expr("cast(floor((i - i_lo) / n_merge) as int)")})
     blocks = hit.groupBy("priority", "tile", "bj", "bi").agg(F.count("*").alias("size"))
     before = blocks.groupBy("priority", "tile").agg(F.count("*").alias("n"))
-    before = before.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("priority", "tile").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a scheme and tile
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = before.groupBy("priority").agg(F.sum("n").alias("n")).select("priority", earlier(Window.orderBy("priority")).alias("_p"))  # a row a priority
+    before = before.join(F.broadcast(ranks), "priority").withColumn("base", F.col("_p") + earlier(Window.partitionBy("priority").orderBy("tile"))).drop("_p")
     at = F.row_number().over(Window.partitionBy("priority", "tile").orderBy("bj", "bi"))
     blocks = blocks.join(before, ["priority", "tile"]).withColumn("cell", (F.col("base") + at - 1).cast("long"))
     order = F.row_number().over(Window.partitionBy("cell").orderBy("j", "i")) - 1

@@ -44,10 +44,10 @@ def altimetry(field: DataFrame, weight: DataFrame, least: float = 0.9) -> DataFr
 
 
 @kind
-def at_point(field: DataFrame, cells: DataFrame, lon: float, lat: float, reach: float = 10.0) -> DataFrame:
+def at_point(field: DataFrame, cells: DataFrame, lon: float, lat: float) -> DataFrame:
     """The cell (cell, lon, lat) nearest to a point, of a field (cell, m, x)."""
     point = field.sparkSession.createDataFrame([(0, lon, lat)], "point int, lon double, lat double")
-    own = nearest_cell(point, cells, "point", "cell", reach).select("cell")
+    own = nearest_cell(point, cells, "point", "cell").select("cell")
     return field.join(F.broadcast(own), "cell", "left_semi").select(F.lit("point").alias("series"), "m", "x")  # one cell
 
 

@@ -13,7 +13,7 @@ from gridtide.plans.base import arrays, forcing, forecast, query, r6, rnd, regio
 def impacts(spark, d):
     """(cell, forc, m, lag, impact)."""
     anomalies = S.anomaly(forcing(spark, d), ["cell", "forc", F.col("m") % 12])
-    return A.convolved(anomalies, F.broadcast(sensitivity(spark, d)), ["cell"])  # 6 rows a nation
+    return A.convolved(anomalies, sensitivity(spark, d), ["cell"])
 
 
 @query("conv_impact", "SELECT forc, region, lag, m, round(sum(impact), 6) AS impact FROM imp JOIN reg USING (cell) GROUP BY 1, 2, 3, 4")
@@ -135,11 +135,11 @@ def override_coalesce(spark, d):
     return out.select("cell", "m", r6("x"))
 
 
-@query("flux_derive", "SELECT l_orderkey, l_linenumber, round(-l_quantity - l_discount, 6) AS emp, round(-l_quantity - l_discount - coalesce(nullif(l_tax, 0), 0), 6) AS empmr, round(-(l_quantity + l_extendedprice + l_discount + l_tax), 4) AS qnet, round(-(l_discount + l_tax) * 0.1, 6) AS tauu FROM lineitem WHERE l_orderkey < 500")
+@query("flux_derive", "SELECT l_orderkey, l_linenumber, round(-l_quantity - l_discount, 6) AS emp, round(-l_quantity - l_discount - coalesce(nullif(l_tax, 0), 0), 6) AS empmr, round(-(l_quantity + l_extendedprice + l_discount + l_tax), 4) AS qnet, round(-(l_discount + l_tax) * 0.1, 6) AS tauu FROM lineitem")
 def flux_derive(spark, d):
     c = F.col
     runoff = F.coalesce(F.when(c("l_tax") != 0, c("l_tax")), F.lit(0.0))
-    rows = table(spark, d, "lineitem").where("l_orderkey < 500")
+    rows = table(spark, d, "lineitem")
     emp = -c("l_quantity") - c("l_discount")
     return rows.select("l_orderkey", "l_linenumber", rnd(emp, 6).alias("emp"), rnd(emp - runoff, 6).alias("empmr"), rnd(-(c("l_quantity") + c("l_extendedprice") + c("l_discount") + c("l_tax")), 4).alias("qnet"), rnd(-(c("l_discount") + c("l_tax")) * 0.1, 6).alias("tauu"))
 
@@ -147,4 +147,4 @@ def flux_derive(spark, d):
 @query("forecast_impact", "WITH a AS (SELECT *, x - avg(x) OVER (PARTITION BY cell, pred % 12, pred - init) AS anom FROM fc) SELECT cell, pred + lag AS m, init, lag, round(w * anom, 6) AS impact FROM a JOIN sens USING (cell)")
 def forecast_impact(spark, d):
     rows = S.anomaly(forecast(spark, d), ["cell", F.col("pred") % 12, F.col("pred") - F.col("init")]).withColumnRenamed("pred", "m")
-    return A.convolved(rows, F.broadcast(sensitivity(spark, d)), ["cell"]).select("cell", "m", "init", "lag", r6("impact"))
+    return A.convolved(rows, sensitivity(spark, d), ["cell"]).select("cell", "m", "init", "lag", r6("impact"))

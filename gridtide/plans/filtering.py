@@ -97,7 +97,7 @@ def gap_interp(spark, d):
 def linear_interp(spark, d):
     e = events(spark, d)
     targets = e.select("type").distinct().withColumn("s", F.explode(F.sequence(F.lit(1704110400).cast("long"), F.lit(1706745600).cast("long"), F.lit(86400).cast("long"))))
-    return X.interpolated(e.select("type", "s", F.col("value").alias("x")), targets, ["type"], "s").select("type", "s", r6("x", 5))
+    return X.interpolated(e.select("type", "s", F.col("value").alias("x")), targets, ["type"], "s", width=4 * 86400.0).select("type", "s", r6("x", 5))
 
 
 @query("splice_offset", "WITH e AS (SELECT m, x FROM d2 WHERE series = '1-URGENT'), l AS (SELECT m, x FROM d2 WHERE series = '2-HIGH'), o AS (SELECT (SELECT avg(x) FROM l WHERE m >= 23988 AND m < 24000) - (SELECT avg(x) FROM e WHERE m >= 23988 AND m < 24000) AS off) SELECT m, round(x + off, 6) AS x FROM e, o WHERE m < 23988 UNION ALL SELECT m, round(x, 6) FROM l WHERE m >= 23988")
@@ -148,7 +148,7 @@ def integral_scale(spark, d):
 def _bounds_sql() -> str:
     half = erfinv(0.95) * math.sqrt(2)
     return (
-        f"WITH {_SCALE.format(t='ar', v='x')}, c AS (SELECT a.vec_id, l.lag, corr(a.x, b.x) AS r0, count(*) AS n FROM ar a, (VALUES (0), (1), (2)) l(lag), ar b WHERE b.vec_id = a.vec_id + 1 AND a.vec_id % 2 = 0 AND b.p = a.p + l.lag GROUP BY 1, 2), "
+        f"WITH {_SCALE.format(t='ar', v='x')}, c AS (SELECT a.vec_id, l.lag, corr(a.x, b.x) AS r0, count(*) AS n FROM ar a, (VALUES (0), (1), (2)) l(lag), ar b WHERE b.vec_id = a.vec_id + 1 AND b.p = a.p + l.lag GROUP BY 1, 2), "
         "j AS (SELECT c.*, n / greatest(s1.scale, s2.scale) AS dof FROM c JOIN sc s1 ON s1.vec_id = c.vec_id JOIN sc s2 ON s2.vec_id = c.vec_id + 1), "
         f"z AS (SELECT *, tanh(atanh(r0) - CASE WHEN dof > 3 THEN {half:.17e} / sqrt(dof - 3) END) AS lo, tanh(atanh(r0) + CASE WHEN dof > 3 THEN {half:.17e} / sqrt(dof - 3) END) AS hi FROM j) "
     )
@@ -156,7 +156,7 @@ def _bounds_sql() -> str:
 
 def _bounds(spark, d):
     a = arrays(spark, d)
-    pairs = a.where("vec_id % 2 = 0").select("vec_id", "p", F.col("x").alias("a")).join(a.select((F.col("vec_id") - 1).alias("vec_id"), "p", F.col("x").alias("b")), ["vec_id", "p"])
+    pairs = a.select("vec_id", "p", F.col("x").alias("a")).join(a.select((F.col("vec_id") - 1).alias("vec_id"), "p", F.col("x").alias("b")), ["vec_id", "p"])
     corr = X.lag_correlation(pairs, ["vec_id"], "p", "a", "b", [0, 1, 2])
     scale = X.integral_scale(a, ["vec_id"], "p", "x", 10)
     return X.with_bounds(corr, scale, scale.withColumn("vec_id", F.col("vec_id") - 1), ["vec_id"])
@@ -175,7 +175,8 @@ def corr_significant(spark, d):
 @query("corr_varexp_pair", f"WITH {_TWO}, v AS (SELECT * FROM w WHERE a IS NOT NULL AND b IS NOT NULL), t AS (SELECT a - regr_slope(a, m) OVER () * m AS a, b - regr_slope(b, m) OVER () * m AS b FROM v) SELECT round(corr(a, b), 5) AS r, round(1 - var_pop(a - b) / var_pop(a), 5) AS varexp, count(*) AS n FROM t")
 def corr_varexp_pair(spark, d):
     rows = _two(spark, d).where("a is not null and b is not null")
-    rows = S.detrended(S.detrended(rows, ["k"], "m", "a", "da"), ["k"], "m", "b", "db")
+    slopes = rows.agg(F.regr_slope("a", "m").alias("sa"), F.regr_slope("b", "m").alias("sb"))  # one row
+    rows = rows.crossJoin(F.broadcast(slopes)).select((F.col("a") - F.col("sa") * F.col("m")).alias("da"), (F.col("b") - F.col("sb") * F.col("m")).alias("db"))
     return rows.agg(rnd(F.corr("da", "db"), 5).alias("r"), rnd(1 - F.try_divide(F.var_pop(F.col("da") - F.col("db")), F.var_pop("da")), 5).alias("varexp"), F.count("*").alias("n"))
 
 

@@ -18,9 +18,9 @@ def lon_wrap(spark, d):
     return points(spark, d).select("point", rnd(G.wrapped(F.col("lon"), 20.0)).alias("east"), rnd(G.wrapped(F.col("lon") * 3, -180.0)).alias("west"))
 
 
-@query("nearest_cell", f"WITH k AS (SELECT point, cell, {_DIST} AS g FROM pt p JOIN ce c ON wet = 1 AND abs(c.lat - p.lat) <= 20), o AS (SELECT * FROM k WHERE g <= 20) SELECT point, cell, round(g, 6) AS distance FROM o QUALIFY row_number() OVER (PARTITION BY point ORDER BY g, cell) = 1")
+@query("nearest_cell", f"WITH k AS (SELECT point, cell, {_DIST} AS g FROM pt p JOIN ce c ON wet = 1) SELECT point, cell, round(g, 6) AS distance FROM k QUALIFY row_number() OVER (PARTITION BY point ORDER BY g, cell) = 1")
 def nearest_cell(spark, d):
-    return G.nearest_cell(points(spark, d), cells(spark, d).where("wet = 1"), "point", "cell", 20.0).select("point", "cell", r6("distance"))
+    return G.nearest_cell(points(spark, d), cells(spark, d).where("wet = 1"), "point", "cell").select("point", "cell", r6("distance"))
 
 
 _REGION = """CASE WHEN fmod(lon + 90, 360) < 1 AND lat BETWEEN 28 AND 29.7 THEN 0 WHEN fmod(lon + 89, 360) < 7 AND lat BETWEEN 22 AND 31 THEN 1
@@ -31,9 +31,9 @@ WHEN fmod(lon + 80, 360) < 80 AND lat BETWEEN 25 AND 35 THEN 7 WHEN fmod(lon + 8
 WHEN fmod(lon + 75, 360) - (75 - 0.8 * (lat - 53.125)) < 0 AND lat > 45 AND lat <= 55 THEN 9 WHEN fmod(lon + 73, 360) < 93 AND lat > 55 AND lat <= 70 THEN 10 END"""
 
 
-@query("region_assign", f"SELECT point, {_REGION} AS region FROM pt WHERE point % 11 <> 0")
+@query("region_assign", f"SELECT point, {_REGION} AS region FROM pt")
 def region_assign(spark, d):
-    return points(spark, d).where("point % 11 <> 0").select("point", G.regions(F.col("lon"), F.col("lat")).alias("region"))
+    return points(spark, d).select("point", G.regions(F.col("lon"), F.col("lat")).alias("region"))
 
 
 @query("cell_centroid", "WITH f AS (SELECT nation, arg_min(lon, cell) AS lon0 FROM ce GROUP BY 1) SELECT nation, round(fmod(any_value(lon0) + avg(fmod(lon - lon0 + 180, 360) - 180) + 180, 360) - 180, 6) AS lon, round(avg(lat), 6) AS lat, round(sum(area), 6) AS area FROM ce JOIN f USING (nation) GROUP BY 1")
@@ -41,29 +41,31 @@ def cell_centroid(spark, d):
     return G.centroids(cells(spark, d), ["nation"], "cell").select("nation", r6("lon"), r6("lat"), r6("area"))
 
 
-_GRID = "g AS (SELECT CAST(vec_id % 4 AS INTEGER) AS tile, CAST(vec_id // 4 AS INTEGER) AS j, p AS i, p * 1.5 AS lon, vec_id * 0.25 AS lat, CASE WHEN x > -0.05 THEN 1 ELSE 0 END AS wet FROM ar WHERE vec_id < 160)"
+_GRID = "g AS (SELECT CAST(vec_id // 160 * 4 + vec_id % 4 AS INTEGER) AS tile, CAST(vec_id % 160 // 4 AS INTEGER) AS j, p AS i, p * 1.5 AS lon, vec_id % 160 * 0.25 AS lat, CASE WHEN x > -0.05 THEN 1 ELSE 0 END AS wet FROM ar)"
 
 
 def grid(spark, d):
-    """(tile, j, i, lon, lat, wet): 4 tiles of 40 by 64 points, wet where the value is not low."""
-    rows = arrays(spark, d).where("vec_id < 160")
-    return rows.select((F.col("vec_id") % 4).cast("int").alias("tile"), F.expr("cast(vec_id div 4 as int)").alias("j"), F.col("p").alias("i"), (F.col("p") * 1.5).alias("lon"), (F.col("vec_id") * 0.25).alias("lat"), F.when(F.col("x") > -0.05, 1).otherwise(0).alias("wet"))
+    """(tile, j, i, lon, lat, wet): all vectors, four tiles of 40 by 64 points for each 160; wet where the value is not low."""
+    rows = arrays(spark, d)
+    return rows.select(F.expr("cast(vec_id div 160 * 4 + vec_id % 4 as int)").alias("tile"), F.expr("cast(vec_id % 160 div 4 as int)").alias("j"), F.col("p").alias("i"), (F.col("p") * 1.5).alias("lon"), (F.col("vec_id") % 160 * 0.25).alias("lat"), F.when(F.col("x") > -0.05, 1).otherwise(0).alias("wet"))
 
 
+#: priority, n_merge, tile within its four, j_lo, j_hi, i_lo, i_hi
 SCHEMES = [(1, 2, 0, 0, 11, 4, 20), (2, 3, 0, 5, 30, 0, 40), (2, 3, 1, 0, 40, 0, 64), (3, 5, 0, 0, 40, 0, 64), (3, 5, 1, 0, 40, 0, 64), (3, 5, 2, 10, 35, 8, 50)]
 
 
 @query(
     "nested_geom",
-    f"WITH {_GRID}, s(priority, n_merge, tile, j_lo, j_hi, i_lo, i_hi) AS (VALUES {', '.join(map(str, SCHEMES))}), h AS (SELECT g.tile, j, i, priority, (j - j_lo) // n_merge AS bj, (i - i_lo) // n_merge AS bi FROM g JOIN s ON g.tile = s.tile AND j >= j_lo AND j < j_hi AND i >= i_lo AND i < i_hi QUALIFY row_number() OVER (PARTITION BY g.tile, j, i ORDER BY priority) = 1) "
+    f"WITH {_GRID}, s(priority, n_merge, tile, j_lo, j_hi, i_lo, i_hi) AS (VALUES {', '.join(map(str, SCHEMES))}), h AS (SELECT g.tile, j, i, priority, (j - j_lo) // n_merge AS bj, (i - i_lo) // n_merge AS bi FROM g JOIN s ON g.tile % 4 = s.tile AND j >= j_lo AND j < j_hi AND i >= i_lo AND i < i_hi QUALIFY row_number() OVER (PARTITION BY g.tile, j, i ORDER BY priority) = 1) "
     "SELECT CAST(dense_rank() OVER (ORDER BY priority, tile, bj, bi) - 1 AS BIGINT) AS cell, tile, j, i, CAST(row_number() OVER (PARTITION BY priority, tile, bj, bi ORDER BY j, i) - 1 AS INTEGER) AS ord, count(*) OVER (PARTITION BY priority, tile, bj, bi) AS size FROM h",
 )
 def nested_geom(spark, d):
-    schemes = spark.createDataFrame(SCHEMES, "priority int, n_merge int, tile int, j_lo int, j_hi int, i_lo int, i_hi int")
-    return G.nested_cells(grid(spark, d), schemes)
+    schemes = spark.createDataFrame(SCHEMES, "priority int, n_merge int, of4 int, j_lo int, j_hi int, i_lo int, i_hi int")
+    tiles = grid(spark, d).select("tile").distinct().withColumn("of4", F.col("tile") % 4)
+    return G.nested_cells(grid(spark, d), tiles.join(F.broadcast(schemes), "of4").drop("of4"))
 
 
-@query("coast_faces", f"WITH {_GRID}, f AS (SELECT a.tile, a.j, a.i, CASE WHEN b.j = a.j THEN 1 ELSE 0 END AS side, (a.lon + b.lon) / 2 AS lon, (a.lat + b.lat) / 2 AS lat FROM g a JOIN g b ON a.tile = b.tile AND ((b.j = a.j + 1 AND b.i = a.i) OR (b.i = a.i + 1 AND b.j = a.j)) WHERE a.wet <> b.wet) SELECT tile, j, i, side, round(lon, 6) AS lon, round(lat, 6) AS lat FROM f")
+@query("coast_faces", f"WITH {_GRID}, k AS (SELECT a.tile, a.j, a.i, 0 AS side, a.lon AS x, a.lat AS y, b.lon AS x2, b.lat AS y2, a.wet AS w, b.wet AS w2 FROM g a JOIN g b ON a.tile = b.tile AND b.j = a.j + 1 AND b.i = a.i UNION ALL SELECT a.tile, a.j, a.i, 1, a.lon, a.lat, b.lon, b.lat, a.wet, b.wet FROM g a JOIN g b ON a.tile = b.tile AND b.i = a.i + 1 AND b.j = a.j), f AS (SELECT tile, j, i, side, (x + x2) / 2 AS lon, (y + y2) / 2 AS lat FROM k WHERE w <> w2) SELECT tile, j, i, side, round(lon, 6) AS lon, round(lat, 6) AS lat FROM f")
 def coast_faces(spark, d):
     return G.coast_faces(grid(spark, d)).select("tile", "j", "i", "side", r6("lon"), r6("lat"))
 
@@ -98,15 +100,17 @@ def refine_join(spark, d):
     return g.join(fine, ["tile", "j", "i"]).groupBy("tile", "j", "i", "lat").agg(F.avg("fine").alias("f"), F.count("*").alias("n")).select("tile", "j", "i", rnd(F.col("lat") - F.col("f")).alias("diff"), "n")
 
 
-@query("llc_reshape", "WITH k AS (SELECT vec_id * 64 + p AS pos, x FROM ar WHERE vec_id < 26), q AS (SELECT pos, x, pos // 16 AS t, pos % 16 AS r FROM k WHERE pos < 208), s AS (SELECT pos, x, CASE WHEN pos < 112 THEN pos // 16 WHEN pos < 160 THEN 7 + ((pos - 112) % 12) // 4 ELSE 10 + ((pos - 160) % 12) // 4 END AS tile, CASE WHEN pos < 112 THEN (pos % 16) // 4 WHEN pos < 160 THEN (pos - 112) // 12 ELSE (pos - 160) // 12 END AS j, CASE WHEN pos < 112 THEN pos % 4 ELSE (pos - CASE WHEN pos < 160 THEN 112 ELSE 160 END) % 4 END AS i FROM q) SELECT CAST(tile AS INTEGER) AS tile, CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i, round(x, 6) AS x FROM s")
+@query("llc_reshape", "WITH k AS (SELECT (vec_id * 64 + p) // 208 AS layer, (vec_id * 64 + p) % 208 AS pos, x FROM ar), s AS (SELECT layer, x, CASE WHEN pos < 112 THEN pos // 16 WHEN pos < 160 THEN 7 + ((pos - 112) % 12) // 4 ELSE 10 + ((pos - 160) % 12) // 4 END AS tile, CASE WHEN pos < 112 THEN (pos % 16) // 4 WHEN pos < 160 THEN (pos - 112) // 12 ELSE (pos - 160) // 12 END AS j, CASE WHEN pos < 112 THEN pos % 4 ELSE (pos - CASE WHEN pos < 160 THEN 112 ELSE 160 END) % 4 END AS i FROM k) SELECT layer, CAST(tile AS INTEGER) AS tile, CAST(j AS INTEGER) AS j, CAST(i AS INTEGER) AS i, round(x, 6) AS x FROM s")
 def llc_reshape(spark, d):
-    rows = arrays(spark, d).where("vec_id < 26").select((F.col("vec_id") * 64 + F.col("p")).alias("pos"), "x").where("pos < 208")
+    """All values one after another, 13 tiles of 4 by 4 points to a layer."""
+    at = F.col("vec_id") * 64 + F.col("p")
+    rows = arrays(spark, d).select(F.floor(at / F.lit(208)).alias("layer"), (at % 208).alias("pos"), "x")
     tile, j, i = llc_positions(F.col("pos"), 4)
-    return rows.select(tile.alias("tile"), j.alias("j"), i.alias("i"), r6("x"))
+    return rows.select("layer", tile.alias("tile"), j.alias("j"), i.alias("i"), r6("x"))
 
 
-_BOX = """t AS (SELECT c_custkey AS t, (c_custkey * 7 % 300)::DOUBLE - 150 AS lon_lo, (c_custkey * 7 % 300)::DOUBLE - 150 + 3.5 AS lon_hi, (c_custkey * 5 % 140)::DOUBLE - 70 AS lat_lo, (c_custkey * 5 % 140)::DOUBLE - 70 + 2.25 AS lat_hi, CASE WHEN c_custkey % 5 > 0 THEN 1 ELSE 0 END AS wet FROM customer WHERE c_custkey <= 400),
-s AS (SELECT p_partkey AS s, (p_partkey * 11 % 300)::DOUBLE - 150.5 AS lon_lo, (p_partkey * 11 % 300)::DOUBLE - 150.5 + 2 AS lon_hi, (p_partkey * 3 % 140)::DOUBLE - 70.5 AS lat_lo, (p_partkey * 3 % 140)::DOUBLE - 70.5 + 2 AS lat_hi, CASE WHEN p_partkey % 3 > 0 THEN 1 ELSE 0 END AS wet FROM part WHERE p_partkey <= 2000),
+_BOX = """t AS (SELECT c_custkey AS t, (c_custkey * 7 % 300)::DOUBLE - 150 AS lon_lo, (c_custkey * 7 % 300)::DOUBLE - 150 + 3.5 AS lon_hi, (c_custkey * 5 % 140)::DOUBLE - 70 AS lat_lo, (c_custkey * 5 % 140)::DOUBLE - 70 + 2.25 AS lat_hi, CASE WHEN c_custkey % 5 > 0 THEN 1 ELSE 0 END AS wet FROM customer),
+s AS (SELECT p_partkey AS s, (p_partkey * 11 % 300)::DOUBLE - 150.5 AS lon_lo, (p_partkey * 11 % 300)::DOUBLE - 150.5 + 2 AS lon_hi, (p_partkey * 3 % 140)::DOUBLE - 70.5 AS lat_lo, (p_partkey * 3 % 140)::DOUBLE - 70.5 + 2 AS lat_hi, CASE WHEN p_partkey % 3 > 0 THEN 1 ELSE 0 END AS wet FROM part),
 o AS (SELECT t, s, t.wet AS tw, s.wet AS sw, 111100.0 * 111100.0 * cos(radians((greatest(t.lat_lo, s.lat_lo) + least(t.lat_hi, s.lat_hi)) / 2)) * (least(t.lon_hi, s.lon_hi) - greatest(t.lon_lo, s.lon_lo)) * (least(t.lat_hi, s.lat_hi) - greatest(t.lat_lo, s.lat_lo)) AS area
  FROM t JOIN s ON least(t.lon_hi, s.lon_hi) > greatest(t.lon_lo, s.lon_lo) AND least(t.lat_hi, s.lat_hi) > greatest(t.lat_lo, s.lat_lo)),
 w AS (SELECT t, s, area / sum(area) OVER (PARTITION BY t) AS weight, row_number() OVER (PARTITION BY t ORDER BY s) AS n FROM (SELECT *, max(CASE WHEN tw = sw THEN 1 ELSE 0 END) OVER (PARTITION BY t) AS k FROM o) WHERE tw = sw OR k = 0)"""
@@ -116,9 +120,9 @@ def boxes(spark, d, name: str):
     from gridtide.plans.base import table
 
     if name == "t":
-        k, rows, a, b, o, w, h, m = F.col("c_custkey"), table(spark, d, "customer").where("c_custkey <= 400"), 7, 5, 0.0, 3.5, 2.25, 5
+        k, rows, a, b, o, w, h, m = F.col("c_custkey"), table(spark, d, "customer"), 7, 5, 0.0, 3.5, 2.25, 5
     else:
-        k, rows, a, b, o, w, h, m = F.col("p_partkey"), table(spark, d, "part").where("p_partkey <= 2000"), 11, 3, 0.5, 2.0, 2.0, 3
+        k, rows, a, b, o, w, h, m = F.col("p_partkey"), table(spark, d, "part"), 11, 3, 0.5, 2.0, 2.0, 3
     lon, lat = (k * a % 300).cast("double") - (150 + o), (k * b % 140).cast("double") - (70 + o)
     return rows.select(k.alias(name), lon.alias("lon_lo"), (lon + w).alias("lon_hi"), lat.alias("lat_lo"), (lat + h).alias("lat_hi"), F.when(k % m > 0, 1).otherwise(0).alias("wet"))
 
@@ -152,14 +156,14 @@ _AREA = "111100.0 * 111100.0 * cos(radians((lat_lo + lat_hi) / 2)) * (lon_hi - l
     "regrid_weights_conservative",
     f"WITH {_BOX}, sa AS (SELECT s, {_AREA} AS s_area FROM s), ta AS (SELECT t, {_AREA} AS t_area FROM t), g AS (SELECT t, s, area, sum(area) OVER (PARTITION BY s) AS inc FROM o WHERE tw = 1), "
     "mid AS (SELECT s, (lon_lo + lon_hi) / 2 AS lon, (lat_lo + lat_hi) / 2 AS lat FROM s), tm AS (SELECT t, (lon_lo + lon_hi) / 2 AS lon, (lat_lo + lat_hi) / 2 AS lat FROM t WHERE wet = 1), "
-    "nn AS (SELECT p.s, c.t, " + _DIST + " AS g FROM mid p JOIN tm c ON abs(c.lat - p.lat) <= 30), n1 AS (SELECT s, t FROM nn WHERE g <= 30 QUALIFY row_number() OVER (PARTITION BY s ORDER BY g, t) = 1), "
+    "nn AS (SELECT p.s, c.t, " + _DIST + " AS g FROM mid p JOIN tm c ON true), n1 AS (SELECT s, t FROM nn QUALIFY row_number() OVER (PARTITION BY s ORDER BY g, t) = 1), "
     "u AS (SELECT t, s, area / t_area * s_area / inc AS weight FROM g JOIN sa USING (s) JOIN ta USING (t) UNION ALL SELECT t, s, s_area / t_area FROM n1 JOIN sa USING (s) JOIN ta USING (t) WHERE s NOT IN (SELECT s FROM g)) SELECT t, s, round(weight, 6) AS weight FROM u",
 )
 def regrid_weights_conservative(spark, d):
     t, s = boxes(spark, d, "t"), boxes(spark, d, "s")
     area = W.METRES * W.METRES * F.cos(F.radians((F.col("lat_lo") + F.col("lat_hi")) / 2)) * (F.col("lon_hi") - F.col("lon_lo")) * (F.col("lat_hi") - F.col("lat_lo"))
     middle = [((F.col("lon_lo") + F.col("lon_hi")) / 2).alias("lon"), ((F.col("lat_lo") + F.col("lat_hi")) / 2).alias("lat")]
-    near = G.nearest_cell(s.select("s", *middle), t.where("wet = 1").select("t", *middle), "s", "t", 30.0).select("s", "t")
+    near = G.nearest_cell(s.select("s", *middle), t.where("wet = 1").select("t", *middle), "s", "t").select("s", "t")
     out = W.conserving(W.overlaps(t, s), s.select("s", area.alias("s_area")), t.select("t", area.alias("t_area")), near)
     return out.select("t", "s", r6("weight"))
 

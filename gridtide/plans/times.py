@@ -59,10 +59,10 @@ def week_lattice(spark, d):
     return J.nearest(bins, weeks.withColumn("t", F.col("s")), [], "c", "t", ["yr", "k"], "s").select("yr", "k", "s")
 
 
-@query("circular_nearest", "WITH b AS (SELECT CAST(k AS BIGINT) AS k, (k + 0.5) * 365.24 / 52 AS c FROM unnest(range(0, 52)) AS u(k)), e AS (SELECT event_id, s / 86400.0 AS day FROM ev WHERE event_id % 10 = 0), p AS (SELECT event_id, k, least(fmod(day - c, 365.24), 365.24 - fmod(day - c, 365.24)) AS g FROM e, b) SELECT event_id, k, round(g, 4) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY g, k) = 1")
+@query("circular_nearest", "WITH b AS (SELECT CAST(k AS BIGINT) AS k, (k + 0.5) * 365.24 / 52 AS c FROM unnest(range(0, 52)) AS u(k)), e AS (SELECT event_id, s / 86400.0 AS day FROM ev), p AS (SELECT event_id, k, least(fmod(day - c, 365.24), 365.24 - fmod(day - c, 365.24)) AS g FROM e, b) SELECT event_id, k, round(g, 4) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY g, k) = 1")
 def circular_nearest(spark, d):
     bins = spark.range(52).select(F.col("id").alias("k"), ((F.col("id") + 0.5) * C.YEAR_DAYS / 52).alias("c"))
-    rows = events(spark, d).where("event_id % 10 = 0").select("event_id", (F.col("s") / 86400.0).alias("day"))
+    rows = events(spark, d).select("event_id", (F.col("s") / 86400.0).alias("day"))
     return J.circular_nearest(rows, bins, "day", "c", "k", ["event_id"], C.YEAR_DAYS).select("event_id", "k", r6("distance", 4))
 
 
@@ -93,10 +93,9 @@ def nearest_join(spark, d):
     return out.select("event_id", "click", (F.col("cs") - F.col("s")).cast("long").alias("delta"))
 
 
-@query("month_join", "SELECT cell, forc, series, m, round(d1.x * d2.x, 6) AS product FROM d1 JOIN d2 USING (m) WHERE cell < 3")
+@query("month_join", "SELECT cell, forc, series, m, round(d1.x * d2.x, 6) AS product FROM d1 JOIN d2 USING (m)")
 def month_join(spark, d):
-    a = forcing(spark, d).where("cell < 3")
-    return a.join(reference(spark, d).withColumnRenamed("x", "y"), "m").select("cell", "forc", "series", "m", rnd(F.col("x") * F.col("y"), 6).alias("product"))
+    return forcing(spark, d).join(reference(spark, d).withColumnRenamed("x", "y"), "m").select("cell", "forc", "series", "m", rnd(F.col("x") * F.col("y"), 6).alias("product"))
 
 
 @query("align_dedupe", "WITH k AS (SELECT *, lead(s) OVER (PARTITION BY user_id ORDER BY s, event_id) AS nxt FROM ev) SELECT event_id FROM k WHERE nxt IS NULL OR abs(nxt - s) >= 3600")

@@ -217,3 +217,55 @@ def test_same_result_for_any_partitioning(spark):
     spark.conf.set("spark.sql.shuffle.partitions", before)
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(seen) == 1
+
+
+def test_ranges_give_what_one_range_gives(spark):
+    rng = np.random.default_rng(2)
+    left = spark.createDataFrame([(i, int(k), float(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 900, 200), strict=True))], "id int, k int, a double")
+    right = spark.createDataFrame([(i, int(k), float(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 60), rng.integers(0, 900, 60), strict=True))], "r int, k int, b double")
+    every = right.collect()
+    want = [(r["id"], min((abs(x["b"] - r["a"]), x["b"], x["r"]) for x in every if x["k"] == r["k"])[2]) for r in left.orderBy("id").collect()]
+    for width in (None, 7.0, 150.0, 1e6):
+        assert rows(J.nearest(left, right, ["k"], "a", "b", ["id"], "r", width=width).select("id", "r"), "id") == want
+    gaps = left.groupBy("k", "a").agg(F.min(F.when(F.col("id") % 3 == 0, F.col("id") * 1.0)).alias("x"))
+    one = rows(X.gaps_filled(gaps, ["k"], "a").select("k", "a", "filled"), "k", "a")
+    assert rows(X.gaps_filled(gaps, ["k"], "a", width=11.0).select("k", "a", "filled"), "k", "a") == one
+    ends = X.gaps_filled(gaps, ["k"], "a", clamped=True)
+    assert ends.where("filled is null").count() == 0 and any(r[2] is None for r in one)
+
+
+def test_many_bins_on_a_circle(spark):
+    rng = np.random.default_rng(3)
+    left = spark.createDataFrame([(i, float(v)) for i, v in enumerate(rng.uniform(-50, 900, 80))], "id int, a double")
+    bins = spark.createDataFrame([(i, float(v)) for i, v in enumerate(rng.uniform(0, 365, 30))], "bin int, at double")
+    few, many = (J.circular_nearest(left, bins, "a", "at", "bin", ["id"], 365.0, most) for most in (1000, 3))
+    assert rows(few.select("id", "bin", F.round("distance", 6)), "id") == rows(many.select("id", "bin", F.round("distance", 6)), "id")
+
+
+def test_nearest_cell_however_far(spark):
+    rng = np.random.default_rng(4)
+    p = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.uniform(-180, 180, 120), np.append(rng.uniform(-90, 90, 114), [89.9, -89.9, 90, -90, 0, 60]), strict=True))]
+    c = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.uniform(-180, 180, 25), rng.uniform(-88, -20, 25), strict=True))] + [(99, 10.0, 89.5)]
+    got = dict(rows(G.nearest_cell(spark.createDataFrame(p, "p int, lon double, lat double"), spark.createDataFrame(c, "c int, lon double, lat double"), "p", "c").select("p", "c"), "p"))
+
+    def distance(a, b):
+        d = (b[1] - a[1] + 180) % 360 - 180
+        return math.hypot(math.cos(math.radians(a[2])) * d, b[2] - a[2])
+
+    for a in p:
+        best = min(c, key=lambda b: (distance(a, b), b[0]))
+        assert got[a[0]] == best[0] or distance(a, best) == pytest.approx(distance(a, next(b for b in c if b[0] == got[a[0]])))
+
+
+def test_conservation_with_a_far_source(spark):
+    box = "lon_lo double, lon_hi double, lat_lo double, lat_hi double, wet int"
+    t = spark.createDataFrame([(1, 0.0, 4.0, 0.0, 4.0, 1), (2, 4.0, 8.0, 0.0, 4.0, 0)], f"t int, {box}")
+    s = spark.createDataFrame([(1, 1.0, 3.0, 1.0, 3.0, 1), (2, 3.0, 5.0, 1.0, 3.0, 1), (3, 150.0, 152.0, -80.0, -78.0, 1)], f"s int, {box}")
+    area = W.METRES**2 * F.cos(F.radians((F.col("lat_lo") + F.col("lat_hi")) / 2)) * (F.col("lon_hi") - F.col("lon_lo")) * (F.col("lat_hi") - F.col("lat_lo"))
+    middle = [((F.col("lon_lo") + F.col("lon_hi")) / 2).alias("lon"), ((F.col("lat_lo") + F.col("lat_hi")) / 2).alias("lat")]
+    s_area, t_area = s.select("s", area.alias("s_area")), t.select("t", area.alias("t_area"))
+    near = G.nearest_cell(s.select("s", *middle), t.where("wet = 1").select("t", *middle), "s", "t").select("s", "t")
+    got = W.conserving(W.overlaps(t, s), s_area, t_area, near).join(t_area, "t").groupBy("s").agg(F.sum(F.col("weight") * F.col("t_area")).alias("total"))
+    for r in got.join(s_area, "s").collect():
+        assert r["total"] == pytest.approx(r["s_area"])
+    assert got.count() == 3

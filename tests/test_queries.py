@@ -17,7 +17,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_query(spark, con, name):
-    same(catalog.QUERIES[name](spark, SF), con, catalog.ORACLE[name])
+    assert same(catalog.QUERIES[name](spark, SF), con, catalog.ORACLE[name]) > 0
 
 
 def test_every_query_has_sql():
