@@ -19,46 +19,100 @@ def kernel_frame(spark, n: int, **band) -> DataFrame:
 def bandpass(df: DataFrame, keys: list[str], idx: str, n: int, value: str = "x", **band) -> DataFrame:
     """Circular convolution of series of n values (idx 0 to n - 1) with the band's kernel, as a join and a sum.
 
-    Missing values count as zero. The kernel has n rows. For many long series use :func:`bandpass_grouped`.
+    Missing values count as zero, the ends of a series meet. The kernel has n rows; for long series, and for ends that
+    don't meet, use :func:`band_passed`.
     """
     kernel = F.broadcast(kernel_frame(df.sparkSession, n, **band))
     both = df.where(F.col(value).isNotNull()).crossJoin(kernel).withColumn("_to", F.pmod(F.col(idx) + F.col("_k"), F.lit(n)))
     return both.groupBy(*keys, F.col("_to").alias(idx)).agg(F.sum(F.col(value) * F.col("_h")).alias("band"))
 
 
-def bandpass_grouped(df: DataFrame, keys: list[str], at: str, delta: float, low: float, high: float, steep: float = 5.0, keep_trend: bool = False, value: str = "x") -> DataFrame:
-    """Band-pass of whole series, each in one Arrow group: detrended, gaps interpolated, padded at both ends with an
-    error-function slope into twice the length, filtered by Fourier transform; missing values stay missing."""
+def lag_list(n: int) -> list[int]:
+    """1, 2, 3 and then lags whose logarithms are 0.3 apart, up to a series of n values."""
+    return [1, 2, 3, *(round(math.exp(1.5 + 0.3 * k)) for k in range(max(0, math.ceil((math.log(n) - 1.5) / 0.3))))]
+
+
+def lag_weights(lags: list[int]) -> list[list[float]]:
+    """For each place in the list, the weights of the correlations up to it: half the way between their neighbours."""
+    ends = lambda n: [*lags[1 : n + 1], lags[n]]
+    return [[0.5 * (b - a) for a, b in zip([0, *lags[:n]], ends(n), strict=True)] for n in range(len(lags))]
+
+
+def averaged_points(n: int, delta: float, low: float, high: float) -> int:
+    """How many values at either end a padding is taken from: an eighth of the band's middle period."""
+    return round(0.125 / math.sqrt(max(low, 1 / (n * delta)) * min(high, 1 / (2 * delta))) / delta)
+
+
+def band_passed(df: DataFrame, keys: list[str], at: str, delta: float, low: float, high: float, steep: float = 5.0, half_power: bool = True, keep_trend: bool = False, mask_edges: bool = False, value: str = "x") -> DataFrame:
+    """(keys, at, band): the band-pass of whole series, each in one Arrow group.
+
+    A series has a row for each of its places, in order of ``at``, ``delta`` apart; values that are NULL or nothing
+    beside the largest are missing. The trend is taken off, gaps are interpolated, and the series is put into twice its
+    length. Either end goes on with the level and the slope of the values there, by an error function to zero; a series
+    that does not reach both ends of its places is followed by zeros. The whole is weighted by frequency. Then the trend
+    comes back if ``keep_trend``, missing values are missing again, and with ``mask_edges`` so are the values next to
+    either end that the padding may have changed, the more the longer the series' own time scale is beside the band.
+    """
     import numpy as np
     import pandas as pd
 
     from gridtide.functions.special import band_weight
 
+    def time_scale(y: np.ndarray) -> float:
+        lags = lag_list(len(y))
+        r: list[float] = []
+        for k, (lag, weights) in enumerate(zip(lags, lag_weights(lags), strict=True)):
+            a, b = y[: max(len(y) - lag, 0)], y[lag:]
+            both = np.isfinite(a) & np.isfinite(b)
+            a, b = a[both] - a[both].mean() if both.any() else a[both], b[both] - b[both].mean() if both.any() else b[both]
+            norm = math.sqrt(float(a @ a)) * math.sqrt(float(b @ b))
+            r.append(float(a @ b) / norm if norm > 0 else math.nan)
+            if r[-1] < 0 or k == len(lags) - 1:
+                return delta if k == 0 else delta * (1 + 2 * float(np.dot(weights, r)))
+        return math.nan
+
+    def edge(scale: float) -> float:
+        q, width = 1 / (2 * scale), delta * high * (1 - math.sqrt(low / high)) ** 1.25
+        middle = delta * math.sqrt(q * low)
+        return float(np.rint(np.fmax(np.fmin((0.9 * low / q - 3 / 40) / middle + (0.45 - 1.8 * low / q) / width, 0.15 / middle), 0.3 / width)))
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(at)
-        x, t = pdf[value].to_numpy(float), pdf[at].to_numpy(float)
-        good, n = np.isfinite(x), len(x)
-        out = np.full(n, np.nan)
-        if good.sum() >= 2:
-            slope, offset = np.polyfit(t[good], x[good], 1)
-            line = slope * t + offset
+        x, n = pdf[value].to_numpy(float), len(pdf)
+        size = np.abs(np.where(np.isfinite(x), x, 0))
+        good = np.isfinite(x) & (size >= 1e-15 * size.max(initial=0)) & (size.max(initial=0) > 0)
+        out, i = np.full(n, np.nan), np.arange(n)
+        if good.any():
+            off = i - i[good].mean()
+            spread = float(off[good] @ off[good])
+            line = x[good].mean() + (float(off[good] @ (x[good] - x[good].mean())) / spread * off if spread else 0 * off)
+            alone = np.where(good, x - line, np.nan)
             first, last = np.flatnonzero(good)[[0, -1]]
-            y = np.interp(t, t[good], (x - line)[good])
-            near = max(1, round(0.125 / math.sqrt(max(low, 1 / (n * delta)) * min(high, 1 / (2 * delta))) / delta))
             buffer, start = np.zeros(2 * n), n // 2
-            buffer[start + first : start + last + 1] = y[first : last + 1]
-            for edge, way, room in ((start + first, -1, start + first), (start + last, 1, 2 * n - start - last - 1)):
-                inner = buffer[edge - way * np.arange(min(near, last - first + 1))]
-                level = inner.mean()
-                steps = np.arange(1, room + 1)
-                if room:
-                    buffer[edge + way * steps] = level * (1 - np.array([math.erf(s / (2 * near)) for s in steps]))
-            f = np.fft.fftfreq(2 * n, delta)
-            response = np.array([band_weight(v, low, high, steep) for v in f])
+            buffer[start + first : start + last + 1] = np.interp(i[first : last + 1], i[good], alone[good])
+            near, place = averaged_points(n, delta, low, high), np.arange(2 * n) - start
+            if first == 0 and last == n - 1:
+                for level, way, gone in ((first, 1, place < first), (last, -1, place > last)):
+                    away = way * (place - level)
+                    if near:
+                        one_, two = buffer[(away >= 0) & (away < near)].mean(), buffer[(away >= near) & (away < 2 * near)].mean()
+                        slope = (two - one_) / near
+                        edge_value = one_ - (near - 1) / 2 * slope
+                    else:
+                        edge_value = buffer[start + level]
+                        slope = edge_value / 0.5
+                    if edge_value:
+                        steepness = math.sqrt(math.pi) / 2 * abs(slope / edge_value)
+                        buffer[gone] = [edge_value * (1 + math.erf(steepness * d)) for d in away[gone]]
+            response = np.array([band_weight(f, low, high, steep, half_power) for f in np.fft.fftfreq(2 * n, delta)])
             done = np.fft.ifft(np.fft.fft(buffer) * response).real[start : start + n]
             if keep_trend:
-                done = done + line
-            out = np.where(good, done, np.nan)
+                done = done + line + buffer.mean()
+            keep = good
+            if mask_edges:
+                margin = edge(time_scale(alone))
+                keep = good & ~(i < first + margin) & ~(i > last - margin)
+            out = np.where(keep, done, np.nan)
         return pdf[[*keys, at]].assign(band=out)
 
     ship(df.sparkSession)
@@ -124,6 +178,20 @@ def integral_scale(df: DataFrame, keys: list[str], idx: str, value: str, most: i
     return kept.groupBy(*keys).agg((1 + F.greatest(F.lit(0.0), 2 * F.sum("r"))).alias("scale"))
 
 
+def time_scale(df: DataFrame, keys: list[str], idx: str, value: str, n: int, delta: float = 1.0) -> DataFrame:
+    """(keys, scale) of series of n places: the autocorrelations at :func:`lag_list`, summed over the lags that they
+    stand for up to and with the first negative one."""
+    lags = lag_list(n)
+    weights = lag_weights(lags)
+    stands = [(k, lag, weights[k][k], weights[min(k + 1, len(lags) - 1)][k]) for k, lag in enumerate(lags)]
+    table = df.sparkSession.createDataFrame(stands, "_k int, lag int, _end double, _in double")
+    r = lag_correlation(df, keys, idx, value, value, lags).join(F.broadcast(table), "lag")
+    stop = F.coalesce(F.min(F.when(F.col("r") < 0, F.col("_k"))).over(Window.partitionBy(*keys)), F.lit(len(lags) - 1))
+    kept = r.withColumn("_stop", stop).where("_k <= _stop")
+    total = F.sum(F.col("r") * F.when(F.col("_k") == F.col("_stop"), F.col("_end")).otherwise(F.col("_in")))
+    return kept.groupBy(*keys).agg((F.lit(delta) * F.when(F.first("_stop") == 0, 1.0).otherwise(1 + 2 * total)).alias("scale"))
+
+
 def with_bounds(corr: DataFrame, scale_a: DataFrame, scale_b: DataFrame, keys: list[str], confidence: float = 0.95) -> DataFrame:
     """Effective degrees of freedom and Fisher bounds of r (n pairs); fewer than 3 degrees leave the bounds NULL."""
     rows = corr.join(scale_a.withColumnRenamed("scale", "_sa"), keys).join(scale_b.withColumnRenamed("scale", "_sb"), keys)
@@ -142,13 +210,6 @@ def interpolated(points: DataFrame, targets: DataFrame, keys: list[str], at: str
     return gaps_filled(rows, keys, at, value, clamped, width).where("_t = 1").select(*keys, at, F.col("filled").alias(value))
 
 
-def without_edges(band: DataFrame, keys: list[str], idx: str, first: int, last: int, most: int = 10, value: str = "band") -> DataFrame:
-    """band without the values nearer to either end than its own integral scale."""
-    scale = integral_scale(band, keys, idx, value, most)
-    edge = F.ceil("scale")
-    return band.join(scale, keys).where((F.col(idx) - first >= edge) & (last - F.col(idx) >= edge)).drop("scale")
-
-
 def interpolated_fourier(df: DataFrame, keys: list[str], at: str, delta: float, targets: list[float], most: float | None = None, value: str = "x") -> DataFrame:
     """Whole, evenly spaced series at other places: mean and trend kept, the rest by its Fourier series up to the
     frequency ``most`` (all of it by default). Series with missing values give NULL."""

@@ -16,40 +16,62 @@ from gridtide.sources import series as P
 
 N = 64
 BAND = {"delta": 1.0, "low": 1 / 24, "high": 1 / 6, "steep": 5.0}
-LOW12 = {"delta": 1.0, "low": 0.0, "high": 1 / 12, "steep": 2.0}
-LOW30 = {"delta": 1.0, "low": 0.0, "high": 1 / 30, "steep": 2.0}
+LOW12 = {"delta": 1.0, "low": 0.0, "high": 1 / 12, "steep": 2.0, "keep_trend": True}
+LOW30 = {"delta": 1.0, "low": 0.0, "high": 1 / 30, "steep": 2.0, "keep_trend": True}
 
 
 def kernel(band: dict) -> str:
     """The kernel as rows (k, h) of a VALUES list."""
-    return "VALUES " + ", ".join(f"({k}, {h:.17e})" for k, h in enumerate(band_kernel(N, **band)))
+    own = {k: v for k, v in band.items() if k != "keep_trend"}
+    return "VALUES " + ", ".join(f"({k}, {h:.17e})" for k, h in enumerate(band_kernel(2 * N, **own)))
+
+
+#: The error function of z >= 0, by its series of positive terms.
+_ERF = "(CASE WHEN {z} > 6 THEN 1 WHEN {z} < 1e-12 THEN 0 ELSE 2 / sqrt(pi()) * exp(-{z} * {z}) * list_sum(list_transform(range(0, 140), lambda k: exp((2 * k + 1) * ln({z}) + 2 * k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)))) END)"
 
 
 def _filter(name: str, band: dict, source: str = "ar", keys: str = "vec_id", p: str = "p", x: str = "x") -> str:
-    return f"h_{name}(k, h) AS ({kernel(band)}), {name} AS (SELECT {keys}, CAST(({p} + k) % {N} AS INTEGER) AS p, sum({x} * h) AS band FROM {source}, h_{name} GROUP BY {keys}, ({p} + k) % {N})"
+    """The steps of filters.band_passed for series of N values without gaps."""
+    n, half = X.averaged_points(N, band["delta"], band["low"], band["high"]), N // 2
+    erf = lambda slope, level, away: _ERF.format(z=f"(sqrt(pi()) / 2 * abs({slope} / {level}) * ({away}))")
+    back = "line + mean" if band.get("keep_trend") else "0"
+    return (
+        f"h_{name}(k, h) AS ({kernel(band)}), "
+        f"{name}_y AS (SELECT {keys}, {p} AS p, avg({x}) OVER w + regr_slope({x}, {p}) OVER w * ({p} - avg({p}) OVER w) AS line, {x} - (avg({x}) OVER w + regr_slope({x}, {p}) OVER w * ({p} - avg({p}) OVER w)) AS y FROM {source} WINDOW w AS (PARTITION BY {keys})), "
+        f"{name}_a AS (SELECT {keys}, avg(y) FILTER (p < {n}) AS a1, avg(y) FILTER (p >= {n} AND p < {2 * n}) AS a2, avg(y) FILTER (p > {N - 1 - n}) AS b1, avg(y) FILTER (p > {N - 1 - 2 * n} AND p <= {N - 1 - n}) AS b2 FROM {name}_y GROUP BY {keys}), "
+        f"{name}_s AS (SELECT {keys}, (a2 - a1) / {n} AS sa, a1 - {(n - 1) / 2} * (a2 - a1) / {n} AS va, (b2 - b1) / {n} AS sb, b1 - {(n - 1) / 2} * (b2 - b1) / {n} AS vb FROM {name}_a), "
+        f"{name}_v AS (SELECT {keys}, {half} + p AS q, y AS v FROM {name}_y UNION ALL SELECT {keys}, q, va * (1 - {erf('sa', 'va', f'{half} - q')}) FROM {name}_s, unnest(range(0, {half})) AS u(q) UNION ALL SELECT {keys}, q, vb * (1 - {erf('sb', 'vb', f'q - {half + N - 1}')}) FROM {name}_s, unnest(range({half + N}, {2 * N})) AS u(q)), "
+        f"{name}_c AS (SELECT {keys}, (q + k) % {2 * N} - {half} AS p, sum(v * h) AS c FROM {name}_v, h_{name} WHERE (q + k) % {2 * N} >= {half} AND (q + k) % {2 * N} < {half + N} GROUP BY 1, 2), "
+        f"{name}_m AS (SELECT {keys}, avg(v) AS mean FROM {name}_v GROUP BY 1), "
+        f"{name} AS (SELECT {keys}, CAST(p AS INTEGER) AS p, c + {back} AS band FROM {name}_c JOIN {name}_y USING ({keys}, p) JOIN {name}_m USING ({keys}))"
+    )
+
+
+def _banded(rows, keys: list[str], band: dict, **more):
+    return X.band_passed(rows, keys, "p", **band, **more).withColumn("p", F.col("p").cast("int"))
 
 
 @query("bandpass", f"WITH {_filter('b', BAND)} SELECT vec_id, p, round(band, 6) AS band FROM b")
 def bandpass(spark, d):
-    return X.bandpass(arrays(spark, d), ["vec_id"], "p", N, **BAND).select("vec_id", F.col("p").cast("int").alias("p"), r6("band"))
+    return _banded(arrays(spark, d), ["vec_id"], BAND).select("vec_id", "p", r6("band"))
 
 
 @query("lowpass_12mo", f"WITH {_filter('b', LOW12)} SELECT vec_id, p, round(band, 6) AS low FROM b")
 def lowpass_12mo(spark, d):
-    return X.bandpass(arrays(spark, d), ["vec_id"], "p", N, **LOW12).select("vec_id", F.col("p").cast("int").alias("p"), rnd("band").alias("low"))
+    return _banded(arrays(spark, d), ["vec_id"], LOW12).select("vec_id", "p", rnd("band").alias("low"))
 
 
 @query("band_split", f"WITH {_filter('b', LOW12)}, {_filter('c', LOW30)} SELECT vec_id, p, round(x - b.band, 6) AS fast, round(b.band - c.band, 6) AS slow FROM ar JOIN b USING (vec_id, p) JOIN c USING (vec_id, p)")
 def band_split(spark, d):
     a = arrays(spark, d)
-    low = lambda band, name: X.bandpass(a, ["vec_id"], "p", N, **band).withColumnRenamed("band", name)
+    low = lambda band, name: _banded(a, ["vec_id"], band).withColumnRenamed("band", name)
     rows = a.join(low(LOW12, "b"), ["vec_id", "p"]).join(low(LOW30, "c"), ["vec_id", "p"])
     return rows.select("vec_id", "p", rnd(F.col("x") - F.col("b")).alias("fast"), rnd(F.col("b") - F.col("c")).alias("slow"))
 
 
 @query("band_stddev", f"WITH {_filter('b', BAND)} SELECT vec_id, round(stddev_pop(band), 6) AS sd FROM b GROUP BY 1")
 def band_stddev(spark, d):
-    return X.bandpass(arrays(spark, d), ["vec_id"], "p", N, **BAND).groupBy("vec_id").agg(rnd(F.stddev_pop("band")).alias("sd"))
+    return _banded(arrays(spark, d), ["vec_id"], BAND).groupBy("vec_id").agg(rnd(F.stddev_pop("band")).alias("sd"))
 
 
 _LABEL = "lm AS (SELECT label, p, avg(x) AS x FROM ar GROUP BY 1, 2)"
@@ -61,14 +83,14 @@ def _by_label(spark, d):
 
 @query("varexp_by_region_band", f"WITH {_LABEL}, {_filter('b', BAND, 'lm', 'label')}, t AS (SELECT p, avg(band) AS base FROM b GROUP BY 1) SELECT label, round(1 - var_pop(base - band) / nullif(var_pop(base), 0), 5) AS varexp, count(*) AS n FROM b JOIN t USING (p) GROUP BY 1")
 def varexp_by_region_band(spark, d):
-    b = X.bandpass(_by_label(spark, d), ["label"], "p", N, **BAND)
+    b = _banded(_by_label(spark, d), ["label"], BAND)
     rows = b.join(b.groupBy("p").agg(F.avg("band").alias("base")), "p")
     return S.variance_explained(rows, ["label"], "base", "band").select("label", r6("varexp", 5), "n")
 
 
 @query("corr_pairs_band", f"WITH {_LABEL}, {_filter('b', BAND, 'lm', 'label')} SELECT a.label AS la, c.label AS lb, round(corr(a.band, c.band), 5) AS r, count(*) AS n FROM b a JOIN b c ON a.p = c.p AND a.label < c.label GROUP BY 1, 2")
 def corr_pairs_band(spark, d):
-    b = X.bandpass(_by_label(spark, d), ["label"], "p", N, **BAND)
+    b = _banded(_by_label(spark, d), ["label"], BAND)
     pairs = b.select(F.col("label").alias("la"), "p", F.col("band").alias("a")).join(b.select(F.col("label").alias("lb"), "p", F.col("band").alias("b")), "p").where("la < lb")
     return pairs.groupBy("la", "lb").agg(rnd(F.corr("a", "b"), 5).alias("r"), F.count("*").alias("n"))
 
@@ -76,10 +98,30 @@ def corr_pairs_band(spark, d):
 _SCALE = "r AS (SELECT a.vec_id, l.lag, corr(a.{v}, c.{v}) AS r FROM {t} a, (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9), (10)) l(lag), {t} c WHERE c.vec_id = a.vec_id AND c.p = a.p + l.lag GROUP BY 1, 2), sc AS (SELECT vec_id, 1 + greatest(0, 2 * sum(r)) AS scale FROM (SELECT *, coalesce(sum(CASE WHEN r < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY vec_id ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM r) WHERE seen = 0 GROUP BY 1)"
 
 
-@query("bandpass_edge", f"WITH a5 AS (SELECT * FROM ar WHERE vec_id % 5 = 0), {_filter('b', BAND, 'a5')}, {_SCALE.format(t='b', v='band')} SELECT vec_id, p, round(band, 6) AS band FROM b JOIN sc USING (vec_id) WHERE p >= ceil(scale) AND 63 - p >= ceil(scale)")
+def _scale_sql(source: str, value: str) -> str:
+    """sc (vec_id, scale): the steps of filters.time_scale."""
+    lags = X.lag_list(N)
+    weights = X.lag_weights(lags)
+    rows = ", ".join(f"({k}, {lag}, {weights[k][k]:.17e}, {weights[min(k + 1, len(lags) - 1)][k]:.17e})" for k, lag in enumerate(lags))
+    return (
+        f"l(k, lag, at_end, inside) AS (VALUES {rows}), "
+        f"r AS (SELECT a.vec_id, k, any_value(at_end) AS at_end, any_value(inside) AS inside, corr(a.{value}, c.{value}) AS r FROM {source} a JOIN l ON true JOIN {source} c ON c.vec_id = a.vec_id AND c.p = a.p + lag GROUP BY 1, 2), "
+        f"e AS (SELECT vec_id, coalesce(min(CASE WHEN r < 0 THEN k END), {len(lags) - 1}) AS stop FROM r GROUP BY 1), "
+        "sc AS (SELECT vec_id, CASE WHEN any_value(stop) = 0 THEN 1 ELSE 1 + 2 * sum(r * CASE WHEN k = stop THEN at_end ELSE inside END) END AS scale FROM r JOIN e USING (vec_id) WHERE k <= stop GROUP BY 1)"
+    )
+
+
+def _edge_sql() -> str:
+    low, high, delta = BAND["low"], BAND["high"], BAND["delta"]
+    width = delta * high * (1 - math.sqrt(low / high)) ** 1.25
+    q, mid = "(1 / (2 * scale))", f"({delta} * sqrt(1 / (2 * scale) * {low:.17e}))"
+    margin = f"round_even(greatest(least((0.9 * {low:.17e} / {q} - 3.0 / 40) / {mid} + (0.45 - 1.8 * {low:.17e} / {q}) / {width:.17e}, 0.15 / {mid}), {0.3 / width:.17e}), 0)"
+    return f"WITH {_filter('b', BAND)}, {_scale_sql('b_y', 'y')}, g AS (SELECT vec_id, {margin} AS edge FROM sc) SELECT vec_id, p, round(band, 6) AS band FROM b JOIN g USING (vec_id) WHERE p >= edge AND p <= {N - 1} - edge"
+
+
+@query("bandpass_edge", _edge_sql())
 def bandpass_edge(spark, d):
-    b = X.bandpass(arrays(spark, d).where("vec_id % 5 = 0"), ["vec_id"], "p", N, **BAND).withColumn("p", F.col("p").cast("int"))
-    return X.without_edges(b, ["vec_id"], "p", 0, 63).select("vec_id", "p", r6("band"))
+    return _banded(arrays(spark, d), ["vec_id"], BAND, mask_edges=True).where("band is not null").select("vec_id", "p", r6("band"))
 
 
 @query("valid_span", "WITH k AS (SELECT vec_id, p, CASE WHEN x > -0.1 THEN x END AS x FROM ar) SELECT vec_id, min(CASE WHEN x IS NOT NULL THEN p END) AS first, max(CASE WHEN x IS NOT NULL THEN p END) AS last, count(x) AS n FROM k GROUP BY 1".replace(" AS first", ' AS "first"').replace(" AS last", ' AS "last"'))
@@ -140,9 +182,9 @@ def lag_corr(spark, d):
     return X.lag_correlation(_two(spark, d), ["k"], "m", "a", "b", [-2, -1, 0, 1, 2, 3]).select("lag", r6("r", 5), "n")
 
 
-@query("integral_scale", f"WITH {_SCALE.format(t='ar', v='x')} SELECT vec_id, round(scale, 5) AS scale FROM sc")
+@query("integral_scale", f"WITH {_scale_sql('ar', 'x')} SELECT vec_id, round(scale, 5) AS scale FROM sc")
 def integral_scale(spark, d):
-    return X.integral_scale(arrays(spark, d), ["vec_id"], "p", "x", 10).select("vec_id", r6("scale", 5))
+    return X.time_scale(arrays(spark, d), ["vec_id"], "p", "x", N).select("vec_id", r6("scale", 5))
 
 
 def _bounds_sql() -> str:

@@ -132,15 +132,29 @@ def test_bandpass_bands_add_up(spark):
     assert total == pytest.approx(1.0)
 
 
-def test_bandpass_grouped_keeps_a_slow_wave(spark):
+def test_band_passed_keeps_a_slow_wave(spark):
     t = np.arange(240)
     x = np.sin(2 * math.pi * t / 60) + 0.5 * np.sin(2 * math.pi * t / 4) + 0.01 * t
     data = [(1, int(i), None if i == 50 else float(v)) for i, v in zip(t, x, strict=True)]
-    out = X.bandpass_grouped(spark.createDataFrame(data, "k int, t int, x double"), ["k"], "t", 1.0, 1 / 120, 1 / 20).orderBy("t").collect()
+    out = X.band_passed(spark.createDataFrame(data, "k int, t int, x double"), ["k"], "t", 1.0, 1 / 120, 1 / 20).orderBy("t").collect()
     got = np.array([np.nan if r["band"] is None else r["band"] for r in out])
     assert np.isnan(got[50]) and np.nanmax(np.abs(got - np.sin(2 * math.pi * t / 60))[40:200]) < 0.15
 
 
+def test_band_passed_edges(spark):
+    """The trend alone passes a low-pass, a mask takes the ends off, gaps stay gaps, and a constant is no wave."""
+    t = np.arange(96)
+    x = np.sin(2 * math.pi * t / 24)
+    sets = {1: 0.02 * t + 3, 2: x, 3: np.where((t > 40) & (t < 44), np.nan, x), 4: np.full(96, np.nan), 5: np.where(t < 10, np.nan, x)}
+    df = spark.createDataFrame([(k, int(i), None if np.isnan(v) else float(v)) for k, s in sets.items() for i, v in zip(t, s, strict=True)], "k int, t int, x double")
+    low = {k: np.array([np.nan if r["band"] is None else r["band"] for r in X.band_passed(df.where(f"k = {k}"), ["k"], "t", 1.0, 0.0, 1 / 12, 2.0, keep_trend=True).orderBy("t").collect()]) for k in (1, 4)}
+    assert np.allclose(low[1], sets[1], atol=1e-9) and np.isnan(low[4]).all()
+    band = X.band_passed(df, ["k"], "t", 1.0, 1 / 48, 1 / 12, mask_edges=True)
+    got = {k: np.array([np.nan if r["band"] is None else r["band"] for r in band.where(f"k = {k}").orderBy("t").collect()]) for k in (2, 3, 5)}
+    assert np.isnan(got[2][[0, 95]]).all() and np.nanmax(np.abs(got[2] - x)) < 0.2
+    assert np.isnan(got[3][41:44]).all() and np.isfinite(got[3][48]) and np.isnan(got[5][:11]).all()
+
+
 def test_harmonics_match_least_squares(spark):
     rng = np.random.default_rng(2)
     day = np.sort(rng.choice(4000, 70, replace=False))
