@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtide.llm.common import ASCII_LOWER, ASCII_UPPER, ascii_lower, broadcast_if_small, saved, table, without
+from gridtide.llm.common import ASCII_LOWER, ASCII_UPPER, ascii_lower, broadcast_if_small, keyed, saved, table, without
 
 WINDOW = 13
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -107,9 +107,10 @@ def judged(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 2
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the contaminated ones."""
-    bad = judged(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).where("contaminated")
-    return without(docs, bad, "doc_id")
+    """docs without the contaminated rows, whatever their ids."""
+    rows, key = keyed(docs)
+    bad = judged(rows.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("contaminated")
+    return without(rows, bad.select(F.col("doc_id").alias(key)), key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ characters counts as one boundary symbol.
 
 Cases: a null text and a text without a letter get ``und`` and score 0. Null labels and labels of rows outside the
 training split are not learned from. With no labelled row at all every text gets ``und``. Repeated rows and ids are
-scored one by one; further columns of the input are kept as they are (``columns``). Texts of any length are read whole,
+scored one by one; a null doc_id counts as held out; further columns of the input are kept as they are (``columns``). Texts of any length are read whole,
 in pieces of about a million characters that meet at a document's end only.
 """
 
@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtide.functions.shipping import ship
-from gridtide.llm.common import remainder, saved, table, without
+from gridtide.llm.common import keyed, remainder, saved, table, without
 
 ORDER = 4
 PIECE = 1_000_000
+APART = 1  # remainder of the training rows that only set the limits
 BLOCK = 16_000_000  # characters of the texts that are scored together
 SEP = "" * (ORDER - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -332,15 +333,22 @@ def calibrated(scored: DataFrame, known, spread: float = 4.0, least: int = 20) -
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those in no language of the models, which learn from the labels of the same docs."""
-    held_out = remainder(F.col("doc_id"), 5) == 0
-    model = fit(docs.where(~held_out))
-    scored = saved(score(docs, model, columns=("doc_id", "lang")))
-    return without(docs, calibrated(scored, held_out & (F.col("lang") == F.col("lang_pred"))).where("rejected"), "doc_id")
+    """docs without those in no language of the models, which learn from the labels of the same docs.
+
+    One in five of the labelled rows is kept apart from the models and sets their limits. Rows are judged one by one,
+    whatever their ids; all columns stay.
+    """
+    rows, key = keyed(docs)
+    apart = F.coalesce(remainder(F.col("doc_id"), 5) == APART, F.lit(False))
+    model = fit(rows.where(~apart))
+    scored = saved(score(rows.select(key, "text", F.when(apart, F.col("lang")).alias("lang")), model, columns=(key, "lang")))
+    return without(rows, calibrated(scored, F.col("lang") == F.col("lang_pred")).where("rejected"), key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    split = remainder(F.col("doc_id"), 5)
-    model = fit(docs.where(split != 0))
-    return score(docs, model).select("doc_id", (split == 0).alias("held_out"), "lang_pred", "score", "entropy")
+    split = F.coalesce(remainder(F.col("doc_id"), 5), F.lit(0).cast("long"))
+    model = fit(docs.where((split != 0) & (split != APART)))
+    scored = saved(score(docs.select("doc_id", "text", F.when(split == APART, F.col("lang")).alias("lang")), model, columns=("doc_id", "lang")))
+    out = calibrated(scored, F.col("lang") == F.col("lang_pred"))
+    return out.select("doc_id", (split == 0).alias("held_out"), "lang_pred", "score", "entropy", "rejected")

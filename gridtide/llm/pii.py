@@ -52,22 +52,26 @@ MOST = 1_000_000
 
 
 def _key():
-    """One value for equal (doc_id, text): rows that agree in both have the same spans."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
+    """One value of 128 bits for equal (doc_id, text): rows that agree in both have the same spans."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
+    return F.struct(F.xxhash64(F.lit(1), *own).alias("a"), F.xxhash64(F.lit(2), *own).alias("b"))
 
 
 def _text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), _key().alias("key"))
 
 
-def found(rows: DataFrame) -> DataFrame:
-    """(key, doc_id, kind, start, end, value, before, after) of the pattern spans of rows (key, doc_id, text)."""
+def found(rows: DataFrame, near: int = NEAR) -> DataFrame:
+    """(key, doc_id, kind, start, end, value, before, after) of the pattern spans of rows (key, doc_id, text).
+
+    before and after: up to ``near`` characters beside the span, and one more where there are more.
+    """
     out = None
     for kind, (pattern, may, _) in KINDS.items():
         m, p = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.split("text", pattern, -1)
         cut = F.transform(
             F.arrays_zip(m.alias("m"), p.alias("p"), F.slice(p, 2, 1 << 30).alias("q")),
-            lambda x: F.struct(x["m"].alias("m"), F.length(x["p"]).alias("skip"), F.substring(x["p"], -NEAR - 1, NEAR + 1).alias("before"), F.substring(x["q"], 1, NEAR + 1).alias("after")),
+            lambda x: F.struct(x["m"].alias("m"), F.length(x["p"]).alias("skip"), F.substring(x["p"], -near - 1, near + 1).alias("before"), F.substring(x["q"], 1, near + 1).alias("after")),
         )
         part = rows.where(may.format(t="text")).select("key", "doc_id", F.lit(kind).alias("kind"), F.posexplode(cut).alias("i", "x")).select("key", "doc_id", "kind", "i", "x.*")
         out = part if out is None else out.unionByName(part)
@@ -83,20 +87,23 @@ def _words(text):
     return F.filter(F.split(ascii_lower(text), LETTERS + "+"), lambda w: F.length(w) >= 1)
 
 
-def _whole(piece: str, outer: str):
-    """piece of a text beside a span; where it is longer than NEAR it was cut, and the outer word goes."""
-    return F.when(F.length(piece) > NEAR, F.regexp_replace(piece, outer, "")).otherwise(F.col(piece))
+def _whole(piece: str, outer: str, near: int = NEAR):
+    """piece of a text beside a span; where it is longer than ``near`` it was cut, and the outer word goes."""
+    return F.when(F.length(piece) > near, F.regexp_replace(piece, outer, "")).otherwise(F.col(piece))
+
 
+def disclosing(base: DataFrame, rows: DataFrame, support: int = 2, certain: float = 0.5, bits: float = 4.0, near: int = NEAR, around: int = AROUND) -> DataFrame:
+    """(term, bits): terms that give an entity of base away, their co-occurrence counted over all rows.
 
-def disclosing(base: DataFrame, rows: DataFrame, support: int = 2, certain: float = 0.5, bits: float = 4.0) -> DataFrame:
-    """(term, bits): terms that give an entity of base away, their co-occurrence counted over all rows."""
-    left = F.slice(F.reverse(_words(_whole("before", r"^[A-Za-z\x{80}-\x{10FFFF}]+"))), 1, AROUND)
-    right = F.slice(_words(_whole("after", r"[A-Za-z\x{80}-\x{10FFFF}]+$")), 1, AROUND)
-    near = base.select("key", F.xxhash64("kind", F.lower("value")).alias("entity"), left.alias("l"), right.alias("r"))
-    near = near.select("key", "entity", F.xxhash64("l", "r").alias("context"), F.explode(F.array_distinct(F.concat("l", "r"))).alias("term"))
-    contexts = near.groupBy("entity", "term", "context").agg(F.count_distinct("key").alias("docs"))
+    A term is near an entity if it is one of ``around`` words on either side, within ``near`` characters.
+    """
+    left = F.slice(F.reverse(_words(_whole("before", r"^[A-Za-z\x{80}-\x{10FFFF}]+", near))), 1, around)
+    right = F.slice(_words(_whole("after", r"[A-Za-z\x{80}-\x{10FFFF}]+$", near)), 1, around)
+    beside_it = base.select("key", F.xxhash64("kind", F.lower("value")).alias("entity"), left.alias("l"), right.alias("r"))
+    beside_it = beside_it.select("key", "entity", F.xxhash64("l", "r").alias("context"), F.explode(F.array_distinct(F.concat("l", "r"))).alias("term"))
+    contexts = beside_it.groupBy("entity", "term", "context").agg(F.count_distinct("key").alias("docs"))
     pairs = contexts.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("docs").alias("both")).where(F.col("contexts") >= support)
-    beside = near.groupBy("term").agg(F.count_distinct("key").alias("beside"))  # near any entity: no more than all its documents
+    beside = beside_it.groupBy("term").agg(F.count_distinct("key").alias("beside"))  # near any entity: no more than all its documents
     pairs = saved(pairs.join(beside, "term").where(F.col("both") >= certain * F.col("beside")).drop("beside"))
     terms = saved(pairs.select("term").distinct())
     if terms.isEmpty():
@@ -120,11 +127,11 @@ def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
     return hit.select("key", "doc_id", F.lit("term").alias("kind"), "start", (F.col("start") + F.length("term")).alias("end")).distinct()
 
 
-def spans(docs: DataFrame, **thresholds) -> DataFrame:
+def spans(docs: DataFrame, near: int = NEAR, around: int = AROUND, **thresholds) -> DataFrame:
     """(doc_id, kind, start, end) with key: pattern spans and those of disclosing terms."""
     rows = _text(docs)
-    base = saved(found(rows))
-    terms = disclosing(base, rows, **thresholds)
+    base = saved(found(rows, near))
+    terms = disclosing(base, rows, near=near, around=around, **thresholds)
     own = base.select("key", "doc_id", "kind", "start", "end")
     return own if terms.isEmpty() else own.unionByName(term_spans(rows, terms))
 
@@ -136,7 +143,12 @@ def _joined(kinds: list[str]):
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return result(table(spark, sf_dir, "documents"))
+
+
+def result(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, the number of spans of each pattern, a digest of them, and all spans."""
+    docs = docs.select("doc_id", "text")
     place = F.array_position(F.array(*(F.lit(k) for k in ORDER)), F.col("kind"))
     own = spans(docs).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", place.alias("place"), "end", "kind"))).alias("all"))
     counts = [F.expr(f"cast(size(filter(`all`, x -> x.kind = '{k}')) as bigint) as n_{k}") for k in KINDS]
@@ -146,10 +158,10 @@ def query(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *zero, F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
-def sanitised(docs: DataFrame, **thresholds) -> DataFrame:
+def sanitised(docs: DataFrame, near: int = NEAR, around: int = AROUND, **thresholds) -> DataFrame:
     """docs with personal data generalised and disclosing terms removed from text."""
     rows = _text(docs)
-    terms = disclosing(saved(found(rows)), rows, **thresholds)
+    terms = disclosing(saved(found(rows, near)), rows, near=near, around=around, **thresholds)
     out = docs.withColumn("_key", _key())
     for kind, (pattern, may, check) in KINDS.items():
         cut = F.struct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m"), F.split("text", pattern, -1).alias("p"))

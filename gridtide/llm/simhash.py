@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtide.functions.shipping import ship
-from gridtide.llm.common import saved, table, without
+from gridtide.llm.common import keyed, saved, table, without
 from gridtide.llm.components import connected
 
 BITS = 64
@@ -170,9 +170,16 @@ def grouped(prints: DataFrame, radius: int = 4, parts: int = 6, tile: int = 4096
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one document, that of the smallest id, of each group of near-duplicates."""
-    groups = grouped(saved(fingerprints(docs)))
-    return without(docs, groups.where("component_id <> doc_id"), "doc_id")
+    """docs with one row of each group of near-duplicates: that of the smallest id, rows without one coming last.
+
+    Rows that share an id, or have none, are compared and judged one by one.
+    """
+    rows, key = keyed(docs)
+    prints = saved(fingerprints(rows, doc_id=key))  # the key stands for the id here
+    groups = saved(grouped(prints).select(F.col("doc_id").alias(key), "component_id").join(rows.select(key, "doc_id"), key))
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("key"))).alias("m"))
+    kept = first.select(F.col("m.key").alias(key))
+    return without(rows, groups.select(key).join(kept, key, "left_anti"), key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -255,11 +255,97 @@ def test_toxicity_tolerates_gaps_and_added_letters(spark):
     assert min(got[:5]) > max(got[5:]) and min(got[:3]) >= 0.3 and got[5] == got[6] == 0 and max(got[7:]) < 0.3
 
 
+def test_toxicity_kernel_is_that_of_brute_force():
+    """word_scores with the weights of a landmark are the kernel of each string and the landmark."""
+
+    def features(word: str) -> dict:
+        s, out = f"<{word}>", collections.Counter()
+        for i in range(len(s)):
+            for j in range(i + 1, min(i + 4, len(s))):
+                for k in range(j + 1, min(j + 4, len(s))):
+                    out[s[i], s[j], s[k]] += 0.6 ** (k - i + 1)
+        return out
+
+    def norm(word: str) -> float:
+        n = len(word) + 2
+        return math.sqrt(sum(max(n - g - h, 0) * 0.6 ** (2 * (g + h + 1)) for g in (1, 2, 3) for h in (1, 2, 3)))
+
+    words = ["idiot", "idiiot", "idot", "teapot", "ño", "a", "x" * 39, "slice"]
+    marks = ["idiot", "slice"]
+    text = toxicity.Words([" ".join(words)])
+    mark = toxicity.Words([" ".join(marks)])
+    for at, own in enumerate(marks):
+        letters = mark.letters[mark.begin[at] : mark.begin[at] + mark.size[at]]
+        weights = np.zeros(toxicity.ALPHABET**3, np.float32)
+        for _, triple, w in toxicity.triples(letters, np.array([len(letters)])):
+            np.add.at(weights, triple, w)
+        got = toxicity.word_scores(text.letters, text.size, weights) / norm(own)
+        f = features(own)
+        want = [sum(v * f[k] for k, v in features(w).items()) / norm(w) / norm(own) for w in words]
+        assert np.allclose(got, want, atol=1e-6)
+
+
+def test_toxicity_machine_is_the_best_of_its_space():
+    """No step away from the machine's weights lowers the weighted squared hinge loss in the landmarks' space."""
+    rng = np.random.default_rng(6)
+    words = [w for w in toxicity.Words([" ".join("".join(rng.choice(list("abdeiost"), 6)) for _ in range(60))]).strings()]
+    bad, good = rng.uniform(0, 0.02, 60) * (rng.random(60) < 0.4), rng.uniform(0, 0.02, 60)
+    judge = toxicity.machine(words, bad, good, words[:20])
+    columns = np.arange(toxicity.ALPHABET**3)
+    marks = np.array([np.bincount(np.concatenate([t for _, t, _ in toxicity.triples(*toxicity._arrays([w]))]), np.concatenate([np.full(len(t), v) for _, t, v in toxicity.triples(*toxicity._arrays([w]))]), len(columns)) / toxicity._norms(len(w))[len(w)] for w in words])
+    basis = np.linalg.svd(marks[:20], full_matrices=False)[2]
+
+    def loss(weights, bias):
+        f = marks @ weights + bias
+        return 2000 * float(bad @ np.maximum(0, 1 - f) ** 2 + good @ np.maximum(0, 1 + f) ** 2) + float(weights @ weights)
+
+    own = judge.weights.astype(float)
+    assert np.allclose(own, basis.T @ (basis @ own), atol=1e-3)
+    least = loss(own, judge.bias)
+    for _ in range(30):
+        step = basis.T @ rng.normal(size=len(basis)) * 0.02
+        assert loss(own + step, judge.bias + rng.normal() * 0.002) >= least * (1 - 1e-4)
+
+
+def test_toxicity_of_all_scripts_and_long_runs(spark):
+    rng = np.random.default_rng(2)
+    clean = ["".join(rng.choice(["та", "ро", "ми", "не", "су", "ла"], 3)) for _ in range(200)] + ["".join(rng.choice(list("山川田中人口水火"), 6)) for _ in range(200)]
+    rows = [(i, " ".join([*rng.choice(clean, 25), *([("дурак", "天地玄黄宇宙")[i // 4 % 2]] if i % 4 == 0 else [])])) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(240)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels, examples=600)
+    run = "".join(rng.choice(list("山川田中人口水火"), 300))
+    tests = ["ты дурак", "дуррак", "天地玄黄宇宙", "тароми несула", "山川田中人", ""]
+    got = [r["score"] for r in toxicity.scored(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert min(got[:3]) >= 0.3 > max(got[3:5]) and got[5] == 0
+    whole = toxicity.Words([run[:37] + "天地玄黄宇宙" + run[37:]])
+    assert len(whole.size) > 14 and whole.size.max() <= toxicity.LONGEST + 2
+    hidden = toxicity.Words(["天地玄黄宇宙"]).strings()[0][1:-1]
+    assert any(hidden in s for s in whole.strings())
+
+
 def test_toxicity_cases(spark):
     df = odd(spark)
     no_labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(df, no_labels)
     assert model is None and {r["score"] for r in toxicity.scored(df, model).collect()} == {0.0}
+    rng = np.random.default_rng(9)
+    clean = ["".join(rng.choice(["ta", "ro", "mi", "ne"], 3)) for _ in range(60)]
+    rows = [(i, " ".join([*rng.choice(clean, 20), *(["wretch"] if i % 3 == 0 else [])])) for i in range(120)]
+    fitted = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int"), examples=300)
+    out = toxicity.scored(df, fitted).collect()
+    assert len(out) == 11 and all(0 <= r["score"] <= 1 for r in out) and {r["score"] for r in out if r["doc_id"] in (1, 2, 3)} == {0.0}
+
+
+def test_toxicity_query(spark, docs):
+    out = {r["doc_id"]: r for r in toxicity.query(spark, SF).collect()}
+    import zlib
+
+    assert len(out) == docs.count() and all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in out.items())
+    assert all(r["predicted"] == int(r["score"] >= 0.3) for r in out.values())
+    toxic = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").collect()}
+    learned = [i for i in toxic if not out[i]["held_out"]]
+    assert sum(out[i]["predicted"] for i in learned) >= 0.6 * len(learned)
 
 
 # --- personal data
@@ -303,6 +389,68 @@ def test_pii_terms_at_the_ends_of_texts_and_of_two_letters(spark):
     assert near.first()["w"] == ["b" * 8] + ["c"] * 54
 
 
+BASE = [("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")), ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")), ("card", re.compile(r"[0-9]([\x20-]?[0-9])+")), ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"))]
+
+
+def brute_base(text: str) -> list[tuple]:
+    """(start, place, kind, end) of the pattern spans of a text, by Python's own matcher."""
+
+    def fits(kind, m):
+        digits = re.sub("[^0-9]", "", m)
+        n = [int(c) for c in digits][::-1]
+        return {"email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in m.split(".")), "phone": lambda: 9 <= len(n) <= 15, "card": lambda: 12 <= len(n) <= 19 and (sum(n[::2]) + sum(sum(divmod(2 * x, 10)) for x in n[1::2])) % 10 == 0}[kind]()
+
+    return sorted((m.start(), place, kind, m.end()) for place, (kind, rx) in enumerate(BASE) for m in rx.finditer(text) if fits(kind, m[0]))
+
+
+def brute_terms(texts: list[str], support=2, certain=0.5, bits=4.0, near=120, around=5) -> set[str]:
+    """Disclosing terms by dictionaries over documents."""
+    word = re.compile(r"[a-z\x80-\U0010FFFF]+")
+    low = [t.translate(LOWER) for t in texts]
+    beside, contexts = collections.defaultdict(set), collections.defaultdict(set)
+    holders = collections.defaultdict(set)
+    for d, t in enumerate(texts):
+        for a, _, kind, z in brute_base(t):
+            entity = kind, t[a:z].lower()
+            holders[entity].add(d)
+            left = [(m.start(), m.end(), m[0]) for m in word.finditer(low[d], 0, a)]
+            right = [(m.start(), m.end(), m[0]) for m in word.finditer(low[d], z)]
+            l = [w for s, _, w in left if s >= a - near][::-1][:around] if a <= near else [w for s, _, w in left if s > a - near - 1][::-1][:around]  # noqa: E741
+            r = [w for _, e, w in right if e <= z + near][:around] if len(t) - z <= near else [w for _, e, w in right if e < z + near + 1][:around]
+            for w in {*l, *r}:
+                beside[w, entity].add(d)
+                contexts[w, entity].add((tuple(l), tuple(r)))
+    having = collections.defaultdict(set)
+    for d, t in enumerate(low):
+        for w in word.findall(t):
+            having[w].add(d)
+    out = set()
+    for (w, entity), docs in beside.items():
+        p = len(docs) / len(having[w])
+        if len(contexts[w, entity]) >= support and p >= certain and math.log2(p * len(texts) / len(holders[entity])) >= bits:
+            out.add(w)
+    return out
+
+
+def test_pii_query_is_that_of_brute_force(spark, docs):
+    """On the table as it is, and with names planted beside some of its addresses."""
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.orderBy("doc_id").collect()]
+    planted = [(i, t) for i, t in rows] + [(10_000 + i, f"{w} Zoltan Quimby zq@here.org {rows[i][1][:200]}") for i, w in enumerate(["ask", "tell", "see", "reach"])] + [(11_000, "nobody but Quimby knows")]
+    for some in (rows, planted):
+        texts = [t for _, t in some]
+        terms = brute_terms(texts)
+        word = re.compile(r"[a-z\x80-\U0010FFFF]+")
+        df = spark.createDataFrame(some, "doc_id long, text string")
+        got = {r["doc_id"]: r for r in pii.result(df).collect()}
+        for i, t in some:
+            base = brute_base(t)
+            extra = [(m.start(), len(BASE), "term", m.end()) for m in word.finditer(t.translate(LOWER)) if m[0] in terms]
+            joined = lambda spans: ",".join(f"{k}:{a}:{z}" for a, _, k, z in sorted(spans))
+            assert [got[i][f"n_{k}"] for k, _ in BASE] == [sum(b[2] == k for b in base) for k, _ in BASE]
+            assert got[i]["base_sha256"] == hashlib.sha256(joined(base).encode()).hexdigest() and got[i]["spans"] == joined(base + extra)
+    assert "quimby" in terms and "term" in got[11_000]["spans"]
+
+
 def test_pii_cases(spark):
     df = odd(spark)
     assert pii.stage(spark, df, SF).columns == df.columns and pii.stage(spark, df, SF).count() == 11
