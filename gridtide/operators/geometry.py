@@ -66,6 +66,14 @@ def nested_cells(grid: DataFrame, schemes: DataFrame) -> DataFrame:
     return hit.join(blocks.select("priority", "tile", "bj", "bi", "cell", "size"), ["priority", "tile", "bj", "bi"]).withColumn("ord", order).select("cell", "tile", "j", "i", "ord", "size")
 
 
+def combined(special: DataFrame, grid: DataFrame, schemes: DataFrame) -> DataFrame:
+    """special (cell, tile, j, i, ord, size) first, then nested cells of the points that it leaves, numbered after it."""
+    rest = nested_cells(grid.join(special.select("tile", "j", "i"), ["tile", "j", "i"], "left_anti"), schemes)
+    base = special.agg((F.coalesce(F.max("cell"), F.lit(-1)) + 1).alias("_base"))  # one row
+    rest = rest.crossJoin(F.broadcast(base)).withColumn("cell", F.col("cell") + F.col("_base")).select("cell", "tile", "j", "i", "ord", "size")
+    return special.select("cell", "tile", "j", "i", "ord", "size").unionByName(rest)
+
+
 def first_of(df: DataFrame, keys: list[str], priority: str) -> DataFrame:
     """The row of the smallest priority for the keys."""
     own = df.groupBy(*keys).agg(F.min(priority).alias(priority))
@@ -136,6 +144,25 @@ def coast_strip(line: DataFrame, cells: DataFrame, km: float, right: bool = True
     return near.where(beside | corner).select("cell").distinct()
 
 
+def coast_line(faces: DataFrame, lon: tuple[float, float] = (-81.5, -66.4), lat: tuple[float, float] = (27.0, 45.0)) -> DataFrame:
+    """(ord, lon, lat) of the faces of one coast from south to north, without the islands off it.
+
+    Fixed values: the bounds of the east coast of the United States, and the line that parts it from the Bahamas.
+    """
+    own = faces.where((F.pmod(F.col("lon") - lon[0], F.lit(360.0)) <= lon[1] - lon[0]) & F.col("lat").between(*lat))
+    own = own.where(-(F.col("lon") + 79) + (F.col("lat") - 25) >= 0)
+    order = F.row_number().over(Window.orderBy(F.col("lat") + 0.001 * F.col("lon"), "lon"))  # one coast: some thousand points
+    return own.select("lon", "lat").distinct().select(order.alias("ord"), "lon", "lat")
+
+
+def regions_with_coast(cells: DataFrame, line: DataFrame, km: float = 300.0) -> DataFrame:
+    """(cell, region) of cells (cell, lon, lat): those of :func:`regions`, and 6, the strip along a coast line, for cells
+    that none of the regions before it holds."""
+    strip = coast_strip(line, cells, km).withColumn("_coast", F.lit(True))
+    own = regions(F.col("lon"), F.col("lat"))
+    return cells.join(strip, "cell", "left").select("cell", F.when(own <= 5, own).when(F.col("_coast"), 6).otherwise(own).alias("region"))
+
+
 def in_quad(x: Column, y: Column, corners: list[tuple[Column, Column]]) -> Column:
     """Whether (x, y) is inside a convex quadrilateral whose corners go round it."""
     sides = []

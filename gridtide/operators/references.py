@@ -51,6 +51,14 @@ def at_point(field: DataFrame, cells: DataFrame, lon: float, lat: float) -> Data
     return field.join(F.broadcast(own), "cell", "left_semi").select(F.lit("point").alias("series"), "m", "x")  # one cell
 
 
+def level_from_surface(surface: DataFrame, other: DataFrame, world: DataFrame) -> DataFrame:
+    """(m, x): the sea level of a model of which only its surface (m, eta) is known, by what another model's level and
+    surface (m, ssh, eta) differ, less the same sum of the global means (m, eta, other_ssh, other_eta)."""
+    own = surface.select("m", F.col("eta").alias("_eta")).join(other.select("m", F.col("ssh").alias("_ssh"), F.col("eta").alias("_other")), "m")
+    mean = world.select("m", (F.col("eta") + F.col("other_ssh") - F.col("other_eta")).alias("_mean"))
+    return own.join(mean, "m").select("m", (F.col("_eta") + F.col("_ssh") - F.col("_other") - F.col("_mean")).alias("x"))
+
+
 @kind
 def model(forecast: DataFrame) -> DataFrame:
     """A forecast (init, pred, x) by number of its lead."""

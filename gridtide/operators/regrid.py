@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridtide.operators.geometry import nearest_cell
+
 METRES = 111100.0
 
 
@@ -53,6 +55,39 @@ def conserving(overlap: DataFrame, source_area: DataFrame, target_area: DataFram
     return direct.unionByName(lost.select("t", "s", (F.col("s_area") / F.col("t_area")).alias("weight")))
 
 
+def river_rule(lat_ind, lon_ind):
+    """Which targets a source cell of the river grid may go to: 0 any, 1 to 3 see :data:`RIVER_TARGETS`, NULL none.
+
+    Fixed values: boxes on a grid of a quarter degree around the Gulf of California, the Black and the Caspian Sea, the
+    Baltic, Penzhina Bay and the Gulf of Ob, in this order.
+    """
+    gulf = (F.abs(lat_ind - 484) <= 4) & (F.abs(lon_ind - 986) <= 6)
+    black = (lat_ind - (-20 / 120 * (lon_ind - 108) + 520) > 0) & (lat_ind < 552) & (F.abs(lon_ind - 168) <= 60)
+    baltic = (F.abs(lat_ind - 598) <= 26) & (F.abs(lon_ind - 80) < 44) & ((lat_ind < 584) | (lon_ind >= 54))
+    bay = (F.abs(lat_ind - 606) <= 6) & (F.abs(lon_ind - 650) <= 10)
+    ob = (F.abs(lat_ind - 632) <= 10) & (F.abs(lon_ind - 296) <= 20)
+    return F.when(gulf, 1).when(black | baltic, F.lit(None).cast("int")).when(bay, 2).when(ob, 3).otherwise(0)
+
+
+#: Conditions on the longitude and latitude of targets (fixed values).
+RIVER_TARGETS = {
+    0: lambda lon, lat: F.lit(True),
+    1: lambda lon, lat: F.pmod(lon + 115, F.lit(360.0)) < 180,
+    2: lambda lon, lat: lon - (lat - 60 + 163) <= 0,
+    3: lambda lon, lat: lon - 71 >= 0,
+}
+
+
+def river_targets(sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """(s, t) of the target (t, lon, lat) nearest to each source (s, lat_ind, lon_ind, lon, lat) that may take it."""
+    rows = sources.withColumn("_rule", river_rule(F.col("lat_ind"), F.col("lon_ind")))
+    out = None
+    for rule, fits in RIVER_TARGETS.items():
+        near = nearest_cell(rows.where(F.col("_rule") == rule), targets.where(fits(F.col("lon"), F.col("lat"))), "s", "t").select("s", "t")
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
 def applied(weight: DataFrame, field: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
     """Sums of weight times value by target and keys; targets without a weight have no row."""
     return field.join(weight, "s").groupBy("t", *keys).agg(F.sum(F.col("weight") * F.col(value)).alias(value))

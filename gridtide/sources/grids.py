@@ -43,19 +43,24 @@ def floats(spark: SparkSession, path: str, pattern: str = "*.data", side: int =
     return rows.select("path", "record", tile.alias("tile"), j.alias("j"), i.alias("i"), "x")
 
 
-def sensitivities(spark: SparkSession, path: str, last_day: int, side: int = SIDE) -> DataFrame:
+def sensitivities(spark: SparkSession, path: str, last_day: int, side: int = SIDE, pattern: str = "adxx_*.data") -> DataFrame:
     """(forc, step, s, tile, j, i, x): smoothed records of files adxx_<forc>.*, a week apart up to last_day (since 1970)."""
     from pyspark.sql import Window
 
     from gridtide.operators.resample import smoothed
 
-    rows = floats(spark, path, "adxx_*.data", side).withColumn("forc", F.regexp_extract("path", r"adxx_([^./]+)\.", 1))
+    rows = floats(spark, path, pattern, side).withColumn("forc", F.regexp_extract("path", r"adxx_([^./]+)\.", 1))
     rows = smoothed(rows, ["forc", "tile", "j", "i"], "record")
     last = F.max("record").over(Window.partitionBy("forc", "tile", "j", "i"))
     s = (F.lit(last_day) * 86400 - 302400 - (last - F.col("record")) * 604800).cast("long")
     return rows.select("forc", F.col("record").alias("step"), s.alias("s"), "tile", "j", "i", F.col("smooth").alias("x"))
 
 
+def sensitivities_of_many_years(spark: SparkSession, path: str, side: int = SIDE) -> DataFrame:
+    """As :func:`sensitivities`, of the one file a forcing that reaches back from 2016-01-06 to 1992."""
+    return sensitivities(spark, path, 16806, side, "adxx_*.0000000059_dim.data")
+
+
 def weekly_forcing(spark: SparkSession, path: str, side: int = SIDE) -> DataFrame:
     """(forc, s, tile, j, i, x) of files <forc>.<hours since 1992-01-01, plus 84>.data; a missing week has no rows."""
     rows = floats(spark, path, "*.data", side)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 import struct
 
@@ -11,14 +12,16 @@ from pyspark.sql import functions as F
 
 from gridtide.functions import special
 from gridtide.functions.nulls import finite, without_sentinel
+from gridtide.operators import alignment as L
 from gridtide.operators import attribution as A
 from gridtide.operators import filters as X
 from gridtide.operators import geometry as G
+from gridtide.operators import references
 from gridtide.operators import regrid as W
 from gridtide.operators import resample as R
 from gridtide.operators import stats as S
 from gridtide.operators import timejoin as J
-from gridtide.sources import grids, series, tables
+from gridtide.sources import fluxes, grids, series, tables
 from gridtide.streaming import means
 
 
@@ -283,3 +286,78 @@ def test_conservation_with_a_far_source(spark):
     for r in got.join(s_area, "s").collect():
         assert r["total"] == pytest.approx(r["s_area"])
     assert got.count() == 3
+
+
+def test_alignment_is_that_of_loops(spark):
+    years, week = [1999, 2000, 2001], 604800
+    jan = lambda y: (dt.date(y, 1, 1) - dt.date(1970, 1, 1)).days * 86400
+    start = 694224000 + week // 2 + round((jan(years[0] - 1) - 694224000) / week) * week
+    lattice = list(range(start, jan(years[-1] + 1), week))
+    nearest = lambda s: min(lattice, key=lambda x: (abs(x - s), x))
+    centre = lambda k, y: jan(y) + k * week + week // 2
+    steps = [(m, k, jan(2008) + m * 2629728 - (n - 1 - k) * week, n) for m, n in ((1, 54), (7, 55)) for k in range(n)]
+    want = set()
+    for m, k, s, n in steps:
+        year = 365.24 * 86400
+        b = min(range(52), key=lambda j: (round(min((s - centre(j, 2004)) % year, year - (s - centre(j, 2004)) % year), 3), j))
+        for y in years:
+            if b >= k:
+                gap = nearest(centre(0, y)) - nearest(centre(51, y - 1)) > 10.5 * 86400
+                at = nearest(centre(b, y - 1)) + (week if gap else 0)
+            else:
+                at = nearest(centre(b, y + 1 if b < k - (n - 5) else y))
+            want.add((m, k, y, b, at))
+    got = L.aligned(spark.createDataFrame(steps, "month int, step int, s long, n int"), years)
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_fluxes(spark, tmp_path):
+    day = 86400
+    jan = 10957 * day  # 2000-01-01
+    spark.createDataFrame([(jan - 15 * day, 1, 0, 0, 0.5, 0.25), (jan - 14 * day, 1, 0, 0, 0.5, 0.25), (jan, 1, 0, 0, None, 0.25)], fluxes.WATER).write.parquet(str(tmp_path / "w"))
+    spark.createDataFrame([(jan, 3, 4, 2.0), (jan + 375 * day, 3, 4, 1.0)], fluxes.RIVER).write.parquet(str(tmp_path / "r"))
+    assert rows(fluxes.evaporation_less_rain(spark, str(tmp_path / "w"), [2000], 2).select("s", "x"), "s") == [(jan - 14 * day, 250.0), (jan, None)]
+    assert rows(fluxes.river_discharge(spark, str(tmp_path / "r"), [2000], 2).select("s", "x"), "s") == [(jan, -2.0)]
+    assert fluxes.after_start("x_seas5_ensmean") == (8, "weekly")
+    with pytest.raises(ValueError, match="no forecast"):
+        fluxes.after_start("era5")
+    readers = {k: (lambda forc, k=k: (k, forc)) for k in ("ecco", "ecco_emp", "era5", "jra55do")}
+    assert fluxes.before_start("ecco_v4", "emp", readers) == ("ecco_emp", "emp") and fluxes.before_start("era5", "tauu", readers) == ("era5", "tauu")
+
+
+def test_special_cells_before_nested_ones(spark):
+    grid = spark.createDataFrame([(0, j, i) for j in range(4) for i in range(4)], "tile int, j int, i int")
+    special = spark.createDataFrame([(0, 0, 0, 0, 0, 2), (0, 0, 0, 1, 1, 2), (1, 0, 3, 3, 0, 1)], "cell long, tile int, j int, i int, ord int, size long")
+    schemes = spark.createDataFrame([(1, 2, 0, 0, 4, 0, 4)], "priority int, n_merge int, tile int, j_lo int, j_hi int, i_lo int, i_hi int")
+    out = rows(G.combined(special, grid, schemes), "cell", "ord")
+    assert len({r[1:4] for r in out}) == len(out) == 16 and sorted({r[0] for r in out}) == list(range(6))
+    assert [r[0] for r in out if r[1:4] == (0, 1, 1)] == [2] and out[0][5] == 2
+
+
+def test_coast_strip_is_a_region(spark):
+    faces = spark.createDataFrame([(-80.0, 29.0), (-79.5, 31.0), (-76.0, 36.0), (-74.0, 40.0), (-77.0, 26.5), (-70.0, 28.0)], "lon double, lat double")
+    line = G.coast_line(faces)
+    assert rows(line.select("lon", "lat"), "ord") == [(-80.0, 29.0), (-79.5, 31.0), (-76.0, 36.0), (-74.0, 40.0)]
+    cells = spark.createDataFrame([(1, -79.0, 30.0), (2, -60.0, 30.0), (3, -81.0, 25.0), (4, -75.0, 37.0)], "cell int, lon double, lat double")
+    assert rows(G.regions_with_coast(cells, line), "cell") == [(1, 6), (2, 7), (3, 5), (4, 6)]
+
+
+def test_rivers_go_where_they_may(spark):
+    t = spark.createDataFrame([(1, -110.0, 30.0), (2, -120.0, 30.0), (3, 80.0, 70.0), (4, 60.0, 70.0)], "t int, lon double, lat double")
+    s = spark.createDataFrame([(1, 484, 986, -116.0, 30.0), (2, 540, 150, 30.0, 44.0), (3, 598, 80, 20.0, 60.0), (4, 632, 296, 64.0, 70.0), (5, 100, 100, -119.0, 29.0)], "s int, lat_ind int, lon_ind int, lon double, lat double")
+    assert rows(W.river_targets(s, t), "s") == [(1, 1), (4, 3), (5, 2)]
+
+
+def test_level_from_surface(spark):
+    surface = spark.createDataFrame([(1, 2.0), (2, 3.0)], "m int, eta double")
+    other = spark.createDataFrame([(1, 1.5, 1.0)], "m int, ssh double, eta double")
+    world = spark.createDataFrame([(1, 0.25, 0.5, 0.125)], "m int, eta double, other_ssh double, other_eta double")
+    assert rows(references.level_from_surface(surface, other, world), "m") == [(1, 2.5 - 0.625)]
+
+
+def test_sensitivities_of_many_years(spark, tmp_path):
+    values = np.arange(2 * 13 * 4, dtype=">f4") + 1
+    (tmp_path / "adxx_tauu.0000000059_dim.data").write_bytes(values.tobytes())
+    (tmp_path / "adxx_tauu.0000000012.data").write_bytes(values.tobytes())
+    out = grids.sensitivities_of_many_years(spark, str(tmp_path), side=2)
+    assert out.count() == 104 and out.agg(F.max("s")).first()[0] == 16806 * 86400 - 302400
