@@ -123,7 +123,9 @@ def band_passed(df: DataFrame, keys: list[str], at: str, delta: float, low: floa
 def harmonics(df: DataFrame, keys: list[str], days: str, n_harmonics: int, value: str = "x", period: float = 365.24) -> DataFrame:
     """value without its seasonal cycle (``anom``), and the cycle: least squares on cosines and sines of the period.
 
-    Regressors are made orthogonal one after another by sums over each series (modified Gram-Schmidt).
+    Regressors are made orthogonal one after another by sums over each series (modified Gram-Schmidt). A series of n
+    values has at most half of n, rounded up, less one harmonics; one whose days are too much alike to tell them (a
+    regressor's standard deviation is below 2^-3/2) loses its mean only.
     """
     w = Window.partitionBy(*keys)
     angle = lambda k: F.lit(2 * math.pi * k / period) * F.col(days)
@@ -134,6 +136,11 @@ def harmonics(df: DataFrame, keys: list[str], days: str, n_harmonics: int, value
             names.append(f"_{name}{k}")
             columns[names[-1]] = f(angle(k))
     rows = rows.withColumns(columns).withColumn("_r", F.col(value))
+    room = F.least(F.ceil(F.count("*").over(w) / 2) - 1, F.lit(n_harmonics))
+    rows = rows.withColumns({"_room": room, **{f"{c}_d": F.stddev_pop(c).over(w) for c in names}})
+    told = [F.when(F.lit(int(c[2:])) <= F.col("_room"), F.col(f"{c}_d")) for c in names]
+    rows = rows.withColumn("_told", F.coalesce(F.least(*told), F.lit(0.0)) >= 2**-1.5)
+    rows = rows.withColumns({c: F.when(F.col("_told") & (F.lit(int(c[2:])) <= F.col("_room")), F.col(c)).otherwise(0.0) for c in names}).drop("_room", "_told", *(f"{c}_d" for c in names))
     todo = [*names, "_r"]
     rows = rows.withColumns({c: F.col(c) - F.avg(c).over(w) for c in todo})
     for j, q in enumerate(names):

@@ -168,6 +168,16 @@ def test_harmonics_match_least_squares(spark):
     assert np.allclose(got, x - a @ np.linalg.lstsq(a, x, rcond=None)[0])
 
 
+def test_harmonics_of_few_or_like_days(spark):
+    like = [("like", 365.24 * k + 3, float(k)) for k in range(8)]
+    few = [("few", d, x) for d, x in ((0.0, 1.0), (90.0, 4.0), (200.0, 2.0), (300.0, 7.0))]
+    out = X.harmonics(spark.createDataFrame(like + few, "k string, day double, x double"), ["k"], "day", 3)
+    assert [r["anom"] for r in out.where("k = 'like'").orderBy("day").collect()] == pytest.approx([k - 3.5 for k in range(8)])
+    a = np.array([[1, math.cos(2 * math.pi * d / 365.24), math.sin(2 * math.pi * d / 365.24)] for _, d, _ in few])
+    x = np.array([v for *_, v in few])
+    assert [r["anom"] for r in out.where("k = 'few'").orderBy("day").collect()] == pytest.approx(x - a @ np.linalg.lstsq(a, x, rcond=None)[0])
+
+
 def test_gaps_and_interpolation(spark):
     df = spark.createDataFrame([(1, 0, None), (1, 1, 1.0), (1, 2, None), (1, 3, 3.0), (1, 4, None)], "k int, p int, x double")
     assert [r["filled"] for r in X.gaps_filled(df, ["k"], "p").orderBy("p").collect()] == [None, 1.0, 2.0, 3.0, None]
