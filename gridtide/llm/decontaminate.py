@@ -6,6 +6,10 @@ looked up from its rarest term on: the postings of the rarest term give candidat
 shifted by their offset, are intersected with them one list after the other, and what is left is checked against the
 postings of the remaining terms of the candidates' documents.
 
+A reworded passage is found by proximity: of the ``RAREST`` rarest distinct terms of an item, ``SHARE`` in any order
+within a stretch of text twice as long as the item. Proximity is told beside the phrases (n_near) and has no part in
+``contaminated``.
+
 Everything is a DataFrame expression. Cases: null and empty texts have no words; an item without words matches nothing;
 repeated documents are judged row by row, repeated items count once by id (a null id counts as the empty string); equal
 windows of several items are looked up once; empty tables give empty or clean results; other columns are not read.
@@ -21,6 +25,7 @@ from gridtide.llm.common import ASCII_LOWER, ASCII_UPPER, ascii_lower, broadcast
 WINDOW = 13
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 END = " "  # no word has a space
+RAREST, SHARE = 8, 0.75
 LISTS = 3  # lists intersected one by one before the rest is checked together
 MOST = 2_000_000  # rows up to which a counted table is broadcast
 
@@ -45,17 +50,21 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return saved(rows.select("row", "doc_id", F.posexplode("w").alias("pos", "term")).join(broadcast_if_small(own, MOST), "term").select("row", "doc_id", "pos", "term"))
 
 
-def ranked(phrases: DataFrame, index: DataFrame) -> DataFrame:
+def frequencies(index: DataFrame) -> DataFrame:
+    """(term, n): the number of postings; a row for each term of the benchmark that the corpus has."""
+    return saved(index.groupBy("term").agg(F.count("*").alias("n")))
+
+
+def ranked(phrases: DataFrame, n: DataFrame) -> DataFrame:
     """(phrase, length, rank, shift, term): the terms of each phrase from the rarest in the corpus on."""
-    n = index.groupBy("term").agg(F.count("*").alias("n"))
-    terms = phrases.select("phrase", "length", F.posexplode(F.split("phrase", " ")).alias("shift", "term")).join(n, "term", "left")
+    terms = phrases.select("phrase", "length", F.posexplode(F.split("phrase", " ")).alias("shift", "term")).join(broadcast_if_small(n, MOST), "term", "left")
     order = Window.partitionBy("phrase").orderBy(F.coalesce("n", F.lit(0)), "shift")
     return saved(terms.select("phrase", "length", "shift", "term", F.row_number().over(order).alias("rank")))
 
 
-def occurrences(index: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(row, start, phrase, length) of every occurrence of phrases (phrase, length) in the index."""
-    probes = ranked(phrases, index)
+def occurrences(index: DataFrame, phrases: DataFrame, n: DataFrame) -> DataFrame:
+    """(row, start, phrase, length) of every occurrence of phrases (phrase, length) in the index; n: its frequencies."""
+    probes = ranked(phrases, n)
     found = done = None
     for rank in range(1, LISTS + 1):
         own = broadcast_if_small(probes.where(F.col("rank") == rank).select("phrase", "length", "shift", "term"), MOST)
@@ -76,33 +85,39 @@ def occurrences(index: DataFrame, phrases: DataFrame) -> DataFrame:
     return saved(done.unionByName(whole.select("row", "start", "phrase", "length")))
 
 
-def proximity(index: DataFrame, items: DataFrame, within: int = 8) -> DataFrame:
-    """(doc_id, item_id, a, b): positions at most ``within`` words apart of the two rarest terms of an item."""
-    whole = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    n = index.groupBy("term").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("item_id").orderBy("n", "term")
-    two = saved(whole.distinct().join(n, "term").withColumn("rank", F.row_number().over(order)).where("rank <= 2").select("item_id", "term", "rank"))
-    near = index.join(broadcast_if_small(two, MOST), "term").withColumn("cell", F.floor(F.col("pos") / within))
-    a = near.where("rank = 1").select("row", "doc_id", "item_id", F.col("pos").alias("a"), F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    b = near.where("rank = 2").select("row", "item_id", F.col("pos").alias("b"), "cell")
-    return a.join(b, ["row", "item_id", "cell"]).where(F.abs(F.col("a") - F.col("b")) <= within).select("doc_id", "item_id", "a", "b")
+def proximity(index: DataFrame, items: DataFrame, n: DataFrame, rarest: int = RAREST, share: float = SHARE) -> DataFrame:
+    """(row, item_id) where ``share`` of the ``rarest`` rarest distinct terms of an item are close together.
+
+    Stretches begin at multiples of the item's length and are twice as long, so each place lies in two of them.
+    """
+    own = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    terms = own.select("item_id", F.size("w").alias("width"), F.explode("w").alias("term")).groupBy("item_id", "term").agg(F.max("width").alias("width"))
+    order = Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "term")
+    terms = terms.join(broadcast_if_small(n, MOST), "term", "left").withColumns({"rank": F.row_number().over(order), "kinds": F.count("*").over(Window.partitionBy("item_id"))})
+    need = F.ceil(F.lit(share) * F.least(F.lit(rarest), F.col("kinds")))
+    some = saved(terms.where(F.col("rank") <= rarest).select("item_id", "term", "width", need.alias("need")))
+    near = index.join(broadcast_if_small(some, MOST), "term").withColumn("at", F.floor(F.col("pos") / F.col("width")))
+    near = near.select("row", "item_id", "need", "term", F.explode(F.array(F.col("at"), F.col("at") - 1)).alias("at")).distinct()
+    return near.groupBy("row", "item_id", "at").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("row", "item_id").distinct()
 
 
 def judged(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 20) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items (sorted, comma-joined), contaminated."""
+    """Per document: doc_id, n_words, n_hit, n_items, items (sorted, comma-joined), contaminated, n_near."""
     own = saved(windows(items, size))
     phrases = own.select("phrase", "length").distinct()
     index = postings(docs, own.select(F.explode(F.split("phrase", " ")).alias("term")).distinct())
-    found = occurrences(index, phrases)
+    n = frequencies(index)
+    found = occurrences(index, phrases, n)
     spans = found.groupBy("row", "start").agg(F.max(F.col("start") + F.col("length")).alias("end"))
     before = F.max("end").over(Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     hit = spans.withColumn("before", before).groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce("before", F.lit(0))))).alias("n_hit"))
     of = found.select("row", "phrase").join(broadcast_if_small(own.select("item_id", "phrase"), MOST), "phrase").select("row", "item_id").distinct()
     of = of.groupBy("row").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item_id")), ",").alias("items"))
-    told = saved(hit.join(of, "row"))
+    near = proximity(index, items, n).groupBy("row").agg(F.count("*").alias("n_near"))
+    told = saved(hit.join(of, "row").join(near, "row", "full"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     out = index.where(F.col("term") == END).select("row", "doc_id", F.col("pos").cast("long").alias("n_words")).join(broadcast_if_small(told, MOST), "row", "left")
-    out = out.select("doc_id", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items", F.lit("")).alias("items"))
+    out = out.select("doc_id", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items", F.lit("")).alias("items"), zero("n_near"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -115,7 +130,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), "contaminated", "n_near")
 
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -129,8 +144,14 @@ runs AS (SELECT doc_id, i, l, array_to_string(w[i:i + l - 1], ' ') AS p FROM d,
 occ AS (SELECT * FROM runs WHERE p IN (SELECT p FROM win)),
 hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM occ, unnest(range(i, i + l)) AS u(pos) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
-       FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM occ JOIN win USING (p)) GROUP BY doc_id)
+       FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM occ JOIN win USING (p)) GROUP BY doc_id),
+bt AS (SELECT item_id, term, max(width) AS width FROM (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, len(w) AS width, unnest(w) AS term FROM b WHERE len(w) > 0) GROUP BY 1, 2),
+ps AS (SELECT doc_id, i - 1 AS pos, w[i] AS term FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+tn AS (SELECT term, count(*) AS n FROM ps WHERE term IN (SELECT term FROM bt) GROUP BY 1),
+rk AS (SELECT item_id, term, width, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(n, 0), term) AS rank, ceil({SHARE} * least({RAREST}, count(*) OVER (PARTITION BY item_id))) AS need FROM bt LEFT JOIN tn USING (term)),
+ce AS (SELECT DISTINCT doc_id, item_id, need, term, pos // width - o AS cell FROM ps JOIN rk USING (term), (VALUES (0), (1)) v(o) WHERE rank <= {RAREST}),
+nr AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (SELECT doc_id, item_id FROM ce GROUP BY doc_id, item_id, cell HAVING count(*) >= any_value(need)) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nr USING (doc_id)
 """

@@ -6,14 +6,16 @@ siblings by their weights, and only what all siblings together can't take is mis
 tokens: rounded down, and the rest goes one each to the largest remainders. Since a node's budget never exceeds what
 its subtree can give, shortages are always made good among siblings before they reach an ancestor.
 
-A leaf gives whole epochs while its budget lasts; of the last one, the prefix of an order seeded by epoch and document.
-The prefix is found without sorting a leaf: its documents fall into cells by the leading digits of the hash, sums by
-cell give where each cell begins, and only the one cell that holds the end of the prefix is put in order.
+A leaf gives whole epochs while its budget lasts; of the last one, the prefix of an order seeded by the number of that
+epoch and the document. The prefix is found without sorting a leaf: its documents fall into 4096 cells by the leading
+digits of the hash, sums by cell give where each cell begins, and only the one cell that holds the end of the prefix is
+put in order.
 
 Only DataFrame expressions. Cases: a null text has no tokens and is never taken; null languages or sources are a leaf
 named ''; nodes that have no weight of their own get ``default_weight``, weights must be whole numbers above 0; ties in
 the order are broken by id, then by the number of tokens; repeated rows are taken row by row; an empty table gives an
-empty result; further columns stay.
+empty result; further columns stay, but those named domain, n_tokens, epoch or taken are replaced. The pipeline's stage
+cuts the text of a leaf's last document behind the last token taken, white space before it stays.
 """
 
 from __future__ import annotations
@@ -88,16 +90,16 @@ def budgets(leaves: DataFrame, total: Column, weights: dict[tuple, int], default
     return nodes.select(*LEVELS, "can", "budget")
 
 
-def seeded(docs: DataFrame, leaf_budgets: DataFrame, seed: int, max_epochs: int, cells: int) -> DataFrame:
+def seeded(docs: DataFrame, leaf_budgets: DataFrame, seed: int, max_epochs: int) -> DataFrame:
     """docs with epoch and taken: the tokens that each epoch of a document's leaf takes from its start."""
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("last"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("_epochs") + 1, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     supply = docs.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("_supply"))
     plan = leaf_budgets.join(supply, [*LEVELS]).where("_supply > 0 and budget > 0")
     plan = plan.select(*LEVELS, F.expr("budget div _supply").alias("_epochs"), F.expr("budget % _supply").alias("_rest"))
     plan = broadcast_if_small(saved(plan), MOST)
     rows = docs.where("n_tokens > 0").join(plan, [*LEVELS])
     whole = rows.where("_epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_epochs")))).withColumn("taken", F.col("n_tokens"))
-    part = rows.where("_rest > 0").withColumn("_at", order).withColumn("_cell", F.expr(f"cast(conv(substr(_at, 1, 8), 16, 10) as bigint) % {cells}"))
+    part = rows.where("_rest > 0").withColumn("_at", order).withColumn("_cell", F.substring("_at", 1, 3))
     sums = part.groupBy(*LEVELS, "_cell").agg(F.sum("n_tokens").alias("_n"))
     begin = F.coalesce(F.sum("_n").over(Window.partitionBy(*LEVELS).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sums = saved(sums.withColumn("_begin", begin).select(*LEVELS, "_cell", "_begin", "_n"))
@@ -110,26 +112,29 @@ def seeded(docs: DataFrame, leaf_budgets: DataFrame, seed: int, max_epochs: int,
     return whole.unionByName(more).drop("_epochs", "_rest")
 
 
-def mixed(docs: DataFrame, share: float = 0.5, weights: dict[tuple, int] | None = None, seed: int = 7, max_epochs: int = 3, cells: int = 4096) -> DataFrame:
+def mixed(docs: DataFrame, share: float = 0.5, weights: dict[tuple, int] | None = None, seed: int = 7, max_epochs: int = 3, domain: Column | None = None) -> DataFrame:
     """docs (doc_id, text, lang, source, ...) with domain, n_tokens, epoch and taken, a row for each epoch of a document.
 
     The budget is ``share`` of all tokens in docs. ``taken`` is n_tokens but for the last document of each leaf.
+    ``domain`` gives the domain of a row, by default that of :func:`domain_of`.
     """
-    named = {"lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit("")), "domain": domain_of(F.col("source"))}
+    named = {"lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit("")), "domain": F.coalesce(domain_of(F.col("source")) if domain is None else domain, F.lit(""))}
     rows = docs.withColumns(named).withColumn("n_tokens", n_tokens(F.col("text")))
     leaves = saved(rows.groupBy(*LEVELS).agg((F.sum("n_tokens") * max_epochs).alias("can"), F.sum("n_tokens").alias("n")))
     total = leaves.agg(F.floor(F.sum("n") * F.lit(share))).first()[0] or 0
     own = saved(budgets(leaves.where("can > 0"), F.lit(total), WEIGHTS if weights is None else weights))
-    return seeded(rows, own, seed, max_epochs, cells)
+    return seeded(rows, own, seed, max_epochs)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: the text of the last document of a leaf is cut after the tokens taken."""
     out = mixed(docs)
 
-    words = F.array_remove(F.split("text", SPACE), "")
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("taken").cast("int")), " ")
-    out = out.withColumn("text", F.when(F.col("taken") < F.col("n_tokens"), cut).otherwise(F.col("text")))
+    words, gaps = F.split("text", SPACE), F.regexp_extract_all("text", F.lit(SPACE), F.lit(0))
+    first = F.col("taken").cast("int") + (F.element_at(words, 1) == "").cast("int")  # a text may begin with white space
+    size = lambda some: F.aggregate(some, F.lit(0), lambda n, x: n + F.length(x))
+    end = size(F.slice(words, F.lit(1), first)) + size(F.slice(gaps, F.lit(1), first - 1))
+    out = out.withColumn("text", F.when(F.col("taken") < F.col("n_tokens"), F.left("text", end)).otherwise(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast("long")).select("doc_id", "text", "lang", "source", "n_chars", "domain", "epoch", F.col("taken").alias("n_tokens"))
 
 
@@ -167,8 +172,8 @@ tot AS (SELECT CAST(floor(CAST(sum(n) AS DOUBLE) * 0.5) AS BIGINT) AS total FROM
 {_level(0)}{_level(1)}{_level(2)}
 plan AS (SELECT domain, lang, source, CAST(budget // n AS BIGINT) AS epochs, CAST(budget % n AS BIGINT) AS rest FROM share2 JOIN sup USING (domain, lang, source) WHERE budget > 0),
 whole AS (SELECT doc_id, domain, lang, source, n_tokens, unnest(range(1, epochs + 1)) AS epoch, n_tokens AS taken FROM rows_ JOIN plan USING (domain, lang, source) WHERE n_tokens > 0),
-ord AS (SELECT *, md5('7:last:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hx FROM rows_ JOIN plan USING (domain, lang, source) WHERE n_tokens > 0 AND rest > 0),
-cum AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY CAST('0x' || substr(hx, 1, 8) AS BIGINT) % 4096, hx, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM ord)
+ord AS (SELECT *, md5('7:' || CAST(epochs + 1 AS VARCHAR) || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hx FROM rows_ JOIN plan USING (domain, lang, source) WHERE n_tokens > 0 AND rest > 0),
+cum AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY hx, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM ord)
 SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(epoch AS BIGINT) AS epoch, CAST(taken AS BIGINT) AS taken FROM whole
 UNION ALL
 SELECT doc_id, domain, lang, source, CAST(n_tokens AS BIGINT), epochs + 1, CAST(least(n_tokens, rest - start) AS BIGINT) FROM cum WHERE start < rest

@@ -470,10 +470,20 @@ def test_decontamination_cases(spark):
 
 
 def test_proximity(spark):
-    items = spark.createDataFrame([(1, "rare odd")], "item_id long, text string")
-    df = spark.createDataFrame([(1, "rare and then odd"), (2, "rare " + "x " * 30 + "odd")], "doc_id long, text string")
-    index = decontaminate.postings(df, spark.createDataFrame([("rare",), ("odd",)], "term string"))
-    assert [tuple(r)[:2] for r in decontaminate.proximity(index, items).collect()] == [(1, "1")]
+    """Reworded items are near, words far apart or too few of them are not; the phrase columns don't change."""
+    text = "the quick brown fox jumps over a lazy dog by river banks at dusk tonight"
+    items = spark.createDataFrame([(1, text), (2, "lone"), (3, None)], "item_id long, text string")
+    words = text.split()
+    df = spark.createDataFrame([(1, "at dusk a lazy dog and the fox, brown and quick, jumps over river banks"), (2, (" x" * 30).join(words)), (3, "the quick fox"), (4, "pad " * 29 + text), (5, None), (6, "all lone here"), (7, "plain text " * 40)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_near"], r["n_hit"] > 0) for r in decontaminate.judged(df, items).collect()}
+    assert got == {1: (1, False), 2: (0, False), 3: (0, False), 4: (1, True), 5: (0, False), 6: (1, True), 7: (0, False)}
+
+
+def test_decontamination_of_a_very_long_text(spark, docs):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()
+    df = spark.createDataFrame([(1, "filler words " * 200_000 + item["text"]), (2, item["text"])], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in decontaminate.judged(df, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    assert out[1]["n_hit"] == out[2]["n_hit"] == out[2]["n_words"] and not out[1]["contaminated"] and out[2]["contaminated"]
 
 
 # --- licenses, chat, search, mixture
@@ -578,3 +588,15 @@ def test_mixture_takes_its_budget(spark, docs):
     cases = mixture.mixed(odd(spark), share=1.0)
     assert cases.agg(F.sum("taken")).first()[0] == odd(spark).select(F.sum(mixture.n_tokens(F.col("text")))).first()[0]
     assert mixture.mixed(odd(spark).limit(0)).count() == 0
+    clash = odd(spark).withColumns({c: F.lit("clash") for c in ("domain", "n_tokens", "epoch", "taken", "_cell", "_at")}).drop("_cell", "_at")
+    out = mixture.mixed(clash, domain=F.when(F.col("source") == "src1", "one"))
+    assert out.columns.count("taken") == 1 and {r["domain"] for r in out.select("domain").collect()} <= {"one", ""}
+
+
+def test_mixture_cuts_behind_the_last_token(spark):
+    rows = [(i, f"\n a{i}\t\tb  c\n\nd{i} \n", "en", "src0", 1) for i in range(9)]
+    out = mixture.stage(spark, spark.createDataFrame(rows, DOCS), "")  # half of 36 tokens: four texts and two tokens
+    got = sorted((r["n_tokens"], r["text"]) for r in out.collect())
+    assert [n for n, _ in got] == [2, 4, 4, 4, 4] and re.fullmatch(r"\n a\d\t\tb", got[0][1]) and all(t.endswith(" \n") for _, t in got[1:])
+    epochs = [{r["doc_id"] for r in mixture.mixed(spark.createDataFrame(rows, DOCS), share=s).where(f"epoch = {e} and taken > 0").collect()} for s, e in ((4 / 9, 1), (13 / 9, 2))]
+    assert len(epochs[0]) == len(epochs[1]) == 4 and epochs[0] != epochs[1]  # another epoch, another order
