@@ -2,9 +2,10 @@
 
 Words are lower-cased runs of letters and digits; shingles have five words, or all words of a shorter template.
 Templates fall into classes by length (the next power of two, M words at most). A text is cut into windows of 2 M words
-every 3 M / 4 words, so every passage of up to 5 M / 4 words lies in a window whole. A window that contains 0.8 of a
-template's shingles has a Jaccard similarity of 0.17 or more with it, so that one of the ``BANDS`` bands of one value
-collides with a probability above 0.9999; containment is then counted exactly on the shingles themselves.
+every 3 M / 4 words, so every passage of up to 5 M / 4 words lies in a window whole. The Jaccard similarity of a template
+and a full window that contains just 0.8 of its shingles is the least that a match can have; each class has so many
+bands of one value that one of them collides with a probability above 1 - ``MISS`` at the least similarity of its
+templates (:func:`n_bands`). Containment is then counted exactly on the shingles themselves.
 
 Texts and windows that can't contain 0.8 of any template are left out before that: for each template some words are
 chosen that take part in more than a fifth of its shingles; what has none of them misses too many.
@@ -16,6 +17,7 @@ template that match, and none for the others; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +27,7 @@ from gridtide.llm.common import ASCII_LOWER, ASCII_UPPER, ascii_lower, saved, ta
 from gridtide.llm.decontaminate import words
 
 SIZE = 5
-BANDS = 56
+MISS = 1e-4  # probability that no band of a match collides
 CONTAINED = 0.8
 
 #: Notices by the name of their license (fixed values).
@@ -41,6 +43,9 @@ TEMPLATES = {
     "bsd-source": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
     "apache-2.0-grant": "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+    "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    "isc-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "bsd-2-clause-text": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
@@ -59,6 +64,14 @@ def _shingles(w: list[str]) -> list[str]:
     return list(dict.fromkeys(" ".join(w[i : i + k]) for i in range(len(w) - k + 1)))
 
 
+def n_bands(shingles: list[str], k: int, most: int) -> int:
+    """Bands of one value that a template needs: its least Jaccard similarity is that with a full window in which it
+    has ``CONTAINED`` of its shingles and all others are different ones."""
+    met = math.ceil(CONTAINED * len(shingles))
+    least = met / (len(shingles) - met + 2 * most - k + 1)
+    return math.ceil(math.log(MISS) / math.log(1 - least)) if least < 1 else 1
+
+
 def needed(shingles: list[str]) -> list[str]:
     """Words, the longest first, in more than 1 - CONTAINED of the shingles together."""
     out, left = [], list(shingles)
@@ -77,9 +90,12 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFra
     if not all(own.values()):
         raise ValueError("a template has no words")
     rows = [(name, min(SIZE, len(w)), _class(len(w)), _shingles(w)) for name, w in own.items()]
-    known = spark.createDataFrame(rows, "license string, k int, most int, of array<string>")
-    bands = lambda shingles: F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.xxhash64(b, F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b)))))
-    known = F.broadcast(known.select("license", "k", "most", "of", F.explode(F.array_distinct(bands(F.col("of")))).alias("band")))  # BANDS rows a template
+    count: dict[tuple[int, int], int] = {}
+    for _, k, most, shingles in rows:
+        count[k, most] = max(count.get((k, most), 1), n_bands(shingles, k, most))
+    known = spark.createDataFrame([(*r, count[r[1], r[2]]) for r in rows], "license string, k int, most int, of array<string>, bands int")
+    bands = lambda shingles, n: F.transform(F.sequence(F.lit(1), n), lambda b: F.xxhash64(b, F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b)))))
+    known = F.broadcast(known.select("license", "k", "most", "of", F.explode(F.array_distinct(bands(F.col("of"), F.col("bands")))).alias("band")))  # at most some hundred rows a template
     low = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     classes: dict[tuple[int, int], set[str]] = {}
     for _, k, most, shingles in rows:
@@ -95,7 +111,7 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFra
         win = F.slice("w", F.col("first_word") + 1, F.lit(2 * most))
         cut = cut.select("row", "doc_id", "first_word", win.alias("win")).where((F.size("win") >= k) & F.arrays_overlap("win", F.array(*map(F.lit, sorted(some)))))
         cut = cut.withColumn("has", F.expr(f"array_distinct(transform(sequence(1, size(win) - {k - 1}), i -> array_join(slice(win, i, {k}), ' ')))"))
-        cut = cut.select("row", "doc_id", "first_word", "has", F.explode(bands(F.col("has"))).alias("band"))
+        cut = cut.select("row", "doc_id", "first_word", "has", F.explode(bands(F.col("has"), F.lit(count[k, most]))).alias("band"))
         here = cut.join(known.where((F.col("k") == k) & (F.col("most") == most)), "band")
         here = here.withColumn("containment", F.size(F.array_intersect("has", "of")) / F.size("of")).where(F.col("containment") >= CONTAINED)
         here = here.select("row", "doc_id", "license", "first_word", "containment")

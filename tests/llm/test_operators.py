@@ -489,6 +489,23 @@ def test_decontamination_of_a_very_long_text(spark, docs):
 # --- licenses, chat, search, mixture
 
 
+def test_every_license_collides_in_full_windows(spark):
+    """Each template at random places of texts of other words, 40 times: none is missed, and the bound holds."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for name, text in licenses.TEMPLATES.items():
+        w = licenses._words(text)
+        k, most = min(licenses.SIZE, len(w)), licenses._class(len(w))
+        least = math.ceil(0.8 * len(licenses._shingles(w))) / (len(licenses._shingles(w)) - math.ceil(0.8 * len(licenses._shingles(w))) + 2 * most - k + 1)
+        assert (1 - least) ** licenses.n_bands(licenses._shingles(w), k, most) <= licenses.MISS
+        for _ in range(40):
+            before = [f"x{rng.integers(10**9)}" for _ in range(int(rng.integers(0, 3 * most)))]
+            rows.append((len(rows), name, " ".join([*before, text, *(f"y{rng.integers(10**9)}" for _ in range(2 * most))])))
+    df = spark.createDataFrame(rows, "doc_id long, name string, text string")
+    got = {(r["doc_id"], r["license"]) for r in licenses.matches(df).where("containment = 1").collect()}
+    assert {(i, name) for i, name, _ in rows} <= got
+
+
 def test_license_cases(spark):
     out = licenses.matches(odd(spark).withColumn("text", F.concat(F.col("text"), F.lit(" Released under the MIT License."))))
     assert {r["license"] for r in out.collect()} == {"mit"} and out.count() == 10
