@@ -101,8 +101,11 @@ def proximity(index: DataFrame, items: DataFrame, n: DataFrame, rarest: int = RA
     return near.groupBy("row", "item_id", "at").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("row", "item_id").distinct()
 
 
-def judged(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 20) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items (sorted, comma-joined), contaminated, n_near."""
+def judged(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 20, near: bool = True) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, n_items, items (sorted, comma-joined), contaminated, n_near.
+
+    Without ``near`` no proximity matches are looked for, and n_near is 0.
+    """
     own = saved(windows(items, size))
     phrases = own.select("phrase", "length").distinct()
     index = postings(docs, own.select(F.explode(F.split("phrase", " ")).alias("term")).distinct())
@@ -113,8 +116,10 @@ def judged(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 2
     hit = spans.withColumn("before", before).groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce("before", F.lit(0))))).alias("n_hit"))
     of = found.select("row", "phrase").join(broadcast_if_small(own.select("item_id", "phrase"), MOST), "phrase").select("row", "item_id").distinct()
     of = of.groupBy("row").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item_id")), ",").alias("items"))
-    near = proximity(index, items, n).groupBy("row").agg(F.count("*").alias("n_near"))
-    told = saved(hit.join(of, "row").join(near, "row", "full"))
+    told = hit.join(of, "row")
+    if near:
+        told = told.join(proximity(index, items, n).groupBy("row").agg(F.count("*").alias("n_near")), "row", "full")
+    told = saved(told if near else told.withColumn("n_near", F.lit(0).cast("long")))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     out = index.where(F.col("term") == END).select("row", "doc_id", F.col("pos").cast("long").alias("n_words")).join(broadcast_if_small(told, MOST), "row", "left")
     out = out.select("doc_id", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items", F.lit("")).alias("items"), zero("n_near"))
@@ -124,7 +129,7 @@ def judged(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 2
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the contaminated rows, whatever their ids."""
     rows, key = keyed(docs)
-    bad = judged(rows.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("contaminated")
+    bad = judged(rows.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), near=False).where("contaminated")
     return without(rows, bad.select(F.col("doc_id").alias(key)), key)
 
 
