@@ -81,18 +81,21 @@ def paths(messages: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame, best: int | None = None, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(tree, leaf, score, n_turns, formatted, mask) of messages (tree, node, parent, role, text, score).
 
-    ``best``: how many branches of each tree to take, by rank; None takes all.
+    ``best``: how many branches of each tree to take, by the sum of their scores, the smaller leaf on ties; None takes
+    all. Branches are ranked by scores alone; only the texts of those taken are then brought together.
     """
     ship(messages.sparkSession)
     empty = {c: F.coalesce(c, F.lit("")) for c in ("role", "text")}
     rows = messages.withColumns(empty | {"score": F.coalesce(F.col("score").cast("double"), F.lit(0.0))})
     rows = rows.groupBy("tree", "node").agg(F.min(F.struct("role", "text", "parent", "score")).alias("x")).select("tree", "node", "x.*")
-    found = paths(rows).join(rows.drop("parent"), ["tree", "node"])
-    turns = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    found = found.groupBy("tree", "leaf").agg(F.sum("score").alias("score"), turns.alias("turns"))
+    found = paths(rows)
     if best is not None:
         rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
-        found = found.withColumn("_rank", rank).where(F.col("_rank") <= best).drop("_rank")
+        sums = found.join(rows.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
+        found = found.join(saved(sums.withColumn("_rank", rank).where(F.col("_rank") <= best).select("tree", "leaf")), ["tree", "leaf"], "left_semi")
+    found = found.join(rows.drop("parent"), ["tree", "node"])
+    turns = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    found = found.groupBy("tree", "leaf").agg(F.sum("score").alias("score"), turns.alias("turns"))
 
     def task(batches):
         for batch in batches:
@@ -138,7 +141,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
-    out = digests(conversations(chained(rows.unionByName(more))))
+    out = digests(conversations(chained(rows.unionByName(more)), best=1))
     return out.withColumn("conv_id", F.when(F.col("tree") != NO_TREE, F.col("tree")).cast("long")).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 

@@ -190,11 +190,19 @@ def machine(words: list[bytes], bad: np.ndarray, good: np.ndarray, landmarks: li
     return Machine(weights, float(w[-1]))
 
 
-def pieces(texts: list[str]):
+def parts(batches, rows: int = 500):
+    """Arrow batches cut into parts of few rows, so that a task holds few texts at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def pieces(texts: list[str], most: int = PIECE):
+    """Ranges of texts of about ``most`` characters."""
     start = size = 0
     for k, t in enumerate(texts):
         size += len(t) + 1
-        if size >= PIECE:
+        if size >= most:
             yield start, k + 1
             start, size = k + 1, 0
     if start < len(texts):
@@ -229,7 +237,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, toxic, clean): labelled texts with the string, from docs (text, toxic)."""
 
     def task(batches):
-        for batch in batches:
+        for batch in parts(batches, 2000):
             texts, labels = [t or "" for t in batch.column(0).to_pylist()], batch.column(1).to_numpy(zero_copy_only=False)
             n: dict[bytes, list[int]] = {}
             for a, b in pieces(texts):
@@ -271,9 +279,9 @@ def sequence_counts(docs: DataFrame) -> DataFrame:
                 cut = slice(i, i + 100_000)
                 yield pa.record_batch([pa.array(seq[cut].view(np.int64)), pa.array(toxic[cut]), pa.array(clean[cut])], names=["seq", "toxic", "clean"])
 
-        for batch in batches:
+        for batch in parts(batches):
             texts, labels = [t or "" for t in batch.column(0).to_pylist()], batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b in pieces(texts):
+            for a, b in pieces(texts, PIECE // 5):
                 w = Words(texts[a:b])
                 seq, word = sequences(w)
                 text = w.text[word] if len(word) else word
@@ -281,9 +289,9 @@ def sequence_counts(docs: DataFrame) -> DataFrame:
                 seq, text = seq[order], text[order]
                 first = np.flatnonzero(np.concatenate(([True], (seq[1:] != seq[:-1]) | (text[1:] != text[:-1])))) if len(seq) else order
                 held.append((seq[first], labels[a + text[first]]))
-            if sum(len(h) for h, _ in held) > 3_000_000:
-                yield from told()
-                held = []
+                if sum(len(h) for h, _ in held) > 1_000_000:
+                    yield from told()
+                    held.clear()
         if held:
             yield from told()
 
@@ -347,7 +355,7 @@ def named(train: DataFrame, margins, toxic: int, most: int, least: float, limit:
     shared = train.sparkSession.sparkContext.broadcast(margins)
 
     def task(batches):
-        for batch in batches:
+        for batch in parts(batches):
             margin, which = worst([t or "" for t in batch.column(0).to_pylist()], shared.value, most)
             own = [(s, float(m)) for found, ms in zip(which, margin, strict=True) for s, m in zip(found, ms, strict=False) if m >= least]
             yield pa.record_batch([pa.array([s for s, _ in own], pa.binary()), pa.array([m for _, m in own], pa.float64())], names=["word", "margin"])
@@ -391,7 +399,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, examples:
     shared = docs.sparkSession.sparkContext.broadcast(judge)
 
     def task(batches):
-        for batch in batches:
+        for batch in parts(batches):
             margin, _ = worst([t or "" for t in batch.column(0).to_pylist()], shared.value.margins, 1)
             yield pa.record_batch([batch.column(1).cast(pa.int32()), pa.array(np.round(evidence(margin[:, 0]), 2))], names=["toxic", "m"])
 
@@ -434,7 +442,7 @@ def scored(docs: DataFrame, model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches):
-        for batch in batches:
+        for batch in parts(batches):
             score = np.zeros(batch.num_rows)
             if shared.value is not None:
                 judge, slopes = shared.value

@@ -530,6 +530,20 @@ def test_chat_trees(spark):
     assert chat.conversations(df.limit(0)).count() == 0
 
 
+def test_chat_of_odd_conversations(spark):
+    """No id, no text, no role, equal turns, a very long text, and columns with clashing names."""
+    long = "words </s> " * 100_000
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", None), (5, 0, None, long), (5, 0, "assistant", long), (6, None, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumns({c: F.lit("clash") for c in ("tree", "node", "leaf", "up", "score", "x")})
+    got = {r["tree"]: r for r in chat.digests(chat.conversations(chat.chained(df), best=1)).collect()}
+    hex_of = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert {k: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for k, r in got.items()} == {
+        chat.NO_TREE: (2, hex_of("user\nq\nassistant\n\n"), 0, hex_of("")),
+        "5": (2, hex_of(f"\n{long}\nassistant\n{long}\n"), len(long), hex_of(long)),
+        "6": (1, hex_of("assistant\n\n"), 0, hex_of("")),
+    }
+
+
 def test_search_is_exact(spark, docs):
     texts = {r["doc_id"]: collections.Counter(WORD.findall(r["text"].translate(LOWER))) for r in docs.collect()}
     n, mean = len(texts), sum(sum(c.values()) for c in texts.values()) / len(texts)
