@@ -121,6 +121,14 @@ def varexp_by_lead(spark, d):
     return S.variance_explained(rows, ["lead"], "x", "predicted").select("lead", r6("varexp"), "n")
 
 
+@query("varexp_cum_cell", "WITH k AS (SELECT cell, forc, lag, m, impact, sum(impact) OVER (PARTITION BY cell, forc, m ORDER BY lag) AS cum FROM imp) SELECT cell, forc, lag, round(var_pop(x - impact), 6) AS resid_var, round(var_pop(x - cum), 6) AS cum_resid_var FROM k JOIN d2t USING (m) GROUP BY 1, 2, 3")
+def varexp_cum_cell(spark, d):
+    """What each lag alone, and all lags up to it, leave of the variance of the whole."""
+    rows = A.cumulative(impacts(spark, d), ["cell", "forc", "m"], "lag").drop("x").join(total(spark, d), "m")
+    out = rows.groupBy("cell", "forc", "lag").agg(F.var_pop(F.col("x") - F.col("impact")).alias("resid_var"), F.var_pop(F.col("x") - F.col("cum")).alias("cum_resid_var"))
+    return out.select("cell", "forc", "lag", r6("resid_var"), r6("cum_resid_var"))
+
+
 @query("varexp_by_region_forc", "WITH k AS (SELECT region, forc, m, sum(impact) AS p FROM imp JOIN reg USING (cell) GROUP BY 1, 2, 3), a AS (SELECT region, forc, m, p FROM k UNION ALL SELECT -1, forc, m, sum(p) FROM k GROUP BY forc, m) SELECT region, forc, round(1 - var_pop(x - p) / nullif(var_pop(x), 0), 6) AS varexp, count(*) AS n FROM a JOIN d2t USING (m) GROUP BY 1, 2")
 def varexp_by_region_forc(spark, d):
     rows = A.by_cell(impacts(spark, d), region_of(spark, d), ["cell"], ["region", "forc", "m"])

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from gridtide.functions.calendar import month_middle, month_start_day
 from gridtide.functions.special import band_kernel, erfinv
+from gridtide.operators import attribution as A
 from gridtide.operators import filters as X
 from gridtide.operators import resample as R
 from gridtide.operators import stats as S
+from gridtide.plans.attribution import impacts
 from gridtide.plans.base import arrays, events, forcing, query, r6, reference, rnd, total
 from gridtide.sources import series as P
 
@@ -41,8 +43,8 @@ def _filter(name: str, band: dict, source: str = "ar", keys: str = "vec_id", p:
         f"{name}_a AS (SELECT {keys}, avg(y) FILTER (p < {n}) AS a1, avg(y) FILTER (p >= {n} AND p < {2 * n}) AS a2, avg(y) FILTER (p > {N - 1 - n}) AS b1, avg(y) FILTER (p > {N - 1 - 2 * n} AND p <= {N - 1 - n}) AS b2 FROM {name}_y GROUP BY {keys}), "
         f"{name}_s AS (SELECT {keys}, (a2 - a1) / {n} AS sa, a1 - {(n - 1) / 2} * (a2 - a1) / {n} AS va, (b2 - b1) / {n} AS sb, b1 - {(n - 1) / 2} * (b2 - b1) / {n} AS vb FROM {name}_a), "
         f"{name}_v AS (SELECT {keys}, {half} + p AS q, y AS v FROM {name}_y UNION ALL SELECT {keys}, q, va * (1 - {erf('sa', 'va', f'{half} - q')}) FROM {name}_s, unnest(range(0, {half})) AS u(q) UNION ALL SELECT {keys}, q, vb * (1 - {erf('sb', 'vb', f'q - {half + N - 1}')}) FROM {name}_s, unnest(range({half + N}, {2 * N})) AS u(q)), "
-        f"{name}_c AS (SELECT {keys}, (q + k) % {2 * N} - {half} AS p, sum(v * h) AS c FROM {name}_v, h_{name} WHERE (q + k) % {2 * N} >= {half} AND (q + k) % {2 * N} < {half + N} GROUP BY 1, 2), "
-        f"{name}_m AS (SELECT {keys}, avg(v) AS mean FROM {name}_v GROUP BY 1), "
+        f"{name}_c AS (SELECT {keys}, (q + k) % {2 * N} - {half} AS p, sum(v * h) AS c FROM {name}_v, h_{name} WHERE (q + k) % {2 * N} >= {half} AND (q + k) % {2 * N} < {half + N} GROUP BY ALL), "
+        f"{name}_m AS (SELECT {keys}, avg(v) AS mean FROM {name}_v GROUP BY ALL), "
         f"{name} AS (SELECT {keys}, CAST(p AS INTEGER) AS p, c + {back} AS band FROM {name}_c JOIN {name}_y USING ({keys}, p) JOIN {name}_m USING ({keys}))"
     )
 
@@ -74,6 +76,28 @@ def band_stddev(spark, d):
     return _banded(arrays(spark, d), ["vec_id"], BAND).groupBy("vec_id").agg(rnd(F.stddev_pop("band")).alias("sd"))
 
 
+FIRST = 23948  # the first of N months that all series have
+_LEADS = f"k AS (SELECT m - {FIRST} AS p, t.lead AS lead, sum(impact) AS x FROM imp JOIN (VALUES (CAST(0 AS BIGINT)), (1), (2), (3), (4), (5)) t(lead) ON lag >= t.lead WHERE m >= {FIRST} AND m < {FIRST + N} GROUP BY 1, 2 UNION ALL SELECT m - {FIRST}, -1, x FROM d2t WHERE m >= {FIRST} AND m < {FIRST + N})"
+
+
+@query(
+    "varexp_by_lead_band",
+    f"WITH {_LEADS}, {_filter('b', BAND, 'k', 'lead')}, {_filter('c', LOW12, 'k', 'lead')}, u AS (SELECT 'mid' AS part, * FROM b UNION ALL SELECT 'low', * FROM c) "
+    "SELECT u.part, u.lead, round(1 - var_pop(r.band - u.band) / nullif(var_pop(r.band), 0), 5) AS varexp, count(*) AS n FROM u JOIN u r ON r.lead = -1 AND r.part = u.part AND r.p = u.p WHERE u.lead >= 0 GROUP BY 1, 2",
+)
+def varexp_by_lead_band(spark, d):
+    """Variance explained by lead and band; -1 stands for the series that is explained."""
+    leads = spark.createDataFrame([(k,) for k in range(6)], "lead long")
+    predicted = A.by_lead(impacts(spark, d), leads, ["m"]).select("m", "lead", F.col("predicted").alias("x"))
+    rows = predicted.unionByName(total(spark, d).select("m", F.lit(-1).cast("long").alias("lead"), "x"))
+    rows = rows.where((F.col("m") >= FIRST) & (F.col("m") < FIRST + N)).select("lead", (F.col("m") - FIRST).alias("p"), "x")
+    parts = [_banded(rows, ["lead"], band).withColumn("part", F.lit(name)) for name, band in (("mid", BAND), ("low", LOW12))]
+    both = parts[0].unionByName(parts[1])
+    base = both.where("lead = -1").select("part", "p", F.col("band").alias("base"))
+    out = both.where("lead >= 0").join(base, ["part", "p"])
+    return S.variance_explained(out, ["part", "lead"], "base", "band").select("part", "lead", r6("varexp", 5), "n")
+
+
 _LABEL = "lm AS (SELECT label, p, avg(x) AS x FROM ar GROUP BY 1, 2)"
 
 
