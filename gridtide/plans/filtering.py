@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridtide.functions.calendar import month_middle, month_start_day
@@ -39,10 +40,10 @@ def _filter(name: str, band: dict, source: str = "ar", keys: str = "vec_id", p:
     back = "line + mean" if band.get("keep_trend") else "0"
     return (
         f"h_{name}(k, h) AS ({kernel(band)}), "
-        f"{name}_y AS (SELECT {keys}, {p} AS p, avg({x}) OVER w + regr_slope({x}, {p}) OVER w * ({p} - avg({p}) OVER w) AS line, {x} - (avg({x}) OVER w + regr_slope({x}, {p}) OVER w * ({p} - avg({p}) OVER w)) AS y FROM {source} WINDOW w AS (PARTITION BY {keys})), "
+        f"{name}_y AS MATERIALIZED (SELECT {keys}, {p} AS p, avg({x}) OVER w + regr_slope({x}, {p}) OVER w * ({p} - avg({p}) OVER w) AS line, {x} - (avg({x}) OVER w + regr_slope({x}, {p}) OVER w * ({p} - avg({p}) OVER w)) AS y FROM {source} WINDOW w AS (PARTITION BY {keys})), "
         f"{name}_a AS (SELECT {keys}, avg(y) FILTER (p < {n}) AS a1, avg(y) FILTER (p >= {n} AND p < {2 * n}) AS a2, avg(y) FILTER (p > {N - 1 - n}) AS b1, avg(y) FILTER (p > {N - 1 - 2 * n} AND p <= {N - 1 - n}) AS b2 FROM {name}_y GROUP BY {keys}), "
         f"{name}_s AS (SELECT {keys}, (a2 - a1) / {n} AS sa, a1 - {(n - 1) / 2} * (a2 - a1) / {n} AS va, (b2 - b1) / {n} AS sb, b1 - {(n - 1) / 2} * (b2 - b1) / {n} AS vb FROM {name}_a), "
-        f"{name}_v AS (SELECT {keys}, {half} + p AS q, y AS v FROM {name}_y UNION ALL SELECT {keys}, q, va * (1 - {erf('sa', 'va', f'{half} - q')}) FROM {name}_s, unnest(range(0, {half})) AS u(q) UNION ALL SELECT {keys}, q, vb * (1 - {erf('sb', 'vb', f'q - {half + N - 1}')}) FROM {name}_s, unnest(range({half + N}, {2 * N})) AS u(q)), "
+        f"{name}_v AS MATERIALIZED (SELECT {keys}, {half} + p AS q, y AS v FROM {name}_y UNION ALL SELECT {keys}, q, va * (1 - {erf('sa', 'va', f'{half} - q')}) FROM {name}_s, unnest(range(0, {half})) AS u(q) UNION ALL SELECT {keys}, q, vb * (1 - {erf('sb', 'vb', f'q - {half + N - 1}')}) FROM {name}_s, unnest(range({half + N}, {2 * N})) AS u(q)), "
         f"{name}_c AS (SELECT {keys}, (q + k) % {2 * N} - {half} AS p, sum(v * h) AS c FROM {name}_v, h_{name} WHERE (q + k) % {2 * N} >= {half} AND (q + k) % {2 * N} < {half + N} GROUP BY ALL), "
         f"{name}_m AS (SELECT {keys}, avg(v) AS mean FROM {name}_v GROUP BY ALL), "
         f"{name} AS (SELECT {keys}, CAST(p AS INTEGER) AS p, c + {back} AS band FROM {name}_c JOIN {name}_y USING ({keys}, p) JOIN {name}_m USING ({keys}))"
@@ -77,7 +78,7 @@ def band_stddev(spark, d):
 
 
 FIRST = 23948  # the first of N months that all series have
-_LEADS = f"k AS (SELECT m - {FIRST} AS p, t.lead AS lead, sum(impact) AS x FROM imp JOIN (VALUES (CAST(0 AS BIGINT)), (1), (2), (3), (4), (5)) t(lead) ON lag >= t.lead WHERE m >= {FIRST} AND m < {FIRST + N} GROUP BY 1, 2 UNION ALL SELECT m - {FIRST}, -1, x FROM d2t WHERE m >= {FIRST} AND m < {FIRST + N})"
+_LEADS = f"k AS MATERIALIZED (SELECT m - {FIRST} AS p, t.lead AS lead, sum(impact) AS x FROM imp JOIN (VALUES (CAST(0 AS BIGINT)), (1), (2), (3), (4), (5)) t(lead) ON lag >= t.lead WHERE m >= {FIRST} AND m < {FIRST + N} GROUP BY 1, 2 UNION ALL SELECT m - {FIRST}, -1, x FROM d2t WHERE m >= {FIRST} AND m < {FIRST + N})"
 
 
 @query(
@@ -93,8 +94,8 @@ def varexp_by_lead_band(spark, d):
     rows = rows.where((F.col("m") >= FIRST) & (F.col("m") < FIRST + N)).select("lead", (F.col("m") - FIRST).alias("p"), "x")
     parts = [_banded(rows, ["lead"], band).withColumn("part", F.lit(name)) for name, band in (("mid", BAND), ("low", LOW12))]
     both = parts[0].unionByName(parts[1])
-    base = both.where("lead = -1").select("part", "p", F.col("band").alias("base"))
-    out = both.where("lead >= 0").join(base, ["part", "p"])
+    base = F.max(F.when(F.col("lead") == -1, F.col("band"))).over(Window.partitionBy("part", "p"))  # a row a lead
+    out = both.withColumn("base", base).where("lead >= 0")
     return S.variance_explained(out, ["part", "lead"], "base", "band").select("part", "lead", r6("varexp", 5), "n")
 
 
