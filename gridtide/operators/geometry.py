@@ -40,7 +40,7 @@ def nearest_cell(points: DataFrame, cells: DataFrame, point: str, cell: str, rea
         near = both if r == radii[-1] else both.where(F.col("d") <= r)
         near = near.groupBy(point).agg(F.min(F.struct("d", F.col(cell).alias(cell))).alias("m")).select(point, f"m.{cell}", F.col("m.d").alias("distance"))
         out = near if out is None else out.unionByName(near)
-        left = left.join(near.select(point), point, "left_anti")
+        left = left.join(near.select(point), point, "left_anti").persist()  # few; else each radius works out all before it
     return out
 
 
