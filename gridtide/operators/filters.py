@@ -58,6 +58,8 @@ def band_passed(df: DataFrame, keys: list[str], at: str, delta: float, low: floa
 
     from gridtide.functions.special import band_weight
 
+    responses: dict[int, np.ndarray] = {}  # by the number of places
+
     def time_scale(y: np.ndarray) -> float:
         lags = lag_list(len(y))
         r: list[float] = []
@@ -104,8 +106,9 @@ def band_passed(df: DataFrame, keys: list[str], at: str, delta: float, low: floa
                     if edge_value:
                         steepness = math.sqrt(math.pi) / 2 * abs(slope / edge_value)
                         buffer[gone] = [edge_value * (1 + math.erf(steepness * d)) for d in away[gone]]
-            response = np.array([band_weight(f, low, high, steep, half_power) for f in np.fft.fftfreq(2 * n, delta)])
-            done = np.fft.ifft(np.fft.fft(buffer) * response).real[start : start + n]
+            if n not in responses:
+                responses[n] = np.array([band_weight(f, low, high, steep, half_power) for f in np.fft.fftfreq(2 * n, delta)])
+            done = np.fft.ifft(np.fft.fft(buffer) * responses[n]).real[start : start + n]
             if keep_trend:
                 done = done + line + buffer.mean()
             keep = good
