@@ -41,10 +41,11 @@ def neighbours(df: DataFrame, keys: list[str], at: str, known: Column, carried:
     """
     t = F.col(at).cast("double")
     tail = [F.col(c) for c in carried]
+    known = known & t.isNotNull()
     last = F.when(known, F.struct((-t).alias("t"), *tail))  # the smallest is the latest
     first = F.when(known, F.struct(t.alias("t"), *tail))
     grow = (Window.unboundedPreceding, Window.currentRow)
-    rows = df.withColumn("_range", F.floor(t / F.lit(width)) if width else F.lit(0).cast("long"))
+    rows = df.withColumn("_range", F.coalesce(F.floor(t / F.lit(width)), F.lit(0).cast("long")) if width else F.lit(0).cast("long"))
     w = Window.partitionBy(*keys, "_range")
     rows = rows.withColumns({"_when": t, "_last": last, "_first": first})
     rows = rows.withColumns({"_before": F.min("_last").over(w.orderBy("_when").rangeBetween(*grow)), "_after": F.min("_first").over(w.orderBy(F.desc("_when")).rangeBetween(*grow))})

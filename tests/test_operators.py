@@ -257,6 +257,9 @@ def test_ranges_give_what_one_range_gives(spark):
     gaps = left.groupBy("k", "a").agg(F.min(F.when(F.col("id") % 3 == 0, F.col("id") * 1.0)).alias("x"))
     one = rows(X.gaps_filled(gaps, ["k"], "a").select("k", "a", "filled"), "k", "a")
     assert rows(X.gaps_filled(gaps, ["k"], "a", width=11.0).select("k", "a", "filled"), "k", "a") == one
+    odd = gaps.unionByName(spark.createDataFrame([(0, None, 5.0), (0, None, None)], "k int, a double, x double"))
+    for width in (None, 11.0):  # values at no time have no part in it
+        assert rows(X.gaps_filled(odd, ["k"], "a", width=width).where("a is not null").select("k", "a", "filled"), "k", "a") == one
     ends = X.gaps_filled(gaps, ["k"], "a", clamped=True)
     assert ends.where("filled is null").count() == 0 and any(r[2] is None for r in one)
 
