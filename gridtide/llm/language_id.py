@@ -10,7 +10,7 @@ characters counts as one boundary symbol.
 Cases: a null text and a text without a letter get ``und`` and score 0. Null labels and labels of rows outside the
 training split are not learned from. With no labelled row at all every text gets ``und``. Repeated rows and ids are
 scored one by one; a null doc_id counts as held out; further columns of the input are kept as they are (``columns``). Texts of any length are read whole,
-in pieces of about a million characters that meet at a document's end only.
+in pieces of about 250 000 characters that meet at a document's end only.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from gridtide.functions.shipping import ship
 from gridtide.llm.common import keyed, remainder, saved, table, without
 
 ORDER = 4
-PIECE = 1_000_000
+PIECE = 250_000
 APART = 1  # remainder of the training rows that only set the limits
-BLOCK = 16_000_000  # characters of the texts that are scored together
+BLOCK = 8_000_000  # characters of the texts that are scored together
 SEP = "" * (ORDER - 1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -158,9 +158,16 @@ def mask(n: int) -> int:
     return (1 << (16 * n)) - 1 if n < ORDER else -1
 
 
+def numbered(texts: pa.Array, part: pa.Array, size: int) -> tuple[np.ndarray, int]:
+    """The block of each text of a partition after ``size`` characters, and the characters then: runs of about BLOCK."""
+    lens = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 3
+    before = size + np.cumsum(lens) - lens
+    return (part.to_numpy(zero_copy_only=False).astype(np.int64) << 32) + before // BLOCK, size + int(lens.sum())
+
+
 def block_grams(batches):
-    """Distinct (block, gram) of rows (text, block); the rows of a block come one after another."""
-    block, seen = None, []
+    """Distinct (block, gram) of rows (text, partition)."""
+    block, seen, size = None, [], 0
 
     def told():
         g = np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.uint64)
@@ -169,7 +176,8 @@ def block_grams(batches):
             yield pa.record_batch([pa.array(np.full(len(part), block)), pa.array(part.view(np.int64))], names=["block", "gram"])
 
     for batch in batches:
-        texts, blocks = [t or "" for t in batch.column(0).to_pylist()], batch.column(1).to_numpy()
+        blocks, size = numbered(batch.column(0), batch.column(1), size)
+        texts = [t or "" for t in batch.column(0).to_pylist()]
         for own in np.unique(blocks).tolist():  # ascending, as they come
             if own != block:
                 yield from told()
@@ -180,6 +188,7 @@ def block_grams(batches):
                 y, start, end = symbols(some[a:b])
                 seen.append(np.unique(packed(y)[inside(y, start, end)]))
     yield from told()
+    pa.default_memory_pool().release_unused()
 
 
 def inside(y: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -280,11 +289,8 @@ def blocked(docs: DataFrame) -> DataFrame:
     def task(batches):
         size = 0
         for batch in batches:
-            lens = pc.fill_null(pc.utf8_length(batch.column(batch.num_columns - 2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            before = size + np.cumsum(lens + 3) - lens - 3
-            size += int((lens + 3).sum())
-            part = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array((part << 32) + before // BLOCK)], names=batch.schema.names)
+            blocks, size = numbered(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), size)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(blocks)], names=batch.schema.names)
 
     rows = docs.withColumn("_block", F.spark_partition_id().cast("long"))
     return rows.mapInArrow(task, rows.schema)
@@ -304,7 +310,8 @@ def score(docs: DataFrame, model: KneserNey, text: str = "text", columns: tuple[
         return docs.select(*columns, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("entropy"), F.lit(0).cast("long").alias("n_letters"))
     langs, names = model.langs, schema.names
     rows = blocked(docs.select(*columns, F.col(text).alias("_whole_text")))
-    grams = saved(rows.select("_whole_text", "_block").mapInArrow(block_grams, "block long, gram long"))
+    # the same rows are numbered here again, in one Python worker a task
+    grams = saved(docs.select(text, F.spark_partition_id().cast("long")).mapInArrow(block_grams, "block long, gram long"))
     own = grams.join(model.priced(saved(grams.select("gram").distinct())), "gram").select(F.col("block").alias("_block"), "gram", "log_p")
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -313,6 +320,7 @@ def score(docs: DataFrame, model: KneserNey, text: str = "text", columns: tuple[
         gaps = (entropy - entropy.min(1)[:, None]) * np.minimum(size, 200)[:, None]
         known = size > 0
         pred = np.where(known, np.array(langs, object)[entropy.argmin(1)], "und")
+        pa.default_memory_pool().release_unused()  # workers are used again by the stages to come
         conf, ent = np.where(known, 1.0 / np.exp(-gaps).sum(1), 0.0), np.where(known, entropy.min(1), np.nan)
         return pa.Table.from_arrays([*left.columns[:-2], pa.array(pred, pa.string()), pa.array(conf), pa.array(ent, from_pandas=True), pa.array(size)], names=names)
 

@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     ship(docs.sparkSession)
 
     def task(batches):
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             values = np.array([fingerprint(shingle_hashes(t.as_py(), size)) for t in batch.column(1)], np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 
