@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridtide.llm import chat, decontaminate, language_id, licenses, mixture, pii, repeats, search, simhash, toxicity
+from gridtide.llm import chat, decontaminate, jaccard, language_id, licenses, merkle, mixture, pii, repeats, search, simhash, toxicity, variants
 
 QUERIES = {
     "op1_mixture": mixture.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_chat": chat.query,
     "op9_decontaminate": decontaminate.query,
     "op10_search": search.query,
+    "op11_variants": variants.query,
+    "op12_merkle": merkle.query,
+    "op13_jaccard": jaccard.query,
 }
 
 #: DuckDB SQL by query; none where SQL can't express it (tests/llm hold those against brute force).
@@ -23,4 +26,7 @@ ORACLE: dict[str, str] = {
     "op7_licenses": licenses.SQL,
     "op8_chat": chat.SQL,
     "op9_decontaminate": decontaminate.SQL,
+    "op11_variants": variants.SQL,
+    "op12_merkle": merkle.SQL,
+    "op13_jaccard": jaccard.SQL,
 }
