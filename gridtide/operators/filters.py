@@ -8,25 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtide.functions.shipping import ship
-from gridtide.functions.special import band_kernel, erfinv
+from gridtide.functions.special import erfinv
 from gridtide.operators.timejoin import neighbours
 
 
-def kernel_frame(spark, n: int, **band) -> DataFrame:
-    return spark.createDataFrame([(k, v) for k, v in enumerate(band_kernel(n, **band))], "_k int, _h double")
-
-
-def bandpass(df: DataFrame, keys: list[str], idx: str, n: int, value: str = "x", **band) -> DataFrame:
-    """Circular convolution of series of n values (idx 0 to n - 1) with the band's kernel, as a join and a sum.
-
-    Missing values count as zero, the ends of a series meet. The kernel has n rows; for long series, and for ends that
-    don't meet, use :func:`band_passed`.
-    """
-    kernel = F.broadcast(kernel_frame(df.sparkSession, n, **band))
-    both = df.where(F.col(value).isNotNull()).crossJoin(kernel).withColumn("_to", F.pmod(F.col(idx) + F.col("_k"), F.lit(n)))
-    return both.groupBy(*keys, F.col("_to").alias(idx)).agg(F.sum(F.col(value) * F.col("_h")).alias("band"))
-
-
 def lag_list(n: int) -> list[int]:
     """1, 2, 3 and then lags whose logarithms are 0.3 apart, up to a series of n values."""
     return [1, 2, 3, *(round(math.exp(1.5 + 0.3 * k)) for k in range(max(0, math.ceil((math.log(n) - 1.5) / 0.3))))]
@@ -172,20 +157,42 @@ def gaps_filled(df: DataFrame, keys: list[str], idx: str, value: str = "x", clam
     return rows.withColumn("filled", F.coalesce(F.col(value), filled)).drop("_before", "_after")
 
 
+def lag_arrays(df: DataFrame, keys: list[str], idx: str, named: dict[str, tuple[str, str, list[int]]]) -> DataFrame:
+    """A row a series: for each name and its (a, b, lags), arrays name_r and name_n of the Pearson correlations of a at idx
+    with b at idx + lag over the pairs that both exist, and the numbers of these pairs.
+
+    A series has one row a place at most. All lags are frames of one window over the rows by series: the rows are shuffled
+    and sorted once, whatever the number of lags, and nothing is joined.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.col(idx).cast("long"))
+    later = {f"_{name}{k}": F.max(b).over(w.rangeBetween(lag, lag)) for name, (_, b, lags) in named.items() for k, lag in enumerate(lags)}
+    missing = F.lit(None).cast("double")
+    out = []
+    for name, (a, _, lags) in named.items():
+        r = [F.nanvl(F.corr(a, f"_{name}{k}"), missing) for k in range(len(lags))]
+        n = [F.count(F.when(F.col(a).isNotNull(), F.col(f"_{name}{k}"))) for k in range(len(lags))]
+        out += [F.array(*r).alias(f"{name}_r"), F.array(*n).alias(f"{name}_n")]
+    return df.withColumns(later).groupBy(*keys).agg(*out)
+
+
 def lag_correlation(df: DataFrame, keys: list[str], idx: str, a: str, b: str, lags: list[int]) -> DataFrame:
     """Pearson correlation of a at idx with b at idx + lag over pairs that both exist; positive lag: b is later."""
-    left = df.select(*keys, F.col(idx).alias("_i"), F.col(a).alias("_a")).where("_a is not null")
-    left = left.withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn(idx, F.col("_i") + F.col("lag"))
-    both = left.join(df.select(*keys, idx, F.col(b).alias("_b")).where("_b is not null"), [*keys, idx])
-    return both.groupBy(*keys, "lag").agg(F.corr("_a", "_b").alias("r"), F.count("*").alias("n"))
+    rows = lag_arrays(df, keys, idx, {"c": (a, b, lags)})
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, lags)).alias("lag"), F.col("c_r").alias("r"), F.col("c_n").alias("n")))
+    return rows.select(*keys, each.alias("_x")).select(*keys, "_x.lag", "_x.r", "_x.n").where("n > 0")
+
+
+def scale_of(r: str, step: float = 1.0):
+    """The integral scale of autocorrelations r at multiples of ``step``: one step and twice the sum up to and with the
+    first that is negative or unknown; never below one step. NULL where the first one is unknown."""
+    stop = f"coalesce(nullif(array_position(transform({r}, x -> x is null or x < 0), true), 0), size({r}))"
+    total = f"aggregate(filter(slice({r}, 1, cast({stop} as int)), x -> x is not null), 0D, (s, x) -> s + x)"
+    return F.lit(step) * F.expr(f"case when {r}[0] is not null then 1 + greatest(0D, 2 * {total}) end")
 
 
 def integral_scale(df: DataFrame, keys: list[str], idx: str, value: str, most: int) -> DataFrame:
-    """1 + max(0, 2 * sum of autocorrelations up to and with the first negative one)."""
-    r = lag_correlation(df, keys, idx, value, value, list(range(1, most + 1)))
-    negative = F.sum(F.when(F.col("r") < 0, 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy("lag").rowsBetween(Window.unboundedPreceding, -1))
-    kept = r.withColumn("_seen", F.coalesce(negative, F.lit(0))).where("_seen = 0")
-    return kept.groupBy(*keys).agg((1 + F.greatest(F.lit(0.0), 2 * F.sum("r"))).alias("scale"))
+    """(keys, scale) by :func:`scale_of` from the autocorrelations at lags 1 to ``most``."""
+    return lag_arrays(df, keys, idx, {"c": (value, value, list(range(1, most + 1)))}).select(*keys, scale_of("c_r").alias("scale"))
 
 
 def time_scale(df: DataFrame, keys: list[str], idx: str, value: str, n: int, delta: float = 1.0) -> DataFrame:
@@ -193,23 +200,49 @@ def time_scale(df: DataFrame, keys: list[str], idx: str, value: str, n: int, del
     stand for up to and with the first negative one."""
     lags = lag_list(n)
     weights = lag_weights(lags)
-    stands = [(k, lag, weights[k][k], weights[min(k + 1, len(lags) - 1)][k]) for k, lag in enumerate(lags)]
-    table = df.sparkSession.createDataFrame(stands, "_k int, lag int, _end double, _in double")
-    r = lag_correlation(df, keys, idx, value, value, lags).join(F.broadcast(table), "lag")
-    stop = F.coalesce(F.min(F.when(F.col("r") < 0, F.col("_k"))).over(Window.partitionBy(*keys)), F.lit(len(lags) - 1))
-    kept = r.withColumn("_stop", stop).where("_k <= _stop")
-    total = F.sum(F.col("r") * F.when(F.col("_k") == F.col("_stop"), F.col("_end")).otherwise(F.col("_in")))
-    return kept.groupBy(*keys).agg((F.lit(delta) * F.when(F.first("_stop") == 0, 1.0).otherwise(1 + 2 * total)).alias("scale"))
-
-
-def with_bounds(corr: DataFrame, scale_a: DataFrame, scale_b: DataFrame, keys: list[str], confidence: float = 0.95) -> DataFrame:
-    """Effective degrees of freedom and Fisher bounds of r (n pairs); fewer than 3 degrees leave the bounds NULL."""
-    rows = corr.join(scale_a.withColumnRenamed("scale", "_sa"), keys).join(scale_b.withColumnRenamed("scale", "_sb"), keys)
-    rows = rows.withColumn("dof", F.col("n") / F.greatest("_sa", "_sb"))
-    width = F.when(F.col("dof") > 3, F.lit(erfinv(confidence) * math.sqrt(2)) / F.sqrt(F.col("dof") - 3))
-    z = F.when(F.abs("r") < 1, F.atanh("r"))
-    rows = rows.withColumns({"low": F.tanh(z - width), "high": F.tanh(z + width)})
-    return rows.drop("_sa", "_sb").withColumn("significant", F.coalesce((F.signum("r") * F.when(F.col("r") >= 0, F.col("low")).otherwise(F.col("high"))) > 0, F.lit(False)))
+    ends = "array(" + ", ".join(f"{weights[k][k]!r}D" for k in range(len(lags))) + ")"
+    inside = "array(" + ", ".join(f"{weights[min(k + 1, len(lags) - 1)][k]!r}D" for k in range(len(lags))) + ")"
+    rows = lag_arrays(df, keys, idx, {"c": (value, value, lags)})
+    rows = rows.withColumn("_stop", F.expr(f"coalesce(nullif(array_position(transform(c_r, x -> x < 0), true), 0), {len(lags)}) - 1"))
+    total = F.expr(f"aggregate(sequence(0, cast(_stop as int)), 0D, (s, k) -> s + coalesce(c_r[k], 0D) * case when k = _stop then ({ends})[k] else ({inside})[k] end)")
+    return rows.select(*keys, (F.lit(delta) * F.when(F.col("_stop") == 0, 1.0).otherwise(1 + 2 * total)).alias("scale"))
+
+
+def line_removed(df: DataFrame, keys: list[str], idx: str, value: str) -> DataFrame:
+    """df with value about its line over idx. Values that are not finite, or nothing beside the largest, are missing."""
+    w = Window.partitionBy(*keys)
+    x = F.col(value).cast("double")
+    finite = F.when(F.abs(x) < float("inf"), x)
+    good = F.when(F.abs(finite) >= 1e-15 * F.max(F.abs(finite)).over(w), finite)
+    rows = df.withColumn(value, good)
+    place = F.when(F.col(value).isNotNull(), F.col(idx).cast("double"))
+    rows = rows.withColumns({"_mx": F.avg(value).over(w), "_mi": F.avg(place).over(w), "_slope": F.regr_slope(F.col(value), place).over(w)})
+    line = F.col("_mx") + F.coalesce(F.col("_slope"), F.lit(0.0)) * (F.col(idx) - F.col("_mi"))
+    return rows.withColumn(value, F.col(value) - line).drop("_mx", "_mi", "_slope")
+
+
+def correlated(df: DataFrame, keys: list[str], idx: str, a: str, b: str, lags: list[int], delta: float = 1.0, step: int = 1, confidence: float = 0.95) -> DataFrame:
+    """Lagged correlations of two series with their uncertainty: a row (keys, lag) with r, n, dof, low, high and, for the
+    whole series, scale_a, scale_b, dof_zero; significant: the lower bound has the sign of r.
+
+    The columns are those of a series with a row for each of its places, ``delta`` apart. Each series loses its own mean
+    and trend first. Integral scales come from the autocorrelations at multiples of ``step`` up to the largest lag; the
+    smaller one parts the n pairs of a lag into degrees of freedom, those without a lag are dof_zero. low and high are
+    the bounds of smaller and larger size by Fisher's transformation; with 3 degrees or fewer they are of size 1, the lower one with
+    the other sign. Lags without a pair have no r and no bounds.
+    """
+    rows = line_removed(line_removed(df.select(*keys, idx, a, b), keys, idx, a), keys, idx, b)
+    own = list(range(step, max(map(abs, lags)) + 1, step))
+    rows = lag_arrays(rows, keys, idx, {"c": (a, b, lags), "a": (a, a, own), "b": (b, b, own), "z": (a, b, [0])})
+    rows = rows.withColumns({"scale_a": scale_of("a_r", delta * step), "scale_b": scale_of("b_r", delta * step)})
+    rows = rows.withColumn("_least", F.least("scale_a", "scale_b")).withColumn("dof_zero", delta * F.col("z_n")[0] / F.col("_least"))
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, lags)).alias("lag"), F.col("c_r").alias("r"), F.col("c_n").alias("n")))
+    rows = rows.select(*keys, "scale_a", "scale_b", "dof_zero", "_least", each.alias("_x"))
+    rows = rows.select(*keys, "_x.lag", "_x.r", "_x.n", "scale_a", "scale_b", "dof_zero", (delta * F.col("_x.n") / F.col("_least")).alias("dof"))
+    width = F.when(F.col("dof") > 3, F.lit(erfinv(confidence) * math.sqrt(2)) / F.sqrt(F.col("dof") - 3)).when(F.col("dof").isNotNull(), F.lit(float("inf")))
+    size = F.atanh(F.least(F.abs("r"), F.lit(1.0)))
+    rows = rows.withColumns({"low": F.signum("r") * F.tanh(size - width), "high": F.signum("r") * F.tanh(size + width)})
+    return rows.withColumn("significant", F.coalesce(F.col("low") * F.col("r") > 0, F.lit(False)))
 
 
 def interpolated(points: DataFrame, targets: DataFrame, keys: list[str], at: str, value: str = "x", clamped: bool = False, width: float | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtide.operators.geometry import nearest_cell
+from gridtide.operators.geometry import in_quad, nearest_cell, wrapped
 
 METRES = 111100.0
 
@@ -20,29 +20,148 @@ def bounds_from_centres(df: DataFrame, keys: list[str], at: str) -> DataFrame:
 def overlaps(target: DataFrame, source: DataFrame, cell: float = 5.0) -> DataFrame:
     """Areas (t, s, area) where boxes (lon_lo, lon_hi, lat_lo, lat_hi, wet) of targets t and sources s overlap.
 
-    Boxes are dealt to the grid squares of ``cell`` degrees that they touch, and meet only there.
+    Boxes are dealt to the grid squares of ``cell`` degrees that they touch, and meet only there. Longitudes are a circle:
+    a box from 179 to 181 meets those on both sides of the date line. Boxes are less than half a circle wide.
     """
+    turns = int(360 // cell)
 
     def dealt(df, p):
         square = lambda lo, hi: F.sequence(F.floor(F.col(lo) / F.lit(cell)), F.floor(F.col(hi) / F.lit(cell)))
         cols = [F.col(c).alias(f"{p}_{c}") for c in ("lon_lo", "lon_hi", "lat_lo", "lat_hi", "wet")]
-        return df.select(F.col(p), *cols, F.explode(square("lon_lo", "lon_hi")).alias("_x"), F.col("lat_lo"), F.col("lat_hi")).withColumn("_y", F.explode(square("lat_lo", "lat_hi"))).drop("lat_lo", "lat_hi")
+        round_ = F.array_distinct(F.transform(square("lon_lo", "lon_hi"), lambda k: F.pmod(k, F.lit(turns))))
+        return df.select(F.col(p), *cols, F.explode(round_).alias("_x"), F.col("lat_lo"), F.col("lat_hi")).withColumn("_y", F.explode(square("lat_lo", "lat_hi"))).drop("lat_lo", "lat_hi")
 
     both = dealt(target, "t").join(dealt(source, "s"), ["_x", "_y"])
-    lo_x, hi_x = F.greatest("t_lon_lo", "s_lon_lo"), F.least("t_lon_hi", "s_lon_hi")
+    turned = 360 * F.rint((F.col("t_lon_lo") + F.col("t_lon_hi") - F.col("s_lon_lo") - F.col("s_lon_hi")) / 720)
+    lo_x, hi_x = F.greatest("t_lon_lo", F.col("s_lon_lo") + turned), F.least("t_lon_hi", F.col("s_lon_hi") + turned)
     lo_y, hi_y = F.greatest("t_lat_lo", "s_lat_lo"), F.least("t_lat_hi", "s_lat_hi")
-    own = (F.floor(lo_x / F.lit(cell)) == F.col("_x")) & (F.floor(lo_y / F.lit(cell)) == F.col("_y"))  # in one square only
+    own = (F.pmod(F.floor(lo_x / F.lit(cell)), F.lit(turns)) == F.col("_x")) & (F.floor(lo_y / F.lit(cell)) == F.col("_y"))  # in one square only
     area = METRES * METRES * F.cos(F.radians((lo_y + hi_y) / 2)) * (hi_x - lo_x) * (hi_y - lo_y)
     return both.where((hi_x > lo_x) & (hi_y > lo_y) & own).select("t", "s", "t_wet", "s_wet", area.alias("area"))
 
 
-def weights(overlap: DataFrame) -> DataFrame:
-    """(t, s, weight, n): sources of the target's own kind, wet or dry, or all if it has none; weights sum up to 1."""
+def weights(overlap: DataFrame, source: tuple[str, ...] = ("s",)) -> DataFrame:
+    """(t, source, weight, n): sources of the target's own kind, wet or dry, or all if it has none; weights sum up to 1."""
     w = Window.partitionBy("t")
     same = F.col("t_wet") == F.col("s_wet")
     kept = overlap.withColumn("_any", F.max(same.cast("int")).over(w)).where(same | (F.col("_any") == 0))
-    n = F.row_number().over(w.orderBy("s"))
-    return kept.select("t", "s", (F.col("area") / F.sum("area").over(w)).alias("weight"), n.alias("n"))
+    n = F.row_number().over(w.orderBy(*source))
+    return kept.select("t", *source, (F.col("area") / F.sum("area").over(w)).alias("weight"), n.alias("n"))
+
+
+def axis_bounds(axis: DataFrame, ind: str, at: str, circle: float | None = None, ends: tuple[float, float] = (-90.0, 90.0)) -> DataFrame:
+    """axis (ind, at) with lo and hi, half way to the neighbours; the outer ones end at ``ends``, or meet on a circle."""
+    w = Window.orderBy(at)  # one axis of a grid: some thousand places
+    before, after = F.lag(at).over(w), F.lead(at).over(w)
+    rows = axis.withColumns({"_before": before, "_after": after})
+    if circle:
+        first, last = (f(at).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for f in (F.min, F.max))
+        rows = rows.withColumns({"_before": F.coalesce("_before", last - circle), "_after": F.coalesce("_after", first + circle)})
+    lo, hi = (F.col(at) + F.col("_before")) / 2, (F.col(at) + F.col("_after")) / 2
+    return rows.withColumns({"lo": F.coalesce(lo, F.lit(ends[0])), "hi": F.coalesce(hi, F.lit(ends[1]))}).drop("_before", "_after")
+
+
+def axis_overlap(boxes: DataFrame, lo: str, hi: str, axis: DataFrame, ind: str, width: str, circle: float | None = None, bin: float = 2.0, also: tuple[str, ...] = ()) -> DataFrame:
+    """boxes with the cells of an axis (ind, lo, hi) that their range lo to hi overlaps, and the width of that overlap.
+
+    Ranges and cells meet in bins of ``bin`` degrees; on a circle bins go round, and cells are turned next to the range.
+    """
+    turns = None if circle is None else int(circle // bin)
+
+    def bins(low, high):
+        some = F.sequence(F.floor(low / F.lit(bin)), F.floor(high / F.lit(bin)))
+        return F.explode(some if turns is None else F.array_distinct(F.transform(some, lambda k: F.pmod(k, F.lit(turns)))))
+
+    cells = axis.select(ind, *also, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), bins(F.col("lo"), F.col("hi")).alias("_bin"))
+    both = boxes.withColumn("_bin", bins(F.col(lo), F.col(hi))).join(cells, "_bin")
+    turned = F.lit(0.0) if circle is None else circle * F.rint((F.col(lo) + F.col(hi) - F.col("_lo") - F.col("_hi")) / (2 * circle))
+    both = both.withColumns({"_from": F.greatest(F.col(lo), F.col("_lo") + turned), "_to": F.least(F.col(hi), F.col("_hi") + turned)})
+    at = F.floor(F.col("_from") / F.lit(bin))
+    own = (at if turns is None else F.pmod(at, F.lit(turns))) == F.col("_bin")  # in one bin only
+    return both.where((F.col("_to") > F.col("_from")) & own).withColumn(width, F.col("_to") - F.col("_from")).drop("_bin", "_lo", "_hi", "_from", "_to")
+
+
+CORNERS = range(1, 5)
+
+
+def corner_boxes(targets: DataFrame) -> DataFrame:
+    """targets with the box of their corners (lon1, lat1, ... lon4, lat4): between the means of the two least and of the
+    two largest latitudes, and so for longitudes, turned to follow the first corner from 10 degrees before it."""
+    base = F.col("lon1") - 10
+    lats = F.sort_array(F.array(*(F.col(f"lat{k}") for k in CORNERS)))
+    lons = F.sort_array(F.array(*(wrapped(F.col(f"lon{k}"), base) for k in CORNERS)))
+    out = {}
+    for name, some in (("lat", lats), ("lon", lons)):
+        out |= {f"{name}_lo": (some[0] + some[1]) / 2, f"{name}_hi": (some[2] + some[3]) / 2}
+    return targets.withColumns(out)
+
+
+def corner_overlaps(targets: DataFrame, lats: DataFrame, lons: DataFrame, mask: DataFrame) -> DataFrame:
+    """(t, lat_ind, lon_ind, t_wet, s_wet, area) of targets (t, corners, wet) taken for boxes of latitude and longitude.
+
+    lats (lat_ind, lat, lo, hi) and lons (lon_ind, lo, hi) are the axes of the source, mask (lat_ind, lon_ind, wet) its
+    cells. Areas are those at the latitude of the source cell.
+    """
+    boxes = corner_boxes(targets).select("t", F.col("wet").alias("t_wet"), "lat_lo", "lat_hi", "lon_lo", "lon_hi")
+    rows = axis_overlap(boxes, "lat_lo", "lat_hi", lats, "lat_ind", "_dlat", also=("lat",))
+    rows = axis_overlap(rows, "lon_lo", "lon_hi", lons, "lon_ind", "_dlon", circle=360.0)
+    rows = rows.join(mask.select("lat_ind", "lon_ind", F.col("wet").alias("s_wet")), ["lat_ind", "lon_ind"])
+    area = METRES * METRES * F.cos(F.radians("lat")) * F.col("_dlat") * F.col("_dlon")
+    return rows.select("t", "lat_ind", "lon_ind", "t_wet", "s_wet", area.alias("area"))
+
+
+def polar_overlaps(targets: DataFrame, lats: DataFrame, lons: DataFrame, mask: DataFrame, per_degree: int = 32) -> DataFrame:
+    """As :func:`corner_overlaps`, but by points: those of a lattice of ``per_degree`` points a degree that are inside the
+    quadrilateral of the corners on the plane about the pole, each with the area that it stands for.
+
+    A target makes the points of the rings and the arc that it reaches, so nothing is shuffled before the points are
+    summed by source cell; a target that holds the pole makes whole rings.
+    """
+    step = 1.0 / per_degree
+    north = F.col("lat1") + F.col("lat2") + F.col("lat3") + F.col("lat4") >= 0
+    radius = lambda lat: F.when(F.col("_north"), 90 - lat).otherwise(90 + lat)
+    plane = lambda lon, r: (r * F.cos(F.radians(lon)), r * F.sin(F.radians(lon)))
+    rows = targets.withColumn("_north", north)
+    corners = [plane(F.col(f"lon{k}"), radius(F.col(f"lat{k}"))) for k in CORNERS]
+    rows = rows.withColumns({f"_{c}{k}": v for k, xy in zip(CORNERS, corners, strict=True) for c, v in zip("xy", xy, strict=True)})
+    quad = [(F.col(f"_x{k}"), F.col(f"_y{k}")) for k in CORNERS]
+    rows = rows.withColumn("_pole", in_quad(F.lit(0.0), F.lit(0.0), quad))
+    off = [F.pmod(F.col(f"lon{k}") - F.col("lon1") + 180, F.lit(360.0)) - 180 for k in CORNERS]
+    far = F.greatest(*(radius(F.col(f"lat{k}")) for k in CORNERS))
+    arc = (F.greatest(*off) - F.least(*off)) / 2
+    near = F.when(F.col("_pole"), F.lit(0.0)).otherwise(F.least(*(radius(F.col(f"lat{k}")) for k in CORNERS)) * F.cos(F.radians(arc)))
+    west, east = F.col("lon1") + F.least(*off), F.col("lon1") + F.greatest(*off)
+    whole = F.sequence(F.lit(0).cast("long"), F.lit(360 * per_degree - 1).cast("long"))
+    some = F.sequence(F.floor(west / step), F.floor(east / step))
+    rows = rows.withColumn("_ring", F.explode(F.sequence(F.floor(near / step), F.least(F.floor(far / step), F.lit(90 * per_degree - 1).cast("long")))))
+    rows = rows.withColumn("_k", F.explode(F.when(F.col("_pole"), whole).otherwise(some)))
+    lon, r = (F.col("_k") + 0.5) * step, (F.col("_ring") + 0.5) * step
+    rows = rows.where(in_quad(*plane(lon, r), quad))
+    rows = rows.select("t", F.col("wet").alias("t_wet"), F.pmod("_k", F.lit(360 * per_degree)).alias("_k"), F.when(F.col("_north"), 90 * per_degree - 1 - F.col("_ring")).otherwise(F.col("_ring") - 90 * per_degree).alias("_row"))
+    ring = F.explode(F.sequence(F.ceil(F.col("lo") / step - 0.5), F.ceil(F.col("hi") / step - 0.5) - 1))
+    of_lat = lats.where("hi > lo").select("lat_ind", ring.alias("_row"))
+    side = F.explode(F.sequence(F.ceil(F.col("lo") / step - 0.5), F.ceil(F.col("hi") / step - 0.5) - 1))
+    of_lon = lons.where("hi > lo").select("lon_ind", side.alias("_k")).withColumn("_k", F.pmod("_k", F.lit(360 * per_degree)))
+    counts = rows.join(F.broadcast(of_lat), "_row").join(F.broadcast(of_lon), "_k")  # a row a ring or meridian of the lattice
+    point = METRES * METRES * step * step * F.cos(F.radians((F.col("_row") + 0.5) * step))
+    counts = counts.groupBy("t", "t_wet", "lat_ind", "lon_ind").agg(F.sum(point).alias("area"))
+    return counts.join(mask.select("lat_ind", "lon_ind", F.col("wet").alias("s_wet")), ["lat_ind", "lon_ind"]).select("t", "lat_ind", "lon_ind", "t_wet", "s_wet", "area")
+
+
+#: Targets south or north of these latitudes are met by points (fixed values).
+POLAR = (-70.0, 60.0)
+
+
+def grid_weights(targets: DataFrame, lats: DataFrame, lons: DataFrame, mask: DataFrame, per_degree: int = 32) -> DataFrame:
+    """(t, lat_ind, lon_ind, weight, n) of targets (t, lat, lon1, lat1 ... lon4, lat4, wet) from a source grid with the
+    axes lats (lat_ind, lat) and lons (lon_ind, lon) and the cells mask (lat_ind, lon_ind, wet).
+
+    Near the poles cells are met by points, elsewhere as boxes, also across the date line.
+    """
+    lats, lons = axis_bounds(lats, "lat_ind", "lat"), axis_bounds(lons, "lon_ind", "lon", circle=360.0)
+    polar = (F.col("lat") < POLAR[0]) | (F.col("lat") >= POLAR[1])
+    own = corner_overlaps(targets.where(~polar), lats, lons, mask).unionByName(polar_overlaps(targets.where(polar), lats, lons, mask, per_degree))
+    return weights(own, ("lat_ind", "lon_ind"))
 
 
 def conserving(overlap: DataFrame, source_area: DataFrame, target_area: DataFrame, nearest: DataFrame) -> DataFrame:

@@ -120,9 +120,6 @@ def corr_pairs_band(spark, d):
     return pairs.groupBy("la", "lb").agg(rnd(F.corr("a", "b"), 5).alias("r"), F.count("*").alias("n"))
 
 
-_SCALE = "r AS (SELECT a.vec_id, l.lag, corr(a.{v}, c.{v}) AS r FROM {t} a, (VALUES (1), (2), (3), (4), (5), (6), (7), (8), (9), (10)) l(lag), {t} c WHERE c.vec_id = a.vec_id AND c.p = a.p + l.lag GROUP BY 1, 2), sc AS (SELECT vec_id, 1 + greatest(0, 2 * sum(r)) AS scale FROM (SELECT *, coalesce(sum(CASE WHEN r < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY vec_id ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM r) WHERE seen = 0 GROUP BY 1)"
-
-
 def _scale_sql(source: str, value: str) -> str:
     """sc (vec_id, scale): the steps of filters.time_scale."""
     lags = X.lag_list(N)
@@ -212,29 +209,38 @@ def integral_scale(spark, d):
     return X.time_scale(arrays(spark, d), ["vec_id"], "p", "x", N).select("vec_id", r6("scale", 5))
 
 
+LAGS = list(range(-3, 7))
+_GAPPY = "gp AS (SELECT vec_id, p, CASE WHEN abs(x) > 0.02 THEN x END AS x FROM ar)"
+
+
 def _bounds_sql() -> str:
     half = erfinv(0.95) * math.sqrt(2)
+    most = max(map(abs, LAGS))
     return (
-        f"WITH {_SCALE.format(t='ar', v='x')}, c AS (SELECT a.vec_id, l.lag, corr(a.x, b.x) AS r0, count(*) AS n FROM ar a, (VALUES (0), (1), (2)) l(lag), ar b WHERE b.vec_id = a.vec_id + 1 AND b.p = a.p + l.lag GROUP BY 1, 2), "
-        "j AS (SELECT c.*, n / greatest(s1.scale, s2.scale) AS dof FROM c JOIN sc s1 ON s1.vec_id = c.vec_id JOIN sc s2 ON s2.vec_id = c.vec_id + 1), "
-        f"z AS (SELECT *, tanh(atanh(r0) - CASE WHEN dof > 3 THEN {half:.17e} / sqrt(dof - 3) END) AS lo, tanh(atanh(r0) + CASE WHEN dof > 3 THEN {half:.17e} / sqrt(dof - 3) END) AS hi FROM j) "
+        f"WITH {_GAPPY}, gv AS (SELECT * FROM gp WHERE x IS NOT NULL), dt AS (SELECT vec_id, p, x - avg(x) OVER w - regr_slope(x, p) OVER w * (p - avg(p) OVER w) AS y FROM gv WINDOW w AS (PARTITION BY vec_id)), "
+        f"au AS (SELECT a.vec_id, k.lag, corr(a.y, b.y) AS r FROM dt a, range(1, {most + 1}) k(lag), dt b WHERE b.vec_id = a.vec_id AND b.p = a.p + k.lag GROUP BY 1, 2), "
+        f"st AS (SELECT vec_id, coalesce(min(CASE WHEN r < 0 THEN lag END), {most}) AS stop FROM au GROUP BY 1), "
+        "sc AS (SELECT vec_id, 1 + greatest(0, 2 * sum(r)) AS scale FROM au JOIN st USING (vec_id) WHERE lag <= stop GROUP BY 1), "
+        f"c AS (SELECT a.vec_id, k.lag, corr(a.y, b.y) AS r, count(*) AS n FROM dt a, range({LAGS[0]}, {LAGS[-1] + 1}) k(lag), dt b WHERE b.vec_id = a.vec_id + 1 AND b.p = a.p + k.lag GROUP BY 1, 2), "
+        "j AS (SELECT c.*, s1.scale AS scale_a, s2.scale AS scale_b, n / least(s1.scale, s2.scale) AS dof, max(CASE WHEN lag = 0 THEN n END) OVER (PARTITION BY c.vec_id) / least(s1.scale, s2.scale) AS dof_zero FROM c JOIN sc s1 ON s1.vec_id = c.vec_id JOIN sc s2 ON s2.vec_id = c.vec_id + 1), "
+        "f AS (SELECT *, 0.5 * (ln(1 + abs(r)) - ln(1 - abs(r))) AS z, CASE WHEN dof > 3 THEN " + f"{half:.17e}" + " / sqrt(dof - 3) END AS e FROM j), "
+        "z AS (SELECT *, sign(r) * CASE WHEN e IS NULL THEN -1 ELSE 1 - 2 / (exp(2 * (z - e)) + 1) END AS lo, sign(r) * CASE WHEN e IS NULL THEN 1 ELSE 1 - 2 / (exp(2 * (z + e)) + 1) END AS hi FROM f) "
     )
 
 
 def _bounds(spark, d):
-    a = arrays(spark, d)
+    a = arrays(spark, d).withColumn("x", F.when(F.abs("x") > 0.02, F.col("x")))
     pairs = a.select("vec_id", "p", F.col("x").alias("a")).join(a.select((F.col("vec_id") - 1).alias("vec_id"), "p", F.col("x").alias("b")), ["vec_id", "p"])
-    corr = X.lag_correlation(pairs, ["vec_id"], "p", "a", "b", [0, 1, 2])
-    scale = X.integral_scale(a, ["vec_id"], "p", "x", 10)
-    return X.with_bounds(corr, scale, scale.withColumn("vec_id", F.col("vec_id") - 1), ["vec_id"])
+    return X.correlated(pairs, ["vec_id"], "p", "a", "b", LAGS).withColumn("lag", F.col("lag").cast("long"))
 
 
-@query("corr_uncert", _bounds_sql() + "SELECT vec_id, lag, round(r0, 5) AS r, n, round(dof, 4) AS dof, round(lo, 5) AS low, round(hi, 5) AS high FROM z")
+@query("corr_uncert", _bounds_sql() + "SELECT vec_id, lag, round(r, 5) AS r, n, round(dof, 4) AS dof, round(dof_zero, 4) AS dof_zero, round(scale_a, 5) AS scale_a, round(scale_b, 5) AS scale_b, round(lo, 5) AS low, round(hi, 5) AS high FROM z")
 def corr_uncert(spark, d):
-    return _bounds(spark, d).select("vec_id", "lag", r6("r", 5), "n", r6("dof", 4), r6("low", 5), r6("high", 5))
+    """All seven results of a lagged correlation, for neighbouring vectors with gaps."""
+    return _bounds(spark, d).select("vec_id", "lag", r6("r", 5), "n", r6("dof", 4), r6("dof_zero", 4), r6("scale_a", 5), r6("scale_b", 5), r6("low", 5), r6("high", 5))
 
 
-@query("corr_significant", _bounds_sql() + "SELECT vec_id, lag, round(CASE WHEN (r0 > 0 AND lo > 0) OR (r0 < 0 AND hi < 0) THEN r0 END, 5) AS r FROM z")
+@query("corr_significant", _bounds_sql() + "SELECT vec_id, lag, round(CASE WHEN lo * r > 0 THEN r END, 5) AS r FROM z")
 def corr_significant(spark, d):
     return _bounds(spark, d).select("vec_id", "lag", rnd(F.when(F.col("significant"), F.col("r")), 5).alias("r"))
 

@@ -149,6 +149,71 @@ def regrid_apply(spark, d):
     return W.applied(W.weights(_overlap(spark, d)), field, ["k"]).select("t", "k", r6("x"))
 
 
+#: Cells with four corners: by customer, a few of them about a pole.
+_TARGETS = """q AS (SELECT c_custkey AS t, c_custkey % 500 = 7 AS pole, CASE WHEN c_custkey % 2 = 0 THEN -1 ELSE 1 END AS sg, (c_custkey * 37 % 360)::DOUBLE - 179.687 AS lon0, (c_custkey * 17 % 179)::DOUBLE - 88.829 AS lat0, CASE WHEN c_custkey % 5 > 0 THEN 1 ELSE 0 END AS wet FROM customer),
+tg AS (SELECT t, wet, pole, CASE WHEN pole THEN sg * 89.9 ELSE lat0 END AS lat,
+ CASE WHEN pole THEN sg * 10.013 ELSE lon0 - 1.3 END AS lon1, CASE WHEN pole THEN sg * 100.013 ELSE lon0 + 1.17 END AS lon2, CASE WHEN pole THEN sg * 190.013 ELSE lon0 + 1.3 END AS lon3, CASE WHEN pole THEN sg * 280.013 ELSE lon0 - 1.43 END AS lon4,
+ CASE WHEN pole THEN sg * 89.203 ELSE lat0 - 0.7 END AS lat1, CASE WHEN pole THEN sg * 89.203 ELSE lat0 - 0.56 END AS lat2, CASE WHEN pole THEN sg * 89.203 ELSE lat0 + 0.7 END AS lat3, CASE WHEN pole THEN sg * 89.203 ELSE lat0 + 0.63 END AS lat4 FROM q),
+mk AS (SELECT p_partkey % 24 AS lat_ind, p_partkey // 24 % 48 AS lon_ind, CASE WHEN sum(p_size) % 3 > 0 THEN 1 ELSE 0 END AS wet FROM part GROUP BY 1, 2),
+la AS (SELECT lat_ind, lat_ind * 7.5 - 86.25 AS lat, lat_ind * 7.5 - 90 AS lo, lat_ind * 7.5 - 82.5 AS hi FROM range(0, 24) t(lat_ind)), lo_ AS (SELECT lon_ind, lon_ind * 7.5 - 3.75 AS lo, lon_ind * 7.5 + 3.75 AS hi FROM range(0, 48) t(lon_ind))"""
+_PLAIN = (
+    "tb AS (SELECT t, wet, " + ", ".join(f"({e}[{i}] + {e}[{i + 1}]) / 2 AS {n}_{side}" for n, e in (("lat", "list_sort([lat1, lat2, lat3, lat4])"), ("lon", "list_sort([" + ", ".join(f"fmod(fmod(lon{k} - lon1 + 10, 360) + 360, 360) + lon1 - 10" for k in range(1, 5)) + "])")) for side, i in (("lo", 1), ("hi", 3))) + " FROM tg WHERE lat >= -70 AND lat < 60), "
+    "po AS (SELECT t, tb.wet AS tw, mk.wet AS sw, mk.lat_ind, mk.lon_ind, 111100.0 * 111100.0 * cos(radians(la.lat)) * (least(lat_hi, la.hi) - greatest(lat_lo, la.lo)) * (least(lon_hi, lo_.hi + turn) - greatest(lon_lo, lo_.lo + turn)) AS area FROM tb JOIN la ON la.lo < lat_hi AND la.hi > lat_lo, lo_, (VALUES (-720), (-360), (0), (360)) v(turn), mk WHERE lo_.lo + turn < lon_hi AND lo_.hi + turn > lon_lo AND mk.lat_ind = la.lat_ind AND mk.lon_ind = lo_.lon_ind)"
+)
+
+
+def _angles() -> str:
+    """Whether (x, y) is inside the quadrilateral of (x1, y1) to (x4, y4), by the angles at its corners."""
+    out = []
+    for k in range(1, 5):
+        p, n = (k + 2) % 4 + 1, k % 4 + 1
+        into = f"(atan2(y{k} - y{p}, x{k} - x{p}) - pi() + 1e-5)"
+        turned = lambda a: f"(({a} - {into}) - 2 * pi() * floor(({a} - {into}) / (2 * pi())))"  # noqa: B023, E731
+        out.append(f"{turned(f'atan2(y - y{k}, x - x{k})')} >= {turned(f'atan2(y{n} - y{k}, x{n} - x{k})')}")
+    return " AND ".join(out)
+
+
+_POINTS = (
+    "pq AS (SELECT *, " + ", ".join(f"(90 - abs(lat{k})) * {f}(radians(sign(lat) * lon{k})) AS {c}{k}" for k in range(1, 5) for c, f in (("x", "cos"), ("y", "sin"))) + " FROM tg WHERE lat < -70 OR lat >= 60), "
+    "pp AS (SELECT *, unnest(range(CAST(floor((CASE WHEN pole THEN 0 ELSE lon0 - 1.5 END) * 32) AS BIGINT), CAST(floor((CASE WHEN pole THEN 360 ELSE lon0 + 1.4 END) * 32) AS BIGINT))) AS k, rw FROM (SELECT pq.*, lon1 + 1.3 AS lon0, unnest(range(CAST(floor((CASE WHEN pole THEN 89.1 ELSE greatest(abs(lat1), abs(lat3)) - 1.6 END) * 32) AS BIGINT), CASE WHEN pole THEN 2880 ELSE least(2880, CAST(ceil((greatest(abs(lat1), abs(lat3)) + 0.1) * 32) AS BIGINT)) END)) AS rw FROM pq)), "
+    "px AS (SELECT *, (k + 0.5) / 32 AS plon, sign(lat) * (rw + 0.5) / 32 AS plat FROM pp), "
+    "py AS (SELECT *, (90 - abs(plat)) * cos(radians(sign(lat) * plon)) AS x, (90 - abs(plat)) * sin(radians(sign(lat) * plon)) AS y FROM px), "
+    f"pi_ AS (SELECT t, wet AS tw, CAST(floor((plat + 90) / 7.5) AS BIGINT) AS lat_ind, CAST(floor((plon + 3.75) / 7.5) AS BIGINT) % 48 AS k0, 111100.0 * 111100.0 / 1024 * cos(radians(plat)) AS area FROM py WHERE {_angles()}), "
+    "pw AS (SELECT t, tw, mk.wet AS sw, lat_ind, lon_ind, sum(area) AS area FROM (SELECT *, (k0 + 48) % 48 AS lon_ind FROM pi_) JOIN mk USING (lat_ind, lon_ind) GROUP BY ALL)"
+)
+_SHARES = "SELECT t, lat_ind, lon_ind, round(area / sum(area) OVER (PARTITION BY t), 6) AS weight, CAST(row_number() OVER (PARTITION BY t ORDER BY lat_ind, lon_ind) AS INTEGER) AS n FROM (SELECT *, max(CASE WHEN tw = sw THEN 1 ELSE 0 END) OVER (PARTITION BY t) AS k FROM {}) WHERE tw = sw OR k = 0"
+
+
+def corner_grid(spark, d):
+    """Targets with corners, the axes and the cells of a source grid."""
+    from gridtide.plans.base import table
+
+    k = F.col("c_custkey")
+    pole, sign = k % 500 == 7, F.when(k % 2 == 0, -1).otherwise(1)
+    lon0, lat0 = (k * 37 % 360).cast("double") - 179.687, (k * 17 % 179).cast("double") - 88.829
+    lons = [F.when(pole, sign * a).otherwise(lon0 + b).alias(f"lon{i}") for i, (a, b) in enumerate(((10.013, -1.3), (100.013, 1.17), (190.013, 1.3), (280.013, -1.43)), 1)]
+    lats = [F.when(pole, sign * 89.203).otherwise(lat0 + b).alias(f"lat{i}") for i, b in enumerate((-0.7, -0.56, 0.7, 0.63), 1)]
+    targets = table(spark, d, "customer").select(k.alias("t"), F.when(pole, sign * 89.9).otherwise(lat0).alias("lat"), *lons, *lats, F.when(k % 5 > 0, 1).otherwise(0).alias("wet"))
+    of = table(spark, d, "part").select((F.col("p_partkey") % 24).alias("lat_ind"), F.expr("p_partkey div 24 % 48").alias("lon_ind"), "p_size")
+    mask = of.groupBy("lat_ind", "lon_ind").agg(F.when(F.sum("p_size") % 3 > 0, 1).otherwise(0).alias("wet"))
+    return targets, spark.range(24).select(F.col("id").alias("lat_ind"), (F.col("id") * 7.5 - 86.25).alias("lat")), spark.range(48).select(F.col("id").alias("lon_ind"), (F.col("id") * 7.5).alias("lon")), mask
+
+
+@query("polar_weights", f"WITH {_TARGETS}, {_POINTS} {_SHARES.format('pw')}")
+def polar_weights(spark, d):
+    """Cells about both poles, some of which hold a pole, by points."""
+    targets, lats, lons, mask = corner_grid(spark, d)
+    polar = targets.where((F.col("lat") < W.POLAR[0]) | (F.col("lat") >= W.POLAR[1]))
+    rows = W.polar_overlaps(polar, W.axis_bounds(lats, "lat_ind", "lat"), W.axis_bounds(lons, "lon_ind", "lon", circle=360.0), mask)
+    return W.weights(rows, ("lat_ind", "lon_ind")).select("t", "lat_ind", "lon_ind", r6("weight"), "n")
+
+
+@query("regrid_weights_full", f"WITH {_TARGETS}, {_PLAIN}, {_POINTS}, al AS (SELECT t, tw, sw, lat_ind, lon_ind, area FROM po UNION ALL SELECT t, tw, sw, lat_ind, lon_ind, area FROM pw) {_SHARES.format('al')}")
+def regrid_weights_full(spark, d):
+    """All cells, from their corners: as boxes, across the date line too, and by points near the poles."""
+    return W.grid_weights(*corner_grid(spark, d)).select("t", "lat_ind", "lon_ind", r6("weight"), "n")
+
+
 _AREA = "111100.0 * 111100.0 * cos(radians((lat_lo + lat_hi) / 2)) * (lon_hi - lon_lo) * (lat_hi - lat_lo)"
 
 

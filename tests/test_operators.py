@@ -111,6 +111,52 @@ def test_weights_sum_to_one_and_conserve(spark):
         assert r["a"] == pytest.approx(r["s_area"])
 
 
+def _box(spark, name, lon, lat, size, wet=1):
+    return spark.createDataFrame([(1, lon, lon + size, lat, lat + size, wet)], f"{name} int, lon_lo double, lon_hi double, lat_lo double, lat_hi double, wet int")
+
+
+@pytest.mark.parametrize("lon", [-181.0, 179.0])
+def test_overlaps_across_the_date_line(spark, lon):
+    other = _box(spark, "s", -180.5, 0.0, 1.0).unionByName(_box(spark, "s", 179.5, 0.0, 0.25).withColumn("s", F.lit(2)))
+    got = {r["s"]: r["area"] for r in W.overlaps(_box(spark, "t", lon, 0.0, 2.0), other).collect()}
+    unit = W.METRES**2 * math.cos(math.radians(0.5))
+    assert got == {1: pytest.approx(unit), 2: pytest.approx(W.METRES**2 * math.cos(math.radians(0.125)) / 16)}
+
+
+def _grid_axes(spark, step):
+    n, m = int(180 / step), int(360 / step)
+    lats = spark.createDataFrame([(k, -90 + (k + 0.5) * step) for k in range(n)], "lat_ind int, lat double")
+    lons = spark.createDataFrame([(k, k * step) for k in range(m)], "lon_ind int, lon double")
+    mask = spark.createDataFrame([(i, j, (i + j) % 2) for i in range(n) for j in range(m)], "lat_ind int, lon_ind int, wet int")
+    return lats, lons, mask
+
+
+def test_weights_from_corners(spark):
+    """Date line, both poles, a cell that holds a pole, a target without a source of its kind."""
+    names = "t int, lat double, " + ", ".join(f"lon{k} double, lat{k} double" for k in range(1, 5)) + ", wet int"
+    quad = lambda t, lon, lat, w, wet=1: (t, lat, lon - w, lat - w, lon + w, lat - w, lon + w, lat + w, lon - w, lat + w, wet)
+    pole = lambda t, s: (t, s * 89.95, s * 5.0, s * 89.1, s * 95.0, s * 89.1, s * 185.0, s * 89.1, s * 275.0, s * 89.1, 1)
+    data = [quad(1, 180.0, 10.0, 1.0), quad(2, -0.5, -20.0, 2.0), quad(3, 33.0, 75.0, 0.8), quad(4, -179.9, -80.0, 0.7), pole(5, 1), pole(6, -1), quad(7, 10.0, 12.0, 0.3, 0)]
+    out = W.grid_weights(spark.createDataFrame(data, names), *_grid_axes(spark, 10.0)).collect()
+    total = {t: sum(r["weight"] for r in out if r["t"] == t) for t in range(1, 8)}
+    assert total == {t: pytest.approx(1.0) for t in range(1, 8)}
+    assert {(r["lat_ind"], r["lon_ind"]) for r in out if r["t"] == 1} <= {(9, 18), (10, 18)} and {r["lon_ind"] for r in out if r["t"] == 2} <= {0, 35}
+    assert len({r["lon_ind"] for r in out if r["t"] == 5}) == 18 and {r["lat_ind"] for r in out if r["t"] == 5} == {17} and {r["lat_ind"] for r in out if r["t"] == 6} == {0}
+    assert [(r["lat_ind"], r["lon_ind"]) for r in out if r["t"] == 7] == [(10, 1)]
+
+
+def test_polar_points_fill_the_cell(spark):
+    """The points inside a small cell about the pole stand for about its area, whatever its corners' order."""
+    lats, lons, _ = _grid_axes(spark, 30.0)
+    mask = spark.createDataFrame([(i, j, 1) for i in range(6) for j in range(12)], "lat_ind int, lon_ind int, wet int")
+    lats, lons = W.axis_bounds(lats, "lat_ind", "lat"), W.axis_bounds(lons, "lon_ind", "lon", circle=360.0)
+    names = "t int, " + ", ".join(f"lon{k} double, lat{k} double" for k in range(1, 5)) + ", wet int"
+    turn = [(20.0, 70.0), (22.0, 70.0), (22.0, 71.0), (20.0, 71.0)]
+    data = [(1, *sum(turn, ()), 1), (2, *sum(turn[::-1], ()), 1)]
+    area = {r["t"]: r["area"] for r in W.polar_overlaps(spark.createDataFrame(data, names), lats, lons, mask).groupBy("t").agg(F.sum("area").alias("area")).collect()}
+    assert area[1] == area[2] == pytest.approx(W.METRES**2 * 2 * math.cos(math.radians(70.5)), rel=0.03)
+
+
 def test_cumulative_poison_and_pre_post(spark):
     df = spark.createDataFrame([(1, 0, 1.0), (1, 1, None), (1, 2, 2.0)], "k int, lag int, impact double")
     assert [r["cum"] for r in A.cumulative(df, ["k"], "lag").orderBy("lag").collect()] == [1.0, 1.0, 3.0]
@@ -119,16 +165,6 @@ def test_cumulative_poison_and_pre_post(spark):
     assert [r["cum"] for r in A.before_and_after(pp, ["k"], "lag", "pre", "post").orderBy("lag").collect()] == [21.0, 3.0]
 
 
-def test_bandpass_join_is_the_fourier_filter(spark):
-    n, rng = 32, np.random.default_rng(1)
-    x = rng.normal(size=n)
-    band = {"delta": 1.0, "low": 1 / 16, "high": 1 / 4, "steep": 5.0}
-    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "k int, p int, x double")
-    got = [r["band"] for r in X.bandpass(df, ["k"], "p", n, **band).orderBy("p").collect()]
-    response = [special.band_weight(f, 1 / 16, 1 / 4, 5.0) for f in np.fft.fftfreq(n)]
-    assert np.allclose(got, np.fft.ifft(np.fft.fft(x) * response).real)
-
-
 def test_bandpass_bands_add_up(spark):
     parts = [{"low": 0.0, "high": 0.1}, {"low": 0.1, "high": math.inf}]
     total = sum(special.band_weight(0.07, p["low"], p["high"], 3.0, half_power=False) for p in parts)
@@ -183,13 +219,55 @@ def test_gaps_and_interpolation(spark):
     assert [r["filled"] for r in X.gaps_filled(df, ["k"], "p").orderBy("p").collect()] == [None, 1.0, 2.0, 3.0, None]
 
 
-def test_correlation_bounds(spark):
-    x = np.sin(np.arange(50))
-    df = spark.createDataFrame([(1, i, float(v), float(-v)) for i, v in enumerate(x)], "k int, p int, a double, b double")
-    corr = X.lag_correlation(df, ["k"], "p", "a", "b", [0])
-    scale = X.integral_scale(df, ["k"], "p", "a", 5)
-    out = X.with_bounds(corr, scale, scale, ["k"]).first()
-    assert out["r"] == pytest.approx(-1.0) and out["dof"] <= 50
+def _correlated(a, b, lags, delta=1.0, confidence=0.95):
+    """The lagged correlation by numpy: detrended, the smaller integral scale, Fisher's bounds."""
+    i = np.arange(len(a), dtype=float)
+
+    def flat(x):
+        ok = np.isfinite(x)
+        return x - np.polyval(np.polyfit(i[ok], x[ok], 1), i)
+
+    def corr(x, y):
+        ok = np.isfinite(x) & np.isfinite(y)
+        return (np.corrcoef(x[ok], y[ok])[0, 1], ok.sum()) if ok.sum() > 1 else (np.nan, ok.sum())
+
+    def scale(x):
+        total = 0.0
+        for k in range(1, max(map(abs, lags)) + 1):
+            r = corr(x[:-k], x[k:])[0]
+            total += 0 if np.isnan(r) else r
+            if not r >= 0:
+                break
+        return delta * (1 + max(0.0, 2 * total))
+
+    a, b = flat(a), flat(b)
+    least, out = min(scale(a), scale(b)), {}
+    for lag in lags:
+        r, n = corr(a[max(0, -lag) : len(a) - max(0, lag)], b[max(0, lag) : len(b) - max(0, -lag)])
+        dof = delta * n / least
+        wide = special.erfinv(confidence) * math.sqrt(2) / math.sqrt(dof - 3) if dof > 3 else math.inf
+        out[lag] = (r, n, dof, np.sign(r) * math.tanh(math.atanh(abs(r)) - wide), np.sign(r) * math.tanh(math.atanh(abs(r)) + wide))
+    return out, scale(a), scale(b)
+
+
+def test_correlated_by_numpy(spark):
+    """Gaps, trends, a series too short for bounds, negative lags."""
+    rng = np.random.default_rng(5)
+    walk = np.convolve(rng.normal(size=90), np.ones(5), "valid")
+    sets = {1: (walk + 0.1 * np.arange(86), np.roll(walk, 2) + rng.normal(size=86)), 2: (rng.normal(size=86), -walk), 3: (rng.normal(size=5), rng.normal(size=5))}
+    sets[1][0][[3, 4, 40]] = np.nan
+    sets[2][1][10:20] = np.nan
+    data = [(k, i, None if np.isnan(x) else float(x), None if np.isnan(y) else float(y)) for k, (a, b) in sets.items() for i, (x, y) in enumerate(zip(a, b, strict=True))]
+    lags = [-2, -1, 0, 1, 2]
+    out = X.correlated(spark.createDataFrame(data, "k int, p int, a double, b double"), ["k"], "p", "a", "b", lags, delta=0.5).collect()
+    for k, (a, b) in sets.items():
+        want, scale_a, scale_b = _correlated(a, b, lags, 0.5)
+        got = {r["lag"]: r for r in out if r["k"] == k}
+        assert set(got) == set(lags)
+        for lag, row in got.items():
+            assert (row["r"], row["n"], row["dof"], row["low"], row["high"]) == pytest.approx(want[lag])
+            assert (row["scale_a"], row["scale_b"], row["dof_zero"]) == pytest.approx((scale_a, scale_b, want[0][2]))
+            assert row["significant"] == (want[lag][3] * want[lag][0] > 0)
 
 
 def test_gauge_and_global_mean(spark):
