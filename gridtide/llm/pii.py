@@ -3,9 +3,10 @@
 Four kinds of span are found by pattern and check (:data:`KINDS`), each leftmost and without overlaps within its kind.
 Their values are the protected entities. The words around a span are its context. For each term and entity the corpus
 gives p(e|t), the share of the documents with the term in which it stands near the entity, and the disclosure
-log2(p(e|t) / p(e)) in bits, p(e) being the share of documents with the entity. A term discloses an entity if it stands
-near it in ``support`` different contexts (copies of a text are one context), p(e|t) is at least ``certain`` and the
-disclosure at least ``bits``. Such terms become spans of the kind ``term`` in all documents; when a text is sanitised,
+log2(p(e|t) / p(e)) in bits, p(e) being the share of documents with the entity. A document counts once, however often the
+term stands near the entity in it. A term discloses an entity if it stands near it in ``support`` different contexts
+(copies of a text are one context) and in as many documents, p(e|t) is at least ``certain`` and the disclosure at least
+``bits``. Such terms become spans of the kind ``term`` in all documents; when a text is sanitised,
 pattern spans are generalised to their kind and disclosing terms are removed, [TERM] staying in their place.
 
 Only DataFrame expressions. The patterns match what the plain ones do, but never backtrack over a run of characters,
@@ -101,8 +102,7 @@ def disclosing(base: DataFrame, rows: DataFrame, support: int = 2, certain: floa
     right = F.slice(_words(_whole("after", r"[A-Za-z\x{80}-\x{10FFFF}]+$", near)), 1, around)
     beside_it = base.select("key", F.xxhash64("kind", F.lower("value")).alias("entity"), left.alias("l"), right.alias("r"))
     beside_it = beside_it.select("key", "entity", F.xxhash64("l", "r").alias("context"), F.explode(F.array_distinct(F.concat("l", "r"))).alias("term"))
-    contexts = beside_it.groupBy("entity", "term", "context").agg(F.count_distinct("key").alias("docs"))
-    pairs = contexts.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("docs").alias("both")).where(F.col("contexts") >= support)
+    pairs = beside_it.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("key").alias("both")).where((F.col("contexts") >= support) & (F.col("both") >= support))
     beside = beside_it.groupBy("term").agg(F.count_distinct("key").alias("beside"))  # near any entity: no more than all its documents
     pairs = saved(pairs.join(beside, "term").where(F.col("both") >= certain * F.col("beside")).drop("beside"))
     terms = saved(pairs.select("term").distinct())
@@ -158,27 +158,35 @@ def result(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", *zero, F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
+def free(name: str, taken: list[str]) -> str:
+    """name, or a longer one that no column has."""
+    while name.lower() in (c.lower() for c in taken):
+        name += "_"
+    return name
+
+
 def sanitised(docs: DataFrame, near: int = NEAR, around: int = AROUND, **thresholds) -> DataFrame:
-    """docs with personal data generalised and disclosing terms removed from text."""
+    """docs with personal data generalised and disclosing terms removed from text; all other columns stay as they are."""
     rows = _text(docs)
     terms = disclosing(saved(found(rows, near)), rows, near=near, around=around, **thresholds)
-    out = docs.withColumn("_key", _key())
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    key, cut, some = (free(name, docs.columns) for name in ("_key", "_cut", "_terms"))
+    out = docs.withColumn(key, _key())
     for kind, (pattern, may, check) in KINDS.items():
-        cut = F.struct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m"), F.split("text", pattern, -1).alias("p"))
-        told = f"array_join(zip_with(_cut.p, transform(_cut.m, m -> case when {check.format(m='m')} then '[{kind.upper()}]' else m end), (p, m) -> concat(p, coalesce(m, ''))), '')"
-        out = out.withColumn("_cut", F.when(F.expr(may.format(t="text")), cut))
-        out = out.withColumn("text", F.expr(f"case when size(_cut.m) > 0 then {told} else text end")).drop("_cut")
+        parts = F.struct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m"), F.split("text", pattern, -1).alias("p"))
+        told = f"array_join(zip_with({cut}.p, transform({cut}.m, m -> case when {check.format(m='m')} then '[{kind.upper()}]' else m end), (p, m) -> concat(p, coalesce(m, ''))), '')"
+        out = out.withColumn(cut, F.when(F.expr(may.format(t="text")), parts))
+        out = out.withColumn("text", F.expr(f"case when size({cut}.m) > 0 then {told} else text end")).drop(cut)
     if not terms.isEmpty():
         hit = rows.select("key", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(broadcast_if_small(terms.select("term"), MOST), "term")
-        own = hit.distinct().groupBy("key").agg(F.array_join(F.sort_array(F.collect_list("term")), "|").alias("_terms"))
-        own = saved(own.withColumnRenamed("key", "_key"))
+        of = hit.distinct().groupBy(F.col("key").alias(key)).agg(F.array_join(F.sort_array(F.collect_list("term")), "|").alias(some))
         letter = r"A-Za-z\x{80}-\x{10FFFF}"
-        some = F.concat(F.lit(f"(?i)(?<![{letter}])("), F.col("_terms"), F.lit(f")(?![{letter}])"))
-        out = out.join(broadcast_if_small(own, MOST), "_key", "left")
-        out = out.withColumn("text", F.when(F.col("_terms").isNotNull(), F.regexp_replace("text", some, F.lit("[TERM]"))).otherwise(F.col("text")))
-    return out.select(*docs.columns)
+        any_ = F.concat(F.lit(f"(?i)(?<![{letter}])("), F.col(some), F.lit(f")(?![{letter}])"))
+        out = out.join(broadcast_if_small(saved(of), MOST), key, "left")
+        out = out.withColumn("text", F.when(F.col(some).isNotNull(), F.regexp_replace("text", any_, F.lit("[TERM]"))).otherwise(F.col("text")))
+    return out.select(*own)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with sanitised texts; n_chars counts anew."""
-    return sanitised(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return sanitised(docs).withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))

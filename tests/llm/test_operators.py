@@ -427,7 +427,7 @@ def brute_terms(texts: list[str], support=2, certain=0.5, bits=4.0, near=120, ar
     out = set()
     for (w, entity), docs in beside.items():
         p = len(docs) / len(having[w])
-        if len(contexts[w, entity]) >= support and p >= certain and math.log2(p * len(texts) / len(holders[entity])) >= bits:
+        if len(contexts[w, entity]) >= support and len(docs) >= support and p >= certain and math.log2(p * len(texts) / len(holders[entity])) >= bits:
             out.add(w)
     return out
 
@@ -435,7 +435,9 @@ def brute_terms(texts: list[str], support=2, certain=0.5, bits=4.0, near=120, ar
 def test_pii_query_is_that_of_brute_force(spark, docs):
     """On the table as it is, and with names planted beside some of its addresses."""
     rows = [(r["doc_id"], r["text"] or "") for r in docs.orderBy("doc_id").collect()]
-    planted = [(i, t) for i, t in rows] + [(10_000 + i, f"{w} Zoltan Quimby zq@here.org {rows[i][1][:200]}") for i, w in enumerate(["ask", "tell", "see", "reach"])] + [(11_000, "nobody but Quimby knows")]
+    twice = "Pimlico met tw@there.net once, and tw@there.net was Pimlico again"  # two contexts in one document, of four with the name
+    alone = "only Quaxley one al@there.net two, three al@there.net four Quaxley"  # two contexts, and no other document
+    planted = [(i, t) for i, t in rows] + [(12_000, twice), *((12_001 + k, f"Pimlico number {k} is none of it") for k in range(3)), (12_010, alone)] + [(10_000 + i, f"{w} Zoltan Quimby zq@here.org {rows[i][1][:200]}") for i, w in enumerate(["ask", "tell", "see", "reach"])] + [(11_000, "nobody but Quimby knows")]
     for some in (rows, planted):
         texts = [t for _, t in some]
         terms = brute_terms(texts)
@@ -449,6 +451,20 @@ def test_pii_query_is_that_of_brute_force(spark, docs):
             assert [got[i][f"n_{k}"] for k, _ in BASE] == [sum(b[2] == k for b in base) for k, _ in BASE]
             assert got[i]["base_sha256"] == hashlib.sha256(joined(base).encode()).hexdigest() and got[i]["spans"] == joined(base + extra)
     assert "quimby" in terms and "term" in got[11_000]["spans"]
+    assert not {"pimlico", "quaxley"} & terms
+
+
+def test_pii_leaves_further_columns_alone(spark):
+    """Also those that are named like the stage's own, and where terms are found."""
+    fill = [f"{a}ix {b}ul common" for a in "bcdfg" for b in "hjklm"]
+    texts = ["Kowalski k@x.org wrote", "reach k@x.org Kowalski", "Kowalski spoke", None, ""] + fill * 3
+    df = spark.createDataFrame([(i, t, f"v{i}") for i, t in enumerate(texts)], "doc_id long, text string, _key string")
+    for name in ("_key_", "_cut", "_terms", "key", "term", "m", "p", "n_chars", "a.b"):
+        df = df.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    out = pii.sanitised(df).orderBy("doc_id").collect()
+    assert out[0]["text"] == "[TERM] [EMAIL] wrote" and out[2]["text"] == "[TERM] spoke" and out[3]["text"] is None
+    assert all(r["_key"] == f"v{i}" and all(r[c] == f"{c}{i}" for c in df.columns[3:]) for i, r in enumerate(out))
+    assert pii.stage(spark, df, SF).columns == df.columns
 
 
 def test_pii_cases(spark):
