@@ -40,6 +40,26 @@ def before_and_after(df: DataFrame, keys: list[str], order: str, pre: str, post:
     return df.withColumn("cum", F.sum(pre).over(up.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(ahead, F.lit(0.0)))
 
 
+def accumulated_after(df: DataFrame, keys: list[str], order: str, start: str, value: str, within: float = 2.0) -> DataFrame:
+    """df with ``after``: a step's value plus those of all later steps of the same forecast.
+
+    Steps belong to one forecast if their starts (in days) are close: in order of starts a new forecast begins where the
+    next start is ``within`` days or more later. Steps without a start have no sum; missing values count as nothing.
+    """
+    by = Window.partitionBy(*keys).orderBy(start)
+    new = (F.col(start) - F.lag(start).over(by) >= within).cast("int")
+    rows = df.withColumn("_forecast", F.when(F.col(start).isNotNull(), F.sum(F.coalesce(new, F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, 0))))
+    later = Window.partitionBy(*keys, "_forecast").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("after", F.when(F.col("_forecast").isNotNull(), F.coalesce(F.sum(value).over(later), F.lit(0.0)))).drop("_forecast")
+
+
+def last_filled(df: DataFrame, keys: list[str], order: str, value: str = "cum") -> DataFrame:
+    """df whose last step, where it has no value, has that of the step before it."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    last = F.lead(F.lit(1)).over(w).isNull()
+    return df.withColumn(value, F.when(last, F.coalesce(F.col(value), F.lag(value).over(w))).otherwise(F.col(value)))
+
+
 def blended(pre: Column, post: Column, forced: Column, init: Column) -> Column:
     """post where the forcing is after the start of the forecast, else pre."""
     return F.when(forced > init, post).otherwise(pre)
@@ -53,6 +73,24 @@ def tapered(long: DataFrame, short: DataFrame, keys: list[str], step: str, width
     return short.join(a, [*keys, step], "left").withColumn(value, w * F.col(value) + (1 - w) * F.coalesce("_long", F.col(value))).drop("_long")
 
 
+def prepended(long: DataFrame, short: DataFrame, long_times: DataFrame, short_times: DataFrame, keys: list[str], step: str, at: str, width: int, value: str = "w", margin: float = 3.0) -> DataFrame:
+    """The steps of long that begin earlier, then those of short, their first ``width`` ones blended with long's.
+
+    long and short (keys, step, value) have steps from 0. Their times (keys, step, year, at in days) tell how many steps of
+    long come before short: those of which the time is more than ``margin`` days before that of short's first step,
+    counted year by year and averaged, half to even. Steps are numbered anew from 0; weights of short are (n + 1/2) / width.
+    """
+    first = short_times.where(F.col(step) == 0).select(*keys, "year", F.col(at).alias("_first"))
+    early = (F.col(at) - F.col("_first") < -margin).cast("int")
+    count = long_times.join(first, [*keys, "year"]).groupBy(*keys, "year").agg(F.sum(early).alias("_n")).groupBy(*keys).agg(F.rint(F.avg("_n")).cast("int").alias("_n"))
+    front = long.join(count, keys).where(F.col(step) < F.col("_n")).select(*keys, step, F.col(value).alias(value))
+    rows = short.select(*keys, step, F.col(value).alias("_short")).join(count, keys).withColumn("_at", F.col(step) + F.col("_n"))
+    rows = rows.join(long.select(*keys, F.col(step).alias("_at"), F.col(value).alias("_long")), [*keys, "_at"], "left")
+    share = (F.col(step) + 0.5) / width
+    mixed = F.when(F.col(step) < width, (1 - share) * F.coalesce("_long", "_short") + share * F.col("_short")).otherwise(F.col("_short"))
+    return front.unionByName(rows.select(*keys, F.col("_at").alias(step), mixed.alias(value)))
+
+
 def added(df: DataFrame, more: DataFrame, on: list[str], value: str = "impact") -> DataFrame:
     """Sum of two components where either is present."""
     b = more.select(*on, F.col(value).alias("_more"))

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from gridtide.functions.shipping import ship
 from gridtide.functions.special import erfinv
@@ -28,22 +29,45 @@ def averaged_points(n: int, delta: float, low: float, high: float) -> int:
     return round(0.125 / math.sqrt(max(low, 1 / (n * delta)) * min(high, 1 / (2 * delta))) / delta)
 
 
-def band_passed(df: DataFrame, keys: list[str], at: str, delta: float, low: float, high: float, steep: float = 5.0, half_power: bool = True, keep_trend: bool = False, mask_edges: bool = False, value: str = "x") -> DataFrame:
-    """(keys, at, band): the band-pass of whole series, each in one Arrow group.
+def dense(df: DataFrame, keys: list[str], at: str, value: str = "x", fill: float | None = None, span: DataFrame | None = None) -> DataFrame:
+    """(keys, at: array, value: array): a series a row, with every whole place from the first to the last of all series, or
+    of span (first, last: one row); places without a value get ``fill``."""
+    ends = df.agg(F.min(at).cast("long").alias("first"), F.max(at).cast("long").alias("last")) if span is None else span
+    rows = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(at).cast("long"), F.col(value).cast("double")))).alias("_of"))
+    rows = rows.crossJoin(F.broadcast(ends)).withColumn(at, F.sequence("first", "last"))
+    filled = F.transform(at, lambda k: F.coalesce(F.try_element_at("_of", k), F.lit(fill).cast("double")))
+    return rows.select(*keys, at, filled.alias(value))
+
+
+def series_arrays(df: DataFrame, keys: list[str], at: str, value: str = "x") -> DataFrame:
+    """(keys, at: array, value: array): the rows of each series in order of ``at``."""
+    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(at, F.col(value).cast("double").alias(value)))).alias("_s"))
+    return rows.select(*keys, F.col(f"_s.{at}").alias(at), F.col(f"_s.{value}").alias(value))
 
-    A series has a row for each of its places, in order of ``at``, ``delta`` apart; values that are NULL or nothing
-    beside the largest are missing. The trend is taken off, gaps are interpolated, and the series is put into twice its
+
+def filter_bank(series: DataFrame, keys: list[str], at: str, delta: float, bands: dict[str, dict], value: str = "x", least: float = 1e-15) -> DataFrame:
+    """(keys, at, a column for each band): whole series (keys, at: array, value: array) through several band-passes at once.
+
+    bands: by name, low and high and, if they differ from these, steep=5.0, half_power=True, keep_trend=False,
+    mask_edges=False. A series has a value for each of its places, ``delta`` apart; values that are NULL or, beside the
+    largest, below ``least`` are missing (0: a zero is a value). The trend is taken off, gaps are interpolated, and the series is put into twice its
     length. Either end goes on with the level and the slope of the values there, by an error function to zero; a series
     that does not reach both ends of its places is followed by zeros. The whole is weighted by frequency. Then the trend
     comes back if ``keep_trend``, missing values are missing again, and with ``mask_edges`` so are the values next to
     either end that the padding may have changed, the more the longer the series' own time scale is beside the band.
+
+    Series stay where they are: nothing is shuffled, a task works through its rows batch by batch, and bands whose ends
+    are padded alike share one transform.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     from gridtide.functions.special import band_weight
 
-    responses: dict[int, np.ndarray] = {}  # by the number of places
+    default = {"steep": 5.0, "half_power": True, "keep_trend": False, "mask_edges": False}
+    bands = {k: default | v for k, v in bands.items()}
+    responses: dict[tuple, np.ndarray] = {}  # by the number of places and the band
+    ramp = np.vectorize(math.erf, otypes=[float])
 
     def time_scale(y: np.ndarray) -> float:
         lags = lag_list(len(y))
@@ -58,63 +82,93 @@ def band_passed(df: DataFrame, keys: list[str], at: str, delta: float, low: floa
                 return delta if k == 0 else delta * (1 + 2 * float(np.dot(weights, r)))
         return math.nan
 
-    def edge(scale: float) -> float:
+    def edge(scale: float, low: float, high: float) -> float:
+        # The margin by the series' time scale and the band.
         q, width = 1 / (2 * scale), delta * high * (1 - math.sqrt(low / high)) ** 1.25
         middle = delta * math.sqrt(q * low)
         return float(np.rint(np.fmax(np.fmin((0.9 * low / q - 3 / 40) / middle + (0.45 - 1.8 * low / q) / width, 0.15 / middle), 0.3 / width)))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at)
-        x, n = pdf[value].to_numpy(float), len(pdf)
+    def padded(alone: np.ndarray, good: np.ndarray, near: int) -> np.ndarray:
+        n, i = len(alone), np.arange(len(alone))
+        first, last = np.flatnonzero(good)[[0, -1]]
+        buffer, start = np.zeros(2 * n), n // 2
+        buffer[start + first : start + last + 1] = np.interp(i[first : last + 1], i[good], alone[good])
+        place = np.arange(2 * n) - start
+        if first == 0 and last == n - 1:
+            for level, way, gone in ((first, 1, place < first), (last, -1, place > last)):
+                away = way * (place - level)
+                if near:
+                    one, two = buffer[(away >= 0) & (away < near)].mean(), buffer[(away >= near) & (away < 2 * near)].mean()
+                    slope = (two - one) / near
+                    value = one - (near - 1) / 2 * slope
+                else:
+                    value = buffer[start + level]
+                    slope = value / 0.5
+                if value:
+                    buffer[gone] = value * (1 + ramp(math.sqrt(math.pi) / 2 * abs(slope / value) * away[gone]))
+        return buffer
+
+    def passed(x: np.ndarray) -> list[np.ndarray]:
+        n, i = len(x), np.arange(len(x))
         size = np.abs(np.where(np.isfinite(x), x, 0))
-        good = np.isfinite(x) & (size >= 1e-15 * size.max(initial=0)) & (size.max(initial=0) > 0)
-        out, i = np.full(n, np.nan), np.arange(n)
-        if good.any():
-            off = i - i[good].mean()
-            spread = float(off[good] @ off[good])
-            line = x[good].mean() + (float(off[good] @ (x[good] - x[good].mean())) / spread * off if spread else 0 * off)
-            alone = np.where(good, x - line, np.nan)
-            first, last = np.flatnonzero(good)[[0, -1]]
-            buffer, start = np.zeros(2 * n), n // 2
-            buffer[start + first : start + last + 1] = np.interp(i[first : last + 1], i[good], alone[good])
-            near, place = averaged_points(n, delta, low, high), np.arange(2 * n) - start
-            if first == 0 and last == n - 1:
-                for level, way, gone in ((first, 1, place < first), (last, -1, place > last)):
-                    away = way * (place - level)
-                    if near:
-                        one_, two = buffer[(away >= 0) & (away < near)].mean(), buffer[(away >= near) & (away < 2 * near)].mean()
-                        slope = (two - one_) / near
-                        edge_value = one_ - (near - 1) / 2 * slope
-                    else:
-                        edge_value = buffer[start + level]
-                        slope = edge_value / 0.5
-                    if edge_value:
-                        steepness = math.sqrt(math.pi) / 2 * abs(slope / edge_value)
-                        buffer[gone] = [edge_value * (1 + math.erf(steepness * d)) for d in away[gone]]
-            if n not in responses:
-                responses[n] = np.array([band_weight(f, low, high, steep, half_power) for f in np.fft.fftfreq(2 * n, delta)])
-            done = np.fft.ifft(np.fft.fft(buffer) * responses[n]).real[start : start + n]
-            if keep_trend:
-                done = done + line + buffer.mean()
+        good = np.isfinite(x) & (size >= least * size.max(initial=0)) & (size.max(initial=0) > 0)
+        if not good.any():
+            return [np.full(n, np.nan)] * len(bands)
+        off = i - i[good].mean()
+        spread = float(off[good] @ off[good])
+        line = x[good].mean() + (float(off[good] @ (x[good] - x[good].mean())) / spread * off if spread else 0 * off)
+        alone = np.where(good, x - line, np.nan)
+        first, last = np.flatnonzero(good)[[0, -1]]
+        waves: dict[int, tuple[np.ndarray, float]] = {}
+        out, scale = [], None
+        for name, b in bands.items():
+            near = averaged_points(n, delta, b["low"], b["high"])
+            if near not in waves:
+                buffer = padded(alone, good, near)
+                waves[near] = np.fft.rfft(buffer), buffer.mean()
+            if (n, name) not in responses:
+                responses[n, name] = np.array([band_weight(f, b["low"], b["high"], b["steep"], b["half_power"]) for f in np.fft.rfftfreq(2 * n, delta)])
+            done = np.fft.irfft(waves[near][0] * responses[n, name], 2 * n)[n // 2 : n // 2 + n]
+            if b["keep_trend"]:
+                done = done + line + waves[near][1]
             keep = good
-            if mask_edges:
-                margin = edge(time_scale(alone))
+            if b["mask_edges"]:
+                scale = time_scale(alone) if scale is None else scale
+                margin = edge(scale, b["low"], b["high"])
                 keep = good & ~(i < first + margin) & ~(i > last - margin)
-            out = np.where(keep, done, np.nan)
-        return pdf[[*keys, at]].assign(band=out)
+            out.append(np.where(keep, done, np.nan))
+        return out
+
+    def task(batches):
+        for batch in (x.slice(i, 1000) for x in batches for i in range(0, x.num_rows, 1000)):
+            lists = batch.column(len(keys) + 1)
+            found: list[list[np.ndarray]] = [[] for _ in bands]
+            for x in lists:
+                own = np.array([], float) if x.values is None else x.values.to_numpy(zero_copy_only=False).astype(float)
+                for held, got in zip(found, passed(own) if len(own) else [own] * len(bands), strict=True):
+                    held.append(got)
+            ends = pa.array(np.cumsum([0, *(len(x) for x in found[0])]).astype(np.int32))
+            columns = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x) if x else [], pa.float64(), from_pandas=True)) for x in found]
+            yield pa.record_batch([*(batch.column(k) for k in range(len(keys) + 1)), *columns], names=[*keys, at, *bands])
+
+    ship(series.sparkSession)
+    rows = series.select(*keys, at, F.col(value).cast("array<double>").alias(value))
+    schema = rows.select(*keys, at).schema
+    for name in bands:
+        schema = schema.add(name, ArrayType(DoubleType()))
+    each = rows.mapInArrow(task, schema).select(*keys, F.explode(F.arrays_zip(at, *bands)).alias("_s"))
+    return each.select(*keys, *(F.col(f"_s.{c}").alias(c) for c in (at, *bands)))
 
-    ship(df.sparkSession)
-    schema = df.select(*keys, at).schema.add("band", "double")
-    return df.select(*keys, at, value).groupBy(*keys).applyInPandas(one, schema).withColumn("band", F.nanvl("band", F.lit(None).cast("double")))
 
+def band_passed(df: DataFrame, keys: list[str], at: str, delta: float, low: float, high: float, steep: float = 5.0, half_power: bool = True, keep_trend: bool = False, mask_edges: bool = False, value: str = "x") -> DataFrame:
+    """(keys, at, band): one band of :func:`filter_bank` of series given as rows."""
+    band = {"low": low, "high": high, "steep": steep, "half_power": half_power, "keep_trend": keep_trend, "mask_edges": mask_edges}
+    return filter_bank(series_arrays(df, keys, at, value), keys, at, delta, {"band": band}, value)
 
-def harmonics(df: DataFrame, keys: list[str], days: str, n_harmonics: int, value: str = "x", period: float = 365.24) -> DataFrame:
-    """value without its seasonal cycle (``anom``), and the cycle: least squares on cosines and sines of the period.
 
-    Regressors are made orthogonal one after another by sums over each series (modified Gram-Schmidt). A series of n
-    values has at most half of n, rounded up, less one harmonics; one whose days are too much alike to tell them (a
-    regressor's standard deviation is below 2^-3/2) loses its mean only.
-    """
+def _orthogonal(df: DataFrame, keys: list[str], days: str, n_harmonics: int, value: str, period: float) -> tuple[DataFrame, list[str]]:
+    """Rows with a value, the regressors made orthogonal one after another by sums over each series (modified
+    Gram-Schmidt), their means (_m), what each column loses to those before it (_b), and the rest of the value (_r)."""
     w = Window.partitionBy(*keys)
     angle = lambda k: F.lit(2 * math.pi * k / period) * F.col(days)
     rows = df.where(F.col(value).isNotNull())
@@ -130,14 +184,52 @@ def harmonics(df: DataFrame, keys: list[str], days: str, n_harmonics: int, value
     rows = rows.withColumn("_told", F.coalesce(F.least(*told), F.lit(0.0)) >= 2**-1.5)
     rows = rows.withColumns({c: F.when(F.col("_told") & (F.lit(int(c[2:])) <= F.col("_room")), F.col(c)).otherwise(0.0) for c in names}).drop("_room", "_told", *(f"{c}_d" for c in names))
     todo = [*names, "_r"]
-    rows = rows.withColumns({c: F.col(c) - F.avg(c).over(w) for c in todo})
+    rows = rows.withColumns({f"{c}_m": F.avg(c).over(w) for c in todo})
+    rows = rows.withColumns({c: F.col(c) - F.col(f"{c}_m") for c in todo})
     for j, q in enumerate(names):
         norm = F.sum(F.col(q) * F.col(q)).over(w)
-        shares = {f"{c}_b": F.sum(F.col(c) * F.col(q)).over(w) / F.when(norm > 1e-9, norm) for c in todo[j + 1 :]}
+        shares = {f"{c}_b{q}": F.coalesce(F.sum(F.col(c) * F.col(q)).over(w) / F.when(norm > 1e-9, norm), F.lit(0.0)) for c in todo[j + 1 :]}
         rows = rows.withColumns(shares)
-        rows = rows.withColumns({c: F.col(c) - F.coalesce(F.col(f"{c}_b"), F.lit(0.0)) * F.col(q) for c in todo[j + 1 :]}).drop(*shares)
-    out = rows.withColumnRenamed("_r", "anom").drop(*names)
-    return out.withColumn("cycle", F.col(value) - F.avg(value).over(w) - F.col("anom"))
+        rows = rows.withColumns({c: F.col(c) - F.col(f"{c}_b{q}") * F.col(q) for c in todo[j + 1 :]})
+    return rows, names
+
+
+def harmonics(df: DataFrame, keys: list[str], days: str, n_harmonics: int, value: str = "x", period: float = 365.24) -> DataFrame:
+    """value without its seasonal cycle (``anom``), and the cycle: least squares on cosines and sines of the period.
+
+    A series of n values has at most half of n, rounded up, less one harmonics; one whose days are too much alike to tell
+    them (a regressor's standard deviation is below 2^-3/2) loses its mean only.
+    """
+    rows, _ = _orthogonal(df, keys, days, n_harmonics, value, period)
+    out = rows.select(*df.columns, F.col("_r").alias("anom"))
+    return out.withColumn("cycle", F.col(value) - F.avg(value).over(Window.partitionBy(*keys)) - F.col("anom"))
+
+
+def seasonal_coefficients(df: DataFrame, keys: list[str], days: str, n_harmonics: int, value: str = "x", period: float = 365.24) -> DataFrame:
+    """A row a series: keys, mean, level and coefs (cosine and sine of each harmonic) of the fit of :func:`harmonics`.
+
+    The orthogonal regressors' coefficients are brought back to the cosines and sines themselves, from the last one on.
+    """
+    rows, names = _orthogonal(df, keys, days, n_harmonics, value, period)
+    told = [f"{c}_b{q}" for j, q in enumerate(names) for c in [*names[j + 1 :], "_r"]] + [f"{c}_m" for c in [*names, "_r"]]
+    out = rows.groupBy(*keys).agg(*(F.first(c).alias(c) for c in told))
+    for j in reversed(range(len(names))):
+        rest = F.col(f"_r_b{names[j]}")
+        for c in names[j + 1 :]:
+            rest = rest - F.col(f"{c}_b{names[j]}") * F.col(f"{c}_x")
+        out = out.withColumn(f"{names[j]}_x", rest)
+    level = F.col("_r_m")
+    for c in names:
+        level = level - F.col(f"{c}_m") * F.col(f"{c}_x")
+    return out.select(*keys, F.col("_r_m").alias("mean"), level.alias("level"), F.array(*(F.col(f"{c}_x") for c in names)).alias("coefs"))
+
+
+def seasonal_at(coefficients: DataFrame, targets: DataFrame, keys: list[str], days: str, out: str = "cycle", period: float = 365.24) -> DataFrame:
+    """targets (keys, days, ...) with the mean and seasonal cycle of :func:`seasonal_coefficients` at their days."""
+    angle = F.lit(2 * math.pi / period) * F.col(days)
+    wave = lambda c, k: c * F.when(k % 2 == 0, F.cos(angle * (F.floor(k / 2) + 1))).otherwise(F.sin(angle * (F.floor(k / 2) + 1)))
+    value = F.col("level") + F.aggregate(F.transform("coefs", wave), F.lit(0.0), lambda a, b: a + b)
+    return targets.join(coefficients.select(*keys, "level", "coefs"), keys).withColumn(out, value).drop("level", "coefs")
 
 
 def valid_span(df: DataFrame, keys: list[str], idx: str, value: str = "x") -> DataFrame:

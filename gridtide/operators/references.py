@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridtide.operators import filters
 from gridtide.operators.geometry import nearest_cell
 from gridtide.operators.resample import monthly_removed
 from gridtide.operators.stats import detrended, weighted_mean
@@ -79,3 +80,19 @@ def by_month(series: DataFrame, detrend: bool = False) -> DataFrame:
     if detrend:
         return detrended(rows, ["series", "month"], "year", out="y").select("series", "month", "year", "y")
     return rows.withColumn("y", F.col("x") - F.avg("x").over(Window.partitionBy("series", "month"))).select("series", "month", "year", "y")
+
+
+def extended_back(early: DataFrame, late: DataFrame, targets: DataFrame, keys: list[str], at: str, start: float, end: float, n_harmonics: int = 4, value: str = "x") -> DataFrame:
+    """A record carried back by an earlier, coarser one: (keys, at, value) at the targets, times in days.
+
+    The early series is interpolated, its ends kept beyond them, moved by the difference of both means over start <= at <
+    end, and given the late series' seasonal cycle, of which the line over the targets is taken off.
+    """
+    inside = (F.col(at) >= start) & (F.col(at) < end)
+    mean = lambda df, name: df.where(inside).groupBy(*keys).agg(F.avg(value).alias(name))
+    offset = mean(late, "_l").join(mean(early, "_e"), keys).select(*keys, (F.col("_l") - F.col("_e")).alias("_offset"))
+    filled = filters.interpolated(early, targets, keys, at, value, clamped=True)
+    cycle = filters.seasonal_at(filters.seasonal_coefficients(late, keys, at, n_harmonics, value), targets.select(*keys, at), keys, at, "_cycle")
+    cycle = detrended(cycle, keys, at, "_cycle", "_wave").select(*keys, at, "_wave")
+    rows = filled.join(offset, keys).join(cycle, [*keys, at])
+    return rows.select(*keys, at, (F.col(value) + F.col("_offset") + F.col("_wave")).alias(value))

@@ -81,6 +81,44 @@ def axis_overlap(boxes: DataFrame, lo: str, hi: str, axis: DataFrame, ind: str,
     return both.where((F.col("_to") > F.col("_from")) & own).withColumn(width, F.col("_to") - F.col("_from")).drop("_bin", "_lo", "_hi", "_from", "_to")
 
 
+def separable_weights(boxes: DataFrame, lats: DataFrame, lons: DataFrame, valid: DataFrame) -> DataFrame:
+    """(t, lat_ind, lon_ind, weight) of boxes (t, lon_lo, lon_hi, lat_lo, lat_hi) on a grid with the axes lats (lat_ind, lo,
+    hi) and lons (lon_ind, lo, hi): the shares of the range of longitude and of latitude, the latter by the cosine of the
+    middle of the part, over the valid cells (lat_ind, lon_ind), scaled to sum up to 1.
+
+    The two ranges are met with their axes one by one, each different range once, and multiplied after that.
+    """
+    across = axis_overlap(boxes.select("lon_lo", "lon_hi").distinct(), "lon_lo", "lon_hi", lons, "lon_ind", "_dlon", circle=360.0)
+    along = axis_overlap(boxes.select("lat_lo", "lat_hi").distinct(), "lat_lo", "lat_hi", lats, "lat_ind", "_dlat", also=("lo", "hi"))
+    middle = (F.greatest("lat_lo", "lo") + F.least("lat_hi", "hi")) / 2
+    across = across.select("lon_lo", "lon_hi", "lon_ind", (F.col("_dlon") / (F.col("lon_hi") - F.col("lon_lo"))).alias("_wx"))
+    along = along.select("lat_lo", "lat_hi", "lat_ind", (F.col("_dlat") / (F.col("lat_hi") - F.col("lat_lo")) * F.cos(F.radians(middle))).alias("_wy"))
+    rows = boxes.select("t", "lon_lo", "lon_hi", "lat_lo", "lat_hi").join(along, ["lat_lo", "lat_hi"]).join(across, ["lon_lo", "lon_hi"])
+    rows = rows.join(valid.select("lat_ind", "lon_ind"), ["lat_ind", "lon_ind"]).withColumn("_w", F.col("_wx") * F.col("_wy"))
+    return rows.select("t", "lat_ind", "lon_ind", (F.col("_w") / F.sum("_w").over(Window.partitionBy("t"))).alias("weight"))
+
+
+def valid_cells(field: DataFrame, keys: list[str], at: str, share: float = 0.9, value: str = "x") -> DataFrame:
+    """Cells (keys) of a field that have values at more than ``share`` of all its times."""
+    times = field.agg(F.count_distinct(at).alias("_all"))  # one row
+    own = field.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count_distinct(at).alias("_n"))
+    return own.crossJoin(F.broadcast(times)).where(F.col("_n") > share * F.col("_all")).select(*keys)
+
+
+def mask_area(targets: DataFrame, lats: DataFrame, lons: DataFrame, valid: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, lat_ind, lon_ind, area): the area of a source grid's cells that the outer boxes of targets (keys, lon1, lat1
+    ... lon4, lat4) cover, summed by keys; 0 in cells that are not valid. Areas are those at the latitude of the source."""
+    base = F.col("lon1") - 180
+    lons_of = [wrapped(F.col(f"lon{k}"), base) for k in CORNERS]
+    lats_of = [F.col(f"lat{k}") for k in CORNERS]
+    boxes = targets.select(*keys, F.least(*lons_of).alias("lon_lo"), F.greatest(*lons_of).alias("lon_hi"), F.least(*lats_of).alias("lat_lo"), F.greatest(*lats_of).alias("lat_hi"))
+    rows = axis_overlap(boxes, "lat_lo", "lat_hi", lats, "lat_ind", "_dlat", also=("lat",))
+    rows = axis_overlap(rows, "lon_lo", "lon_hi", lons, "lon_ind", "_dlon", circle=360.0)
+    rows = rows.groupBy(*keys, "lat_ind", "lon_ind").agg(F.sum(METRES * METRES * F.cos(F.radians("lat")) * F.col("_dlat") * F.col("_dlon")).alias("area"))
+    ok = valid.select("lat_ind", "lon_ind", F.lit(True).alias("_ok"))
+    return rows.join(ok, ["lat_ind", "lon_ind"], "left").select(*keys, "lat_ind", "lon_ind", F.when(F.col("_ok"), F.col("area")).otherwise(0.0).alias("area"))
+
+
 CORNERS = range(1, 5)
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gridtide.functions.calendar import month_start_day
 from gridtide.operators import attribution as A
 from gridtide.operators import resample as R
 from gridtide.operators import stats as S
 from gridtide.plans.base import arrays, forcing, forecast, query, r6, rnd, region_of, sensitivity, table, total
 
 
+_MONTH = "date_diff('day', DATE '1970-01-01', make_date(({m} - 1) // 12, ({m} - 1) % 12 + 1, 1))"
+
+
 def impacts(spark, d):
     """(cell, forc, m, lag, impact)."""
     anomalies = S.anomaly(forcing(spark, d), ["cell", "forc", F.col("m") % 12])
@@ -82,6 +87,60 @@ def taper_blend(spark, d):
     return A.tapered(s.withColumn("w", F.lit(0.5)), s, ["cell"], "lag", 3).select("cell", "lag", r6("w"))
 
 
+_STARTS = "k AS (SELECT cell, forc, m, lag, impact, (m - lag) // 2 AS pair, " + _MONTH.format(m="(m - lag) // 2 * 2") + " + (m - lag) % 2 AS start FROM imp)"
+
+
+@query(
+    "accum_after_start",
+    f"WITH {_STARTS}, a AS (SELECT *, sum(impact) OVER (PARTITION BY cell, forc, m, pair ORDER BY lag ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS y FROM k) SELECT cell, forc, m, lag, round(y, 6) AS y FROM a",
+)
+def accum_after_start(spark, d):
+    """Steps of one target month that were forced by forecasts whose starts are a day apart are summed up back to each step."""
+    start = month_start_day(F.expr("(m - lag) div 2 * 2")) + (F.col("m") - F.col("lag")) % 2
+    rows = impacts(spark, d).withColumn("start", start)
+    return A.accumulated_after(rows, ["cell", "forc", "m"], "lag", "start", "impact").select("cell", "forc", "m", "lag", rnd("after", 6).alias("y"))
+
+
+@query(
+    "cum_last_filled",
+    "WITH k AS (SELECT forc, m, lag, sum(impact) AS impact FROM imp GROUP BY 1, 2, 3), e AS (SELECT *, row_number() OVER (PARTITION BY forc, m ORDER BY lag DESC) AS back FROM k), n AS (SELECT *, CASE WHEN back = 1 AND m % 3 = 0 THEN NULL ELSE impact END AS y FROM e), "
+    "c AS (SELECT forc, m, lag, back, CASE WHEN count(*) OVER w = count(y) OVER w THEN sum(y) OVER w END AS cum FROM n WINDOW w AS (PARTITION BY forc, m ORDER BY lag)) SELECT a.forc, a.m, a.lag, round(coalesce(a.cum, b.cum), 6) AS cum FROM c a LEFT JOIN c b ON a.back = 1 AND b.back = 2 AND a.forc = b.forc AND a.m = b.m",
+)
+def cum_last_filled(spark, d):
+    """Running sums whose last step, where it is missing, takes that before it."""
+    rows = A.by_cell(impacts(spark, d), None, [], ["forc", "m", "lag"])
+    last = F.row_number().over(Window.partitionBy("forc", "m").orderBy(F.desc("lag"))) == 1
+    rows = rows.withColumn("_last", last).withColumn("impact", F.when(~(F.col("_last") & (F.col("m") % 3 == 0)), F.col("impact")))
+    rows = A.cumulative(rows, ["forc", "m"], "lag", poison=True)
+    return A.last_filled(rows, ["forc", "m"], "lag").select("forc", "m", "lag", r6("cum"))
+
+
+_LONG, _SHORT, _FROM = 12, 6, 5
+_TWO_STEPS = (
+    "yr AS (SELECT DISTINCT cell, (m - 1) // 12 AS year FROM d1), "
+    f"lg AS (SELECT cell, CAST((m - 1) % 12 AS INTEGER) AS step, avg(x) AS w FROM d1 WHERE forc = 'R' GROUP BY 1, 2), sh AS (SELECT cell, CAST((m - 1) % 12 AS INTEGER) AS step, avg(x) AS w FROM d1 WHERE forc = 'A' AND (m - 1) % 12 < {_SHORT} GROUP BY 1, 2), "
+    "lt AS (SELECT cell, step, year, " + _MONTH.format(m="year * 12 + step + 1") + " AS day FROM yr JOIN lg USING (cell)), "
+    "s0 AS (SELECT cell, year, " + _MONTH.format(m=f"year * 12 + 1 + {_FROM} + cell % 3") + " + year % 7 AS begins FROM yr JOIN sh USING (cell) WHERE step = 0), "
+    "nb AS (SELECT cell, CAST(round_even(avg(n), 0) AS INTEGER) AS n FROM (SELECT cell, year, sum(CASE WHEN day - begins < -3 THEN 1 ELSE 0 END) AS n FROM lt JOIN s0 USING (cell, year) GROUP BY 1, 2) GROUP BY 1)"
+)
+
+
+@query(
+    "prepend_multiyear",
+    f"WITH {_TWO_STEPS} SELECT cell, step, round(w, 6) AS w FROM lg JOIN nb USING (cell) WHERE step < n UNION ALL SELECT sh.cell, sh.step + n, round(CASE WHEN sh.step < 3 THEN (1 - (sh.step + 0.5) / 3) * coalesce(lg.w, sh.w) + (sh.step + 0.5) / 3 * sh.w ELSE sh.w END, 6) FROM sh JOIN nb USING (cell) LEFT JOIN lg ON lg.cell = sh.cell AND lg.step = sh.step + n",
+)
+def prepend_multiyear(spark, d):
+    """A sequence of twelve steps goes before one of six that begins later, by a number of steps that differs by cell."""
+    rows = forcing(spark, d).withColumn("step", ((F.col("m") - 1) % 12).cast("int"))
+    pick = lambda forc, n: rows.where((F.col("forc") == forc) & (F.col("step") < n)).groupBy("cell", "step").agg(F.avg("x").alias("w"))
+    long, short = pick("R", _LONG), pick("A", _SHORT)
+    years = rows.select("cell", F.expr("(m - 1) div 12").alias("year")).distinct()
+    times = lambda steps, at: years.join(steps.select("cell", "step"), "cell").withColumn("at", at)
+    long_times = times(long, month_start_day(F.col("year") * 12 + F.col("step") + 1))
+    short_times = times(short, month_start_day(F.col("year") * 12 + 1 + _FROM + F.col("cell") % 3 + F.col("step")) + F.col("year") % 7)
+    return A.prepended(long, short, long_times, short_times, ["cell"], "step", "at", 3).select("cell", "step", r6("w"))
+
+
 @query("add_component", "WITH a AS (SELECT cell, m, x FROM d1 WHERE forc = 'A'), b AS (SELECT cell, m, x FROM d1 WHERE forc = 'N') SELECT cell, m, round(coalesce(a.x, 0) + coalesce(b.x, 0), 6) AS x FROM a FULL JOIN b USING (cell, m)")
 def add_component(spark, d):
     f = forcing(spark, d)

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridtide.functions.calendar import month_middle, month_start_day
 from gridtide.functions.special import band_kernel, erfinv
 from gridtide.operators import attribution as A
 from gridtide.operators import filters as X
+from gridtide.operators import references as B
 from gridtide.operators import resample as R
 from gridtide.operators import stats as S
 from gridtide.plans.attribution import impacts
-from gridtide.plans.base import arrays, events, forcing, query, r6, reference, rnd, total
+from gridtide.plans.base import arrays, cells, events, forcing, query, r6, reference, region_of, rnd, table, total
 from gridtide.sources import series as P
 
 N = 64
@@ -29,74 +30,159 @@ def kernel(band: dict) -> str:
     return "VALUES " + ", ".join(f"({k}, {h:.17e})" for k, h in enumerate(band_kernel(2 * N, **own)))
 
 
-#: The error function of z >= 0, by its series of positive terms.
-_ERF = "(CASE WHEN {z} > 6 THEN 1 WHEN {z} < 1e-12 THEN 0 ELSE 2 / sqrt(pi()) * exp(-{z} * {z}) * list_sum(list_transform(range(0, 140), lambda k: exp((2 * k + 1) * ln({z}) + 2 * k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)))) END)"
-
-
-def _filter(name: str, band: dict, source: str = "ar", keys: str = "vec_id", p: str = "p", x: str = "x") -> str:
-    """The steps of filters.band_passed for series of N values without gaps."""
-    n, half = X.averaged_points(N, band["delta"], band["low"], band["high"]), N // 2
-    erf = lambda slope, level, away: _ERF.format(z=f"(sqrt(pi()) / 2 * abs({slope} / {level}) * ({away}))")
+def _erf(z: str) -> str:
+    """The error function of a column z >= 0, by its series of positive terms from the last one inwards."""
+    t, inner = f"(2 * least({z}, 6) * least({z}, 6))", "1"
+    for k in range(110, 0, -1):
+        inner = f"(1 + {t} / {2 * k + 1} * {inner})"
+    return f"(CASE WHEN {z} > 6 THEN 1 ELSE 2 / sqrt(pi()) * exp(-{z} * {z}) * {z} * {inner} END)"
+
+
+def _filter(name: str, band: dict, source: str = "ar", keys: str = "vec_id", p: str = "p", x: str = "x", places: str | None = None) -> str:
+    """The steps of filters.filter_bank for series without gaps, of N values or as many as the expression ``places`` says."""
+    if places is None:
+        size, near = f"nn_{name} AS (SELECT {N} AS n, {X.averaged_points(N, band['delta'], band['low'], band['high'])} AS near)", None
+        h = f"h_{name}(k, h) AS ({kernel(band)})"
+    else:
+        d, low, high = band["delta"], band["low"], band["high"]
+        size = f"nn_{name} AS (SELECT n, round_even(0.125 / sqrt(greatest({low!r}, 1 / (n * {d})) * least({high!r}, 1 / (2 * {d}))) / {d}, 0) AS near FROM ({places}))"
+        a = math.exp(erfinv(math.sqrt(2) - 1) / band["steep"])
+        lower = f"({band['steep']} * (ln(f) - {math.log(low / a):.17e}))" if low else None
+        upper = f"({band['steep']} * (ln(f) - {math.log(high * a):.17e}))"
+        zs = f"abs({upper}) AS zu, sign({upper}) AS su" + (f", abs({lower}) AS zl, sign({lower}) AS sl" if lower else "")
+        h = (
+            f"w_{name} AS MATERIALIZED (SELECT i, n, 0.5 * ({'sl * ' + _erf('zl') if lower else '1'} - su * {_erf('zu')}) AS w FROM (SELECT i, n, {zs} FROM (SELECT i, n, least(i, 2 * n - i) / (2.0 * n * {d}) AS f FROM nn_{name}, unnest(range(1, CAST(2 * n AS BIGINT))) AS u(i)))), "
+            f"h_{name} AS MATERIALIZED (SELECT k, sum(w * cos(2 * pi() * i * k / (2 * n))) / (2 * any_value(n)) AS h FROM w_{name}, (SELECT unnest(range(0, CAST(2 * n AS BIGINT))) AS k FROM nn_{name}) GROUP BY 1)"
+        )
     back = "line + mean" if band.get("keep_trend") else "0"
+    on = f"({keys})"
     return (
-        f"h_{name}(k, h) AS ({kernel(band)}), "
+        f"{size}, {h}, "
         f"{name}_y AS MATERIALIZED (SELECT {keys}, {p} AS p, avg({x}) OVER w + regr_slope({x}, {p}) OVER w * ({p} - avg({p}) OVER w) AS line, {x} - (avg({x}) OVER w + regr_slope({x}, {p}) OVER w * ({p} - avg({p}) OVER w)) AS y FROM {source} WINDOW w AS (PARTITION BY {keys})), "
-        f"{name}_a AS (SELECT {keys}, avg(y) FILTER (p < {n}) AS a1, avg(y) FILTER (p >= {n} AND p < {2 * n}) AS a2, avg(y) FILTER (p > {N - 1 - n}) AS b1, avg(y) FILTER (p > {N - 1 - 2 * n} AND p <= {N - 1 - n}) AS b2 FROM {name}_y GROUP BY {keys}), "
-        f"{name}_s AS (SELECT {keys}, (a2 - a1) / {n} AS sa, a1 - {(n - 1) / 2} * (a2 - a1) / {n} AS va, (b2 - b1) / {n} AS sb, b1 - {(n - 1) / 2} * (b2 - b1) / {n} AS vb FROM {name}_a), "
-        f"{name}_v AS MATERIALIZED (SELECT {keys}, {half} + p AS q, y AS v FROM {name}_y UNION ALL SELECT {keys}, q, va * (1 - {erf('sa', 'va', f'{half} - q')}) FROM {name}_s, unnest(range(0, {half})) AS u(q) UNION ALL SELECT {keys}, q, vb * (1 - {erf('sb', 'vb', f'q - {half + N - 1}')}) FROM {name}_s, unnest(range({half + N}, {2 * N})) AS u(q)), "
-        f"{name}_c AS (SELECT {keys}, (q + k) % {2 * N} - {half} AS p, sum(v * h) AS c FROM {name}_v, h_{name} WHERE (q + k) % {2 * N} >= {half} AND (q + k) % {2 * N} < {half + N} GROUP BY ALL), "
+        f"{name}_a AS (SELECT {keys}, avg(y) FILTER (p < near) AS a1, avg(y) FILTER (p >= near AND p < 2 * near) AS a2, avg(y) FILTER (p > n - 1 - near) AS b1, avg(y) FILTER (p > n - 1 - 2 * near AND p <= n - 1 - near) AS b2, any_value(n) AS n, any_value(near) AS near FROM {name}_y, nn_{name} GROUP BY {keys}), "
+        f"{name}_s AS (SELECT {keys}, n, n // 2 AS half, (a2 - a1) / near AS sa, a1 - (near - 1) / 2 * (a2 - a1) / near AS va, (b2 - b1) / near AS sb, b1 - (near - 1) / 2 * (b2 - b1) / near AS vb FROM {name}_a), "
+        f"{name}_z AS MATERIALIZED (SELECT {keys}, q, va AS v, sqrt(pi()) / 2 * abs(sa / va) * (half - q) AS z FROM (SELECT *, unnest(range(0, CAST(half AS BIGINT))) AS q FROM {name}_s) UNION ALL SELECT {keys}, q, vb, sqrt(pi()) / 2 * abs(sb / vb) * (q - half - n + 1) FROM (SELECT *, unnest(range(CAST(half + n AS BIGINT), CAST(2 * n AS BIGINT))) AS q FROM {name}_s)), "
+        f"{name}_v AS MATERIALIZED (SELECT {keys}, n // 2 + p AS q, y AS v FROM {name}_y, nn_{name} UNION ALL SELECT {keys}, q, v * (1 - {_erf('z')}) FROM {name}_z), "
+        f"{name}_c AS (SELECT {keys}, (q + k) % (2 * n) - n // 2 AS p, sum(v * h) AS c FROM {name}_v, h_{name}, nn_{name} WHERE (q + k) % (2 * n) >= n // 2 AND (q + k) % (2 * n) < n // 2 + n GROUP BY ALL), "
         f"{name}_m AS (SELECT {keys}, avg(v) AS mean FROM {name}_v GROUP BY ALL), "
-        f"{name} AS (SELECT {keys}, CAST(p AS INTEGER) AS p, c + {back} AS band FROM {name}_c JOIN {name}_y USING ({keys}, p) JOIN {name}_m USING ({keys}))"
+        f"{name} AS (SELECT {keys}, CAST(p AS INTEGER) AS p, c + {back} AS band FROM {name}_c JOIN {name}_y USING ({keys}, p) JOIN {name}_m USING {on})"
     )
 
 
-def _banded(rows, keys: list[str], band: dict, **more):
-    return X.band_passed(rows, keys, "p", **band, **more).withColumn("p", F.col("p").cast("int"))
+def _bands(spark, d, **bands):
+    """The vectors through one or more bands: they are arrays already, nothing is shuffled."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label", F.sequence(F.lit(0), F.size("embedding") - 1).alias("p"), F.col("embedding").alias("x"))
+    return X.filter_bank(rows, ["vec_id", "label"], "p", 1.0, {k: {c: v for c, v in b.items() if c != "delta"} for k, b in bands.items()})
 
 
 @query("bandpass", f"WITH {_filter('b', BAND)} SELECT vec_id, p, round(band, 6) AS band FROM b")
 def bandpass(spark, d):
-    return _banded(arrays(spark, d), ["vec_id"], BAND).select("vec_id", "p", r6("band"))
+    return _bands(spark, d, band=BAND).select("vec_id", "p", r6("band"))
 
 
 @query("lowpass_12mo", f"WITH {_filter('b', LOW12)} SELECT vec_id, p, round(band, 6) AS low FROM b")
 def lowpass_12mo(spark, d):
-    return _banded(arrays(spark, d), ["vec_id"], LOW12).select("vec_id", "p", rnd("band").alias("low"))
+    return _bands(spark, d, low=LOW12).select("vec_id", "p", r6("low"))
 
 
 @query("band_split", f"WITH {_filter('b', LOW12)}, {_filter('c', LOW30)} SELECT vec_id, p, round(x - b.band, 6) AS fast, round(b.band - c.band, 6) AS slow FROM ar JOIN b USING (vec_id, p) JOIN c USING (vec_id, p)")
 def band_split(spark, d):
-    a = arrays(spark, d)
-    low = lambda band, name: _banded(a, ["vec_id"], band).withColumnRenamed("band", name)
-    rows = a.join(low(LOW12, "b"), ["vec_id", "p"]).join(low(LOW30, "c"), ["vec_id", "p"])
+    """Both low-passes in one pass over the vectors."""
+    low = _bands(spark, d, b=LOW12, c=LOW30)
+    rows = low.join(arrays(spark, d).select("vec_id", "p", "x"), ["vec_id", "p"])
     return rows.select("vec_id", "p", rnd(F.col("x") - F.col("b")).alias("fast"), rnd(F.col("b") - F.col("c")).alias("slow"))
 
 
 @query("band_stddev", f"WITH {_filter('b', BAND)} SELECT vec_id, round(stddev_pop(band), 6) AS sd FROM b GROUP BY 1")
 def band_stddev(spark, d):
-    return _banded(arrays(spark, d), ["vec_id"], BAND).groupBy("vec_id").agg(rnd(F.stddev_pop("band")).alias("sd"))
+    return _bands(spark, d, band=BAND).groupBy("vec_id").agg(rnd(F.stddev_pop("band")).alias("sd"))
+
+
+#: Names of the bands of the tables, in the order of their columns.
+TABLE_BANDS = {"mid": BAND, "low": LOW12}
+_SPAN = "sp AS (SELECT min(m) AS m0, max(m) AS m1 FROM d2t), mm AS (SELECT unnest(range(m0, m1 + 1)) AS m, m0 FROM sp)"
+_PLACES = "SELECT m1 - m0 + 1 AS n FROM sp"
+
+
+def _full(name: str, keys: str, source: str) -> str:
+    """CTE name (keys, p, x): source (keys, m, x) with a row for each month of the reference, 0 where there is none."""
+    return f"{name} AS MATERIALIZED (SELECT {keys}, m - m0 AS p, coalesce(x, 0) AS x FROM (SELECT DISTINCT {keys} FROM {source}) JOIN mm ON true LEFT JOIN {source} USING ({keys}, m))"
+
+
+def _table_sql(source: str, keys: str, out: str = "") -> str:
+    """Variance of the reference (d2t) that source (keys, m, x) explains, by band; t (keys, part, varexp, n)."""
+    own = f"{source}, {_SPAN}, {_full('fu', keys, 'so')}, rf AS (SELECT 1 AS one, m - m0 AS p, x FROM d2t JOIN mm USING (m)), "
+    parts, rows = [], []
+    for name, band in TABLE_BANDS.items():
+        parts += [_filter(f"{name}p", band, "fu", keys, places=_PLACES), _filter(f"{name}r", band, "rf", "one", places=_PLACES)]
+        rows.append(f"SELECT '{name}' AS part, {keys}, 1 - var_pop(r.band - s.band) / nullif(var_pop(r.band), 0) AS varexp, count(*) AS n FROM {name}p s JOIN {name}r r ON r.p = s.p GROUP BY ALL")
+    return f"WITH {own}{', '.join(parts)}, t AS ({' UNION ALL '.join(rows)}) "
+
 
+def _explained(spark, d, rows, keys: list[str]):
+    """(keys, part, varexp, n): the variance of the reference that series (keys, m, x) explain in each band.
+
+    All series run over the months of the reference, a month without an impact has one of zero; all bands are taken in
+    one pass over each.
+    """
+    ref = total(spark, d)
+    span = ref.agg(F.min("m").cast("long").alias("first"), F.max("m").cast("long").alias("last"))
+    bands = {k: {c: v for c, v in b.items() if c != "delta"} for k, b in TABLE_BANDS.items()}
+    passed = lambda df, k: X.filter_bank(X.dense(df, k, "m", fill=0.0, span=span), k, "m", 1.0, bands, least=0.0)
+    base = passed(ref.withColumn("k", F.lit(1)), ["k"]).select("m", *(F.col(b).alias(f"r_{b}") for b in bands))
+    both = passed(rows, keys).join(F.broadcast(base), "m")  # a row a month of the reference
+    both = both.select(*keys, F.explode(F.array(*(F.struct(F.lit(b).alias("part"), F.col(b).alias("_own"), F.col(f"r_{b}").alias("_ref")) for b in bands))).alias("_b")).select(*keys, "_b.*")
+    return S.variance_explained(both, [*keys, "part"], "_ref", "_own")
+
+
+_LEADS = "so AS MATERIALIZED (SELECT t.lead AS lead, m, sum(impact) AS x FROM imp JOIN (VALUES (CAST(0 AS BIGINT)), (1), (2), (3), (4), (5)) t(lead) ON lag >= t.lead GROUP BY 1, 2)"
+
+
+def _leads(spark):
+    return spark.createDataFrame([(k,) for k in range(6)], "lead long")
+
+
+@query("varexp_by_lead_band", _table_sql(_LEADS, "lead") + "SELECT part, lead, round(varexp, 5) AS varexp, n FROM t")
+def varexp_by_lead_band(spark, d):
+    """Variance explained by lead and band."""
+    rows = A.by_lead(impacts(spark, d), _leads(spark), ["m"]).select("m", "lead", F.col("predicted").alias("x"))
+    return _explained(spark, d, rows, ["lead"]).select("part", "lead", r6("varexp", 5), "n")
 
-FIRST = 23948  # the first of N months that all series have
-_LEADS = f"k AS MATERIALIZED (SELECT m - {FIRST} AS p, t.lead AS lead, sum(impact) AS x FROM imp JOIN (VALUES (CAST(0 AS BIGINT)), (1), (2), (3), (4), (5)) t(lead) ON lag >= t.lead WHERE m >= {FIRST} AND m < {FIRST + N} GROUP BY 1, 2 UNION ALL SELECT m - {FIRST}, -1, x FROM d2t WHERE m >= {FIRST} AND m < {FIRST + N})"
+
+@query("varexp_by_lead_forc_band", _table_sql("so AS MATERIALIZED (SELECT t.lead AS lead, coalesce(forc, 'all') AS forc, m, sum(impact) AS x FROM imp JOIN (VALUES (CAST(0 AS BIGINT)), (1), (2), (3), (4), (5)) t(lead) ON lag >= t.lead GROUP BY GROUPING SETS ((t.lead, forc, m), (t.lead, m)))", "lead, forc") + "SELECT part, lead, forc, round(varexp, 5) AS varexp, n FROM t")
+def varexp_by_lead_forc_band(spark, d):
+    """Variance explained by least lead, forcing and band, with all forcings together as a row of its own."""
+    rows = A.by_lead(impacts(spark, d), _leads(spark), ["forc", "m"]).select("m", "lead", "forc", F.col("predicted").alias("x"))
+    rows = rows.groupingSets([[F.col("lead"), F.col("forc"), F.col("m")], [F.col("lead"), F.col("m")]], "lead", "forc", "m").agg(F.sum("x").alias("x"))
+    return _explained(spark, d, rows.withColumn("forc", F.coalesce("forc", F.lit("all"))), ["lead", "forc"]).select("part", "lead", "forc", r6("varexp", 5), "n")
+
+
+@query("varexp_by_region_forc_band", _table_sql("so AS MATERIALIZED (SELECT coalesce(region, -1) AS region, coalesce(forc, 'all') AS forc, m, sum(impact) AS x FROM imp JOIN reg USING (cell) GROUP BY GROUPING SETS ((region, forc, m), (region, m), (forc, m), (m)))", "region, forc") + "SELECT part, region, forc, round(varexp, 5) AS varexp, n FROM t")
+def varexp_by_region_forc_band(spark, d):
+    """Variance explained by region, forcing and band; -1 is the full ocean, all stands for all forcings."""
+    sets = [["region", "forc", "m"], ["region", "m"], ["forc", "m"], ["m"]]
+    rows = impacts(spark, d).join(region_of(spark, d), "cell")
+    rows = rows.groupingSets([[F.col(c) for c in s] for s in sets], "region", "forc", "m").agg(F.sum("impact").alias("x"))
+    rows = rows.withColumns({"region": F.coalesce("region", F.lit(-1)), "forc": F.coalesce("forc", F.lit("all"))})
+    return _explained(spark, d, rows, ["region", "forc"]).select("part", "region", "forc", r6("varexp", 5), "n")
 
 
 @query(
-    "varexp_by_lead_band",
-    f"WITH {_LEADS}, {_filter('b', BAND, 'k', 'lead')}, {_filter('c', LOW12, 'k', 'lead')}, u AS (SELECT 'mid' AS part, * FROM b UNION ALL SELECT 'low', * FROM c) "
-    "SELECT u.part, u.lead, round(1 - var_pop(r.band - u.band) / nullif(var_pop(r.band), 0), 5) AS varexp, count(*) AS n FROM u JOIN u r ON r.lead = -1 AND r.part = u.part AND r.p = u.p WHERE u.lead >= 0 GROUP BY 1, 2",
+    "varexp_cell_band",
+    _table_sql("so AS MATERIALIZED (SELECT own, coalesce(cell, -1) AS cell, m, sum(x) AS x FROM (SELECT 'base' AS own, cell, m, sum(impact) AS x FROM imp GROUP BY ALL UNION ALL SELECT 'more', cell, m, sum(impact) FROM imp WHERE forc <> 'N' GROUP BY ALL) GROUP BY GROUPING SETS ((own, cell, m), (own, m)))", "own, cell")
+    + ", ca AS (SELECT nation AS cell, sum(area) AS area FROM ce GROUP BY 1), v AS (SELECT b.part, b.cell, CASE WHEN b.cell >= 0 AND reg.region = 0 THEN coalesce(o.varexp, b.varexp) ELSE b.varexp END AS varexp FROM t b LEFT JOIN t o ON o.own = 'more' AND o.cell = b.cell AND o.part = b.part LEFT JOIN reg ON reg.cell = b.cell WHERE b.own = 'base') SELECT part, cell, round(varexp, 5) AS varexp, round(varexp / area, 6) AS per_area FROM v LEFT JOIN ca USING (cell)",
 )
-def varexp_by_lead_band(spark, d):
-    """Variance explained by lead and band; -1 stands for the series that is explained."""
-    leads = spark.createDataFrame([(k,) for k in range(6)], "lead long")
-    predicted = A.by_lead(impacts(spark, d), leads, ["m"]).select("m", "lead", F.col("predicted").alias("x"))
-    rows = predicted.unionByName(total(spark, d).select("m", F.lit(-1).cast("long").alias("lead"), "x"))
-    rows = rows.where((F.col("m") >= FIRST) & (F.col("m") < FIRST + N)).select("lead", (F.col("m") - FIRST).alias("p"), "x")
-    parts = [_banded(rows, ["lead"], band).withColumn("part", F.lit(name)) for name, band in (("mid", BAND), ("low", LOW12))]
-    both = parts[0].unionByName(parts[1])
-    base = F.max(F.when(F.col("lead") == -1, F.col("band"))).over(Window.partitionBy("part", "p"))  # a row a lead
-    out = both.withColumn("base", base).where("lead >= 0")
-    return S.variance_explained(out, ["part", "lead"], "base", "band").select("part", "lead", r6("varexp", 5), "n")
+def varexp_cell_band(spark, d):
+    """Variance explained by cell and band, with that of a supplementary run for the cells of one region, for each unit of
+    area, and -1 for all cells together."""
+    imp = impacts(spark, d)
+    own = [imp.withColumn("own", F.lit("base")), imp.where("forc <> 'N'").withColumn("own", F.lit("more"))]
+    rows = own[0].unionByName(own[1]).groupingSets([[F.col("own"), F.col("cell"), F.col("m")], [F.col("own"), F.col("m")]], "own", "cell", "m").agg(F.sum("impact").alias("x"))
+    t = _explained(spark, d, rows.withColumn("cell", F.coalesce("cell", F.lit(-1))), ["own", "cell"])
+    base = t.where("own = 'base'").join(region_of(spark, d), "cell", "left")
+    out = A.overridden(base, t.where("own = 'more'"), ["cell", "part"], "varexp", only=F.col("region") == 0)
+    area = cells(spark, d).groupBy(F.col("nation").alias("cell")).agg(F.sum("area").alias("area"))
+    return out.join(area, "cell", "left").select("part", "cell", r6("varexp", 5), rnd(F.col("varexp") / F.col("area")).alias("per_area"))
 
 
 _LABEL = "lm AS (SELECT label, p, avg(x) AS x FROM ar GROUP BY 1, 2)"
@@ -106,18 +192,23 @@ def _by_label(spark, d):
     return arrays(spark, d).groupBy("label", "p").agg(F.avg("x").alias("x"))
 
 
-@query("varexp_by_region_band", f"WITH {_LABEL}, {_filter('b', BAND, 'lm', 'label')}, t AS (SELECT p, avg(band) AS base FROM b GROUP BY 1) SELECT label, round(1 - var_pop(base - band) / nullif(var_pop(base), 0), 5) AS varexp, count(*) AS n FROM b JOIN t USING (p) GROUP BY 1")
+@query("varexp_by_region_band", f"WITH {_LABEL}, {_filter('b', BAND, 'lm', 'label')}, {_filter('c', LOW12, 'lm', 'label')}, u AS (SELECT 'mid' AS part, * FROM b UNION ALL SELECT 'low', * FROM c), t AS (SELECT part, p, avg(band) AS base FROM u GROUP BY 1, 2), v AS (SELECT part, label, p, band FROM u UNION ALL SELECT part, -1, p, sum(band) FROM u GROUP BY ALL) SELECT part, label, round(1 - var_pop(base - band) / nullif(var_pop(base), 0), 5) AS varexp, count(*) AS n FROM v JOIN t USING (part, p) GROUP BY 1, 2")
 def varexp_by_region_band(spark, d):
-    b = _banded(_by_label(spark, d), ["label"], BAND)
-    rows = b.join(b.groupBy("p").agg(F.avg("band").alias("base")), "p")
-    return S.variance_explained(rows, ["label"], "base", "band").select("label", r6("varexp", 5), "n")
+    """Both bands, and -1 for the sum over all regions."""
+    both = X.filter_bank(X.series_arrays(_by_label(spark, d), ["label"], "p"), ["label"], "p", 1.0, {k: {c: v for c, v in b.items() if c != "delta"} for k, b in TABLE_BANDS.items()})
+    rows = both.select("label", "p", F.explode(F.array(*(F.struct(F.lit(b).alias("part"), F.col(b).alias("band")) for b in TABLE_BANDS))).alias("_b")).select("label", "p", "_b.*")
+    means = rows.groupBy("part", "p").agg(F.avg("band").alias("base"), F.sum("band").alias("sum"))
+    each = rows.join(means, ["part", "p"]).select("part", "label", "p", "band", "base").unionByName(means.select("part", F.lit(-1).alias("label"), "p", F.col("sum").alias("band"), "base"))
+    return S.variance_explained(each, ["part", "label"], "base", "band").select("part", "label", r6("varexp", 5), "n")
 
 
-@query("corr_pairs_band", f"WITH {_LABEL}, {_filter('b', BAND, 'lm', 'label')} SELECT a.label AS la, c.label AS lb, round(corr(a.band, c.band), 5) AS r, count(*) AS n FROM b a JOIN b c ON a.p = c.p AND a.label < c.label GROUP BY 1, 2")
+@query("corr_pairs_band", f"WITH {_LABEL}, {_filter('b', BAND, 'lm', 'label')}, {_filter('c', LOW12, 'lm', 'label')}, u AS (SELECT 'mid' AS part, * FROM b UNION ALL SELECT 'low', * FROM c) SELECT a.part, a.label AS la, c.label AS lb, round(corr(a.band, c.band), 5) AS r, count(*) AS n FROM u a JOIN u c ON a.part = c.part AND a.p = c.p AND a.label < c.label GROUP BY 1, 2, 3")
 def corr_pairs_band(spark, d):
-    b = _banded(_by_label(spark, d), ["label"], BAND)
-    pairs = b.select(F.col("label").alias("la"), "p", F.col("band").alias("a")).join(b.select(F.col("label").alias("lb"), "p", F.col("band").alias("b")), "p").where("la < lb")
-    return pairs.groupBy("la", "lb").agg(rnd(F.corr("a", "b"), 5).alias("r"), F.count("*").alias("n"))
+    """Correlations between all pairs of series in both bands."""
+    both = X.filter_bank(X.series_arrays(_by_label(spark, d), ["label"], "p"), ["label"], "p", 1.0, {k: {c: v for c, v in b.items() if c != "delta"} for k, b in TABLE_BANDS.items()})
+    rows = both.select("label", "p", F.explode(F.array(*(F.struct(F.lit(b).alias("part"), F.col(b).alias("band")) for b in TABLE_BANDS))).alias("_b")).select("label", "p", "_b.*")
+    pairs = rows.select("part", F.col("label").alias("la"), "p", F.col("band").alias("a")).join(rows.select("part", F.col("label").alias("lb"), "p", F.col("band").alias("b")), ["part", "p"]).where("la < lb")
+    return pairs.groupBy("part", "la", "lb").agg(rnd(F.corr("a", "b"), 5).alias("r"), F.count("*").alias("n"))
 
 
 def _scale_sql(source: str, value: str) -> str:
@@ -143,7 +234,7 @@ def _edge_sql() -> str:
 
 @query("bandpass_edge", _edge_sql())
 def bandpass_edge(spark, d):
-    return _banded(arrays(spark, d), ["vec_id"], BAND, mask_edges=True).where("band is not null").select("vec_id", "p", r6("band"))
+    return _bands(spark, d, band=BAND | {"mask_edges": True}).where("band is not null").select("vec_id", "p", r6("band"))
 
 
 @query("valid_span", "WITH k AS (SELECT vec_id, p, CASE WHEN x > -0.1 THEN x END AS x FROM ar) SELECT vec_id, min(CASE WHEN x IS NOT NULL THEN p END) AS first, max(CASE WHEN x IS NOT NULL THEN p END) AS last, count(x) AS n FROM k GROUP BY 1".replace(" AS first", ' AS "first"').replace(" AS last", ' AS "last"'))
@@ -191,6 +282,58 @@ def seasonal_harmonics(spark, d):
     return X.harmonics(rows, ["series"], "day", 3).select("series", "m", r6("anom", 5), r6("cycle", 5))
 
 
+def _chain_sql(keys: str, train: str, ask: str, n: int) -> str:
+    """fit (keys, day, cycle): the mean and cycle of train (keys, day, x) at the days of ask (keys, day); the asked rows go
+    through the same steps as those that are learned from, without counting in any sum."""
+    names = [f"{c}{k}" for k in range(1, n + 1) for c in ("c", "s")]
+    cols = ", ".join(f"{'cos' if c[0] == 'c' else 'sin'}({2 * math.pi / 365.24!r}::DOUBLE * {c[1:]} * day) AS {c}" for c in names)
+    w, t = f"OVER (PARTITION BY {keys})", "FILTER (tr)"
+    steps = [f"g0 AS (SELECT {keys}, day, tr, x AS r, avg(x) {t} {w} AS fit, {cols} FROM (SELECT {keys}, day, x, true AS tr FROM {train} UNION ALL SELECT {keys}, day, NULL, false FROM {ask}))"]
+    steps.append(f"g1 AS (SELECT {keys}, day, tr, fit, r - avg(r) {t} {w} AS r, {', '.join(f'{c} - avg({c}) {t} {w} AS {c}' for c in names)} FROM g0)")
+    for j, q in enumerate(names):
+        norm = f"CASE WHEN sum({q} * {q}) {t} {w} > 1e-9 THEN sum({q} * {q}) {t} {w} END"
+        share = lambda c: f"coalesce(sum({c} * {q}) {t} {w} / {norm}, 0)"  # noqa: B023, E731
+        new = ", ".join([f"{c} - {share(c)} * {q} AS {c}" for c in names[j + 1 :]] + [f"r - {share('r')} * {q} AS r", f"fit + {share('r')} * {q} AS fit"])
+        steps.append(f"g{j + 2} AS (SELECT {keys}, day, tr, {new} FROM g{j + 1})")
+    return ", ".join(steps) + f", fitted AS (SELECT {keys}, day, fit AS cycle FROM g{len(names) + 1} WHERE NOT tr)"
+
+
+_DAY = "date_diff('day', DATE '1970-01-01', make_date(({m} - 1) // 12, ({m} - 1) % 12 + 1, 1))"
+_ASK = f"tn AS (SELECT series, {_DAY.format(m='m')} AS day, x FROM d2), ak AS (SELECT series, unnest(range(min(m), max(m) + 13)) AS m FROM d2 GROUP BY 1), aq AS (SELECT series, m, {_DAY.format(m='m')} + 14.5 AS day FROM ak)"
+
+
+@query("seasonal_at", f"WITH {_ASK}, {_chain_sql('series', 'tn', 'aq', 3)} SELECT series, m, round(f.cycle, 5) AS \"cycle\" FROM aq JOIN fitted f USING (series, day)")
+def seasonal_at(spark, d):
+    """The cycle of each series in the middle of its months, and a year beyond."""
+    rows = reference(spark, d).withColumn("day", month_start_day(F.col("m")))
+    found = X.seasonal_coefficients(rows, ["series"], "day", 3)
+    asked = rows.groupBy("series").agg(F.min("m").alias("a"), F.max("m").alias("z")).select("series", F.explode(F.sequence("a", F.col("z") + 12)).alias("m"))
+    asked = asked.withColumn("day", month_start_day(F.col("m")) + 14.5)
+    return X.seasonal_at(found, asked, ["series"], "day").select("series", "m", r6("cycle", 5))
+
+
+SPLIT = 23988  # the month from which the late record is there
+_DAYS = f"date_diff('day', DATE '1970-01-01', make_date({(SPLIT - 1) // 12}, {(SPLIT - 1) % 12 + 1}, 1))"
+_PRESAT = (
+    f"se AS (SELECT cell, {_DAY.format(m='m')} AS day, m, x FROM d1 WHERE forc = 'N' AND m % 2 = 0), sl AS (SELECT cell, {_DAY.format(m='m')} AS day, m, x FROM d1 WHERE forc = 'R'), "
+    f"st AS (SELECT cell, m, {_DAY.format(m='m')} + 14.5 AS day FROM (SELECT cell, unnest(range(23930, {SPLIT})) AS m FROM (SELECT DISTINCT cell FROM d1))), "
+    f"so AS (SELECT cell, avg(CASE WHEN forc = 'R' THEN x END) - avg(CASE WHEN forc = 'N' AND m % 2 = 0 THEN x END) AS off FROM d1 WHERE m >= {SPLIT} AND m < {SPLIT + 24} GROUP BY 1), "
+    "s0 AS (SELECT t.cell, t.m, t.day, e.day AS d0, e.x AS x0 FROM st t ASOF LEFT JOIN se e ON e.cell = t.cell AND e.day <= t.day), s1 AS (SELECT t.cell, t.m, e.day AS d1_, e.x AS x1 FROM st t ASOF LEFT JOIN se e ON e.cell = t.cell AND e.day >= t.day), "
+    "si AS (SELECT cell, m, day, CASE WHEN x0 IS NULL THEN x1 WHEN x1 IS NULL THEN x0 WHEN d1_ = d0 THEN x0 ELSE x0 + (day - d0) / (d1_ - d0) * (x1 - x0) END AS x FROM s0 JOIN s1 USING (cell, m))"
+)
+
+
+@query("presat_splice", f"WITH {_PRESAT}, {_chain_sql('cell', 'sl', 'st', 4)}, sw AS (SELECT cell, day, cycle - avg(cycle) OVER w - regr_slope(cycle, day) OVER w * (day - avg(day) OVER w) AS wave FROM fitted WINDOW w AS (PARTITION BY cell)) SELECT cell, m, round(x + off + wave, 5) AS x FROM si JOIN so USING (cell) JOIN sw USING (cell, day) WHERE x + off + wave IS NOT NULL")
+def presat_splice(spark, d):
+    """A record of every other month carries each cell's later one back: interpolated, moved, with the later one's cycle."""
+    rows = forcing(spark, d).withColumn("day", month_start_day(F.col("m")).cast("double"))
+    early, late = rows.where("forc = 'N' and m % 2 = 0"), rows.where("forc = 'R'")
+    targets = rows.select("cell").distinct().withColumn("m", F.explode(F.sequence(F.lit(23930).cast("long"), F.lit(SPLIT - 1).cast("long")))).withColumn("day", month_start_day(F.col("m")) + 14.5)
+    start, end = (float((dt.date((m - 1) // 12, (m - 1) % 12 + 1, 1) - dt.date(1970, 1, 1)).days) for m in (SPLIT, SPLIT + 24))
+    out = B.extended_back(early.select("cell", "day", "x"), late.select("cell", "day", "x"), targets.select("cell", "day"), ["cell"], "day", start, end)
+    return out.join(targets, ["cell", "day"]).select("cell", "m", r6("x", 5)).where("x is not null")
+
+
 _TWO = "w AS (SELECT m, max(CASE WHEN series = '1-URGENT' THEN x END) AS a, max(CASE WHEN series = '5-LOW' THEN x END) AS b FROM d2 GROUP BY 1)"
 
 

@@ -233,13 +233,53 @@ def regrid_weights_conservative(spark, d):
     return out.select("t", "s", r6("weight"))
 
 
-@query("region_mask_area", f"WITH {_BOX}, r AS (SELECT t % 4 AS region, s, sum(area) AS area FROM o WHERE tw = 1 GROUP BY 1, 2) SELECT region, s, round(area / 1e6, 4) AS area FROM r JOIN part ON p_partkey = s WHERE p_size > 5")
-def region_mask_area(spark, d):
+#: A field on the source grid: means by half-year of the shipments of a cell's parts.
+_FIELD = "fl AS (SELECT l_partkey % 24 AS lat_ind, l_partkey // 24 % 48 AS lon_ind, CAST(year(l_shipdate) * 2 + (month(l_shipdate) - 1) // 6 AS BIGINT) AS h, avg(l_extendedprice) / 1e4 AS x FROM lineitem GROUP BY 1, 2, 3), vd AS (SELECT lat_ind, lon_ind FROM fl GROUP BY 1, 2 HAVING count(DISTINCT h) > 0.9 * (SELECT count(DISTINCT h) FROM fl))"
+
+
+def grid_field(spark, d):
+    """(lat_ind, lon_ind, h, x)."""
     from gridtide.plans.base import table
 
-    valid = table(spark, d, "part").where("p_size > 5").select(F.col("p_partkey").alias("s"))
-    rows = _overlap(spark, d).where("t_wet = 1").groupBy((F.col("t") % 4).alias("region"), "s").agg(F.sum("area").alias("area"))
-    return rows.join(valid, "s", "left_semi").select("region", "s", rnd(F.col("area") / 1e6, 4).alias("area"))
+    k, at = F.col("l_partkey"), F.col("l_shipdate")
+    half = (F.year(at) * 2 + F.floor((F.month(at) - 1) / F.lit(6))).cast("long")
+    return table(spark, d, "lineitem").groupBy((k % 24).alias("lat_ind"), F.expr("l_partkey div 24 % 48").alias("lon_ind"), half.alias("h")).agg((F.avg("l_extendedprice") / 1e4).alias("x"))
+
+
+@query(
+    "altimetry_regrid",
+    f"WITH {_TARGETS}, {_FIELD}, bx AS (SELECT c_custkey AS t, (c_custkey * 7 % 360)::DOUBLE - 178 AS lon_lo, (c_custkey * 7 % 360)::DOUBLE - 178 + 9.5 AS lon_hi, (c_custkey * 5 % 140)::DOUBLE - 70 AS lat_lo, (c_custkey * 5 % 140)::DOUBLE - 70 + 8.25 AS lat_hi FROM customer WHERE c_custkey % 4 > 0), "
+    "wx AS (SELECT t, lon_ind, (least(lon_hi, lo_.hi + turn) - greatest(lon_lo, lo_.lo + turn)) / (lon_hi - lon_lo) AS wx FROM bx JOIN lo_ ON true JOIN (VALUES (-360), (0), (360)) v(turn) ON lo_.lo + turn < lon_hi AND lo_.hi + turn > lon_lo), "
+    "wy AS (SELECT t, lat_ind, (least(lat_hi, la.hi) - greatest(lat_lo, la.lo)) / (lat_hi - lat_lo) * cos(radians((least(lat_hi, la.hi) + greatest(lat_lo, la.lo)) / 2)) AS wy FROM bx JOIN la ON la.lo < lat_hi AND la.hi > lat_lo), "
+    "w AS (SELECT t, lat_ind, lon_ind, wx * wy / sum(wx * wy) OVER (PARTITION BY t) AS w FROM wx JOIN wy USING (t) JOIN vd USING (lat_ind, lon_ind)) SELECT t, h, round(sum(w * x), 6) AS x FROM w JOIN fl USING (lat_ind, lon_ind) GROUP BY 1, 2",
+)
+def altimetry_regrid(spark, d):
+    """Wet targets take the field's valid cells by separable weights."""
+    from gridtide.plans.base import table
+
+    k = F.col("c_custkey")
+    lon, lat = (k * 7 % 360).cast("double") - 178, (k * 5 % 140).cast("double") - 70
+    boxes = table(spark, d, "customer").where(k % 4 > 0).select(k.alias("t"), lon.alias("lon_lo"), (lon + 9.5).alias("lon_hi"), lat.alias("lat_lo"), (lat + 8.25).alias("lat_hi"))
+    _, lats, lons, _ = corner_grid(spark, d)
+    field = grid_field(spark, d)
+    valid = W.valid_cells(field, ["lat_ind", "lon_ind"], "h")
+    weight = W.separable_weights(boxes, W.axis_bounds(lats, "lat_ind", "lat"), W.axis_bounds(lons, "lon_ind", "lon", circle=360.0), valid)
+    return field.join(weight, ["lat_ind", "lon_ind"]).groupBy("t", "h").agg(rnd(F.sum(F.col("weight") * F.col("x"))).alias("x"))
+
+
+@query(
+    "region_mask_area",
+    f"WITH {_TARGETS}, {_FIELD}, cw AS (SELECT t % 4 AS region, least(lat1, lat2, lat3, lat4) AS lat_lo, greatest(lat1, lat2, lat3, lat4) AS lat_hi, least(lon1, lon2, lon3, lon4) AS lon_lo, greatest(lon1, lon2, lon3, lon4) AS lon_hi FROM tg WHERE wet = 1 AND NOT pole), "
+    "ar_ AS (SELECT region, lat_ind, lon_ind, sum(111100.0 * 111100.0 * cos(radians(la.lat)) * (least(lat_hi, la.hi) - greatest(lat_lo, la.lo)) * (least(lon_hi, lo_.hi + turn) - greatest(lon_lo, lo_.lo + turn))) AS area FROM cw JOIN la ON la.lo < lat_hi AND la.hi > lat_lo JOIN lo_ ON true JOIN (VALUES (-360), (0), (360)) v(turn) ON lo_.lo + turn < lon_hi AND lo_.hi + turn > lon_lo GROUP BY 1, 2, 3) "
+    "SELECT region, lat_ind, lon_ind, round(CASE WHEN vd.lat_ind IS NULL THEN 0 ELSE area / 1e6 END, 3) AS area FROM ar_ LEFT JOIN vd USING (lat_ind, lon_ind)",
+)
+def region_mask_area(spark, d):
+    """What wet targets cover of a source grid, by region, where the field has values at more than nine in ten times."""
+    targets, lats, lons, _ = corner_grid(spark, d)
+    wet = targets.where("wet = 1 and t % 500 <> 7").withColumn("region", F.col("t") % 4)
+    valid = W.valid_cells(grid_field(spark, d), ["lat_ind", "lon_ind"], "h")
+    out = W.mask_area(wet, W.axis_bounds(lats, "lat_ind", "lat"), W.axis_bounds(lons, "lon_ind", "lon", circle=360.0), valid, ["region"])
+    return out.select("region", "lat_ind", "lon_ind", rnd(F.col("area") / 1e6, 3).alias("area"))
 
 
 @query("bounds_from_centers", "WITH k AS (SELECT nation, cell, lat, lead(lat) OVER w - lat AS up, lat - lag(lat) OVER w AS dn FROM (SELECT nation, min(cell) AS cell, lat FROM ce GROUP BY nation, lat) WINDOW w AS (PARTITION BY nation ORDER BY lat)) SELECT nation, cell, round(lat - coalesce(dn, up) / 2, 6) AS lo, round(lat + coalesce(up, dn) / 2, 6) AS hi FROM k")

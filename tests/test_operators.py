@@ -452,3 +452,85 @@ def test_sensitivities_of_many_years(spark, tmp_path):
     (tmp_path / "adxx_tauu.0000000012.data").write_bytes(values.tobytes())
     out = grids.sensitivities_of_many_years(spark, str(tmp_path), side=2)
     assert out.count() == 104 and out.agg(F.max("s")).first()[0] == 16806 * 86400 - 302400
+
+
+def test_cycle_at_other_times(spark):
+    """The fit's coefficients give the fit at its own days and go on beyond them; few days have fewer harmonics."""
+    rng = np.random.default_rng(8)
+    day = np.sort(rng.choice(3000, 60, replace=False)).astype(float)
+    x = rng.normal(size=60) + 2 * np.cos(2 * math.pi * day / 365.24) + 5
+    few = [(2, d, v) for d, v in ((0.0, 1.0), (90.0, 4.0), (200.0, 2.0), (300.0, 7.0))]
+    df = spark.createDataFrame([(1, float(d), float(v)) for d, v in zip(day, x, strict=True)] + few, "k int, day double, x double")
+    found = X.seasonal_coefficients(df, ["k"], "day", 3)
+    ask = np.arange(-100.0, 4000.0, 37.0)
+    got = [r["cycle"] for r in X.seasonal_at(found, spark.createDataFrame([(1, float(d)) for d in ask], "k int, day double"), ["k"], "day").orderBy("day").collect()]
+    design = lambda t: np.column_stack([np.ones(len(t))] + [f(2 * math.pi * k * t / 365.24) for k in (1, 2, 3) for f in (np.cos, np.sin)])
+    assert np.allclose(got, design(ask) @ np.linalg.lstsq(design(day), x, rcond=None)[0])
+    both = X.seasonal_at(found, X.harmonics(df, ["k"], "day", 3), ["k"], "day", "again").collect()
+    assert all(r["again"] == pytest.approx(r["x"] - r["anom"]) for r in both) and found.where("k = 2").first()["coefs"][2:] == [0.0] * 4
+
+
+def test_record_carried_back(spark):
+    """The early record's level and trend, the late record's level and cycle."""
+    wave = lambda d: math.cos(2 * math.pi * d / 365.24)
+    late = [(1, float(d), 3 + wave(d)) for d in range(7305, 11000, 30)]
+    early = [(1, float(d), 0.001 * d) for d in range(3650, 11000, 365)]
+    ask = [(1, float(d)) for d in range(3652, 7305, 30)]
+    out = references.extended_back(*(spark.createDataFrame(x, "k int, day double, x double") for x in (early, late)), spark.createDataFrame(ask, "k int, day double"), ["k"], "day", 7305.0, 10957.0)
+    got = {r["day"]: r["x"] for r in out.collect()}
+    shift = np.mean([v for _, d, v in late if d < 10957]) - np.mean([v for _, d, v in early if 7305 <= d < 10957])
+    line = np.polyfit([d for _, d in ask], [wave(d) for _, d in ask], 1)
+    assert len(got) == len(ask) and all(got[d] == pytest.approx(0.001 * d + shift + wave(d) - np.polyval(line, d), abs=1e-6) for _, d in ask)
+
+
+def test_filter_bank_is_each_band_alone(spark):
+    rng = np.random.default_rng(9)
+    data = [(k, t, None if k == 2 and t in (5, 6) else float(v)) for k in (1, 2, 3) for t, v in enumerate(rng.normal(size=40 + 7 * k).cumsum())]
+    df = spark.createDataFrame(data, "k int, t int, x double")
+    bands = {"fast": {"low": 1 / 10, "high": 1 / 3}, "slow": {"low": 0.0, "high": 1 / 12, "steep": 2.0, "keep_trend": True}, "edge": {"low": 1 / 24, "high": 1 / 6, "mask_edges": True}}
+    out = {(r["k"], r["t"]): r for r in X.filter_bank(X.series_arrays(df, ["k"], "t"), ["k"], "t", 1.0, bands).collect()}
+    for name, band in bands.items():
+        for r in X.band_passed(df, ["k"], "t", 1.0, **band).collect():
+            assert out[r["k"], r["t"]][name] == (None if r["band"] is None else pytest.approx(r["band"], abs=1e-12))
+    assert out[2, 5]["slow"] is None and len(out) == len(data)
+
+
+def test_dense_series(spark):
+    df = spark.createDataFrame([("a", 1, 2.0), ("a", 3, 4.0), ("b", 4, 1.0), ("c", 2, None)], "k string, m long, x double")
+    assert rows(X.dense(df, ["k"], "m", fill=0.0), "k") == [("a", [1, 2, 3, 4], [2.0, 0.0, 4.0, 0.0]), ("b", [1, 2, 3, 4], [0.0, 0.0, 0.0, 1.0])]
+    assert rows(X.dense(df.where("k = 'a'"), ["k"], "m"), "k") == [("a", [1, 2, 3], [2.0, None, 4.0])]
+
+
+def test_sums_after_a_start(spark):
+    """Starts a day apart are one forecast, also in a chain; steps without a start have no sum."""
+    data = [(1, 0, 10.0, 1.0), (1, 1, 11.0, 2.0), (1, 2, 12.5, None), (1, 3, 14.5, 8.0), (1, 4, 10.0, 16.0), (1, 5, None, 32.0), (2, 0, 10.0, 5.0)]
+    out = A.accumulated_after(spark.createDataFrame(data, "k int, step int, start double, x double"), ["k"], "step", "start", "x")
+    assert [r["after"] for r in out.orderBy("k", "step").collect()] == [19.0, 18.0, 16.0, 8.0, 16.0, None, 5.0]
+
+
+def test_last_step_filled(spark):
+    df = spark.createDataFrame([(1, 0, 1.0), (1, 1, 3.0), (1, 2, None), (2, 0, None), (2, 1, 4.0), (3, 0, None)], "k int, step int, cum double")
+    assert [r["cum"] for r in A.last_filled(df, ["k"], "step").orderBy("k", "step").collect()] == [1.0, 3.0, 3.0, None, 4.0, None]
+
+
+def test_steps_in_front(spark):
+    long = spark.createDataFrame([(1, k, 10.0 + k) for k in range(6)], "k int, step int, w double")
+    short = spark.createDataFrame([(1, k, float(k)) for k in range(4)], "k int, step int, w double")
+    times = lambda first, n: spark.createDataFrame([(1, k, y, first + 7.0 * k + y) for y in (0, 1) for k in range(n)], "k int, step int, year int, at double")
+    out = A.prepended(long, short, times(0.0, 6), times(14.5, 4), ["k"], "step", "at", 2)
+    assert [tuple(r) for r in out.orderBy("step").collect()] == [(1, 0, 10.0), (1, 1, 11.0), (1, 2, 0.75 * 12), (1, 3, 0.25 * 13 + 0.75), (1, 4, 2.0), (1, 5, 3.0)]
+
+
+def test_separable_weights_and_mask(spark):
+    lats, lons, _ = _grid_axes(spark, 10.0)
+    lats, lons = W.axis_bounds(lats, "lat_ind", "lat"), W.axis_bounds(lons, "lon_ind", "lon", circle=360.0)
+    field = spark.createDataFrame([(i, j, t, 1.0) for i in range(18) for j in range(36) for t in range(20) if not (i == 9 and t < 2) and not (j == 0 and t < 1)], "lat_ind int, lon_ind int, t int, x double")
+    valid = W.valid_cells(field, ["lat_ind", "lon_ind"], "t")
+    assert valid.where("lat_ind = 9").count() == 0 and valid.where("lon_ind = 0").count() == 17
+    box = spark.createDataFrame([(1, -7.0, 3.0, 8.0, 12.0), (2, 355.0, 356.0, 1.0, 2.0)], "t int, lon_lo double, lon_hi double, lat_lo double, lat_hi double")
+    got = {(r["t"], r["lat_ind"], r["lon_ind"]): r["weight"] for r in W.separable_weights(box, lats, lons, valid).collect()}
+    assert got == {(1, 10, 35): pytest.approx(0.2), (1, 10, 0): pytest.approx(0.8)}
+    quad = spark.createDataFrame([("a", -7.0, 8.0, 3.0, 8.5, 3.0, 12.0, -6.0, 12.0)], "k string, " + ", ".join(f"lon{k} double, lat{k} double" for k in range(1, 5)))
+    area = {(r["lat_ind"], r["lon_ind"]): r["area"] for r in W.mask_area(quad, lats, lons, valid, ["k"]).collect()}
+    unit = W.METRES**2 * math.cos(math.radians(15.0))
+    assert area == {(9, 35): 0.0, (9, 0): 0.0, (10, 35): pytest.approx(unit * 2 * 2), (10, 0): pytest.approx(unit * 2 * 8)}
