@@ -19,29 +19,64 @@ def planar_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> C
     return F.sqrt(F.pow(F.cos(F.radians(lat1)) * d, 2) + F.pow(lat2 - lat1, 2))
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, point: str, cell: str, reach: float = 5.0) -> DataFrame:
+SIDE = 30.0  # degrees of the squares that the search begins with; 12 by 6 of them
+FINER = 4  # each level has squares of a quarter of the side
+DEEPEST = 6
+
+
+def _square(lon: Column, lat: Column, level: int) -> tuple[Column, Column]:
+    side = SIDE / FINER**level
+    return F.floor((lon + 180) / F.lit(side)).cast("long"), F.floor((lat + 90) / F.lit(side)).cast("long")
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), value being worked out once a row, also where use has it within a function of an array's elements."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _reachable(squares: Column, level: int) -> Column:
+    """Those of an array of squares (x, y) that may hold the cell nearest to (plon, plat): no farther at least than any
+    square is at most."""
+    side = SIDE / FINER**level
+    off_lon = lambda q: F.abs(F.pmod((q["x"] + 0.5) * side - F.col("plon"), F.lit(360.0)) - 180)
+    off_lat = lambda q: F.abs((q["y"] + 0.5) * side - 90 - F.col("plat"))
+    far = lambda c, a, b: c * a * a + b * b
+    least = lambda c, q: far(c, F.greatest(F.lit(0.0), off_lon(q) - side / 2), F.greatest(F.lit(0.0), off_lat(q) - side / 2))
+    most = lambda c, q: far(c, F.least(F.lit(180.0), off_lon(q) + side / 2), off_lat(q) + side / 2)
+    told = _let(F.pow(F.cos(F.radians("plat")), 2), lambda c: F.transform(squares, lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"), least(c, q).alias("least"), most(c, q).alias("most"))))
+    near = lambda t, best: F.transform(F.filter(t, lambda q: q["least"] <= best * (1 + 1e-9) + 1e-9), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")))
+    return _let(told, lambda t: _let(F.array_min(F.transform(t, lambda q: q["most"])), lambda best: near(t, best)))
+
+
+def nearest_cell(points: DataFrame, cells: DataFrame, point: str, cell: str, crowd: int = 256) -> DataFrame:
     """(point, cell, distance) of the nearest cell, however far; the smaller cell on ties.
 
-    Points (point, lon, lat) meet only the cells (cell, lon, lat) of the squares of ``reach`` degrees that a cell within
-    that distance can be in. Those left without one look four times as far, and at last, if any are left, everywhere.
+    Points (point, lon, lat) look for cells (cell, lon, lat) in a tree of squares that is as deep as the cells are
+    crowded: down to where a square holds no more than ``crowd`` places (or to squares of a hundredth of a degree). On
+    each level a point goes on with those occupied squares only that can hold its nearest cell; where there is no cell
+    for a long way, these are few and large. Cells of one place are one.
     """
-    left, out = points.select(point, F.col("lon").alias("plon"), F.col("lat").alias("plat")), None
-    radii = [reach, 4 * reach, 16 * reach, 360.0]
-    for r in radii:
-        n = max(1, int(360 // r))  # squares round a parallel
-        band, side = lambda lat, r=r: F.floor(lat / F.lit(r)), lambda lon, n=n: F.floor(lon * F.lit(n / 360.0)).cast("long")
-        wide = F.least(F.lit(180.0), F.lit(r) / F.cos(F.radians("plat")))
-        p = left.withColumn("_b", F.explode(F.sequence(band(F.col("plat") - r), band(F.col("plat") + r))))
-        round_ = F.lit(n).cast("long")
-        turns = F.transform(F.sequence(side(F.col("plon") - wide), side(F.col("plon") + wide)), lambda k: F.pmod(k, round_))  # noqa: B023
-        p = p.withColumn("_l", F.explode(F.array_distinct(turns)))
-        c = cells.select(F.col(cell).alias(cell), F.col("lon").alias("clon"), F.col("lat").alias("clat"), band(F.col("lat")).alias("_b"), F.pmod(side(F.col("lon")), round_).alias("_l"))
-        both = p.join(c, ["_b", "_l"]).withColumn("d", planar_distance(F.col("plon"), F.col("plat"), F.col("clon"), F.col("clat")))
-        near = both if r == radii[-1] else both.where(F.col("d") <= r)
-        near = near.groupBy(point).agg(F.min(F.struct("d", F.col(cell).alias(cell))).alias("m")).select(point, f"m.{cell}", F.col("m.d").alias("distance"))
-        out = near if out is None else out.unionByName(near)
-        left = left.join(near.select(point), point, "left_anti").persist()  # few; else each radius works out all before it
-    return out
+    lon = wrapped(F.col("lon"), -180.0)
+    places = cells.groupBy(lon.alias("clon"), F.col("lat").alias("clat")).agg(F.min(cell).alias(cell))
+    depth = 0
+    while depth < DEEPEST:
+        x, y = _square(F.col("clon"), F.col("clat"), depth)
+        if (places.groupBy(x, y).count().agg(F.max("count")).first()[0] or 0) <= crowd:
+            break
+        depth += 1
+    x, y = _square(F.col("clon"), F.col("clat"), 0)
+    top = sorted((r["x"], r["y"]) for r in places.where(x.isNotNull() & y.isNotNull()).select(x.alias("x"), y.alias("y")).distinct().collect())  # 84 at most
+    start = F.from_json(F.lit("[" + ",".join(f'{{"x":{a},"y":{b}}}' for a, b in top) + "]"), "array<struct<x: bigint, y: bigint>>")
+    rows = points.select(point, lon.alias("plon"), F.col("lat").alias("plat")).withColumn("_sq", _reachable(start, 0))
+    for level in range(1, depth + 1):
+        x, y = _square(F.col("clon"), F.col("clat"), level)
+        within = places.select(x.alias("x"), y.alias("y")).distinct().groupBy(F.floor(F.col("x") / FINER).alias("_x"), F.floor(F.col("y") / FINER).alias("_y")).agg(F.collect_list(F.struct("x", "y")).alias("_in"))
+        each = rows.withColumn("_q", F.explode("_sq")).select(point, "plon", "plat", F.col("_q.x").alias("_x"), F.col("_q.y").alias("_y")).join(within, ["_x", "_y"])
+        rows = each.groupBy(point, "plon", "plat").agg(F.flatten(F.collect_list("_in")).alias("_sq")).withColumn("_sq", _reachable(F.col("_sq"), level))
+    x, y = _square(F.col("clon"), F.col("clat"), depth)
+    each = rows.withColumn("_q", F.explode("_sq")).select(point, "plon", "plat", F.col("_q.x").alias("_x"), F.col("_q.y").alias("_y"))
+    both = each.join(places.withColumns({"_x": x, "_y": y}), ["_x", "_y"]).withColumn("d", planar_distance(F.col("plon"), F.col("plat"), F.col("clon"), F.col("clat")))
+    return both.groupBy(point).agg(F.min(F.struct("d", F.col(cell).alias(cell))).alias("m")).select(point, f"m.{cell}", F.col("m.d").alias("distance"))
 
 
 def nested_cells(grid: DataFrame, schemes: DataFrame) -> DataFrame:

@@ -350,11 +350,15 @@ def test_many_bins_on_a_circle(spark):
     assert rows(few.select("id", "bin", F.round("distance", 6)), "id") == rows(many.select("id", "bin", F.round("distance", 6)), "id")
 
 
-def test_nearest_cell_however_far(spark):
+@pytest.mark.parametrize("crowd", [256, 3, 1])
+def test_nearest_cell_however_far(spark, crowd):
+    """Points far from all cells, poles, the date line, a crowd in one spot and cells of one place, at any depth."""
     rng = np.random.default_rng(4)
     p = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.uniform(-180, 180, 120), np.append(rng.uniform(-90, 90, 114), [89.9, -89.9, 90, -90, 0, 60]), strict=True))]
     c = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.uniform(-180, 180, 25), rng.uniform(-88, -20, 25), strict=True))] + [(99, 10.0, 89.5)]
-    got = dict(rows(G.nearest_cell(spark.createDataFrame(p, "p int, lon double, lat double"), spark.createDataFrame(c, "c int, lon double, lat double"), "p", "c").select("p", "c"), "p"))
+    c += [(100 + i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.uniform(100, 100.4, 60), rng.uniform(-40, -39.6, 60), strict=True))] + [(50, 180.0, -21.0), (51, -180.0, -21.0), (52, 180.0, -21.0)]
+    got = dict(rows(G.nearest_cell(spark.createDataFrame(p, "p int, lon double, lat double"), spark.createDataFrame(c, "c int, lon double, lat double"), "p", "c", crowd).select("p", "c"), "p"))
+    assert len(got) == len(p)
 
     def distance(a, b):
         d = (b[1] - a[1] + 180) % 360 - 180
