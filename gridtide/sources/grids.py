@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import fnmatch
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
 
 from gridtide.functions.shipping import ship
 
@@ -22,25 +26,124 @@ def llc_positions(pos: Column, side: int = SIDE) -> tuple[Column, Column, Column
     return tile.cast("int"), j.cast("int"), i.cast("int")
 
 
-def floats(spark: SparkSession, path: str, pattern: str = "*.data", side: int = SIDE) -> DataFrame:
-    """(path, record, tile, j, i, x) of all files under path; NaN and infinities become NULL."""
-    import numpy as np
-    import pyarrow as pa
+CHUNK = 32 << 20  # bytes of a partition, about
+
+
+class Records(InputPartition):
+    """Records first to last (not included) of a file."""
+
+    def __init__(self, path: str, size: int, first: int, last: int):
+        self.path, self.size, self.first, self.last = path, size, first, last
+
+
+class GridReader(DataSourceReader):
+    """Reads the records and tiles of grid files that the filters leave, and no other bytes."""
+
+    def __init__(self, options: dict):
+        self.root, self.pattern, self.side = options["path"], options.get("pattern", "*.data"), int(options.get("side", SIDE))
+        self.filters: list = []
+
+    def pushFilters(self, filters):
+        """Takes what is asked of path, stem, stamp, record and tile; all of them are known before a byte is read."""
+        for f in filters:
+            if isinstance(f, (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, StringStartsWith, StringEndsWith, StringContains, IsNotNull)) and f.attribute in (("path",), ("stem",), ("stamp",), ("record",), ("tile",)):
+                self.filters.append(f)
+            else:
+                yield f
+
+    def fits(self, **known) -> bool:
+        """Whether the filters on the columns named let these values pass."""
+        tests = {
+            EqualTo: lambda x, v: x == v, In: lambda x, v: x in v, GreaterThan: lambda x, v: x > v, GreaterThanOrEqual: lambda x, v: x >= v,
+            LessThan: lambda x, v: x < v, LessThanOrEqual: lambda x, v: x <= v, StringStartsWith: lambda x, v: x.startswith(v),
+            StringEndsWith: lambda x, v: x.endswith(v), StringContains: lambda x, v: v in x,
+        }
+        for f in self.filters:
+            name = f.attribute[0]
+            if name in known and (known[name] is None or not (isinstance(f, IsNotNull) or tests[type(f)](known[name], f.value))):
+                return False
+        return True
+
+    @staticmethod
+    def named(path: str) -> dict:
+        """stem: the file's name up to the first dot; stamp: the number of ten digits between dots, if it has one."""
+        name = path.rpartition("/")[2]
+        digits = re.search(r"\.([0-9]{10})(?=[._])", name)
+        return {"path": path, "stem": name.partition(".")[0], "stamp": int(digits[1]) if digits else None}
+
+    def partitions(self):
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(self.root)
+        found = files.get_file_info(fs.FileSelector(root, recursive=True)) if files.get_file_info(root).type == fs.FileType.Directory else [files.get_file_info(root)]
+        each, out = 13 * self.side**2 * 4, []
+        for f in found:
+            if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, self.pattern) and self.fits(**self.named(f.path)):
+                records = [k for k in range(-(-f.size // each)) if self.fits(record=k)]
+                for k in range(0, len(records), step := max(1, CHUNK // each)):
+                    some = records[k : k + step]
+                    out.append(Records(f.path, f.size, some[0], some[-1] + 1))
+        return out or [Records("", 0, 0, 0)]
+
+    def ranges(self, part: Records):
+        """(record, tiles, first byte, bytes) of what has to be read: a tile, or a slab of three that lie side by side."""
+        size = self.side**2
+        for record in range(part.first, part.last):
+            if self.fits(record=record):
+                for tiles in [(k,) for k in range(7)] + [(7, 8, 9), (10, 11, 12)]:
+                    if kept := [t for t in tiles if self.fits(tile=t)]:
+                        first = (record * 13 * size + tiles[0] * size) * 4
+                        n = min(len(tiles) * size * 4, max(0, part.size - first) // 4 * 4)
+                        if n:
+                            yield record, kept, first, n
+
+    def read(self, partition: Records):
+        import numpy as np
+        import pyarrow as pa
+        from pyarrow import fs
+
+        if not partition.path:
+            return
+        files, _ = fs.FileSystem.from_uri(self.root)
+        side, known = self.side, self.named(partition.path)
+        with files.open_input_file(partition.path) as f:
+            for record, tiles, first, n in self.ranges(partition):
+                x = np.frombuffer(f.read_at(n, first), ">f4").astype(np.float64)
+                at = np.arange(len(x))
+                if tiles[0] < 7:
+                    tile, j, i = np.full(len(x), tiles[0]), at // side, at % side
+                else:
+                    tile, j, i = (7 if tiles[0] < 10 else 10) + at % (3 * side) // side, at // (3 * side), at % side
+                kept = np.isin(tile, tiles)
+                tile, j, i, x = (c[kept] for c in (tile, j, i, x))
+                names = [pa.array([known[k]] * len(x), t) for k, t in (("path", pa.string()), ("stem", pa.string()), ("stamp", pa.int64()))]
+                yield pa.record_batch([*names, pa.array(np.full(len(x), record, np.int64)), *(pa.array(c.astype(np.int32)) for c in (tile, j, i)), pa.array(x, mask=~np.isfinite(x))], names=["path", "stem", "stamp", "record", "tile", "j", "i", "x"])
+
+
+class GridFiles(DataSource):
+    """``spark.read.format("gridtide_grid")`` with the options path, pattern and side."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "gridtide_grid"
+
+    def schema(self) -> str:
+        return "path string, stem string, stamp long, record long, tile int, j int, i int, x double"
+
+    def reader(self, schema) -> GridReader:
+        return GridReader(self.options)
 
-    size = 13 * side * side
 
-    def decode(batches):
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(content[: len(content) // 4 * 4], ">f4").astype(np.float64)
-                for a in range(0, len(x), size):
-                    part = x[a : a + size]
-                    yield pa.record_batch([pa.array([name] * len(part)), pa.array(np.full(len(part), a // size)), pa.array(np.arange(len(part))), pa.array(part, mask=~np.isfinite(part))], names=["path", "record", "pos", "x"])
+def floats(spark: SparkSession, path: str, pattern: str = "*.data", side: int = SIDE) -> DataFrame:
+    """(path, stem, stamp, record, tile, j, i, x) of all files under path; NaN and infinities become NULL.
 
-    files = ship(spark).read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    rows = files.select("path", "content").mapInArrow(decode, "path string, record long, pos long, x double")
-    tile, j, i = llc_positions(F.col("pos"), side)
-    return rows.select("path", "record", tile.alias("tile"), j.alias("j"), i.alias("i"), "x")
+    Filters on all columns but j, i and x are pushed to the files: a file, record or tile that they rule out is not read.
+    Of tiles 7 to 12 three lie side by side and are read together. Partitions are files, or ranges of their records. path
+    is one that pyarrow can open: a folder that driver and executors share, or an object store.
+    """
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    ship(spark).dataSource.register(GridFiles)
+    return spark.read.format(GridFiles.name()).option("pattern", pattern).option("side", str(side)).load(path)
 
 
 def sensitivities(spark: SparkSession, path: str, last_day: int, side: int = SIDE, pattern: str = "adxx_*.data") -> DataFrame:
@@ -49,7 +152,7 @@ def sensitivities(spark: SparkSession, path: str, last_day: int, side: int = SID
 
     from gridtide.operators.resample import smoothed
 
-    rows = floats(spark, path, pattern, side).withColumn("forc", F.regexp_extract("path", r"adxx_([^./]+)\.", 1))
+    rows = floats(spark, path, pattern, side).withColumn("forc", F.regexp_extract("stem", r"adxx_([^./]+)$", 1))
     rows = smoothed(rows, ["forc", "tile", "j", "i"], "record")
     last = F.max("record").over(Window.partitionBy("forc", "tile", "j", "i"))
     s = (F.lit(last_day) * 86400 - 302400 - (last - F.col("record")) * 604800).cast("long")
@@ -61,11 +164,17 @@ def sensitivities_of_many_years(spark: SparkSession, path: str, side: int = SIDE
     return sensitivities(spark, path, 16806, side, "adxx_*.0000000059_dim.data")
 
 
-def weekly_forcing(spark: SparkSession, path: str, side: int = SIDE) -> DataFrame:
-    """(forc, s, tile, j, i, x) of files <forc>.<hours since 1992-01-01, plus 84>.data; a missing week has no rows."""
-    rows = floats(spark, path, "*.data", side)
-    hours = F.regexp_extract("path", r"\.([0-9]{10})\.data$", 1).cast("long")
-    return rows.select(F.regexp_extract("path", r"([^/.]+)\.[0-9]{10}\.data$", 1).alias("forc"), (F.lit(694224000) + (hours - 84) * 3600).alias("s"), "tile", "j", "i", "x")
+def weekly_forcing(spark: SparkSession, path: str, side: int = SIDE, forcings: list[str] | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """(forc, s, tile, j, i, x) of files <forc>.<hours since 1992-01-01, plus 84>.data; a missing week has no rows.
+
+    Only the files of ``forcings`` and of weeks with first <= s < last are opened.
+    """
+    rows = floats(spark, path, "*.data", side).where("stamp is not null")
+    hours = lambda s: (s - 694224000) // 3600 + 84
+    rows = rows if forcings is None else rows.where(F.col("stem").isin(forcings))
+    rows = rows if first is None else rows.where(F.col("stamp") >= hours(first))
+    rows = rows if last is None else rows.where(F.col("stamp") < hours(last))
+    return rows.select(F.col("stem").alias("forc"), (F.lit(694224000) + (F.col("stamp") - 84) * 3600).alias("s"), "tile", "j", "i", "x")
 
 
 def mask(spark: SparkSession, path: str, pattern: str = "*.data", side: int = SIDE) -> DataFrame:
