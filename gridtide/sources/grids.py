@@ -7,7 +7,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gridtide.functions.shipping import ship
 
@@ -37,32 +37,20 @@ class Records(InputPartition):
 
 
 class GridReader(DataSourceReader):
-    """Reads the records and tiles of grid files that the filters leave, and no other bytes."""
+    """Reads the files, records and tiles of grid files that the options name, and no other bytes."""
 
     def __init__(self, options: dict):
+        some = lambda name, kind: {kind(x) for x in options[name].split(",")} if options.get(name) else None
         self.root, self.pattern, self.side = options["path"], options.get("pattern", "*.data"), int(options.get("side", SIDE))
-        self.filters: list = []
-
-    def pushFilters(self, filters):
-        """Takes what is asked of path, stem, stamp, record and tile; all of them are known before a byte is read."""
-        for f in filters:
-            if isinstance(f, (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, StringStartsWith, StringEndsWith, StringContains, IsNotNull)) and f.attribute in (("path",), ("stem",), ("stamp",), ("record",), ("tile",)):
-                self.filters.append(f)
-            else:
-                yield f
+        self.kept = {"stem": some("stems", str), "record": some("records", int), "tile": some("tiles", int)}
+        self.first, self.last = (int(options[k]) if options.get(k) else None for k in ("first", "last"))
 
     def fits(self, **known) -> bool:
-        """Whether the filters on the columns named let these values pass."""
-        tests = {
-            EqualTo: lambda x, v: x == v, In: lambda x, v: x in v, GreaterThan: lambda x, v: x > v, GreaterThanOrEqual: lambda x, v: x >= v,
-            LessThan: lambda x, v: x < v, LessThanOrEqual: lambda x, v: x <= v, StringStartsWith: lambda x, v: x.startswith(v),
-            StringEndsWith: lambda x, v: x.endswith(v), StringContains: lambda x, v: v in x,
-        }
-        for f in self.filters:
-            name = f.attribute[0]
-            if name in known and (known[name] is None or not (isinstance(f, IsNotNull) or tests[type(f)](known[name], f.value))):
-                return False
-        return True
+        """Whether stem, stamp, record or tile, as far as they are given, are among those asked for."""
+        if any(self.kept.get(k) is not None and v not in self.kept[k] for k, v in known.items()):
+            return False
+        at = known.get("stamp")
+        return "stamp" not in known or (self.first is None or at is not None and at >= self.first) and (self.last is None or at is not None and at < self.last)
 
     @staticmethod
     def named(path: str) -> dict:
@@ -78,7 +66,7 @@ class GridReader(DataSourceReader):
         found = files.get_file_info(fs.FileSelector(root, recursive=True)) if files.get_file_info(root).type == fs.FileType.Directory else [files.get_file_info(root)]
         each, out = 13 * self.side**2 * 4, []
         for f in found:
-            if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, self.pattern) and self.fits(**self.named(f.path)):
+            if f.type == fs.FileType.File and fnmatch.fnmatch(f.base_name, self.pattern) and self.fits(**{k: v for k, v in self.named(f.path).items() if k != "path"}):
                 records = [k for k in range(-(-f.size // each)) if self.fits(record=k)]
                 for k in range(0, len(records), step := max(1, CHUNK // each)):
                     some = records[k : k + step]
@@ -121,7 +109,7 @@ class GridReader(DataSourceReader):
 
 
 class GridFiles(DataSource):
-    """``spark.read.format("gridtide_grid")`` with the options path, pattern and side."""
+    """``spark.read.format("gridtide_grid")`` with the options path, pattern, side, stems, first, last, records and tiles."""
 
     @classmethod
     def name(cls) -> str:
@@ -134,16 +122,20 @@ class GridFiles(DataSource):
         return GridReader(self.options)
 
 
-def floats(spark: SparkSession, path: str, pattern: str = "*.data", side: int = SIDE) -> DataFrame:
-    """(path, stem, stamp, record, tile, j, i, x) of all files under path; NaN and infinities become NULL.
+def floats(spark: SparkSession, path: str, pattern: str = "*.data", side: int = SIDE, stems: list[str] | None = None, first: int | None = None, last: int | None = None, records: list[int] | None = None, tiles: list[int] | None = None) -> DataFrame:
+    """(path, stem, stamp, record, tile, j, i, x) of the files under path; NaN and infinities become NULL.
 
-    Filters on all columns but j, i and x are pushed to the files: a file, record or tile that they rule out is not read.
-    Of tiles 7 to 12 three lie side by side and are read together. Partitions are files, or ranges of their records. path
+    Only files with the stems and with first <= stamp < last are opened, and only the records and tiles asked for are read;
+    of tiles 7 to 12 three lie side by side and are read together. Partitions are files, or ranges of their records. path
     is one that pyarrow can open: a folder that driver and executors share, or an object store.
+
+    These are arguments and no pushed filters, since Spark 4.1 keeps filters that were pushed to a Python source for later
+    queries on the same DataFrame, which then lose rows.
     """
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    joined = lambda some: None if some is None else ",".join(map(str, some))
+    options = {"pattern": pattern, "side": side, "stems": joined(stems), "first": first, "last": last, "records": joined(records), "tiles": joined(tiles)}
     ship(spark).dataSource.register(GridFiles)
-    return spark.read.format(GridFiles.name()).option("pattern", pattern).option("side", str(side)).load(path)
+    return spark.read.format(GridFiles.name()).options(**{k: str(v) for k, v in options.items() if v is not None}).load(path)
 
 
 def sensitivities(spark: SparkSession, path: str, last_day: int, side: int = SIDE, pattern: str = "adxx_*.data") -> DataFrame:
@@ -169,14 +161,11 @@ def weekly_forcing(spark: SparkSession, path: str, side: int = SIDE, forcings: l
 
     Only the files of ``forcings`` and of weeks with first <= s < last are opened.
     """
-    rows = floats(spark, path, "*.data", side).where("stamp is not null")
-    hours = lambda s: (s - 694224000) // 3600 + 84
-    rows = rows if forcings is None else rows.where(F.col("stem").isin(forcings))
-    rows = rows if first is None else rows.where(F.col("stamp") >= hours(first))
-    rows = rows if last is None else rows.where(F.col("stamp") < hours(last))
+    hours = lambda s: None if s is None else -(-(s - 694224000) // 3600) + 84
+    rows = floats(spark, path, "*.data", side, stems=forcings, first=hours(first), last=hours(last)).where("stamp is not null")
     return rows.select(F.col("stem").alias("forc"), (F.lit(694224000) + (F.col("stamp") - 84) * 3600).alias("s"), "tile", "j", "i", "x")
 
 
-def mask(spark: SparkSession, path: str, pattern: str = "*.data", side: int = SIDE) -> DataFrame:
+def mask(spark: SparkSession, path: str, pattern: str = "*.data", side: int = SIDE, tiles: list[int] | None = None) -> DataFrame:
     """(tile, j, i, share) of the points of a region mask that are not zero."""
-    return floats(spark, path, pattern, side).where("x <> 0").select("tile", "j", "i", F.col("x").alias("share"))
+    return floats(spark, path, pattern, side, tiles=tiles).where("x <> 0").select("tile", "j", "i", F.col("x").alias("share"))

@@ -298,22 +298,21 @@ def test_grid_files_are_read_in_part(spark, tmp_path):
     for name in ("empmr.0000000084.data", "empmr.0000000252.data", "qnet.0000000252.data", "odd.data"):
         (tmp_path / name).write_bytes(struct.pack(f">{2 * size + 6}f", *[float(v) for v in range(2 * size + 6)]))
     df = grids.floats(spark, str(tmp_path), side=side)
-    some = df.where("stem = 'empmr' and stamp >= 200 and record = 1 and tile in (3, 8)")
-    assert "stem" in (plan := some._jdf.queryExecution().executedPlan().toString()) and "Filter " not in plan
+    some = grids.floats(spark, str(tmp_path), side=side, stems=["empmr"], first=200, records=[1], tiles=[3, 8])
     want = {(t, j, i): 52.0 + (12 + 2 * j + i if t == 3 else 28 + 6 * j + 2 + i) for t in (3, 8) for j in (0, 1) for i in (0, 1)}
     assert {(r["tile"], r["j"], r["i"]): r["x"] for r in some.collect()} == want
     assert df.where("stem = 'empmr' and x > 50 and tile = 0").count() == 2 * 8 and df.count() == 4 * (2 * size + 6)
+    both = {tuple(r) for r in df.select("path", "record", "tile", "j", "i", "x").collect()}
+    assert {tuple(r) for r in some.select("path", "record", "tile", "j", "i", "x").collect()} <= both
 
-    def read(*filters):
-        reader = grids.GridReader({"path": str(tmp_path), "side": side})
-        left = list(reader.pushFilters(list(filters)))
-        return left, sum(n for p in reader.partitions() for *_, n in reader.ranges(p))
+    def read(**options):
+        reader = grids.GridReader({"path": str(tmp_path), "side": str(side)} | options)
+        return sum(n for p in reader.partitions() for *_, n in reader.ranges(p))
 
-    assert read() == ([], 4 * 4 * (2 * size + 6))
-    assert read(grids.EqualTo(("tile",), 3), grids.LessThan(("record",), 1)) == ([], 4 * 4 * 4)
-    assert read(grids.EqualTo(("tile",), 8), grids.EqualTo(("stamp",), 84)) == ([], 2 * 4 * 12)
-    other = grids.GreaterThan(("x",), 1.0)
-    assert read(other, grids.StringContains(("path",), "none"))[1] == 0 and read(other)[0] == [other]
+    assert read() == 4 * 4 * (2 * size + 6)
+    assert read(tiles="3", records="0") == 4 * 4 * 4
+    assert read(tiles="8", first="84", last="85") == 2 * 4 * 12
+    assert read(stems="none") == 0 and read(stems="qnet,odd", records="2") == 2 * 4 * 6
     assert grids.weekly_forcing(spark, str(tmp_path), side, ["empmr"], first=694224000 + 604800).select("s").distinct().collect()[0][0] == 694224000 + 604800
 
 
