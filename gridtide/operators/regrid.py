@@ -245,6 +245,7 @@ def river_targets(sources: DataFrame, targets: DataFrame) -> DataFrame:
     return out
 
 
-def applied(weight: DataFrame, field: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
-    """Sums of weight times value by target and keys; targets without a weight have no row."""
-    return field.join(weight, "s").groupBy("t", *keys).agg(F.sum(F.col("weight") * F.col(value)).alias(value))
+def applied(weight: DataFrame, field: DataFrame, keys: list[str], value: str = "x", source: tuple[str, ...] = ("s",)) -> DataFrame:
+    """Sums of weight times value by target and keys; targets without a weight have no row. source names the columns by
+    which weights and field meet."""
+    return field.join(weight, [*source]).groupBy("t", *keys).agg(F.sum(F.col("weight") * F.col(value)).alias(value))

@@ -9,6 +9,7 @@ from gridtide.functions.calendar import month_start_day
 from gridtide.operators import attribution as A
 from gridtide.operators import resample as R
 from gridtide.operators import stats as S
+from gridtide.sources.fluxes import before_start
 from gridtide.plans.base import arrays, forcing, forecast, query, r6, rnd, region_of, sensitivity, table, total
 
 
@@ -154,6 +155,27 @@ def sensadj_scale(spark, d):
     return S.variance(rows, ["forc", "lag"], "impact").select("forc", "lag", r6("variance"))
 
 
+@query("sensadj_resid", "WITH k AS (SELECT forc, m, sum(impact * CASE forc WHEN 'A' THEN 0.5 WHEN 'N' THEN 1.5 ELSE 1.0 END) AS y FROM imp GROUP BY 1, 2) SELECT forc, round(var_pop(x - y), 6) AS variance, round(1 - var_pop(x - y) / var_pop(x), 6) AS varexp, count(*) AS n FROM k JOIN d2t USING (m) GROUP BY 1")
+def sensadj_resid(spark, d):
+    """What is left of the reference without each forcing's impact, the sensitivities scaled by forcing."""
+    ratio = spark.createDataFrame([("A", 0.5), ("N", 1.5), ("R", 1.0)], "forc string, ratio double")
+    rows = impacts(spark, d).join(F.broadcast(ratio), "forc").groupBy("forc", "m").agg(F.sum(F.col("impact") * F.col("ratio")).alias("y"))
+    rows = rows.join(total(spark, d), "m")
+    out = S.variance_explained(rows, ["forc"], "x", "y").join(S.variance(rows.withColumn("rest", F.col("x") - F.col("y")), ["forc"], "rest"), "forc")
+    return out.select("forc", r6("variance"), r6("varexp"), "n")
+
+
+@query("source_dispatch", "SELECT 'emp' AS forc, cell, m, round(1000 * x, 6) AS x FROM d1 WHERE forc = 'A' UNION ALL SELECT 'tauu', cell, m, round(x, 6) FROM d1 WHERE forc = 'N' UNION ALL SELECT 'runoff', cell, m, round(-x, 6) FROM d1 WHERE forc = 'R'")
+def source_dispatch(spark, d):
+    """Each forcing from the source that is named for the time before the start."""
+    f = forcing(spark, d)
+    of = lambda code, scale: lambda forc: f.where(F.col("forc") == code).select(F.lit(forc).alias("forc"), "cell", "m", (scale * F.col("x")).alias("x"))
+    readers = {"ecco": of("A", 1.0), "ecco_emp": of("A", 1000.0), "era5": of("N", 1.0), "jra55do": of("R", -1.0)}
+    named = (("ecco_v4r4", "emp"), ("era5_weekly", "tauu"), ("jra55do_rivers", "runoff"))
+    parts = [before_start(source, forc, readers) for source, forc in named]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("forc", "cell", "m", r6("x"))
+
+
 @query("dataset_diff", "SELECT a.cell, a.m, round(a.x - b.x, 6) AS diff FROM d1 a JOIN d1 b ON a.cell = b.cell AND a.m = b.m AND a.forc = 'A' AND b.forc = 'R'")
 def dataset_diff(spark, d):
     f = forcing(spark, d)

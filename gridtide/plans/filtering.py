@@ -282,6 +282,42 @@ def seasonal_harmonics(spark, d):
     return X.harmonics(rows, ["series"], "day", 3).select("series", "m", r6("anom", 5), r6("cycle", 5))
 
 
+_ENDS = "(SELECT min(m) AS m0, max(m) AS m1 FROM d1)"
+_FIRST, _LAST = 1996 * 12 + 1, 2000 * 12 + 1
+
+
+@query(
+    "endpoint_change",
+    f"WITH sp AS {_ENDS}, mm AS (SELECT unnest(range(m0, m1 + 1)) AS m, m0 FROM sp), so AS MATERIALIZED (SELECT region, forc, m, sum(x) AS x FROM d1 JOIN reg USING (cell) GROUP BY 1, 2, 3), {_full('fu', 'region, forc', 'so')}, {_filter('b', LOW12, 'fu', 'region, forc', places=_PLACES)} SELECT region, forc, round(max(CASE WHEN p + m0 = {_LAST} THEN band END) - max(CASE WHEN p + m0 = {_FIRST} THEN band END), 6) AS change FROM b, sp GROUP BY 1, 2",
+)
+def endpoint_change(spark, d):
+    """Change between two months of low-passed series, by region and forcing."""
+    rows = forcing(spark, d).join(region_of(spark, d), "cell").groupBy("region", "forc", "m").agg(F.sum("x").alias("x"))
+    low = X.filter_bank(X.dense(rows, ["region", "forc"], "m", fill=0.0), ["region", "forc"], "m", 1.0, {"low": {k: v for k, v in LOW12.items() if k != "delta"}}, least=0.0)
+    return S.endpoint_change(low, ["region", "forc"], "m", _FIRST, _LAST, "low").select("region", "forc", r6("change"))
+
+
+@query("linear_interp_clamped", "WITH e AS (SELECT type, s, avg(value) AS v FROM ev GROUP BY 1, 2), t AS (SELECT type, unnest(generate_series(1703980800, 1707000000, 43200)) AS s FROM (SELECT DISTINCT type FROM ev)), a AS (SELECT t.type, t.s, e.s AS s0, e.v AS v0 FROM t ASOF LEFT JOIN e ON t.type = e.type AND t.s >= e.s), z AS (SELECT t.type, t.s, e.s AS s1, e.v AS v1 FROM t ASOF LEFT JOIN e ON t.type = e.type AND t.s <= e.s) SELECT type, s, round(CASE WHEN s0 IS NULL THEN v1 WHEN s1 IS NULL OR s1 = s0 THEN v0 ELSE v0 + (s - s0) / (s1 - s0) * (v1 - v0) END, 5) AS x FROM a JOIN z USING (type, s)")
+def linear_interp_clamped(spark, d):
+    """Beyond their ends series keep their first and last values."""
+    e = events(spark, d)
+    targets = e.select("type").distinct().withColumn("s", F.explode(F.sequence(F.lit(1703980800).cast("long"), F.lit(1707000000).cast("long"), F.lit(43200).cast("long"))))
+    return X.interpolated(e.select("type", "s", F.col("value").alias("x")), targets, ["type"], "s", clamped=True, width=4 * 86400.0).select("type", "s", r6("x", 5))
+
+
+_PLACED = [0.5, 10.25, 31.75, 62.5]
+
+
+@query(
+    "fourier_interp",
+    f"WITH f AS (SELECT vec_id, regr_slope(x, p) AS slope, regr_intercept(x, p) AS level FROM ar GROUP BY 1), t AS (SELECT unnest([{', '.join(map(str, _PLACED))}])::DOUBLE AS t), w AS (SELECT t, p, sum(cos(2 * pi() * k / {N} * (t - p))) / {N} AS w FROM t, range(0, {N}) a(p), range(-{N // 2}, {N // 2}) b(k) WHERE abs(k) / {N}.0 <= 0.2 GROUP BY 1, 2) SELECT vec_id, t, round(sum(w * (x - slope * p - level)) + any_value(slope) * t + any_value(level), 6) AS x FROM ar JOIN f USING (vec_id) JOIN w USING (p) GROUP BY vec_id, t",
+)
+def fourier_interp(spark, d):
+    """Series at places between theirs, without what is faster than a fifth of a step."""
+    rows = arrays(spark, d).select("vec_id", F.col("p").cast("double").alias("t"), "x")
+    return X.interpolated_fourier(rows, ["vec_id"], "t", 1.0, _PLACED, most=0.2).select("vec_id", "t", r6("x"))
+
+
 def _chain_sql(keys: str, train: str, ask: str, n: int) -> str:
     """fit (keys, day, cycle): the mean and cycle of train (keys, day, x) at the days of ask (keys, day); the asked rows go
     through the same steps as those that are learned from, without counting in any sum."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridtide.operators import attribution as A
+from gridtide.operators import references
 from gridtide.operators import stats as S
 from gridtide.plans.base import arrays, cells, forcing, query, r6, rnd, reference, region_of, total
 
@@ -169,10 +170,14 @@ def rebase_mean(spark, d):
     return S.rebased(reference(spark, d), ["series"], "m", FIRST, LAST).select("series", "m", r6("rebased"))
 
 
-@query("endpoint_change", f"WITH k AS (SELECT region, forc, m, sum(x) AS x FROM d1 JOIN reg USING (cell) GROUP BY 1, 2, 3) SELECT region, forc, round(max(CASE WHEN m = {LAST} THEN x END) - max(CASE WHEN m = {FIRST} THEN x END), 6) AS change FROM k GROUP BY 1, 2")
-def endpoint_change(spark, d):
-    rows = forcing(spark, d).join(region_of(spark, d), "cell").groupBy("region", "forc", "m").agg(F.sum("x").alias("x"))
-    return S.endpoint_change(rows, ["region", "forc"], "m", FIRST, LAST).select("region", "forc", r6("change"))
+@query("level_from_surface", "WITH k AS (SELECT m, sum(CASE WHEN forc = 'A' THEN x END) AS a, sum(CASE WHEN forc = 'N' THEN x END) AS n, sum(CASE WHEN forc = 'R' THEN x END) AS r, avg(CASE WHEN forc = 'A' THEN x END) AS ga, avg(CASE WHEN forc = 'N' THEN x END) AS gn, avg(CASE WHEN forc = 'R' THEN x END) AS gr FROM d1 GROUP BY 1) SELECT m, round(a + n - r - (ga + gn - gr), 6) AS x FROM k")
+def level_from_surface(spark, d):
+    """A model's level from its surface, another model's level and surface, and the global means of all three."""
+    f = forcing(spark, d)
+    of = lambda how, code, name: how(F.when(F.col("forc") == code, F.col("x"))).alias(name)
+    surface, other = f.groupBy("m").agg(of(F.sum, "A", "eta")), f.groupBy("m").agg(of(F.sum, "N", "ssh"), of(F.sum, "R", "eta"))
+    world = f.groupBy("m").agg(of(F.avg, "A", "eta"), of(F.avg, "N", "other_ssh"), of(F.avg, "R", "other_eta"))
+    return references.level_from_surface(surface, other, world).select("m", r6("x"))
 
 
 @query("ensemble_mean", "SELECT label, p, round(avg(x), 6) AS mean, count(x) AS n FROM ar GROUP BY 1, 2")

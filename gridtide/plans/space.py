@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridtide.functions.nulls import finite
@@ -36,6 +37,26 @@ def region_assign(spark, d):
     return points(spark, d).select("point", G.regions(F.col("lon"), F.col("lat")).alias("region"))
 
 
+LINE = [(1, -81.0, 27.0), (2, -79.0, 31.0), (3, -76.0, 35.0), (4, -73.0, 40.0), (5, -66.0, 44.0)]
+
+
+def _strip(km: int) -> str:
+    """CTEs up to q (point, dot, size, cr, r), and the condition on it."""
+    return (
+        f"l(ord, lon, lat) AS (VALUES {', '.join(f'({o}, {x}::DOUBLE, {y}::DOUBLE)' for o, x, y in LINE)}), s AS (SELECT ord, lon AS lon1, lat AS lat1, lead(lon) OVER (ORDER BY ord) AS lon2, lead(lat) OVER (ORDER BY ord) AS lat2 FROM l), "
+        "k AS (SELECT point, (lon2 - lon1) * cos(radians((lat1 + lat2) / 2)) AS dx, lat2 - lat1 AS dy, (lon - lon1) * cos(radians((lat1 + lat2) / 2)) AS px, lat - lat1 AS py FROM pt, s WHERE lon2 IS NOT NULL), "
+        "q AS (SELECT point, sqrt(dx * dx + dy * dy) AS size, px * dx + py * dy AS dot, px * dy - py * dx AS cr, sqrt(px * px + py * py) AS r FROM k), "
+        f"cs AS (SELECT DISTINCT point FROM q WHERE cr / size >= 0 AND ((dot >= 0 AND dot / size <= size AND cr / size <= {km} / 111.1) OR r <= {km} / 111.1))"
+    )
+
+
+@query("regions_with_coast", f"WITH {_strip(300)}, rg AS (SELECT point, {_REGION} AS region FROM pt) SELECT point, CASE WHEN region <= 5 THEN region WHEN cs.point IS NOT NULL THEN 6 ELSE region END AS region FROM rg LEFT JOIN cs USING (point)")
+def regions_with_coast(spark, d):
+    """All eleven regions: the strip along a coast line comes after the first six and before the others."""
+    line = spark.createDataFrame(LINE, "ord int, lon double, lat double")
+    return G.regions_with_coast(points(spark, d).withColumnRenamed("point", "cell"), line).select(F.col("cell").alias("point"), "region")
+
+
 @query("cell_centroid", "WITH f AS (SELECT nation, arg_min(lon, cell) AS lon0 FROM ce GROUP BY 1) SELECT nation, round(fmod(any_value(lon0) + avg(fmod(lon - lon0 + 180, 360) - 180) + 180, 360) - 180, 6) AS lon, round(avg(lat), 6) AS lat, round(sum(area), 6) AS area FROM ce JOIN f USING (nation) GROUP BY 1")
 def cell_centroid(spark, d):
     return G.centroids(cells(spark, d), ["nation"], "cell").select("nation", r6("lon"), r6("lat"), r6("area"))
@@ -65,21 +86,48 @@ def nested_geom(spark, d):
     return G.nested_cells(grid(spark, d), tiles.join(F.broadcast(schemes), "of4").drop("of4"))
 
 
-@query("coast_faces", f"WITH {_GRID}, k AS (SELECT a.tile, a.j, a.i, 0 AS side, a.lon AS x, a.lat AS y, b.lon AS x2, b.lat AS y2, a.wet AS w, b.wet AS w2 FROM g a JOIN g b ON a.tile = b.tile AND b.j = a.j + 1 AND b.i = a.i UNION ALL SELECT a.tile, a.j, a.i, 1, a.lon, a.lat, b.lon, b.lat, a.wet, b.wet FROM g a JOIN g b ON a.tile = b.tile AND b.i = a.i + 1 AND b.j = a.j), f AS (SELECT tile, j, i, side, (x + x2) / 2 AS lon, (y + y2) / 2 AS lat FROM k WHERE w <> w2) SELECT tile, j, i, side, round(lon, 6) AS lon, round(lat, 6) AS lat FROM f")
-def coast_faces(spark, d):
-    return G.coast_faces(grid(spark, d)).select("tile", "j", "i", "side", r6("lon"), r6("lat"))
+_SPECIAL = "sp AS (SELECT CAST(tile // 4 * 6 + j // 3 * 3 + i // 3 AS BIGINT) AS cell, tile, j, i, CAST(j % 3 * 3 + i % 3 AS INTEGER) AS ord FROM g WHERE tile % 4 = 0 AND j < 6 AND i < 9), sz AS (SELECT *, count(*) OVER (PARTITION BY cell) AS size FROM sp)"
 
 
-LINE = [(1, -81.0, 27.0), (2, -79.0, 31.0), (3, -76.0, 35.0), (4, -73.0, 40.0), (5, -66.0, 44.0)]
+@query(
+    "combined_geom",
+    f"WITH {_GRID}, {_SPECIAL}, s(priority, n_merge, tile, j_lo, j_hi, i_lo, i_hi) AS (VALUES {', '.join(map(str, SCHEMES))}), re AS (SELECT * FROM g ANTI JOIN sp USING (tile, j, i)), h AS (SELECT re.tile, j, i, priority, (j - j_lo) // n_merge AS bj, (i - i_lo) // n_merge AS bi FROM re JOIN s ON re.tile % 4 = s.tile AND j >= j_lo AND j < j_hi AND i >= i_lo AND i < i_hi QUALIFY row_number() OVER (PARTITION BY re.tile, j, i ORDER BY priority) = 1) "
+    "SELECT cell, tile, j, i, ord, size FROM sz UNION ALL SELECT CAST(dense_rank() OVER (ORDER BY priority, tile, bj, bi) - 1 + (SELECT max(cell) + 1 FROM sp) AS BIGINT), tile, j, i, CAST(row_number() OVER (PARTITION BY priority, tile, bj, bi ORDER BY j, i) - 1 AS INTEGER), count(*) OVER (PARTITION BY priority, tile, bj, bi) FROM h",
+)
+def combined_geom(spark, d):
+    """Special cells first, then nested cells of the points that they leave, numbered after them."""
+    g = grid(spark, d)
+    special = g.where("tile % 4 = 0 and j < 6 and i < 9").select(F.expr("cast(tile div 4 * 6 + j div 3 * 3 + i div 3 as bigint)").alias("cell"), "tile", "j", "i", F.expr("cast(j % 3 * 3 + i % 3 as int)").alias("ord"))
+    special = special.withColumn("size", F.count("*").over(Window.partitionBy("cell")))
+    schemes = spark.createDataFrame(SCHEMES, "priority int, n_merge int, of4 int, j_lo int, j_hi int, i_lo int, i_hi int")
+    tiles = g.select("tile").distinct().withColumn("of4", F.col("tile") % 4)
+    return G.combined(special, g, tiles.join(F.broadcast(schemes), "of4").drop("of4"))
 
 
-@query(
-    "coast_buffer",
-    f"WITH l(ord, lon, lat) AS (VALUES {', '.join(f'({o}, {x}::DOUBLE, {y}::DOUBLE)' for o, x, y in LINE)}), s AS (SELECT ord, lon AS lon1, lat AS lat1, lead(lon) OVER (ORDER BY ord) AS lon2, lead(lat) OVER (ORDER BY ord) AS lat2 FROM l), "
-    "k AS (SELECT point, (lon2 - lon1) * cos(radians((lat1 + lat2) / 2)) AS dx, lat2 - lat1 AS dy, (lon - lon1) * cos(radians((lat1 + lat2) / 2)) AS px, lat - lat1 AS py FROM pt, s WHERE lon2 IS NOT NULL), "
-    "q AS (SELECT point, sqrt(dx * dx + dy * dy) AS size, px * dx + py * dy AS dot, px * dy - py * dx AS cr, sqrt(px * px + py * py) AS r FROM k) "
-    "SELECT DISTINCT point AS cell FROM q WHERE cr / size >= 0 AND ((dot >= 0 AND dot / size <= size AND cr / size <= 900 / 111.1) OR r <= 900 / 111.1)",
+_RIVER = (
+    "ri AS (SELECT p_partkey AS s, 470 + p_partkey * 13 % 180 AS y, p_partkey * 29 % 1100 AS x FROM part), "
+    "rr AS (SELECT s, x * 0.25 + 0.125 AS lon, y * 0.25 - 89.875 AS lat, CASE WHEN abs(y - 484) <= 4 AND abs(x - 986) <= 6 THEN 1 WHEN (y - (-20.0 / 120 * (x - 108) + 520) > 0 AND y < 552 AND abs(x - 168) <= 60) OR (abs(y - 598) <= 26 AND abs(x - 80) < 44 AND (y < 584 OR x >= 54)) THEN NULL "
+    "WHEN abs(y - 606) <= 6 AND abs(x - 650) <= 10 THEN 2 WHEN abs(y - 632) <= 10 AND abs(x - 296) <= 20 THEN 3 ELSE 0 END AS rule FROM ri)"
 )
+
+
+@query("river_redirects", f"WITH {_RIVER}, k AS (SELECT p.s, c.cell AS t, {_DIST} AS g FROM rr p JOIN ce c ON wet = 1 AND CASE rule WHEN 0 THEN true WHEN 1 THEN fmod(c.lon + 475, 360) < 180 WHEN 2 THEN c.lon - (c.lat - 60 + 163) <= 0 WHEN 3 THEN c.lon - 71 >= 0 ELSE false END) SELECT s, t FROM k QUALIFY row_number() OVER (PARTITION BY s ORDER BY g, t) = 1")
+def river_redirects(spark, d):
+    """The wet target that each river cell may go to, with the boxes that are left out and those that look one way only."""
+    from gridtide.plans.base import table
+
+    k = F.col("p_partkey")
+    y, x = 470 + k * 13 % 180, k * 29 % 1100
+    sources = table(spark, d, "part").select(k.alias("s"), y.alias("lat_ind"), x.alias("lon_ind"), (x * 0.25 + 0.125).alias("lon"), (y * 0.25 - 89.875).alias("lat"))
+    return W.river_targets(sources, cells(spark, d).where("wet = 1").select(F.col("cell").alias("t"), "lon", "lat")).select("s", "t")
+
+
+@query("coast_faces", f"WITH {_GRID}, k AS (SELECT a.tile, a.j, a.i, 0 AS side, a.lon AS x, a.lat AS y, b.lon AS x2, b.lat AS y2, a.wet AS w, b.wet AS w2 FROM g a JOIN g b ON a.tile = b.tile AND b.j = a.j + 1 AND b.i = a.i UNION ALL SELECT a.tile, a.j, a.i, 1, a.lon, a.lat, b.lon, b.lat, a.wet, b.wet FROM g a JOIN g b ON a.tile = b.tile AND b.i = a.i + 1 AND b.j = a.j), f AS (SELECT tile, j, i, side, (x + x2) / 2 AS lon, (y + y2) / 2 AS lat FROM k WHERE w <> w2) SELECT tile, j, i, side, round(lon, 6) AS lon, round(lat, 6) AS lat FROM f")
+def coast_faces(spark, d):
+    return G.coast_faces(grid(spark, d)).select("tile", "j", "i", "side", r6("lon"), r6("lat"))
+
+
+@query("coast_buffer", f"WITH {_strip(900)} SELECT point AS cell FROM cs")
 def coast_buffer(spark, d):
     line = spark.createDataFrame(LINE, "ord int, lon double, lat double")
     return G.coast_strip(line, points(spark, d).withColumnRenamed("point", "cell"), 900.0)
@@ -282,6 +330,12 @@ def region_mask_area(spark, d):
     return out.select("region", "lat_ind", "lon_ind", rnd(F.col("area") / 1e6, 3).alias("area"))
 
 
+@query("regrid_apply_full", f"WITH {_TARGETS}, {_PLAIN}, {_POINTS}, {_FIELD}, al AS (SELECT t, tw, sw, lat_ind, lon_ind, area FROM po UNION ALL SELECT t, tw, sw, lat_ind, lon_ind, area FROM pw), wf AS (SELECT t, lat_ind, lon_ind, area / sum(area) OVER (PARTITION BY t) AS weight FROM (SELECT *, max(CASE WHEN tw = sw THEN 1 ELSE 0 END) OVER (PARTITION BY t) AS k FROM al) WHERE tw = sw OR k = 0) SELECT t, h, round(sum(weight * x), 6) AS x FROM wf JOIN fl USING (lat_ind, lon_ind) GROUP BY 1, 2")
+def regrid_apply_full(spark, d):
+    """A field on the cells with corners, by the weights of :func:`regrid_weights_full`."""
+    return W.applied(W.grid_weights(*corner_grid(spark, d)), grid_field(spark, d), ["h"], source=("lat_ind", "lon_ind")).select("t", "h", r6("x"))
+
+
 @query("bounds_from_centers", "WITH k AS (SELECT nation, cell, lat, lead(lat) OVER w - lat AS up, lat - lag(lat) OVER w AS dn FROM (SELECT nation, min(cell) AS cell, lat FROM ce GROUP BY nation, lat) WINDOW w AS (PARTITION BY nation ORDER BY lat)) SELECT nation, cell, round(lat - coalesce(dn, up) / 2, 6) AS lo, round(lat + coalesce(up, dn) / 2, 6) AS hi FROM k")
 def bounds_from_centers(spark, d):
     rows = cells(spark, d).groupBy("nation", "lat").agg(F.min("cell").alias("cell"))

@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridtide.functions import calendar as C
+from gridtide.operators import alignment as L
 from gridtide.operators import resample as R
 from gridtide.operators import timejoin as J
-from gridtide.plans.base import events, forcing, forecast, query, r6, rnd, reference, total
+from gridtide.plans.base import events, forcing, forecast, query, r6, rnd, reference, table, total
+from gridtide.sources import tables
 
 
 @query("daily_mean", "SELECT type, CAST(floor((s - 1800) / 86400.0) AS BIGINT) AS day, round(avg(value), 6) AS mean, count(value) AS n FROM ev GROUP BY 1, 2")
@@ -51,14 +53,54 @@ def snap_midmonth(spark, d):
     return J.nearest(off, middle.select(F.col("m").alias("at"), F.col("middle").alias("t")), [], "s", "t", ["m"], "at", 3 * 86400).select("m", F.col("t").cast("long").alias("middle"))
 
 
-@query("week_lattice", "WITH w AS (SELECT unnest(generate_series(788313600, 1009843200, 604800)) AS s), b AS (SELECT yr, k, CAST(epoch(make_date(CAST(yr AS BIGINT), 1, 1)) AS BIGINT) + k * 604800 + 302400 AS c FROM unnest(range(1996, 2001)) AS y(yr), unnest(range(0, 52)) AS u(k)) SELECT CAST(yr AS BIGINT) AS yr, CAST(k AS BIGINT) AS k, arg_min(s, abs(s - c) * 1e12 + s) AS s FROM b, w WHERE abs(s - c) < 700000 GROUP BY 1, 2")
+@query("week_lattice", "WITH o AS (SELECT CAST(floor(epoch(o_orderdate)) AS BIGINT) AS s, year(o_orderdate) AS yr FROM orders), sp AS (SELECT (min(s) - 694224000) // 604800 - 1 AS a, (max(s) - 694224000) // 604800 + 1 AS z FROM o), w AS (SELECT 694224000 + unnest(range(a, z + 1)) * 604800 AS s FROM sp), b AS (SELECT yr, k, CAST(epoch(make_date(yr, 1, 1)) AS BIGINT) + k * 604800 + 302400 AS c FROM (SELECT DISTINCT yr FROM o), unnest(range(0, 52)) AS u(k)) SELECT CAST(yr AS BIGINT) AS yr, CAST(k AS BIGINT) AS k, s FROM b, w QUALIFY row_number() OVER (PARTITION BY yr, k ORDER BY abs(s - c), s) = 1")
 def week_lattice(spark, d):
-    weeks = J.lattice(788313600, 1009843200, C.WEEK, spark)
-    bins = spark.range(1996, 2001).withColumnRenamed("id", "yr").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(51).cast("long"))))
+    """The lattice's weeks over the time of the orders, and the one nearest to each week of the years that have orders."""
+    o = table(spark, d, "orders").select(C.seconds("o_orderdate").alias("s"), F.year("o_orderdate").cast("long").alias("yr"))
+    week = lambda x: C.LATTICE + (x - C.LATTICE) // C.WEEK * C.WEEK
+    first, last = o.agg(F.min("s"), F.max("s")).first()
+    weeks = J.lattice(week(first) - C.WEEK, week(last) + C.WEEK, C.WEEK, spark)
+    bins = o.select("yr").distinct().withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(51).cast("long"))))
     bins = bins.withColumn("c", C.month_start_day(F.col("yr") * 12 + 1) * 86400 + F.col("k") * C.WEEK + 302400)
     return J.nearest(bins, weeks.withColumn("t", F.col("s")), [], "c", "t", ["yr", "k"], "s").select("yr", "k", "s")
 
 
+_N = 55  # steps of a month's sensitivity
+_YEARS = [1999, 2000, 2001]
+_JAN = "CAST(epoch(make_date({y}, 1, 1)) AS BIGINT)"
+
+
+@query(
+    "align_steps",
+    f"WITH st AS (SELECT CAST(month(l_shipdate) AS INTEGER) AS month, CAST(l_suppkey % {_N} AS INTEGER) AS step, {_JAN.format(y=2008)} + month(l_shipdate) * 2629728 - ({_N - 1} - l_suppkey % {_N}) * 604800 + min(l_orderkey) % 86400 AS s FROM lineitem GROUP BY month(l_shipdate), l_suppkey % {_N}), "
+    f"bi AS (SELECT k, {_JAN.format(y=2004)} + k * 604800 + 302400 AS c FROM range(0, 52) t(k)), "
+    "nb AS (SELECT month, step, k AS bin FROM (SELECT *, (s - c) - 31556736.0 * floor((s - c) / 31556736.0) AS g FROM st, bi) QUALIFY row_number() OVER (PARTITION BY month, step ORDER BY least(g, 31556736.0 - g), k) = 1), "
+    f"la AS (SELECT unnest(range(694224000 + 302400 + CAST(round_even(({_JAN.format(y=_YEARS[0] - 1)} - 694224000) / 604800.0, 0) AS BIGINT) * 604800, {_JAN.format(y=_YEARS[-1] + 1)}, 604800)) AS t), "
+    f"ce_ AS (SELECT y, k, {_JAN.format(y='CAST(y AS BIGINT)')} + k * 604800 + 302400 AS c FROM range({_YEARS[0] - 1}, {_YEARS[-1] + 2}) v(y), range(0, 52) u(k)), "
+    "ne AS (SELECT y, k, t FROM ce_, la QUALIFY row_number() OVER (PARTITION BY y, k ORDER BY abs(t - c), t) = 1), "
+    f"gp AS (SELECT a.y, a.t - b.t > 907200 AS gap FROM ne a JOIN ne b ON a.k = 0 AND b.k = 51 AND b.y = a.y - 1) "
+    f"SELECT month, step, CAST(gp.y AS INTEGER) AS year, CAST(bin AS INTEGER) AS bin, ne.t + CASE WHEN bin >= step AND gap THEN 604800 ELSE 0 END AS s FROM nb JOIN gp ON gp.y BETWEEN {_YEARS[0]} AND {_YEARS[-1]} JOIN ne ON ne.k = bin AND ne.y = gp.y + CASE WHEN bin >= step THEN -1 WHEN bin < step - {_N - 5} THEN 1 ELSE 0 END",
+)
+def align_steps(spark, d):
+    """The forcing week of each step of each month's sensitivity, in three years; times within a week from the shipments."""
+    jan = F.lit(1199145600).cast("long")  # 2008-01-01
+    month, step = F.month("l_shipdate").cast("int"), (F.col("l_suppkey") % _N).cast("int")
+    rows = table(spark, d, "lineitem").groupBy(month.alias("month"), step.alias("step")).agg((F.min("l_orderkey") % 86400).alias("off"))
+    rows = rows.select("month", "step", (jan + F.col("month") * 2629728 - (_N - 1 - F.col("step")) * C.WEEK + F.col("off")).alias("s"), F.lit(_N).alias("n"))
+    return L.aligned(rows, _YEARS)
+
+
+_PARTS = "a AS (SELECT event_id, type, value FROM ev WHERE event_id % 3 <> 0), b AS (SELECT event_id, type, value + 0.5 AS value FROM ev WHERE event_id % 3 <> 1)"
+
+
+@query("multi_file_merge", f"WITH {_PARTS} SELECT event_id, type, round(value, 6) AS value FROM a UNION ALL SELECT event_id, type, round(value, 6) FROM b WHERE event_id NOT IN (SELECT event_id FROM a)")
+def multi_file_merge(spark, d):
+    """Two files that overlap in a third of the events: the first one's rows override the other's."""
+    e = events(spark, d).select("event_id", "type", "value")
+    parts = [e.where("event_id % 3 <> 0").withColumn("path", F.lit("2024a")), e.where("event_id % 3 <> 1").select("event_id", "type", (F.col("value") + 0.5).alias("value"), F.lit("2024b").alias("path"))]
+    return tables.merged(parts[0].unionByName(parts[1]), ["event_id"]).select("event_id", "type", r6("value"))
+
+
 @query("circular_nearest", "WITH b AS (SELECT CAST(k AS BIGINT) AS k, (k + 0.5) * 365.24 / 52 AS c FROM unnest(range(0, 52)) AS u(k)), e AS (SELECT event_id, s / 86400.0 AS day FROM ev), p AS (SELECT event_id, k, least(fmod(day - c, 365.24), 365.24 - fmod(day - c, 365.24)) AS g FROM e, b) SELECT event_id, k, round(g, 4) AS distance FROM p QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY g, k) = 1")
 def circular_nearest(spark, d):
     bins = spark.range(52).select(F.col("id").alias("k"), ((F.col("id") + 0.5) * C.YEAR_DAYS / 52).alias("c"))

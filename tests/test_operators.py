@@ -563,3 +563,28 @@ def test_separable_weights_and_mask(spark):
     area = {(r["lat_ind"], r["lon_ind"]): r["area"] for r in W.mask_area(quad, lats, lons, valid, ["k"]).collect()}
     unit = W.METRES**2 * math.cos(math.radians(15.0))
     assert area == {(9, 35): 0.0, (9, 0): 0.0, (10, 35): pytest.approx(unit * 2 * 2), (10, 0): pytest.approx(unit * 2 * 8)}
+
+
+def test_files_merged(spark, tmp_path):
+    """By the names of real files: the first one's row, an error where they differ, or each column's first value."""
+    from gridtide.sources import forecasts
+
+    names = "k int, x double, y double"
+    spark.createDataFrame([(1, 1.0, None), (2, 2.0, 2.0)], names).coalesce(1).write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([(2, 9.0, 2.0), (3, None, 3.0), (1, 1.0, 7.0)], names).coalesce(1).write.parquet(str(tmp_path / "b"))
+    df = forecasts.with_path(spark, str(tmp_path), names)
+    assert rows(tables.merged(df, ["k"]), "k") == [(1, 1.0, None), (2, 2.0, 2.0), (3, None, 3.0)]
+    assert rows(tables.merged(df, ["k"], how="filled"), "k") == [(1, 1.0, 7.0), (2, 2.0, 2.0), (3, None, 3.0)]
+    assert rows(tables.merged(df.where("k = 3"), ["k"], how="equal"), "k") == [(3, None, 3.0)]
+    with pytest.raises(Exception, match="differ"):
+        tables.merged(df, ["k"], how="equal").collect()
+    with pytest.raises(ValueError, match="no such"):
+        tables.merged(df, ["k"], how="any")
+
+
+def test_mapping_is_applied(spark, tmp_path):
+    data = [(0, 1, 2, 5, 6, 0, 0.25), (0, 1, 2, 5, 7, 1, 0.75)]
+    tables.write(spark.createDataFrame(data, tables.SCHEMAS["regrid_weight"]), str(tmp_path / "w"))
+    field = spark.createDataFrame([(5, 6, 1, 4.0), (5, 7, 1, 8.0), (9, 9, 1, 1.0)], "lat_ind int, lon_ind int, m int, x double")
+    out = W.applied(tables.mapping(spark, str(tmp_path / "w")), field, ["m"], source=("lat_ind", "lon_ind")).collect()
+    assert [(tuple(r["t"]), r["m"], r["x"]) for r in out] == [((0, 1, 2), 1, 7.0)]
