@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import re
 import tempfile
 import uuid
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from gridtide.functions.shipping import ship
 
 _OWN: dict[str, str] = {}  # folders of applications that name none
-_WRITTEN: list[str] = []  # tables that were saved
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)  # tables saved within scratch
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,19 +45,30 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridtide-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Deletes what :func:`saved` writes within, but for the last table: the result."""
-    first = len(_WRITTEN)
-    yield
-    for path in _WRITTEN[first:-1]:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del _WRITTEN[first:-1]
+    """Deletes what :func:`saved` writes within, but for the last table, the result; after an error that too.
+
+    Each thread has its own list, so queries side by side leave each other's tables alone.
+    """
+    outer, own = _SCOPE.get(), []
+    token = _SCOPE.set(own)
+    kept: list[str] = []
+    try:
+        yield
+        kept = own[-1:]
+    finally:
+        _SCOPE.reset(token)
+        if outer is not None:
+            outer.extend(kept)
+        for path in own[: len(own) - len(kept)]:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def keyed(df: DataFrame) -> tuple[DataFrame, str]:

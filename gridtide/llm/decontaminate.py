@@ -7,8 +7,8 @@ shifted by their offset, are intersected with them one list after the other, and
 postings of the remaining terms of the candidates' documents.
 
 A reworded passage is found by proximity: of the ``RAREST`` rarest distinct terms of an item, ``SHARE`` in any order
-within a stretch of text twice as long as the item. Proximity is told beside the phrases (n_near) and has no part in
-``contaminated``.
+within a stretch of text twice as long as the item, wherever it begins. Proximity is told beside the phrases (n_near)
+and has no part in ``contaminated``.
 
 Everything is a DataFrame expression. Cases: null and empty texts have no words; an item without words matches nothing;
 repeated documents are judged row by row, repeated items count once by id (a null id counts as the empty string); equal
@@ -88,17 +88,24 @@ def occurrences(index: DataFrame, phrases: DataFrame, n: DataFrame) -> DataFrame
 def proximity(index: DataFrame, items: DataFrame, n: DataFrame, rarest: int = RAREST, share: float = SHARE) -> DataFrame:
     """(row, item_id) where ``share`` of the ``rarest`` rarest distinct terms of an item are close together.
 
-    Stretches begin at multiples of the item's length and are twice as long, so each place lies in two of them.
+    A stretch is twice as long as the item and begins at any posting. A document with all but a few of the terms has one of
+    the rarest of them at least, so those lists name the documents first; the others are read for these only, shifted by
+    where they stand, and each posting counts the terms that follow within the stretch.
     """
     own = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     terms = own.select("item_id", F.size("w").alias("width"), F.explode("w").alias("term")).groupBy("item_id", "term").agg(F.max("width").alias("width"))
     order = Window.partitionBy("item_id").orderBy(F.coalesce("n", F.lit(0)), "term")
-    terms = terms.join(broadcast_if_small(n, MOST), "term", "left").withColumns({"rank": F.row_number().over(order), "kinds": F.count("*").over(Window.partitionBy("item_id"))})
-    need = F.ceil(F.lit(share) * F.least(F.lit(rarest), F.col("kinds")))
-    some = saved(terms.where(F.col("rank") <= rarest).select("item_id", "term", "width", need.alias("need")))
-    near = index.join(broadcast_if_small(some, MOST), "term").withColumn("at", F.floor(F.col("pos") / F.col("width")))
-    near = near.select("row", "item_id", "need", "term", F.explode(F.array(F.col("at"), F.col("at") - 1)).alias("at")).distinct()
-    return near.groupBy("row", "item_id", "at").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("row", "item_id").distinct()
+    terms = terms.join(broadcast_if_small(n, MOST), "term", "left").withColumns({"rank": F.row_number().over(order), "kinds": F.least(F.lit(rarest), F.count("*").over(Window.partitionBy("item_id")))})
+    terms = terms.where(F.col("rank") <= rarest).withColumn("need", F.ceil(F.lit(share) * F.col("kinds")).cast("int"))
+    some = saved(terms.select("item_id", "term", F.max("width").over(Window.partitionBy("item_id")).alias("width"), "rank", "kinds", "need"))
+    lead = some.where(F.col("rank") <= F.col("kinds") - F.col("need") + 1).select("item_id", "term")
+    may = saved(index.join(broadcast_if_small(lead, MOST), "term").select("row", "item_id").distinct())
+    inside = index.join(broadcast_if_small(may.select("row").distinct(), MOST), "row", "left_semi").select("row", "pos", "term")
+    near = inside.join(broadcast_if_small(some.select("item_id", "term", "width", "need"), MOST), "term").join(broadcast_if_small(may, MOST), ["row", "item_id"], "left_semi")
+    enough = near.groupBy("row", "item_id").agg(F.count_distinct("term").alias("found"), F.first("need").alias("need")).where("found >= need").select("row", "item_id")
+    near = near.join(saved(enough), ["row", "item_id"], "left_semi").withColumn("at", F.col("pos") / F.col("width"))
+    ahead = F.expr("size(collect_set(term) over (partition by row, item_id order by at range between current row and 1.9999999D following))")
+    return near.withColumn("found", ahead).where("found >= need").select("row", "item_id").distinct()
 
 
 def judged(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 20, near: bool = True) -> DataFrame:
@@ -127,7 +134,10 @@ def judged(docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = 2
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the contaminated rows, whatever their ids."""
+    """docs without the contaminated rows, whatever their ids.
+
+    Contamination is judged by the phrases alone, so proximity, which has no part in it, is not looked for here.
+    """
     rows, key = keyed(docs)
     bad = judged(rows.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), near=False).where("contaminated")
     return without(rows, bad.select(F.col("doc_id").alias(key)), key)
@@ -154,8 +164,8 @@ bt AS (SELECT item_id, term, max(width) AS width FROM (SELECT coalesce(CAST(item
 ps AS (SELECT doc_id, i - 1 AS pos, w[i] AS term FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
 tn AS (SELECT term, count(*) AS n FROM ps WHERE term IN (SELECT term FROM bt) GROUP BY 1),
 rk AS (SELECT item_id, term, width, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(n, 0), term) AS rank, ceil({SHARE} * least({RAREST}, count(*) OVER (PARTITION BY item_id))) AS need FROM bt LEFT JOIN tn USING (term)),
-ce AS (SELECT DISTINCT doc_id, item_id, need, term, pos // width - o AS cell FROM ps JOIN rk USING (term), (VALUES (0), (1)) v(o) WHERE rank <= {RAREST}),
-nr AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (SELECT doc_id, item_id FROM ce GROUP BY doc_id, item_id, cell HAVING count(*) >= any_value(need)) GROUP BY 1)
+ce AS (SELECT doc_id, item_id, need, max(width) OVER (PARTITION BY item_id) AS width, term, pos FROM ps JOIN (SELECT item_id, term, need, rank, max(width) OVER (PARTITION BY item_id) AS width FROM rk WHERE rank <= {RAREST}) USING (term)),
+nr AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (SELECT a.doc_id, a.item_id, a.pos FROM ce a JOIN ce b ON b.doc_id = a.doc_id AND b.item_id = a.item_id AND b.pos >= a.pos AND b.pos < a.pos + 2 * a.width GROUP BY a.doc_id, a.item_id, a.pos HAVING count(DISTINCT b.term) >= any_value(a.need)) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nr USING (doc_id)

@@ -495,6 +495,44 @@ def test_proximity(spark):
     assert got == {1: (1, False), 2: (0, False), 3: (0, False), 4: (1, True), 5: (0, False), 6: (1, True), 7: (0, False)}
 
 
+def test_proximity_wherever_it_begins(spark):
+    """A stretch of just under twice the item's length counts at every offset, one word more at none."""
+    item = [f"w{k}" for k in range(8)]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    close = [w for k in range(6) for w in (item[k], "gap", "gap")][:-2]  # six of eight, the last 15 words after the first
+    rows = [(d, " ".join(["pad"] * k + words)) for k in range(20) for d, words in ((k, close), (100 + k, [*close[:-1], "gap", close[-1]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_near"] for r in decontaminate.judged(df, items).collect()}
+    assert got == {i: int(i < 100) for i, _ in rows}
+
+
+def test_scratch_tables(spark):
+    """Results stay, what is between goes, also after an error, and other threads' tables are left alone."""
+    import threading
+
+    from gridtide.llm.common import saved, scratch
+
+    def there(df) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0])
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    held = {}
+    before = saved(spark.range(1))
+    with scratch(spark):
+        with scratch(spark):
+            inner, result = saved(spark.range(2)), saved(spark.range(3))
+        other = threading.Thread(target=lambda: held.update(df=saved(spark.range(4))))
+        other.start()
+        other.join()
+        assert not there(inner) and there(result)
+        last = saved(spark.range(5))
+    assert there(before) and there(last) and there(held["df"]) and not there(result)
+    with pytest.raises(ValueError, match="stop"), scratch(spark):
+        lost = saved(spark.range(6))
+        raise ValueError("stop")
+    assert not there(lost)
+
+
 def test_decontamination_of_a_very_long_text(spark, docs):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()
     df = spark.createDataFrame([(1, "filler words " * 200_000 + item["text"]), (2, item["text"])], "doc_id long, text string")
