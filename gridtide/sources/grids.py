@@ -138,6 +138,60 @@ def floats(spark: SparkSession, path: str, pattern: str = "*.data", side: int =
     return spark.read.format(GridFiles.name()).options(**{k: str(v) for k, v in options.items() if v is not None}).load(path)
 
 
+def llc_place(tile: Column, j: Column, i: Column, side: int = SIDE) -> Column:
+    """The place in a flat record, as :func:`llc_positions` reads it."""
+    slab = F.when(tile < 10, F.lit(7)).otherwise(F.lit(10))
+    return F.when(tile < 7, (tile * side + j) * side + i).otherwise(slab * side * side + (j * 3 + tile - slab) * side + i)
+
+
+def write_floats(df: DataFrame, path: str, side: int = SIDE) -> int:
+    """Writes df (name, record, tile, j, i, x) as grid files path/name, records from 0 on; gives their number.
+
+    Each file is written by one task in order of its records, one record held at a time, and moved to its name when it is
+    whole, so a task that runs again replaces it. Points without a row or a value are NaN, records between others too.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    size = 13 * side * side
+
+    def task(batches):
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(path)
+        files.create_dir(root, recursive=True)
+        held = {"name": None}
+
+        def closed():
+            if held["name"] is not None:
+                held["out"].write(held["record"].astype(">f4").tobytes())
+                held["out"].close()
+                files.move(held["part"], f"{root}/{held['name']}")
+
+        done = 0
+        for batch in batches:
+            names, records, places, values = (batch.column(k) for k in range(4))
+            records, places, values = records.to_numpy(), places.to_numpy(), values.to_numpy(zero_copy_only=False)
+            names = np.array(names.to_pylist(), object)
+            cut = np.flatnonzero(np.concatenate(([True], (names[1:] != names[:-1]) | (records[1:] != records[:-1])))) if len(names) else []
+            for a, z in zip(cut, [*cut[1:], len(names)], strict=True):
+                if names[a] != held["name"]:
+                    closed()
+                    part = f"{root}/.{names[a]}.{np.random.default_rng().integers(1 << 62):x}"
+                    held = {"name": names[a], "part": part, "out": files.open_output_stream(part), "record": np.full(size, np.nan), "at": 0}
+                    done += 1
+                while held["at"] < records[a]:
+                    held["out"].write(held["record"].astype(">f4").tobytes())
+                    held |= {"record": np.full(size, np.nan), "at": held["at"] + 1}
+                held["record"][places[a:z]] = values[a:z]
+        closed()
+        yield pa.record_batch([pa.array([done], pa.int64())], names=["files"])
+
+    rows = df.select("name", F.col("record").cast("long").alias("record"), llc_place(F.col("tile"), F.col("j"), F.col("i"), side).cast("long").alias("at"), F.col("x").cast("double").alias("x"))
+    rows = rows.repartition("name").sortWithinPartitions("name", "record")
+    return rows.mapInArrow(task, "files long").agg(F.sum("files")).first()[0] or 0
+
+
 def sensitivities(spark: SparkSession, path: str, last_day: int, side: int = SIDE, pattern: str = "adxx_*.data") -> DataFrame:
     """(forc, step, s, tile, j, i, x): smoothed records of files adxx_<forc>.*, a week apart up to last_day (since 1970)."""
     from pyspark.sql import Window
