@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtide.functions.shipping import ship
-from gridtide.llm.common import keyed, remainder, saved, table, without
+from gridtide.llm.common import batches_of, keyed, remainder, saved, table, without
 
 ORDER = 4
 PIECE = 250_000
+ROWS = 1000  # texts that a task holds at a time
 APART = 1  # remainder of the training rows that only set the limits
 BLOCK = 8_000_000  # characters of the texts that are scored together
 SEP = "" * (ORDER - 1)
@@ -348,15 +349,17 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows, key = keyed(docs)
     apart = F.coalesce(remainder(F.col("doc_id"), 5) == APART, F.lit(False))
-    model = fit(rows.where(~apart))
-    scored = saved(score(rows.select(key, "text", F.when(apart, F.col("lang")).alias("lang")), model, columns=(key, "lang")))
+    with batches_of(spark, ROWS):
+        model = fit(rows.where(~apart))
+        scored = saved(score(rows.select(key, "text", F.when(apart, F.col("lang")).alias("lang")), model, columns=(key, "lang")))
     return without(rows, calibrated(scored, F.col("lang") == F.col("lang_pred")).where("rejected"), key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     split = F.coalesce(remainder(F.col("doc_id"), 5), F.lit(0).cast("long"))
-    model = fit(docs.where((split != 0) & (split != APART)))
-    scored = saved(score(docs.select("doc_id", "text", F.when(split == APART, F.col("lang")).alias("lang")), model, columns=("doc_id", "lang")))
+    with batches_of(spark, ROWS):
+        model = fit(docs.where((split != 0) & (split != APART)))
+        scored = saved(score(docs.select("doc_id", "text", F.when(split == APART, F.col("lang")).alias("lang")), model, columns=("doc_id", "lang")))
     out = calibrated(scored, F.col("lang") == F.col("lang_pred"))
     return out.select("doc_id", (split == 0).alias("held_out"), "lang_pred", "score", "entropy", "rejected")

@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtide.functions.shipping import ship
-from gridtide.llm.common import keyed, saved, table, without
+from gridtide.llm.common import batches_of, keyed, saved, table, without
 from gridtide.llm.components import connected
 
 BITS = 64
+ROWS = 1000  # texts that a task holds at a time
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -175,7 +176,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share an id, or have none, are compared and judged one by one.
     """
     rows, key = keyed(docs)
-    prints = saved(fingerprints(rows, doc_id=key))  # the key stands for the id here
+    with batches_of(spark, ROWS):
+        prints = saved(fingerprints(rows, doc_id=key))  # the key stands for the id here
     groups = saved(grouped(prints).select(F.col("doc_id").alias(key), "component_id").join(rows.select(key, "doc_id"), key))
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("key"))).alias("m"))
     kept = first.select(F.col("m.key").alias(key))
@@ -183,5 +185,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    groups = grouped(saved(fingerprints(table(spark, sf_dir, "documents"))))
+    with batches_of(spark, ROWS):
+        prints = saved(fingerprints(table(spark, sf_dir, "documents")))
+    groups = grouped(prints)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
