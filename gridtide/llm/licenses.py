@@ -23,7 +23,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtide.llm.common import ASCII_LOWER, ASCII_UPPER, ascii_lower, saved, table
+from gridtide.llm.common import ASCII_LOWER, ASCII_UPPER, ascii_lower, broadcast_if_small, saved, table
 from gridtide.llm.decontaminate import words
 
 SIZE = 5
@@ -95,7 +95,7 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFra
         count[k, most] = max(count.get((k, most), 1), n_bands(shingles, k, most))
     known = spark.createDataFrame([(*r, count[r[1], r[2]]) for r in rows], "license string, k int, most int, of array<string>, bands int")
     bands = lambda shingles, n: F.transform(F.sequence(F.lit(1), n), lambda b: F.xxhash64(b, F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b)))))
-    known = F.broadcast(known.select("license", "k", "most", "of", F.explode(F.array_distinct(bands(F.col("of"), F.col("bands")))).alias("band")))  # at most some hundred rows a template
+    known = broadcast_if_small(known.select("license", "k", "most", "of", F.explode(F.array_distinct(bands(F.col("of"), F.col("bands")))).alias("band")), 100_000)  # at most some hundred rows a template
     low = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     classes: dict[tuple[int, int], set[str]] = {}
     for _, k, most, shingles in rows:
