@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +19,22 @@ def bounds_from_centres(df: DataFrame, keys: list[str], at: str) -> DataFrame:
     return df.withColumns({"lo": F.col(at) - F.coalesce(down, up) / 2, "hi": F.col(at) + F.coalesce(up, down) / 2})
 
 
-def overlaps(target: DataFrame, source: DataFrame, cell: float = 5.0) -> DataFrame:
+def square_side(*boxes: DataFrame) -> float:
+    """A whole part of 360 degrees near twice the mean extent of boxes, within a twentieth of a degree and 30 degrees."""
+    each = [b.select((F.col("lon_hi") - F.col("lon_lo")).alias("w"), (F.col("lat_hi") - F.col("lat_lo")).alias("h")) for b in boxes]
+    mean = functools.reduce(DataFrame.unionByName, each).agg(F.avg((F.col("w") + F.col("h")) / 2)).first()[0]
+    return 360.0 / min(7200, max(12, round(180.0 / mean))) if mean else 5.0
+
+
+def overlaps(target: DataFrame, source: DataFrame, cell: float | None = None) -> DataFrame:
     """Areas (t, s, area) where boxes (lon_lo, lon_hi, lat_lo, lat_hi, wet) of targets t and sources s overlap.
 
-    Boxes are dealt to the grid squares of ``cell`` degrees that they touch, and meet only there. Longitudes are a circle:
+    Boxes are dealt to the grid squares of ``cell`` degrees that they touch, and meet only there; without ``cell`` the
+    side comes from the boxes' own extent, so that a finer grid has no more boxes a square. Longitudes are a circle:
     a box from 179 to 181 meets those on both sides of the date line. Boxes are less than half a circle wide.
     """
-    turns = int(360 // cell)
+    cell = square_side(target, source) if cell is None else cell
+    turns = round(360 / cell)
 
     def dealt(df, p):
         square = lambda lo, hi: F.sequence(F.floor(F.col(lo) / F.lit(cell)), F.floor(F.col(hi) / F.lit(cell)))
