@@ -19,7 +19,7 @@ def planar_distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> C
     return F.sqrt(F.pow(F.cos(F.radians(lat1)) * d, 2) + F.pow(lat2 - lat1, 2))
 
 
-SIDE = 30.0  # degrees of the squares that the search begins with; 12 by 6 of them
+SIDE = 60.0  # degrees of the squares that the search begins with; 6 by 3 of them
 FINER = 4  # each level has squares of a quarter of the side
 DEEPEST = 6
 
@@ -58,15 +58,13 @@ def nearest_cell(points: DataFrame, cells: DataFrame, point: str, cell: str, cro
     """
     lon = wrapped(F.col("lon"), -180.0)
     places = cells.groupBy(lon.alias("clon"), F.col("lat").alias("clat")).agg(F.min(cell).alias(cell))
-    depth = 0
-    while depth < DEEPEST:
-        x, y = _square(F.col("clon"), F.col("clat"), depth)
-        if (places.groupBy(x, y).count().agg(F.max("count")).first()[0] or 0) <= crowd:
-            break
+    squares = lambda level: places.groupBy(*(c.alias(n) for c, n in zip(_square(F.col("clon"), F.col("clat"), level), "xy", strict=True))).count()
+    top = squares(0).where("x is not null and y is not null").collect()  # 24 at most
+    depth, most = 0, max((r["count"] for r in top), default=0)
+    while most > crowd and depth < DEEPEST:
         depth += 1
-    x, y = _square(F.col("clon"), F.col("clat"), 0)
-    top = sorted((r["x"], r["y"]) for r in places.where(x.isNotNull() & y.isNotNull()).select(x.alias("x"), y.alias("y")).distinct().collect())  # 84 at most
-    start = F.from_json(F.lit("[" + ",".join(f'{{"x":{a},"y":{b}}}' for a, b in top) + "]"), "array<struct<x: bigint, y: bigint>>")
+        most = squares(depth).agg(F.max("count")).first()[0]
+    start = F.from_json(F.lit("[" + ",".join(f'{{"x":{a},"y":{b}}}' for a, b, _ in top) + "]"), "array<struct<x: bigint, y: bigint>>")
     rows = points.select(point, lon.alias("plon"), F.col("lat").alias("plat")).withColumn("_sq", _reachable(start, 0))
     for level in range(1, depth + 1):
         x, y = _square(F.col("clon"), F.col("clat"), level)
