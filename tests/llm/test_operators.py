@@ -533,6 +533,16 @@ def test_scratch_tables(spark):
     assert not there(lost)
 
 
+def test_contamination_stage_judges_by_text(spark, docs):
+    """Equal texts go or stay together whatever their ids, nulls stay, further columns are left alone."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [(1, item, "a"), (1, "clean words", "b"), (None, item, "c"), (None, None, "d"), (2, "", "e"), (3, item + " ", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text string").withColumn("row", F.lit("r")).withColumn("_text_", F.lit("s"))
+    out = decontaminate.stage(spark, df, SF)
+    assert out.columns == df.columns and sorted(r["_text"] for r in out.collect()) == ["b", "d", "e"]
+    assert decontaminate.stage(spark, df.limit(0), SF).count() == 0
+
+
 def test_decontamination_of_a_very_long_text(spark, docs):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()
     df = spark.createDataFrame([(1, "filler words " * 200_000 + item["text"]), (2, item["text"])], "doc_id long, text string")
