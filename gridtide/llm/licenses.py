@@ -7,8 +7,8 @@ and a full window that contains just 0.8 of its shingles is the least that a mat
 bands of one value that one of them collides with a probability above 1 - ``MISS`` at the least similarity of its
 templates (:func:`n_bands`). Containment is then counted exactly on the shingles themselves.
 
-Texts and windows that can't contain 0.8 of any template are left out before that: for each template some words are
-chosen that take part in more than a fifth of its shingles; what has none of them misses too many.
+Texts and windows that can't contain 0.8 of any template are left out before that: shingles that begin with different
+words differ, so a match lacks no more of the words that begin a template's shingles than it may lack shingles.
 
 Only DataFrame expressions. Cases: null and empty texts match nothing; a template without words is refused; a text that
 is shorter than a window is one window; repeated rows are matched row by row; the result has a row for each row and
@@ -23,7 +23,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtide.llm.common import ASCII_LOWER, ASCII_UPPER, ascii_lower, broadcast_if_small, saved, table
+from gridtide.llm.common import ASCII_LOWER, ASCII_UPPER, broadcast_if_small, saved, table
 from gridtide.llm.decontaminate import words
 
 SIZE = 5
@@ -72,14 +72,13 @@ def n_bands(shingles: list[str], k: int, most: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - least)) if least < 1 else 1
 
 
-def needed(shingles: list[str]) -> list[str]:
-    """Words, the longest first, in more than 1 - CONTAINED of the shingles together."""
-    out, left = [], list(shingles)
-    while len(shingles) - len(left) <= (1 - CONTAINED) * len(shingles):
-        some = [w for s in left for w in set(s.split())]
-        best = max(sorted(set(some)), key=lambda w: (some.count(w) > (1 - CONTAINED) * len(shingles), len(w), some.count(w)))
-        out.append(best)
-        left = [s for s in left if best not in s.split()]
+def may_match(has, templates: list[list[str]]):
+    """Whether an array of words may be that of a match with one of the templates, given by their shingles."""
+    out = F.lit(False)
+    for shingles in templates:
+        begin = sorted({s.split()[0] for s in shingles})
+        lacks = len(shingles) - math.ceil(CONTAINED * len(shingles))
+        out = out | (F.size(F.array_intersect(has, F.array(*map(F.lit, begin)))) >= len(begin) - lacks)
     return out
 
 
@@ -96,20 +95,21 @@ def matches(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFra
     known = spark.createDataFrame([(*r, count[r[1], r[2]]) for r in rows], "license string, k int, most int, of array<string>, bands int")
     bands = lambda shingles, n: F.transform(F.sequence(F.lit(1), n), lambda b: F.xxhash64(b, F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b)))))
     known = broadcast_if_small(known.select("license", "k", "most", "of", F.explode(F.array_distinct(bands(F.col("of"), F.col("bands")))).alias("band")), 100_000)  # at most some hundred rows a template
-    low = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
-    classes: dict[tuple[int, int], set[str]] = {}
+    classes: dict[tuple[int, int], list[list[str]]] = {}
     for _, k, most, shingles in rows:
-        classes.setdefault((k, most), set()).update(needed(shingles))
-    may = F.lit(False)
-    for w in sorted(set().union(*classes.values())):
-        may = may | F.contains(F.col("low"), F.lit(w))
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", low.alias("low")).where(may)
-    texts = saved(texts.select("row", "doc_id", words(F.col("low")).alias("w")))  # the whole table is read once
+        classes.setdefault((k, most), []).append(shingles)
+    every = sorted({s.split()[0] for *_, shingles in rows for s in shingles})
+    texts = docs.select("doc_id", words(F.col("text")).alias("w"))
+    # beside the row's number, which is not deterministic, filters stay above the words, which are then taken once
+    texts = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "w", F.array_intersect("w", F.array(*map(F.lit, every))).alias("has"))
+    may = [may_match(F.col("has"), some).alias(f"may_{k}_{most}") for (k, most), some in classes.items()]
+    texts = texts.where(may_match(F.col("has"), [of for some in classes.values() for of in some]))
+    texts = saved(texts.select("row", "doc_id", "w", *may))  # the whole table is read once
     out = None
     for (k, most), some in sorted(classes.items()):
-        cut = texts.where(F.size("w") >= k).select("row", "doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(3 * most // 4))).alias("first_word"))
+        cut = texts.where(F.col(f"may_{k}_{most}") & (F.size("w") >= k)).select("row", "doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(3 * most // 4))).alias("first_word"))
         win = F.slice("w", F.col("first_word") + 1, F.lit(2 * most))
-        cut = cut.select("row", "doc_id", "first_word", win.alias("win")).where((F.size("win") >= k) & F.arrays_overlap("win", F.array(*map(F.lit, sorted(some)))))
+        cut = cut.select("row", "doc_id", "first_word", win.alias("win")).where((F.size("win") >= k) & may_match(F.col("win"), some))
         cut = cut.withColumn("has", F.expr(f"array_distinct(transform(sequence(1, size(win) - {k - 1}), i -> array_join(slice(win, i, {k}), ' ')))"))
         cut = cut.select("row", "doc_id", "first_word", "has", F.explode(bands(F.col("has"), F.lit(count[k, most]))).alias("band"))
         here = cut.join(known.where((F.col("k") == k) & (F.col("most") == most)), "band")

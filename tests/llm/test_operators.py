@@ -570,6 +570,25 @@ def test_every_license_collides_in_full_windows(spark):
     assert {(i, name) for i, name, _ in rows} <= got
 
 
+def test_frequent_words_name_no_license(spark):
+    """Texts of frequent words alone ("the" was enough) are no candidates; a match with 0.8 of the shingles is one."""
+    rows = []
+    for name, text in licenses.TEMPLATES.items():
+        w = licenses._words(text)
+        shingles = licenses._shingles(w)
+        for cut in range(len(w)):  # as many words as may go
+            left = licenses._shingles(w[cut:])
+            if len(w) - cut >= min(licenses.SIZE, len(w)) and len(set(left) & set(shingles)) >= 0.8 * len(shingles):
+                rows.append((name, w[cut:], True))
+    rows += [(None, "the of and or to in this is not permission software license under conditions".split() * 20, False)]
+    df = spark.createDataFrame(rows, "name string, w array<string>, may boolean")
+    every = [licenses._shingles(licenses._words(t)) for t in licenses.TEMPLATES.values()]
+    assert df.where(licenses.may_match(F.col("w"), every) != F.col("may")).count() == 0
+    for name, text in licenses.TEMPLATES.items():
+        mine = df.where(F.col("name") == name)
+        assert mine.count() and mine.where(~licenses.may_match(F.col("w"), [licenses._shingles(licenses._words(text))])).count() == 0
+
+
 def test_license_cases(spark):
     out = licenses.matches(odd(spark).withColumn("text", F.concat(F.col("text"), F.lit(" Released under the MIT License."))))
     assert {r["license"] for r in out.collect()} == {"mit"} and out.count() == 10
