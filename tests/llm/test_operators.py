@@ -680,6 +680,27 @@ def test_search_passes_over_what_cannot_win():
     assert found(float(scores[0]) * 1000)[2] == []  # the bounds alone rule the segment out
 
 
+def test_search_narrows_between_long_lists():
+    """Documents that the first long lists rule out are not looked up in the others; what is left is that of full sums."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"c{int(i)}" for i in rng.choice(60, 25)).encode() for _ in range(2000)]
+    term, _, tf = search.pairs(*search.tokens([texts[3]]))
+    segment = search.Segment(search.segment_of(list(range(2000)), texts, 25.0), term)
+    lists, weight = segment.list_of, np.linspace(9.0, 0.1, len(term)) * tf
+    assert len(lists) > search.STEP and (segment.row_of[lists] >= 0).all()
+    full = segment.added(lists, weight)
+    for place in (1, 5, 10):
+        least = float(np.sort(full)[-place])
+        s = search.Search(segment, lists, weight, least)
+        before = len(s.doc)
+        assert before > 200 and set(np.flatnonzero(full >= least)) <= set(s.doc)
+        s.narrowed()
+        assert len(s.doc) < before / 2 and set(np.flatnonzero(full >= least)) <= set(s.doc)
+        ids, scores = search.Search(segment, lists, weight, least).finished(10)
+        best = np.lexsort((segment.ids, -full))[: len(ids)]
+        assert [*ids] == [*segment.ids[best]] and [*scores] == [*full[best]] and len(ids) >= place
+
+
 def test_search_cases(spark):
     df = odd(spark)
     out = search.top_k(search.index(df), search.parsed_queries(df.withColumnRenamed("doc_id", "query_id")), 3)
