@@ -26,6 +26,37 @@ def square_side(*boxes: DataFrame) -> float:
     return 360.0 / min(7200, max(12, round(180.0 / mean))) if mean else 5.0
 
 
+#: The columns of a box.
+BOX = ("lon_lo", "lon_hi", "lat_lo", "lat_hi", "wet")
+
+
+def alike(boxes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Each different box (key, BOX, n) once, where key is a group and n the number of its rows, and the members (key, _of)
+    of the groups. What depends on boxes alone is so worked out once a group; :func:`each` hands it to the members.
+
+    Boxes under keys of their own are a group if they are equal. A key in several rows is a group by itself, and its rows
+    stay as they are: a sum by group is always that by key.
+    """
+    by_key = boxes.groupBy(key).agg(F.count("*").alias("_m"), F.first(F.struct(*BOX)).alias("_box"))
+    once = F.col("_m") == 1
+    group = F.struct(F.when(once, F.col("_box")).alias("box"), F.when(~once, F.col(key)).alias("key"))
+    members = by_key.select(key, group.alias("_of"))
+    one = members.where("_of.box is not null").groupBy(F.col("_of").alias(key)).agg(F.count("*").alias("n")).select(key, f"{key}.box.*", "n")
+    again = by_key.where(~once).select(F.col(key).alias("_key"), group.alias("_of"))
+    more = boxes.join(again, F.col(key).eqNullSafe(F.col("_key"))).select(F.col("_of").alias(key), *BOX, F.lit(1).cast("long").alias("n"))
+    return one.unionByName(more), members
+
+
+def each(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """rows by group (key) for each member of the group, under the member's own key.
+
+    Many rows come out of few, so the partitions are those of the session and are not put together by what goes in.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumnRenamed(key, "_of").repartition(n, "_of")
+    return rows.join(members.repartition(n, "_of").hint("merge"), "_of").drop("_of")
+
+
 def overlaps(target: DataFrame, source: DataFrame, cell: float | None = None) -> DataFrame:
     """Areas (t, s, area) where boxes (lon_lo, lon_hi, lat_lo, lat_hi, wet) of targets t and sources s overlap.
 
@@ -213,14 +244,23 @@ def grid_weights(targets: DataFrame, lats: DataFrame, lons: DataFrame, mask: Dat
     return weights(own, ("lat_ind", "lon_ind"))
 
 
+def kept_shares(overlap: DataFrame, source_area: DataFrame, target_area: DataFrame, times: str | None = None) -> DataFrame:
+    """(t, s, weight): overlap over target area among wet targets, scaled so that what falls on dry ones is not lost. A row
+    counts ``times`` times in the scale, where it stands for so many targets."""
+    counted = F.col("area") * F.col(times) if times else F.col("area")
+    rows = overlap.where("t_wet = 1").withColumn("_in", F.sum(counted).over(Window.partitionBy("s"))).join(source_area, "s").join(target_area, "t")
+    return rows.select("t", "s", (F.col("area") / F.col("t_area") * F.col("s_area") / F.col("_in")).alias("weight"))
+
+
+def to_nearest(overlap: DataFrame, source_area: DataFrame, target_area: DataFrame, nearest: DataFrame) -> DataFrame:
+    """(t, s, weight) of sources without a wet target, which go to their nearest one (s, t)."""
+    lost = source_area.join(overlap.where("t_wet = 1").select("s").distinct(), "s", "left_anti").join(nearest, "s").join(target_area, "t")
+    return lost.select("t", "s", (F.col("s_area") / F.col("t_area")).alias("weight"))
+
+
 def conserving(overlap: DataFrame, source_area: DataFrame, target_area: DataFrame, nearest: DataFrame) -> DataFrame:
-    """(t, s, weight) that keep each source's total: overlap over target area among wet targets, scaled so that what
-    falls on dry ones is not lost; a source without a wet target goes to its nearest one (s, t)."""
-    wet = overlap.where("t_wet = 1")
-    shares = wet.withColumn("_in", F.sum("area").over(Window.partitionBy("s"))).join(source_area, "s").join(target_area, "t")
-    direct = shares.select("t", "s", (F.col("area") / F.col("t_area") * F.col("s_area") / F.col("_in")).alias("weight"))
-    lost = source_area.join(wet.select("s").distinct(), "s", "left_anti").join(nearest, "s").join(target_area, "t")
-    return direct.unionByName(lost.select("t", "s", (F.col("s_area") / F.col("t_area")).alias("weight")))
+    """(t, s, weight) that keep each source's total: :func:`kept_shares`, and :func:`to_nearest` for sources without any."""
+    return kept_shares(overlap, source_area, target_area).unionByName(to_nearest(overlap, source_area, target_area, nearest))
 
 
 def river_rule(lat_ind, lon_ind):

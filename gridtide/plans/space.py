@@ -273,12 +273,16 @@ _AREA = "111100.0 * 111100.0 * cos(radians((lat_lo + lat_hi) / 2)) * (lon_hi - l
     "u AS (SELECT t, s, area / t_area * s_area / inc AS weight FROM g JOIN sa USING (s) JOIN ta USING (t) UNION ALL SELECT t, s, s_area / t_area FROM n1 JOIN sa USING (s) JOIN ta USING (t) WHERE s NOT IN (SELECT s FROM g)) SELECT t, s, round(weight, 6) AS weight FROM u",
 )
 def regrid_weights_conservative(spark, d):
+    """Different boxes meet once; the weights of a pair of them go to all targets and sources that they stand for."""
     t, s = boxes(spark, d, "t"), boxes(spark, d, "s")
     area = W.METRES * W.METRES * F.cos(F.radians((F.col("lat_lo") + F.col("lat_hi")) / 2)) * (F.col("lon_hi") - F.col("lon_lo")) * (F.col("lat_hi") - F.col("lat_lo"))
     middle = [((F.col("lon_lo") + F.col("lon_hi")) / 2).alias("lon"), ((F.col("lat_lo") + F.col("lat_hi")) / 2).alias("lat")]
-    near = G.nearest_cell(s.select("s", *middle), t.where("wet = 1").select("t", *middle), "s", "t").select("s", "t")
-    out = W.conserving(W.overlaps(t, s), s.select("s", area.alias("s_area")), t.select("t", area.alias("t_area")), near)
-    return out.select("t", "s", r6("weight"))
+    (targets, of_t), (sources, of_s) = W.alike(t, "t"), W.alike(s, "s")
+    near = G.nearest_cell(sources.select("s", *middle), t.where("wet = 1").select("t", *middle), "s", "t").select("s", "t")
+    met, s_area = W.overlaps(targets, sources), sources.select("s", area.alias("s_area"))
+    direct = W.kept_shares(met.join(targets.select("t", "n").distinct(), "t"), s_area, targets.select("t", area.alias("t_area")), "n").select("t", "s", r6("weight"))
+    lost = W.to_nearest(met, s_area, t.select("t", area.alias("t_area")), near).select("t", "s", r6("weight"))
+    return W.each(W.each(direct, of_t, "t").unionByName(lost), of_s, "s").select("t", "s", "weight")
 
 
 #: A field on the source grid: means by half-year of the shipments of a cell's parts.
