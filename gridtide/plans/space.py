@@ -181,7 +181,10 @@ def _overlap(spark, d):
 
 @query("overlap_weights", f"WITH {_BOX} SELECT t, s, round(area / 1e6, 4) AS area FROM o")
 def overlap_weights(spark, d):
-    return _overlap(spark, d).select("t", "s", rnd(F.col("area") / 1e6, 4).alias("area"))
+    """The area of a pair of different boxes is taken once, for all targets and sources that have them."""
+    (targets, of_t), (sources, of_s) = W.alike(boxes(spark, d, "t"), "t"), W.alike(boxes(spark, d, "s"), "s")
+    met = W.overlaps(targets, sources).select("t", "s", rnd(F.col("area") / 1e6, 4).alias("area"))
+    return W.each(W.each(met, of_t, "t"), of_s, "s").select("t", "s", "area")
 
 
 @query("regrid_weights", f"WITH {_BOX} SELECT t, s, round(weight, 6) AS weight, CAST(n AS INTEGER) AS n FROM w")

@@ -62,3 +62,8 @@ def checked(spark, copies, name: str) -> tuple[int, dict[str, list[int]]]:
 def test_conserving_weights_of_equal_boxes(spark, copies):
     n, made = checked(spark, copies, "regrid_weights_conservative")
     assert n > 60_000 and max(made["Exchange"]) < n / 4  # pairs of boxes are not shuffled
+
+
+def test_overlaps_of_equal_boxes(spark, copies):
+    n, made = checked(spark, copies, "overlap_weights")
+    assert n > 60_000 and max(made["Generate"]) < 9 * 2100  # different boxes, by the squares that they touch
