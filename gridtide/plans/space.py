@@ -175,8 +175,10 @@ def boxes(spark, d, name: str):
     return rows.select(k.alias(name), lon.alias("lon_lo"), (lon + w).alias("lon_hi"), lat.alias("lat_lo"), (lat + h).alias("lat_hi"), F.when(k % m > 0, 1).otherwise(0).alias("wet"))
 
 
-def _overlap(spark, d):
-    return W.overlaps(boxes(spark, d, "t"), boxes(spark, d, "s"))
+def _weights(spark, d):
+    """The weights of groups of equal targets, and the members of these groups."""
+    (targets, of_t), (sources, of_s) = W.alike(boxes(spark, d, "t"), "t"), W.alike(boxes(spark, d, "s"), "s")
+    return W.weights(W.each(W.overlaps(targets, sources), of_s, "s")), of_t
 
 
 @query("overlap_weights", f"WITH {_BOX} SELECT t, s, round(area / 1e6, 4) AS area FROM o")
@@ -189,7 +191,9 @@ def overlap_weights(spark, d):
 
 @query("regrid_weights", f"WITH {_BOX} SELECT t, s, round(weight, 6) AS weight, CAST(n AS INTEGER) AS n FROM w")
 def regrid_weights(spark, d):
-    return W.weights(_overlap(spark, d)).select("t", "s", r6("weight"), "n")
+    """Equal targets have the same weights, which are worked out once."""
+    weight, of_t = _weights(spark, d)
+    return W.each(weight.select("t", "s", r6("weight"), "n"), of_t, "t").select("t", "s", "weight", "n")
 
 
 @query("regrid_apply", f"WITH {_BOX} SELECT t, p_size AS k, round(sum(weight * p_retailprice), 6) AS x FROM w JOIN part ON p_partkey = s GROUP BY 1, 2")
@@ -197,7 +201,7 @@ def regrid_apply(spark, d):
     from gridtide.plans.base import table
 
     field = table(spark, d, "part").select(F.col("p_partkey").alias("s"), F.col("p_size").alias("k"), finite(F.col("p_retailprice")).alias("x"))
-    return W.applied(W.weights(_overlap(spark, d)), field, ["k"]).select("t", "k", r6("x"))
+    return W.applied(W.weights(W.overlaps(boxes(spark, d, "t"), boxes(spark, d, "s"))), field, ["k"]).select("t", "k", r6("x"))
 
 
 #: Cells with four corners: by customer, a few of them about a pole.

@@ -67,3 +67,8 @@ def test_conserving_weights_of_equal_boxes(spark, copies):
 def test_overlaps_of_equal_boxes(spark, copies):
     n, made = checked(spark, copies, "overlap_weights")
     assert n > 60_000 and max(made["Generate"]) < 9 * 2100  # different boxes, by the squares that they touch
+
+
+def test_weights_of_equal_targets(spark, copies):
+    n, made = checked(spark, copies, "regrid_weights")
+    assert n > 60_000 and max(made["Exchange"]) < n / 4  # pairs of boxes are not shuffled
