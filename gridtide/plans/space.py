@@ -198,10 +198,12 @@ def regrid_weights(spark, d):
 
 @query("regrid_apply", f"WITH {_BOX} SELECT t, p_size AS k, round(sum(weight * p_retailprice), 6) AS x FROM w JOIN part ON p_partkey = s GROUP BY 1, 2")
 def regrid_apply(spark, d):
+    """Equal targets have the same values, which are summed up once."""
     from gridtide.plans.base import table
 
     field = table(spark, d, "part").select(F.col("p_partkey").alias("s"), F.col("p_size").alias("k"), finite(F.col("p_retailprice")).alias("x"))
-    return W.applied(W.weights(W.overlaps(boxes(spark, d, "t"), boxes(spark, d, "s"))), field, ["k"]).select("t", "k", r6("x"))
+    weight, of_t = _weights(spark, d)
+    return W.each(W.applied(weight, field, ["k"]).select("t", "k", r6("x")), of_t, "t").select("t", "k", "x")
 
 
 #: Cells with four corners: by customer, a few of them about a pole.

@@ -72,3 +72,8 @@ def test_overlaps_of_equal_boxes(spark, copies):
 def test_weights_of_equal_targets(spark, copies):
     n, made = checked(spark, copies, "regrid_weights")
     assert n > 60_000 and max(made["Exchange"]) < n / 4  # pairs of boxes are not shuffled
+
+
+def test_field_on_equal_targets(spark, copies):
+    n, made = checked(spark, copies, "regrid_apply")
+    assert n > 900 and max(max(made[k]) for k in made if "Join" in k) < 20_000  # the 66 000 pairs of boxes are not made
