@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridtide.functions.shared import new_path
 from gridtide.operators.geometry import in_quad, nearest_cell, wrapped
 
 METRES = 111100.0
@@ -39,12 +40,20 @@ def alike(boxes: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """
     by_key = boxes.groupBy(key).agg(F.count("*").alias("_m"), F.first(F.struct(*BOX)).alias("_box"))
     once = F.col("_m") == 1
-    group = F.struct(F.when(once, F.col("_box")).alias("box"), F.when(~once, F.col(key)).alias("key"))
-    members = by_key.select(key, group.alias("_of"))
-    one = members.where("_of.box is not null").groupBy(F.col("_of").alias(key)).agg(F.count("*").alias("n")).select(key, f"{key}.box.*", "n")
-    again = by_key.where(~once).select(F.col(key).alias("_key"), group.alias("_of"))
+    box = F.concat_ws(",", *(F.coalesce(F.col(f"_box.{c}").cast("string"), F.lit("-")) for c in BOX))  # as text, which is shuffled as it is
+    by_key = by_key.withColumn("_of", F.when(once, box).otherwise(F.coalesce(F.concat(F.lit("key "), F.col(key).cast("string")), F.lit("key"))))
+    one = by_key.where(once).groupBy(F.col("_of").alias(key)).agg(F.first("_box").alias("_box"), F.count("*").alias("n")).select(key, "_box.*", "n")
+    again = by_key.where(~once).select(F.col(key).alias("_key"), "_of")
     more = boxes.join(again, F.col(key).eqNullSafe(F.col("_key"))).select(F.col("_of").alias(key), *BOX, F.lit(1).cast("long").alias("n"))
-    return one.unionByName(more), members
+    return one.unionByName(more), by_key.select(key, "_of")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: a few rows out of many, which are used several times, or on which costly
+    conditions are put that Spark would work out on the many."""
+    path = new_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def each(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:

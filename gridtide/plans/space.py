@@ -287,7 +287,9 @@ def regrid_weights_conservative(spark, d):
     area = W.METRES * W.METRES * F.cos(F.radians((F.col("lat_lo") + F.col("lat_hi")) / 2)) * (F.col("lon_hi") - F.col("lon_lo")) * (F.col("lat_hi") - F.col("lat_lo"))
     middle = [((F.col("lon_lo") + F.col("lon_hi")) / 2).alias("lon"), ((F.col("lat_lo") + F.col("lat_hi")) / 2).alias("lat")]
     (targets, of_t), (sources, of_s) = W.alike(t, "t"), W.alike(s, "s")
-    near = G.nearest_cell(sources.select("s", *middle), t.where("wet = 1").select("t", *middle), "s", "t").select("s", "t")
+    targets, sources = W.written(targets), W.written(sources)
+    places = W.written(t.where("wet = 1").select("t", *middle).groupBy("lon", "lat").agg(F.min("t").alias("t")))
+    near = G.nearest_cell(sources.select("s", *middle), places, "s", "t").select("s", "t")
     met, s_area = W.overlaps(targets, sources), sources.select("s", area.alias("s_area"))
     direct = W.kept_shares(met.join(targets.select("t", "n").distinct(), "t"), s_area, targets.select("t", area.alias("t_area")), "n").select("t", "s", r6("weight"))
     lost = W.to_nearest(met, s_area, t.select("t", area.alias("t_area")), near).select("t", "s", r6("weight"))
